@@ -166,3 +166,182 @@ def score_v2_sql() -> str:
 {v2_feat_cte()},
 {v2_chain_ctes()}
 SELECT id, round(score, 9) AS bias_score, score > {D(L.BIAS_THRESHOLD)} AS is_biased FROM v2"""
+
+
+# ---- V2 explanation -------------------------------------------------------------
+
+def relation_exprs(col: str = "lt") -> dict[str, str]:
+    names = {("research_findings", "positive"): "positive_research",
+             ("research_findings", "negative"): "negative_research",
+             ("systemic_discussion", "factual"): "factual_systemic",
+             ("systemic_discussion", "biased"): "biased_systemic"}
+    out = {}
+    for group, kinds in L.V2_CONTEXTUAL_RELATIONSHIPS.items():
+        for kind, pairs in kinds.items():
+            s = seq([when(f"{hit(a, col)} AND {hit(b, col)}", D(0.3)) for a, b in pairs])
+            out[names[(group, kind)]] = f"least({s}, {D(1.0)})"
+    return out
+
+
+def structure_exprs() -> dict[str, str]:
+    return {name: coverage(comps) for name, comps in L.V2_STATEMENT_STRUCTURES.items()}
+
+
+def fmt2(x: str) -> str:
+    return f"printf('%.2f', {x})"
+
+
+def band(x: str) -> str:
+    return (f"CASE WHEN {x} > 0.8 THEN 'highly confident' WHEN {x} > 0.6 THEN 'moderately confident' "
+            f"ELSE 'somewhat confident' END")
+
+
+def tag_list(items: list[tuple[str, str]]) -> str:
+    """Ordered names whose condition holds, as a DuckDB list."""
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(n)} END" for c, n in items) + "], lambda x: x IS NOT NULL)"
+
+
+def v2_tags_expr() -> str:
+    return tag_list([
+        (any_raw(L.EXPLICIT_RACIAL_TERMS), "explicit racial terms"),
+        (any_raw(L.V2_CODED_RACIAL_TERMS), "coded racial language"),
+        (any_raw(L.V2_RACIAL_STEREOTYPES), "racial stereotyping"),
+        (any_raw(L.V2_ECONOMIC_BIAS_TERMS), "economic bias language"),
+        ("st_factual_research > 0.5", "research-based language"),
+        ("st_systemic_analysis > 0.5", "systemic analysis"),
+        ("st_biased_generalization > 0.5", "biased generalizations"),
+        ("rel_positive_research > 0.3", "positive research findings"),
+        ("rel_negative_research > 0.3", "negative research claims"),
+        ("rel_factual_systemic > 0.3", "factual systemic discussion"),
+        ("rel_biased_systemic > 0.3", "biased systemic claims"),
+    ])
+
+
+def explanation_sql(conf: str, tags: str, middle: str = "''") -> str:
+    return (f"CASE WHEN NOT ({conf} > {D(L.BIAS_THRESHOLD)}) THEN {q(L.NOT_BIASED_EXPLANATION)} ELSE "
+            f"'The text shows signs of bias (confidence: ' || {fmt2(conf)} || '). ' || "
+            f"'The model is ' || {band(conf)} || ' this text contains bias. ' || {middle} || "
+            f"CASE WHEN len({tags}) > 0 THEN 'Detected patterns include: ' || array_to_string({tags}, ', ') || '. ' ELSE '' END || "
+            f"CASE WHEN {conf} > 0 THEN 'Racial bias score: ' || {fmt2(conf)} ELSE '' END END")
+
+
+def v2_middle(conf: str = "score") -> str:
+    return (
+        "(CASE WHEN st_factual_research > 0.5 THEN "
+        "CASE WHEN rel_positive_research > 0.3 THEN 'While the text uses research-based language to present findings, ' || "
+        f"CASE WHEN {conf} > 0.6 THEN 'it appears to use this framework to mask bias. ' ELSE '' END "
+        "ELSE 'The text uses academic language to present biased views. ' END ELSE '' END || "
+        "CASE WHEN st_systemic_analysis > 0.5 THEN "
+        "CASE WHEN rel_factual_systemic > 0.3 THEN 'The text discusses systemic issues, but ' || "
+        f"CASE WHEN {conf} > 0.6 THEN 'may use this framework to express bias. ' ELSE '' END "
+        "ELSE 'The text uses systemic analysis to present biased views. ' END ELSE '' END)"
+    )
+
+
+def v2_analysis_ctes() -> str:
+    """planted -> norm -> feat (+ structures, raw relations) -> chain -> ``v2``."""
+    extra = [f"{e} AS st_{k}" for k, e in structure_exprs().items()]
+    extra += [f"{e} AS rel_{k}" for k, e in relation_exprs("lraw").items()]
+    feat = v2_feat_cte()
+    feat = feat.replace("\n FROM norm)", ",\n  " + ",\n  ".join(extra) + "\n FROM norm)")
+    return f"""{planted_cte()},
+{norm_cte()},
+{feat},
+{v2_chain_ctes()},
+v2t AS (SELECT *, {v2_tags_expr()} AS tags FROM v2)"""
+
+
+SUGGESTION_RACE = L.SUGGESTIONS["race"]
+
+
+# ---- V1 features ------------------------------------------------------------------
+
+def v1_window_ctes(src: str = "norm") -> str:
+    cols = []
+    for i, (base, ctx) in enumerate(L.V1_CONTEXTUAL_PAIRS):
+        cols.append(f"coalesce(list_position(words, {q(base)}), 0) AS p{i}")
+    pos = f"pos AS (SELECT *, {', '.join(cols)} FROM (SELECT *, string_split(lt, ' ') AS words FROM {src}))"
+    wins = []
+    for i, _ in enumerate(L.V1_CONTEXTUAL_PAIRS):
+        wins.append(f"CASE WHEN p{i} > 0 THEN words[greatest(1, p{i} - 5):least(len(words), p{i} + 5)] "
+                    f"ELSE []::VARCHAR[] END AS w{i}")
+    win = f"win AS (SELECT *, {', '.join(wins)} FROM pos)"
+    return pos + ",\n" + win
+
+
+def v1_context_exprs(col: str = "lt") -> tuple[str, str, str]:
+    """(pair score, score before cap, ordered tags) over windows w0..w14 and text ``col``."""
+    pair_parts, pair_tags = [], []
+    for i, (base, ctx) in enumerate(L.V1_CONTEXTUAL_PAIRS):
+        n = "(" + " + ".join(f"CAST(list_contains(w{i}, {q(c)}) AS INTEGER)" for c in ctx) + ")"
+        first = "CASE " + " ".join(f"WHEN list_contains(w{i}, {q(c)}) THEN {q(c)}" for c in ctx) + " END"
+        pair_parts.append(when(f"{n} > 0", f"{D(0.15)} * {n}"))
+        pair_tags.append((f"{n} > 0", f"{q(base + '-')} || {first}"))
+    pseudo = count(L.V1_PSEUDO_SCIENTIFIC_TERMS, col)
+    sup = count(L.V1_CULTURAL_SUPREMACY_TERMS, col)
+    prop = count(L.V1_PROPERTY_ECONOMIC_TERMS, col)
+    s = seq(pair_parts)
+    s = f"({s} + {when(f'{pseudo} > 0', f'{D(0.2)} * {pseudo}')})"
+    s = f"({s} + {when(f'{sup} > 0', f'{D(0.2)} * {sup}')})"
+    s = f"({s} + {when(f'{prop} > 0', f'{D(0.15)} * {prop}')})"
+    first_tags = [f"CASE WHEN {c} THEN {v} END" for c, v in pair_tags] + [
+        f"CASE WHEN {pseudo} > 0 THEN {q(L.V1_TAG_PSEUDO)} END",
+        f"CASE WHEN {sup} > 0 THEN {q(L.V1_TAG_SUPREMACY)} END",
+        f"CASE WHEN {prop} > 0 THEN {q(L.V1_TAG_PROPERTY)} END",
+    ]
+    kinds = "len(list_distinct([" + ", ".join(first_tags) + "]))"
+    s = f"({s} * CASE WHEN {kinds} > 1 THEN 1.0::DOUBLE + {D(0.1)} * {kinds} ELSE {D(1.0)} END)"
+    hist = count(L.V1_HISTORICAL_BIAS_TERMS, col)
+    anal = count(L.V1_ANALYTICAL_BIAS_TERMS, col)
+    groups = count(L.EXPLICIT_RACIAL_TERMS, col)
+    war = f"({any_(L.V1_WAR_TERMS, col)} AND {groups} > 0)"
+    s = f"({s} + {when(f'{hist} > 0', f'{D(0.2)} * {hist}')})"
+    s = f"({s} + {when(f'{anal} > 0', f'{D(0.15)} * {anal}')})"
+    s = f"({s} + {when(f'{groups} >= 3', D(0.25))})"
+    s = f"({s} + {when(war, D(0.2))})"
+    tags = "list_filter([" + ", ".join(first_tags + [
+        f"CASE WHEN {hist} > 0 THEN {q(L.V1_TAG_HISTORICAL)} END",
+        f"CASE WHEN {anal} > 0 THEN {q(L.V1_TAG_ANALYTICAL)} END",
+        f"CASE WHEN {groups} >= 3 THEN {q(L.V1_TAG_GROUPS)} END",
+        f"CASE WHEN {war} THEN {q(L.V1_TAG_WAR)} END",
+    ]) + "], lambda x: x IS NOT NULL)"
+    return seq(pair_parts), s, tags
+
+
+def v1_score_ctes() -> str:
+    """planted -> norm -> windows -> v1 features -> ``v1`` with columns score, tags, rawtags."""
+    _, ctx, tags = v1_context_exprs("lt")
+    _, _, rawtags = v1_context_exprs("lraw")
+    feat = f"""v1f AS (SELECT id, model_score, lt, lraw,
+  {count(L.EXPLICIT_RACIAL_TERMS)} * {D(0.35)} AS explicit,
+  {count(L.V1_CODED_RACIAL_TERMS)} * {D(0.30)} AS coded,
+  {count(L.V1_RACIAL_STEREOTYPES)} * {D(0.35)} AS stereo,
+  {any_(L.V1_ECONOMIC_TERMS)} AND {any_(L.V1_STEREOTYPE_TERMS)} AS econ_stereo,
+  least({ctx}, {D(1.0)}) AS ctx,
+  {tags} AS tags,
+  {rawtags} AS rawtags
+ FROM win)"""
+    chain = f"""v1a AS (SELECT *,
+  CASE WHEN econ_stereo THEN stereo * {D(1.5)} ELSE stereo END AS stereo2,
+  CASE WHEN list_contains(tags, {q(L.V1_TAG_HISTORICAL)}) AND list_contains(tags, {q(L.V1_TAG_GROUPS)}) THEN ctx * {D(1.4)} ELSE ctx END AS ctx2
+ FROM v1f),
+v1b AS (SELECT *, {D(0.35)} * model_score + {D(0.65)} * least(((explicit + coded) + stereo2) + ctx2, {D(1.0)}) AS s0 FROM v1a),
+v1c AS (SELECT *, CASE WHEN len(tags) >= 2 THEN least(s0 * ({D(1.0)} + {D(0.15)} * len(tags)), {D(1.0)}) ELSE s0 END AS s1 FROM v1b),
+v1 AS (SELECT *, CASE WHEN list_contains(tags, {q(L.V1_TAG_ANALYTICAL)}) AND len(tags) > 1 THEN least(s1 * {D(1.2)}, {D(1.0)}) ELSE s1 END AS score FROM v1c)"""
+    return f"""{planted_cte()},
+{norm_cte()},
+{v1_window_ctes()},
+{feat},
+{chain}"""
+
+
+def v1_pattern_tags_expr() -> str:
+    head = tag_list([
+        (any_raw(L.EXPLICIT_RACIAL_TERMS), "explicit racial terms"),
+        (any_raw(L.V1_CODED_RACIAL_TERMS), "coded racial language"),
+        (any_raw(L.V1_RACIAL_STEREOTYPES), "racial stereotyping"),
+        (any_raw(L.V1_PSEUDO_SCIENTIFIC_TERMS), "pseudo-scientific racial bias"),
+        (any_raw(L.V1_PROPERTY_ECONOMIC_TERMS), "economic-based racial bias"),
+        (any_raw(L.V1_CULTURAL_SUPREMACY_TERMS), "cultural supremacy bias"),
+    ])
+    return f"list_concat({head}, rawtags)"
