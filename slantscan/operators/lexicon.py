@@ -24,7 +24,7 @@ def collect_lexicon(lexicon: DataFrame) -> list[tuple[str, str]]:
 
 
 def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
-                    key: str = "id", engine: str = "regex") -> DataFrame:
+                    key: str = "id", engine: str | None = None) -> DataFrame:
     """One row (key, lexicon, term) per lexicon term contained in a text."""
     entries = collect_lexicon(lexicon)
     idx = TermIndex([t for _, t in entries], engine=engine)
@@ -39,7 +39,7 @@ def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text
 
 
 def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
-                key: str = "id", engine: str = "regex") -> DataFrame:
+                key: str = "id", engine: str | None = None) -> DataFrame:
     """G2 per lexicon name: one count column per lexicon (``n_<name>``)."""
     entries = collect_lexicon(lexicon)
     idx = TermIndex([t for _, t in entries], engine=engine)

@@ -1,7 +1,8 @@
 """Scoring and analysis plans (H1, H2, H9) over a DataFrame of texts.
 
-Each plan is a chain of projections over the input: no shuffle, no join, no
-Python. A row's score is computed once and reused by decision, explanation
+Each plan is a chain of projections over the input: no shuffle, no join.
+Term matching is one pass per text (see ``functions/terms.py``); every
+feature, rule and report column is a JVM expression. A row's score is computed once and reused by decision, explanation
 and suggestion (the published detector re-ran the scorer up to three times
 per text).
 """
@@ -29,20 +30,20 @@ def _materialise(df: DataFrame, cols: dict[str, Column], prefix: str) -> tuple[D
     return df, {k: F.col(prefix + k) for k in cols}
 
 
-def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str = "regex") -> tuple[DataFrame, Hits]:
+def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
     idx = TermIndex(rules_v2.terms(), engine=engine)
     out = with_term_flags(df, text, idx, raw=raw)
     return out, (idx.hits("__lraw", "__rawsame") if raw else idx.hits())
 
 
-def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str = "regex") -> tuple[DataFrame, Hits]:
+def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
     idx = TermIndex(rules_v1.terms(), engine=engine)
     out = rules_v1.add_token_windows(with_term_flags(df, text, idx, raw=raw))
     return out, (idx.hits("__lraw", "__rawsame") if raw else idx.hits())
 
 
 def score_v2(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
-             engine: str = "regex", keep_work: bool = False) -> DataFrame:
+             engine: str | None = None, keep_work: bool = False) -> DataFrame:
     """H2: adds ``bias_score`` and ``is_biased``."""
     m = _model(df, model_score)
     d, h = v2_flags(df, text, engine=engine)
@@ -54,7 +55,7 @@ def score_v2(df: DataFrame, text: str = "comment_text", model_score: str | None
 
 
 def score_v1(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
-             engine: str = "regex", keep_work: bool = False) -> DataFrame:
+             engine: str | None = None, keep_work: bool = False) -> DataFrame:
     """H1: adds ``bias_score`` and ``is_biased`` (and ``context_tags``)."""
     m = _model(df, model_score)
     d, h = v1_flags(df, text, engine=engine)
@@ -66,7 +67,7 @@ def score_v1(df: DataFrame, text: str = "comment_text", model_score: str | None
 
 
 def analyze(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
-            version: str = "v2", engine: str = "regex", as_struct: bool = False) -> DataFrame:
+            version: str = "v2", engine: str | None = None, as_struct: bool = False) -> DataFrame:
     """H9: decision, confidence, category scores, explanation, suggestion.
 
     The explanation reads the raw text like the published detector (a term
