@@ -130,7 +130,7 @@ class TermIndex:
             from .automaton import flags_struct
             names = [self.names[t] for t in self.terms]
             found = df.select("*", flags_struct(F.col(lowered), self.terms, names).alias(caps))
-            return found.select("*", *[F.col(caps)[n].alias(n) for n in names]).drop(caps)
+            return found.select("*", f"{caps}.*").drop(caps)
         found = df.select(
             "*",
             F.array_distinct(F.regexp_extract_all(F.col(lowered), F.lit(self.pattern()), 1)).alias(caps),
@@ -147,46 +147,81 @@ class TermIndex:
         return Hits(self, raw_lower, raw_same)
 
 
+def sql_string(s: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def balanced_sql(op: str, parts: Sequence[str], empty: str) -> str:
+    """``parts`` joined by ``op`` as a parenthesised tree of log depth."""
+    parts = list(parts)
+    if not parts:
+        return empty
+    while len(parts) > 1:
+        nxt = [f"({parts[i]} {op} {parts[i + 1]})" for i in range(0, len(parts) - 1, 2)]
+        if len(parts) % 2:
+            nxt.append(parts[-1])
+        parts = nxt
+    return parts[0]
+
+
 class Hits:
     """Column expressions over the flag columns of a ``TermIndex``.
 
-    With ``raw_lower``/``raw_same`` given, ``raw_*`` methods answer for the
-    raw (not whitespace-normalised) lower-cased text. A term without a space
-    is in the raw text iff it is in the normalised text; a multi-word term
-    in the raw text is also in the normalised one, so only those need a
-    second look, and only for rows whose raw text differs from the
-    normalised text.
+    With ``raw_lower``/``raw_same`` given, ``raw=True`` answers for the raw
+    (not whitespace-normalised) lower-cased text. A term without a space is
+    in the raw text iff it is in the normalised text; a multi-word term in
+    the raw text is also in the normalised one, so only those need a second
+    look, and only for rows whose raw text differs from the normalised text.
+
+    Sums and disjunctions over many terms are generated as one SQL
+    expression each (one call into the JVM instead of one per term).
     """
 
     def __init__(self, index: TermIndex, raw_lower: str | None, raw_same: str | None):
         self.index = index
         self.raw_lower = raw_lower
         self.raw_same = raw_same
+        self._cols: dict[str, Column] = {}
+
+    def _sql(self, term: str, raw: bool) -> str:
+        name = f"`{self.index.names[term]}`"
+        if not raw or self.raw_lower is None or " " not in term:
+            return name
+        return f"({name} AND (`{self.raw_same}` OR contains(`{self.raw_lower}`, {sql_string(term)})))"
 
     def hit(self, term: str) -> Column:
-        return F.col(self.index.names[term])
+        c = self._cols.get(term)
+        if c is None:
+            c = self._cols[term] = F.col(self.index.names[term])
+        return c
 
     def raw_hit(self, term: str) -> Column:
-        if self.raw_lower is None or " " not in term:
-            return self.hit(term)
-        return self.hit(term) & (F.col(self.raw_same) | F.col(self.raw_lower).contains(F.lit(term)))
+        return F.expr(self._sql(term, True))
 
     def _hit(self, term: str, raw: bool) -> Column:
         return self.raw_hit(term) if raw else self.hit(term)
 
+    def count_sql(self, terms: Sequence[str], raw: bool = False) -> str:
+        return balanced_sql("+", [f"CAST({self._sql(t, raw)} AS INT)" for t in terms], "0")
+
+    def any_sql(self, terms: Sequence[str], raw: bool = False) -> str:
+        return balanced_sql("OR", [self._sql(t, raw) for t in terms], "false")
+
     def count(self, terms: Sequence[str], raw: bool = False) -> Column:
         """Number of listed terms present (a term listed twice counts twice)."""
-        return balanced(lambda a, b: a + b, [self._hit(t, raw).cast("int") for t in terms], F.lit(0))
+        return F.expr(self.count_sql(terms, raw))
 
     def any(self, terms: Sequence[str], raw: bool = False) -> Column:
         """G3."""
-        return balanced(lambda a, b: a | b, [self._hit(t, raw) for t in terms], F.lit(False))
+        return F.expr(self.any_sql(terms, raw))
 
     def matched(self, terms: Sequence[str], raw: bool = False) -> Column:
         """Present terms in list order."""
-        return F.array_compact(
-            F.array(*[F.when(self._hit(t, raw), F.lit(t)) for t in terms])
-        ) if terms else F.array().cast("array<string>")
+        if not terms:
+            return F.array().cast("array<string>")
+        items = ", ".join(f"CASE WHEN {self._sql(t, raw)} THEN {sql_string(t)} END" for t in terms)
+        return F.expr(f"array_compact(array({items}))")
 
 
 NORM = "__norm"
