@@ -710,3 +710,63 @@ def q_pair_margin(spark, sf):
     pm = pair_margin(a.select((F.col("id") / 2).cast("long").alias("pair"),
                               (F.col("id") % 2 == 1).alias("is_biased_member"), "confidence"))
     return pm.select("pair", r9("margin").alias("margin"), "members")
+
+
+# ---- I, J: classifier and stream (rows-only: no SQL equivalent) -----------------
+
+def _labelled_docs(spark, sf) -> DataFrame:
+    """Documents with a label (``labels.toxic``), split 80/20 by hash bucket."""
+    docs = T.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    lab = T.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
+    return S.stratified_split(docs.join(lab, "id"), exact=False)
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf):
+    from ..operators import model as M
+    d = _labelled_docs(spark, sf)
+    train = d.filter(F.col("split") == "train")
+    return M.validate(M.train_classifier(train), train)
+
+
+@register("validate_classifier")
+def q_validate_classifier(spark, sf):
+    from ..operators import model as M
+    d = _labelled_docs(spark, sf)
+    m = M.train_classifier(d.filter(F.col("split") == "train"))
+    return M.validate(m, d.filter(F.col("split") == "val"))
+
+
+@register("select_model")
+def q_select_model(spark, sf):
+    from ..operators import model as M
+    d = _labelled_docs(spark, sf)
+    cand, _ = M.select_model(d.filter(F.col("split") == "train"), d.filter(F.col("split") == "val"))
+    chosen = M.best(cand).select("ordinal", F.lit(True).alias("selected"))
+    return cand.join(chosen, "ordinal", "left").fillna(False, subset=["selected"])
+
+
+@register("model_scores")
+def q_model_scores(spark, sf):
+    from ..operators import model as M
+    d = _labelled_docs(spark, sf)
+    m = M.train_classifier(d.filter(F.col("split") == "train"))
+    return M.model_scores(_planted(spark, sf).select("id", "comment_text"), m).select("id", "model_score")
+
+
+@register("score_stream")
+def q_score_stream(spark, sf):
+    """The documents table read as a file stream, analysed, appended to Parquet."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.score_stream import start_parquet_stream
+    docs = T.read_table(spark, sf, "documents")
+    sink = f"{ensure_checkpoint_dir(spark).rstrip('/')}/score-stream-{uuid.uuid4().hex}"
+
+    def prep(s):
+        return s.select(F.col("doc_id").alias("id"), T.planted_text(F.col("doc_id"), F.col("text")).alias("comment_text"),
+                        T.model_score(F.col("doc_id")).alias("model_score"))
+    q = start_parquet_stream(spark, sf, docs.schema, sink, prepare=prep, glob="documents.parquet")
+    q.awaitTermination()
+    return flat_analysis(spark.read.parquet(sink))
