@@ -79,9 +79,9 @@ def load_sources(spark: SparkSession, sources: Sequence[tuple[str, str]],
             df.schema  # noqa: B018  (resolves the path now, not at the first action)
         except AnalysisException as e:
             if rank == 0:
-                print(f"Error loading required source {path}: {e.getErrorClass()}")
+                print(f"Error loading required source {path}: {e.getCondition()}")
                 return None
-            print(f"Skipping optional source {path}: {e.getErrorClass()}")
+            print(f"Skipping optional source {path}: {e.getCondition()}")
             continue
         if kind == "annotations":
             df = annotator_means(df)
