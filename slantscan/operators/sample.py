@@ -23,7 +23,7 @@ V2_CAP = 2000
 # The split and the shuffle rank rows of one class with a window; they are
 # meant for the capped training set (at most 2 x cap rows). Larger inputs use
 # the hash-bucket split, which needs no window.
-WINDOW_ROW_LIMIT = 10_000_000
+WINDOW_ROW_LIMIT = 1_000_000
 
 
 def sample_key(seed: int, key: str = "id") -> Column:
@@ -62,6 +62,18 @@ def class_examples(df: DataFrame, n: int = 5, label: str = "label", text: str =
     return out
 
 
+def _check_bounded(df: DataFrame, by: str | None, what: str) -> None:
+    """Refuse window ranking over a group larger than ``WINDOW_ROW_LIMIT``."""
+    if by is None:
+        n = df.limit(WINDOW_ROW_LIMIT + 1).count()
+    else:
+        row = df.groupBy(by).count().agg(F.max("count").alias("m")).first()
+        n = row["m"] or 0
+    if n > WINDOW_ROW_LIMIT:
+        raise ValueError(f"{what} ranks one group of {n} rows in one task; "
+                         f"use it on the capped sample or pass exact=False")
+
+
 def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = "label",
                      seed: int = SEED, key: str = "id", exact: bool = True) -> DataFrame:
     """Adds ``split`` = 'val' for ceil(fraction x class size) rows per class, else 'train'.
@@ -75,6 +87,7 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = "la
     if not exact:
         u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
         return df.withColumn("split", F.when(u < test_fraction, "val").otherwise("train"))
+    _check_bounded(df, label, "stratified_split")
     w = Window.partitionBy(label).orderBy(h, F.col(key))
     n_class = F.count(F.lit(1)).over(Window.partitionBy(label))
     rank = F.row_number().over(w)
@@ -82,8 +95,13 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = "la
         "split", F.when(rank <= F.ceil(n_class * F.lit(test_fraction)), "val").otherwise("train"))
 
 
-def shuffle(df: DataFrame, seed: int = SEED, key: str = "id") -> DataFrame:
-    """E5: seeded order, with its rank as a column (``shuffle_rank``, 1-based)."""
+def shuffle(df: DataFrame, seed: int = SEED, key: str = "id", with_rank: bool = True) -> DataFrame:
+    """E5: seeded order. ``with_rank`` adds the 1-based rank (``shuffle_rank``),
+    which needs one ordered pass and so is only for the capped sample; without
+    it the result is a distributed range-partitioned sort."""
+    if not with_rank:
+        return _ordered(df, seed, key)
+    _check_bounded(df, None, "shuffle")
     w = Window.orderBy(sample_key(seed, key), F.col(key))
     return df.withColumn("shuffle_rank", F.row_number().over(w))
 

@@ -46,8 +46,10 @@ def score_v2(df: DataFrame, text: str = "comment_text", model_score: str | None
              engine: str | None = None, keep_work: bool = False) -> DataFrame:
     """H2: adds ``bias_score`` and ``is_biased``."""
     m = _model(df, model_score)
+    keep = df.columns
     d, h = v2_flags(df, text, engine=engine)
     d, f = _materialise(d, rules_v2.features(h), "__f_")
+    d = d.select(*keep, *f.values())
     d = d.select("*", rules_v2.base_score(f).alias("__base"))
     d = d.select("*", rules_v2.final_score(f, F.col("__base"), m).alias("bias_score"))
     d = d.select("*", report.decide(F.col("bias_score")).alias("is_biased"))
@@ -58,8 +60,10 @@ def score_v1(df: DataFrame, text: str = "comment_text", model_score: str | None
              engine: str | None = None, keep_work: bool = False) -> DataFrame:
     """H1: adds ``bias_score`` and ``is_biased`` (and ``context_tags``)."""
     m = _model(df, model_score)
+    keep = df.columns
     d, h = v1_flags(df, text, engine=engine)
     d, f = _materialise(d, rules_v1.features(h), "__f_")
+    d = d.select(*keep, *f.values())
     d = d.select("*", rules_v1.final_score(f, m).alias("bias_score"))
     d = d.select("*", report.decide(F.col("bias_score")).alias("is_biased"),
                  F.col("__f_tags").alias("context_tags"))
@@ -75,27 +79,30 @@ def analyze(df: DataFrame, text: str = "comment_text", model_score: str | None =
     to avoid that.
     """
     m = _model(df, model_score)
+    keep = df.columns
     if version == "v2":
         d, h = v2_flags(df, text, raw=True, engine=engine)
         d, f = _materialise(d, rules_v2.features(h), "__f_")
         d, st = _materialise(d, rules_v2.structure_scores(h), "__st_")
         d, rel = _materialise(d, rules_v2.relation_scores(h, raw=True), "__rel_")
+        d = d.select(*keep, *f.values(), *st.values(), *rel.values(),
+                     rules_v2.pattern_tags(h, st, rel).alias("__tags"))
         d = d.select("*", rules_v2.base_score(f).alias("__base"))
         d = d.select("*", rules_v2.final_score(f, F.col("__base"), m).alias("__score"))
         conf = F.col("__score")
-        tags = rules_v2.pattern_tags(h, st, rel)
         middle = rules_v2.structure_sentences(st, rel, conf)
     elif version == "v1":
         d, h = v1_flags(df, text, raw=True, engine=engine)
         d, f = _materialise(d, rules_v1.features(h), "__f_")
         _, raw_tags = rules_v1.context_score(h, raw=True)
-        d = d.select("*", rules_v1.final_score(f, m).alias("__score"), raw_tags.alias("__rawtags"))
+        d = d.select("*", raw_tags.alias("__rawtags"))
+        d = d.select(*keep, *f.values(), rules_v1.pattern_tags(h, F.col("__rawtags")).alias("__tags"))
+        d = d.select("*", rules_v1.final_score(f, m).alias("__score"))
         conf = F.col("__score")
-        tags = rules_v1.pattern_tags(h, F.col("__rawtags"))
         middle = None
     else:
         raise ValueError("version must be 'v1' or 'v2'")
-    d = d.select("*", report.decide(conf).alias("__biased"), tags.alias("__tags"))
+    d = d.select("*", report.decide(conf).alias("__biased"))
     biased = F.col("__biased")
     scores = {"race": conf, "gender": F.lit(0.0), "religion": F.lit(0.0), "sexual_orientation": F.lit(0.0)}
     out = d.select(
