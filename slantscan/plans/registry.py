@@ -770,3 +770,19 @@ def q_score_stream(spark, sf):
     q = start_parquet_stream(spark, sf, docs.schema, sink, prepare=prep, glob="documents.parquet")
     q.awaitTermination()
     return flat_analysis(spark.read.parquet(sink))
+
+
+# ---- §3.2: the whole preparation job ------------------------------------------------
+
+@register("prepare_training_set", f"""WITH {_comments_sql()},
+d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY comment_text ORDER BY source_rank, id) AS rn FROM comments) WHERE rn = 1),
+filled AS (SELECT id, comment_text, {', '.join(f'coalesce({c}, {D(0)}) AS {c}' for c in NUMERIC)} FROM d),
+training AS (SELECT id, comment_text, {_label_sql('v2')} AS label FROM filled),
+counts AS (SELECT least(count_if(label = 0), count_if(label = 1), {S.V2_CAP}) AS n FROM training),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key_sql()}, id) AS rn FROM training),
+balanced AS (SELECT id, label FROM ranked, counts WHERE rn <= n)
+SELECT id, label, row_number() OVER (ORDER BY {_key_sql()}, id) AS shuffle_rank FROM balanced""")
+def q_prepare_training_set(spark, sf):
+    from .train import prepare
+    ps = prepare(spark, _comments(spark, sf), version="v2")
+    return ps.training.select("id", "label", "shuffle_rank")

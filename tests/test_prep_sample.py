@@ -145,3 +145,9 @@ def test_union_sources_and_attach(spark):
     sc = spark.createDataFrame([(1, 0.9)], "id long, model_score double")
     got = {r.id: r.model_score for r in P.attach_scores(P.union_sources([a, b]), sc).collect()}
     assert got == {1: 0.9, 2: 0.0}
+
+
+def test_empty_class_guard(spark):
+    with pytest.raises(ValueError):
+        AG.empty_class_guard(_labelled(spark, 5, 0))
+    assert AG.empty_class_guard(_labelled(spark, 5, 2)) == (5, 2)
