@@ -362,7 +362,7 @@ def q_split(spark, sf):
     return S.stratified_split(_balanced(spark, sf)).select("id", "label", "split")
 
 
-@register("shuffle_rank", f"WITH {_balanced_sql()} SELECT id, row_number() OVER (ORDER BY {_key_sql()}, id) AS shuffle_rank FROM balanced")
+@register("shuffle_rank", f"WITH {_balanced_sql()} SELECT id, CAST(row_number() OVER (ORDER BY {_key_sql()}, id) AS INTEGER) AS shuffle_rank FROM balanced")
 def q_shuffle(spark, sf):
     return S.shuffle(_balanced(spark, sf)).select("id", "shuffle_rank")
 
@@ -598,7 +598,7 @@ def q_context_v1(spark, sf):
 
 @register("truncated_tokens", f"WITH {SQL_SRC}, t AS (SELECT id, {O.normalise('comment_text')} AS n FROM src), "
                               "w AS (SELECT id, CASE WHEN n = '' THEN []::VARCHAR[] ELSE string_split(n, ' ')[1:256] END AS toks FROM t) "
-                              "SELECT id, len(toks) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM w")
+                              "SELECT id, CAST(len(toks) AS INTEGER) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM w")
 def q_truncated(spark, sf):
     t = _planted(spark, sf).select("id", truncated_tokens("comment_text").alias("toks"))
     return t.select("id", F.size("toks").alias("n_tokens"), F.array_join("toks", " ").alias("tokens"))
@@ -781,7 +781,7 @@ training AS (SELECT id, comment_text, {_label_sql('v2')} AS label FROM filled),
 counts AS (SELECT least(count_if(label = 0), count_if(label = 1), {S.V2_CAP}) AS n FROM training),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key_sql()}, id) AS rn FROM training),
 balanced AS (SELECT id, label FROM ranked, counts WHERE rn <= n)
-SELECT id, label, row_number() OVER (ORDER BY {_key_sql()}, id) AS shuffle_rank FROM balanced""")
+SELECT id, label, CAST(row_number() OVER (ORDER BY {_key_sql()}, id) AS INTEGER) AS shuffle_rank FROM balanced""")
 def q_prepare_training_set(spark, sf):
     from .train import prepare
     ps = prepare(spark, _comments(spark, sf), version="v2")
