@@ -252,10 +252,12 @@ def q_lexicon_matches(spark, sf):
     return LX.lexicon_matches(_planted(spark, sf), lexicon_table.lexicon_df(spark, ("v2",)))
 
 
-@register("attach_scores", f"WITH {_comments_sql()}, sc AS (SELECT doc_id AS id, {O.model_sql()} AS model_score FROM documents WHERE doc_id % 3 <> 0) "
+@register("attach_scores", f"WITH {_comments_sql()}, sc AS (SELECT doc_id AS id, {O.model_sql()} AS model_score FROM labels) "
                            f"SELECT c.id, {sql_r9('coalesce(sc.model_score, 0.0::DOUBLE)')} AS model_score FROM comments c LEFT JOIN sc ON c.id = sc.id")
 def q_attach_scores(spark, sf):
-    sc = T.scores(spark, sf).filter(F.col("id") % 3 != 0)
+    """Scores exist for the labelled documents only; the others get 0."""
+    lab = T.read_table(spark, sf, "labels")
+    sc = lab.select(F.col("doc_id").alias("id"), T.model_score(F.col("doc_id")).alias("model_score"))
     out = P.attach_scores(_comments(spark, sf).select("id"), sc)
     return out.select("id", r9("model_score").alias("model_score"))
 
@@ -430,24 +432,27 @@ def q_best_candidate(spark, sf):
 
 # ---- F: set operations ----------------------------------------------------------
 
-@register("union_sources", f"WITH {_comments_sql()}, {_annotations_sql()}, "
-                           "m AS (SELECT comment_id, avg(toxic) AS toxic FROM ann GROUP BY comment_id), u AS ("
-                           "SELECT 0 AS source_rank, id, NULL::BIGINT AS comment_id, comment_text, target, NULL::DOUBLE AS toxic FROM comments WHERE id % 3 = 0 "
-                           "UNION ALL SELECT 1, id, NULL, comment_text, NULL, NULL FROM comments WHERE id % 3 = 1 "
-                           "UNION ALL SELECT 2, id, NULL, comment_text, target, NULL FROM comments WHERE id % 3 = 2 "
-                           "UNION ALL SELECT 3, NULL, comment_id, NULL, NULL, toxic FROM m) "
-                           f"SELECT source_rank, CAST(id AS VARCHAR) AS id, CAST(comment_id AS VARCHAR) AS comment_id, comment_text, "
-                           f"{sql_r9('target')} AS target, {sql_r9('toxic')} AS toxic FROM u")
+UNION_OUT = ["id", "conv_id", "turn", "item_id", "comment_id"]
+
+
+@register("union_sources", f"""WITH {_comments_sql()}, {_annotations_sql()},
+m AS (SELECT comment_id, avg(toxic) AS toxic FROM ann GROUP BY comment_id),
+u AS (SELECT 0 AS source_rank, id, comment_text, target FROM comments
+      UNION ALL BY NAME SELECT 1 AS source_rank, conv_id, turn, text AS comment_text FROM conversations
+      UNION ALL BY NAME SELECT 2 AS source_rank, item_id, text AS comment_text FROM benchmark
+      UNION ALL BY NAME SELECT 3 AS source_rank, comment_id, toxic FROM m)
+SELECT source_rank, {', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in UNION_OUT)}, comment_text,
+       {sql_r9('target')} AS target, {sql_r9('toxic')} AS toxic FROM u""")
 def q_union(spark, sf):
-    c = _comments(spark, sf)
-    s0 = c.filter(F.col("id") % 3 == 0).select("id", "comment_text", "target")
-    s1 = c.filter(F.col("id") % 3 == 1).select("id", "comment_text")
-    s2 = c.filter(F.col("id") % 3 == 2).select("id", "comment_text", "target")
+    """four sources with different columns stacked by name (missing = null)."""
+    s0 = _comments(spark, sf).select("id", "comment_text", "target")
+    s1 = T.read_table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("comment_text"))
+    s2 = T.read_table(spark, sf, "benchmark").select("item_id", F.col("text").alias("comment_text"))
     s3 = P.annotator_means(T.annotations(spark, sf), scores=["toxic"])
     u = P.union_sources([s0, s1, s2, s3])
     # ids as text: nullable integers come back as floats in some client libraries
-    return u.select(F.col("source_rank").cast("int").alias("source_rank"), F.col("id").cast("string").alias("id"),
-                    F.col("comment_id").cast("string").alias("comment_id"), "comment_text",
+    return u.select(F.col("source_rank").cast("int").alias("source_rank"),
+                    *[F.col(c).cast("string").alias(c) for c in UNION_OUT], "comment_text",
                     r9("target").alias("target"), r9("toxic").alias("toxic"))
 
 
