@@ -29,9 +29,12 @@ class PreparedSet:
 
 
 def prepare(spark: SparkSession, merged: DataFrame, version: str = "v2", cap: int | None = None,
-            seed: int = S.SEED, debug_rows: int | None = None) -> PreparedSet:
+            seed: int = S.SEED, debug_rows: int | None = None, dedup: bool | None = None) -> PreparedSet:
+    """``dedup`` defaults to the version's behaviour: V2 de-duplicates the
+    stacked sources by text, V1 (one source) does not."""
     ensure_checkpoint_dir(spark)
-    df = P.dedup_keep_first(merged)
+    dedup = (version == "v2") if dedup is None else dedup
+    df = P.dedup_keep_first(merged) if dedup else merged
     if debug_rows:
         df = S.debug_sample(df, debug_rows, seed)
     split = P.target_split(df)

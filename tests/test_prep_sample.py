@@ -151,3 +151,17 @@ def test_empty_class_guard(spark):
     with pytest.raises(ValueError):
         AG.empty_class_guard(_labelled(spark, 5, 0))
     assert AG.empty_class_guard(_labelled(spark, 5, 2)) == (5, 2)
+
+
+def test_prepare_job_v1_v2(spark):
+    from slantscan.plans.train import prepare
+    from slantscan.sources import tables as T
+    comments = T.comments(spark, "/root/testdata/sf0.001")
+    for version, cap in (("v1", 1000), ("v2", 2000)):
+        ps = prepare(spark, comments, version=version)
+        dist = ps.distribution.first()
+        n = min(dist.positives, dist.negatives, cap)
+        t = ps.training.collect()
+        assert len(t) == 2 * n and sorted(r.shuffle_rank for r in t) == list(range(1, 2 * n + 1))
+        w = ps.class_weights.first()
+        assert w.total == dist.total
