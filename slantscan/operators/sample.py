@@ -24,6 +24,9 @@ V2_CAP = 2000
 # meant for the capped training set (at most 2 x cap rows). Larger inputs use
 # the hash-bucket split, which needs no window.
 WINDOW_ROW_LIMIT = 1_000_000
+# Top-n keeps up to n rows per task and merges them in one task: fine for the
+# published caps (1000, 2000, 5 examples), refused beyond this.
+TOPN_LIMIT = 1_000_000
 
 
 def sample_key(seed: int, key: str = "id") -> Column:
@@ -34,6 +37,12 @@ def _ordered(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(sample_key(seed, key), F.col(key))
 
 
+def _top(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    if n > TOPN_LIMIT:
+        raise ValueError(f"sample of {n} rows per group exceeds {TOPN_LIMIT}; use stratified_split(exact=False)")
+    return _ordered(df, seed, key).limit(n)
+
+
 def balanced_sample(df: DataFrame, label: str = "label", cap: int = V2_CAP, seed: int = SEED,
                     key: str = "id", fallback: str = "all") -> DataFrame:
     """E2 (+ F2, E7): exactly ``min(n0, n1, cap)`` rows of each class.
@@ -47,8 +56,8 @@ def balanced_sample(df: DataFrame, label: str = "label", cap: int = V2_CAP, seed
         if fallback == "all":
             return df
         raise ValueError("No examples found for one or both classes")
-    neg = _ordered(df.filter(F.col(label) == 0), seed, key).limit(n)
-    pos = _ordered(df.filter(F.col(label) == 1), seed, key).limit(n)
+    neg = _top(df.filter(F.col(label) == 0), n, seed, key)
+    pos = _top(df.filter(F.col(label) == 1), n, seed, key)
     return neg.unionByName(pos)
 
 
@@ -57,7 +66,7 @@ def class_examples(df: DataFrame, n: int = 5, label: str = "label", text: str =
     """``n`` rows per class among texts longer than ``min_len``."""
     out = None
     for k in (1, 0):
-        part = _ordered(eligible(df, k, label, text, min_len), seed, key).limit(n)
+        part = _top(eligible(df, k, label, text, min_len), n, seed, key)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -108,7 +117,7 @@ def shuffle(df: DataFrame, seed: int = SEED, key: str = "id", with_rank: bool =
 
 def debug_sample(df: DataFrame, n: int = 1000, seed: int = SEED, key: str = "id") -> DataFrame:
     """``min(n, rows)`` seeded rows (top-n, no full sort)."""
-    return _ordered(df, seed, key).limit(n)
+    return _top(df, n, seed, key)
 
 
 def best_candidate(metrics: DataFrame) -> DataFrame:
