@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from .rules_v2 import _when, seq_sum
-from .terms import LOWER, Hits
+from .terms import LOWER, Hits, sql_string
 from .text import tokens
 
 WORDS = "__v1_words"
@@ -38,38 +38,52 @@ def pos_name(i: int) -> str:
     return f"__v1_pos{i}"
 
 
+def count_name(i: int) -> str:
+    return f"__v1_n{i}"
+
+
+def tag_name(i: int) -> str:
+    return f"__v1_tag{i}"
+
+
 def add_token_windows(df: DataFrame, lowered: str = LOWER) -> DataFrame:
     """Tokens of the normalised lower-cased text and, per pair, the window
     around the first place of its base word (empty when absent)."""
     df = df.select("*", tokens(F.col(lowered)).alias(WORDS))
-    w = F.col(WORDS)
-    pos = [F.array_position(w, F.lit(base)).cast("int").alias(pos_name(i))
+    pos = [F.expr(f"CAST(array_position(`{WORDS}`, {sql_string(base)}) AS INT)").alias(pos_name(i))
            for i, (base, _) in enumerate(L.V1_CONTEXTUAL_PAIRS)]
     df = df.select("*", *pos)
+    k = L.V1_CONTEXT_WINDOW
     wins = []
     for i, _ in enumerate(L.V1_CONTEXTUAL_PAIRS):
-        p = F.col(pos_name(i))
-        start0 = F.greatest(F.lit(0), p - (L.V1_CONTEXT_WINDOW + 1))
-        end0 = F.least(F.size(w), p + L.V1_CONTEXT_WINDOW)
-        wins.append(
-            F.when(p > 0, F.slice(w, start0 + 1, end0 - start0))
-            .otherwise(F.array().cast("array<string>")).alias(window_name(i))
-        )
-    return df.select("*", *wins)
+        p = f"`{pos_name(i)}`"
+        start0 = f"greatest(0, {p} - {k + 1})"
+        end0 = f"least(size(`{WORDS}`), {p} + {k})"
+        wins.append(F.expr(f"CASE WHEN {p} > 0 THEN slice(`{WORDS}`, {start0} + 1, {end0} - {start0}) "
+                           f"ELSE CAST(array() AS ARRAY<STRING>) END").alias(window_name(i)))
+    df = df.select("*", *wins)
+    pairs = [_pair_sql(i, base, ctx) for i, (base, ctx) in enumerate(L.V1_CONTEXTUAL_PAIRS)]
+    df = df.select("*", *[F.expr(n).alias(count_name(i)) for i, (n, _) in enumerate(pairs)])
+    return df.select("*", *[F.expr(t).alias(tag_name(i)) for i, (_, t) in enumerate(pairs)])
+
+
+def _pair_sql(i: int, base: str, ctx: list[str]) -> tuple[str, str]:
+    """(number of context words in the window, tag or null) for pair ``i``;
+    the tag reads the count column, so each window is scanned once."""
+    win = f"`{window_name(i)}`"
+    present = [f"array_contains({win}, {sql_string(c)})" for c in ctx]
+    n = "(" + " + ".join(f"CAST({p} AS INT)" for p in present) + ")"
+    first = "CASE " + " ".join(f"WHEN {p} THEN {sql_string(c)}" for p, c in zip(present, ctx)) + " END"
+    return n, f"CASE WHEN `{count_name(i)}` > 0 THEN concat({sql_string(base + '-')}, {first}) END"
 
 
 def token_context() -> tuple[Column, list[Column]]:
     """(score contribution, tag per pair or null), pairs in list order."""
     parts, tags = [], []
-    for i, (base, ctx) in enumerate(L.V1_CONTEXTUAL_PAIRS):
-        win = F.col(window_name(i))
-        present = [F.array_contains(win, F.lit(c)) for c in ctx]
-        n = F.lit(0)
-        for p in present:
-            n = n + p.cast("int")
-        first = F.coalesce(*[F.when(p, F.lit(c)) for p, c in zip(present, ctx)])
-        parts.append(_when(n > 0, F.lit(L.V1_CONTEXT_WEIGHT) * n))
-        tags.append(F.when(n > 0, F.concat(F.lit(base + "-"), first)))
+    for i, _ in enumerate(L.V1_CONTEXTUAL_PAIRS):
+        n = f"`{count_name(i)}`"
+        parts.append(F.expr(f"CASE WHEN {n} > 0 THEN {L.V1_CONTEXT_WEIGHT!r}D * {n} ELSE 0.0D END"))
+        tags.append(F.col(tag_name(i)))
     return seq_sum(parts), tags
 
 

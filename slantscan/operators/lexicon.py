@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import MAX_TERMS, TermIndex, drop_work_columns, with_term_flags
+from ..functions.terms import MAX_TERMS, TermIndex, drop_work_columns, sql_string, with_term_flags
 
 
 def collect_lexicon(lexicon: DataFrame) -> list[tuple[str, str]]:
@@ -29,11 +29,10 @@ def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text
     entries = collect_lexicon(lexicon)
     idx = TermIndex([t for _, t in entries], engine=engine)
     d = with_term_flags(df.select(key, text), text, idx)
-    h = idx.hits()
-    found = F.array_compact(F.array(*[
-        F.when(h.hit(t), F.struct(F.lit(n).alias("lexicon"), F.lit(t).alias("term")))
-        for n, t in entries
-    ]))
+    items = ", ".join(
+        f"CASE WHEN `{idx.names[t]}` THEN named_struct('lexicon', {sql_string(n)}, 'term', {sql_string(t)}) END"
+        for n, t in entries)
+    found = F.expr(f"array_compact(array({items}))")
     out = d.select(F.col(key), F.explode(found).alias("__m"))
     return drop_work_columns(out.select(key, "__m.lexicon", "__m.term"))
 
