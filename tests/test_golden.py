@@ -94,3 +94,16 @@ def test_struct_output(spark):
     a = analyze(texts_df(spark, [JOBS], 0.0), as_struct=True)
     assert a.schema["analysis"].dataType.fieldNames() == ["is_biased", "confidence", "category_scores",
                                                          "explanation", "alternative"]
+
+
+def test_scores_in_unit_interval_and_versions_agree_with_analyze(spark):
+    from pyspark.sql import functions as F
+
+    from slantscan.sources.tables import planted
+    p = planted(spark, "/root/testdata/sf0.001")
+    for fn in (score_v1, score_v2):
+        s = fn(p).agg(F.min("bias_score").alias("lo"), F.max("bias_score").alias("hi")).first()
+        assert 0.0 <= s.lo <= s.hi <= 1.0
+    a = analyze(p).select("id", F.col("confidence").alias("bias_score"), "is_biased")
+    b = score_v2(p).select("id", "bias_score", "is_biased")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
