@@ -107,3 +107,30 @@ def test_scores_in_unit_interval_and_versions_agree_with_analyze(spark):
     a = analyze(p).select("id", F.col("confidence").alias("bias_score"), "is_biased")
     b = score_v2(p).select("id", "bias_score", "is_biased")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _v2_counts(spark, text):
+    from slantscan.functions import rules_v2
+    from slantscan.plans.analyze import v2_flags
+    d, h = v2_flags(texts_df(spark, [text]), "comment_text")
+    return d.select(*[c.alias(k) for k, c in rules_v2.lexicon_counts(h).items()]).first()
+
+
+def test_q2_q3_substrings_inside_words_and_nested_terms(spark):
+    c = _v2_counts(spark, "Suburban mathematics embrace.")
+    assert c.explicit_n == 1 and c.coded_n == 1  # 'race' in embrace, 'urban' in suburban
+    c = _v2_counts(spark, "Demographics: taking our jobs.")
+    assert c.explicit_n == 2 and c.coded_n == 2  # demographic+demographics, our jobs+taking our jobs
+
+
+def test_q9_q12_v1_token_context(spark):
+    from pyspark.sql import functions as F
+    # 'way of life' never equals a token; 'property' is a base twice -> the same tag twice
+    r = score_v1(texts_df(spark, ["Property values matter in a traditional way of life."], 0.0)).first()
+    assert r.context_tags == ["property-values", "traditional-values", "property-values",
+                              "property/economic dog whistles"]
+    ctx = (0.15 * 1 + 0.15 * 1 + 0.15 * 1 + 0.15 * 1) * (1 + 0.1 * 3)
+    coded = 2 * 0.30  # property values, way of life (coded phrases are substrings)
+    pattern = min(coded + ctx, 1.0)
+    final = min((0.35 * 0.0 + 0.65 * pattern) * (1 + 0.15 * 4), 1.0)
+    assert r.bias_score == pytest.approx(final, abs=1e-12)
