@@ -134,3 +134,14 @@ def test_q9_q12_v1_token_context(spark):
     pattern = min(coded + ctx, 1.0)
     final = min((0.35 * 0.0 + 0.65 * pattern) * (1 + 0.15 * 4), 1.0)
     assert r.bias_score == pytest.approx(final, abs=1e-12)
+
+
+def test_two_decimals_match_python_formatting(spark):
+    import random
+
+    from slantscan.functions.report import two_decimals
+    rnd = random.Random(3)
+    vals = [i / 1000 for i in range(1001)] + [k / 8 for k in range(9)] + [rnd.random() for _ in range(2000)]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    for r in df.select("x", two_decimals(F.col("x")).alias("s")).collect():
+        assert r.s == f"{r.x:.2f}"
