@@ -57,3 +57,69 @@ def flags_udf(terms: Sequence[str], names: Sequence[str]):
 
 def flags_struct(lowered: Column, terms: Sequence[str], names: Sequence[str]) -> Column:
     return flags_udf(terms, names)(lowered)
+
+
+def text_flags_udf(terms: Sequence[str], names: Sequence[str], raw_terms: Sequence[str] = (),
+                   raw_names: Sequence[str] = (), same_name: str = "__rawsame"):
+    """pandas UDF: raw text -> struct of term flags on the normalised
+    lower-cased text, plus (when ``raw_terms`` is given) whether the text was
+    already normalised and flags of ``raw_terms`` on the raw lower-cased text.
+
+    Normalisation is Python's own ``' '.join(text.split())`` followed by
+    ``lower()`` (the published semantics); the JVM engines emulate it with
+    ``functions.text.WS_CLASS``. Missing text is the empty string.
+    """
+    terms, names = tuple(terms), tuple(names)
+    raw_terms, raw_names = tuple(raw_terms), tuple(raw_names)
+    fields = [T.StructField(n, T.BooleanType(), False) for n in names]
+    if raw_terms:
+        fields += [T.StructField(same_name, T.BooleanType(), False)]
+        fields += [T.StructField(n, T.BooleanType(), False) for n in raw_names]
+    schema = T.StructType(fields)
+    columns = list(names) + ([same_name] + list(raw_names) if raw_terms else [])
+
+    @F.pandas_udf(schema)
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+        import numpy
+        import pandas
+
+        def build(words):
+            a = ahocorasick.Automaton()
+            for i, t in enumerate(words):
+                a.add_word(t, i)
+            a.make_automaton()
+            return a
+
+        automaton = build(terms)
+        raw_automaton = build(raw_terms) if raw_terms else None
+        # position of each raw term among ``terms`` (raw terms are a subset)
+        where = numpy.array([terms.index(t) for t in raw_terms], dtype=int)
+        width, rwidth = len(terms), len(raw_terms)
+        for texts in batches:
+            n = len(texts)
+            hit = numpy.zeros((n, width), dtype=bool)
+            same = numpy.ones(n, dtype=bool)
+            rhit = numpy.zeros((n, rwidth), dtype=bool)
+            for row, text in enumerate(texts):
+                if not isinstance(text, str) or not text:
+                    continue
+                norm = " ".join(text.split())
+                low = norm.lower()
+                for _, i in automaton.iter(low):
+                    hit[row, i] = True
+                if raw_automaton is not None:
+                    if text == norm:
+                        rhit[row] = hit[row, where]
+                    else:
+                        same[row] = False
+                        for _, j in raw_automaton.iter(text.lower()):
+                            rhit[row, j] = True
+            out = pandas.DataFrame(hit, columns=list(names))
+            if raw_automaton is not None:
+                out[same_name] = same
+                for j, rn in enumerate(raw_names):
+                    out[rn] = rhit[:, j]
+            yield out[columns]
+
+    return match

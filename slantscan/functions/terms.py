@@ -103,6 +103,9 @@ class TermIndex:
             raise ValueError("empty term")
         self.prefix = prefix
         self.names = {t: f"{prefix}{i}" for i, t in enumerate(self.terms)}
+        # multi-word terms can differ between raw and normalised text
+        self.raw_terms = [t for t in self.terms if " " in t]
+        self.raw_names = {t: f"{prefix}r{i}" for i, t in enumerate(self.raw_terms)}
 
     def __len__(self) -> int:
         return len(self.terms)
@@ -143,8 +146,21 @@ class TermIndex:
         ]
         return found.select("*", *flags).drop(caps)
 
-    def hits(self, raw_lower: str | None = None, raw_same: str | None = None) -> "Hits":
-        return Hits(self, raw_lower, raw_same)
+    def hits(self, raw_lower: str | None = None, raw_same: str | None = None,
+             raw_flags: bool = False) -> "Hits":
+        return Hits(self, raw_lower, raw_same, self.raw_names if raw_flags else None)
+
+    def add_text_flags(self, df: DataFrame, text: str, raw: bool = False) -> DataFrame:
+        """``automaton`` engine straight from the raw text column: the UDF
+        normalises and lower-cases each text itself (and, with ``raw``, also
+        reports ``__rawsame`` and raw-text flags of the multi-word terms)."""
+        from .automaton import text_flags_udf
+        names = [self.names[t] for t in self.terms]
+        raw_terms = self.raw_terms if raw else []
+        udf = text_flags_udf(self.terms, names, raw_terms, [self.raw_names[t] for t in raw_terms], RAW_SAME)
+        caps = f"{self.prefix}caps"
+        found = df.select("*", udf(F.col(text)).alias(caps))
+        return found.select("*", f"{caps}.*").drop(caps)
 
 
 def sql_string(s: str) -> str:
@@ -178,14 +194,18 @@ class Hits:
     expression each (one call into the JVM instead of one per term).
     """
 
-    def __init__(self, index: TermIndex, raw_lower: str | None, raw_same: str | None):
+    def __init__(self, index: TermIndex, raw_lower: str | None, raw_same: str | None,
+                 raw_cols: dict[str, str] | None = None):
         self.index = index
         self.raw_lower = raw_lower
         self.raw_same = raw_same
+        self.raw_cols = raw_cols
         self._cols: dict[str, Column] = {}
 
     def _sql(self, term: str, raw: bool) -> str:
         name = f"`{self.index.names[term]}`"
+        if raw and self.raw_cols is not None and " " in term:
+            return f"`{self.raw_cols[term]}`"
         if not raw or self.raw_lower is None or " " not in term:
             return name
         return f"({name} AND (`{self.raw_same}` OR contains(`{self.raw_lower}`, {sql_string(term)})))"
@@ -230,14 +250,21 @@ RAW_LOWER = "__lraw"
 RAW_SAME = "__rawsame"
 
 
-def with_term_flags(df: DataFrame, text: str, index: TermIndex, raw: bool = False) -> DataFrame:
-    """Add the normalised lower-cased text and one flag per indexed term.
+def with_term_flags(df: DataFrame, text: str, index: TermIndex, raw: bool = False,
+                    text_columns: bool = True) -> DataFrame:
+    """Add one flag per indexed term (and, with ``text_columns``, the
+    normalised lower-cased text ``__lt`` that token features read).
 
-    Two projections: the first binds the lower-cased text, the second reads
-    it once per term. Catalyst keeps them apart (the text is referenced many
-    times and is not cheap), and whole-stage codegen fuses them, so the text
-    is lower-cased once per row.
+    JVM engines: two projections, the first binds the lower-cased text, the
+    second reads it once per term. Catalyst keeps them apart (the text is
+    referenced many times and is not cheap), and whole-stage codegen fuses
+    them, so the text is lower-cased once per row. With the ``automaton``
+    engine and no need for the text columns, the UDF reads the raw text and
+    normalises it itself (Python's split/join is several times cheaper than
+    a Unicode whitespace regex on the JVM).
     """
+    if index.engine == "automaton" and not text_columns and index.terms:
+        return index.add_text_flags(df, text, raw)
     base = df.select(
         "*",
         normalise_text(F.coalesce(F.col(text), F.lit(""))).alias(NORM),

@@ -31,9 +31,13 @@ def _materialise(df: DataFrame, cols: dict[str, Column], prefix: str) -> tuple[D
 
 
 def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
+    """V2 reads no token features, so the text columns are not needed."""
     idx = TermIndex(rules_v2.terms(), engine=engine)
-    out = with_term_flags(df, text, idx, raw=raw)
-    return out, (idx.hits("__lraw", "__rawsame") if raw else idx.hits())
+    out = with_term_flags(df, text, idx, raw=raw, text_columns=False)
+    from_udf = idx.engine == "automaton"
+    if not raw:
+        return out, idx.hits()
+    return out, (idx.hits(raw_flags=True) if from_udf else idx.hits("__lraw", "__rawsame"))
 
 
 def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:

@@ -37,11 +37,12 @@ TEXTS = ["embrace the demographics", "they always said they all won't work", "ta
          "i heard it", "abc", "self-sufficient racist traced", "c++ and x.y and xzy", "", "nothing"]
 
 
-@pytest.mark.parametrize("engine", ["regex", "contains", "automaton"])
-def test_engines_equal_substring_semantics(spark, engine):
+@pytest.mark.parametrize("engine,text_columns", [("regex", True), ("contains", True), ("automaton", True),
+                                                 ("automaton", False)])
+def test_engines_equal_substring_semantics(spark, engine, text_columns):
     idx = TermIndex(TERMS, engine=engine)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, t string")
-    out = with_term_flags(df, "t", idx).collect()
+    out = with_term_flags(df, "t", idx, text_columns=text_columns).collect()
     for r in out:
         low = " ".join(TEXTS[r.id].split()).lower()
         for term in TERMS:
@@ -66,10 +67,27 @@ def test_engines_property(spark, terms, texts):
         return
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     results = {}
-    for engine in ("regex", "contains", "automaton"):
-        idx = TermIndex(terms, engine=engine)
-        results[engine] = sorted(tuple(r[idx.names[t]] for t in terms) for r in with_term_flags(df, "t", idx).collect())
-    assert results["regex"] == results["contains"] == results["automaton"]
+    for engine, cols in (("regex", True), ("contains", True), ("automaton", True), ("automaton-text", False)):
+        idx = TermIndex(terms, engine=engine.split("-")[0])
+        rows = with_term_flags(df, "t", idx, text_columns=cols).collect()
+        results[engine] = sorted(tuple(r[idx.names[t]] for t in terms) for r in rows)
+    assert results["regex"] == results["contains"] == results["automaton"] == results["automaton-text"]
+
+
+def test_analyze_same_for_every_engine(spark):
+    from slantscan.plans.analyze import analyze, score_v1
+    from slantscan.sources.tables import PLANTED_SENTENCES, planted
+    extra = ["The inner\n    city and our\tjobs", "These\u00a0people   on welfare", "  \u3000 ", None,
+             "Research shows\nimproved outcomes; they lack\r\nvalues"] + PLANTED_SENTENCES
+    df = planted(spark, "/root/testdata/sf0.001").unionByName(
+        spark.createDataFrame([(10_000 + i, t, 0.5) for i, t in enumerate(extra)],
+                              "id long, comment_text string, model_score double"))
+    outs = [analyze(df, engine=e).select("id", "confidence", "explanation", "pattern_tags") for e in
+            ("automaton", "regex", "contains")]
+    for o in outs[1:]:
+        assert outs[0].exceptAll(o).count() == 0 and o.exceptAll(outs[0]).count() == 0
+    v1 = [score_v1(df, engine=e).select("id", "bias_score", "context_tags") for e in ("automaton", "contains")]
+    assert v1[0].exceptAll(v1[1]).count() == 0
 
 
 def test_adding_neutral_word_changes_no_count(spark):
