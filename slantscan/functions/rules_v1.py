@@ -14,19 +14,23 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from .rules_v2 import _when, seq_sum
 from .terms import LOWER, Hits, sql_string
-from .text import tokens
+from .text import normalise_text, tokens
 
 WORDS = "__v1_words"
 
 
+BASE_WORDS = list(dict.fromkeys(base for base, _ in L.V1_CONTEXTUAL_PAIRS))
+
+
 def terms() -> list[str]:
-    """Every term V1 reads as a substring (context pairs work on tokens)."""
+    """Every term V1 reads as a substring, plus the base words of the context
+    pairs (a base word can only be a token of a text that contains it)."""
     return (
         L.EXPLICIT_RACIAL_TERMS + L.V1_CODED_RACIAL_TERMS + L.V1_RACIAL_STEREOTYPES
         + L.V1_PSEUDO_SCIENTIFIC_TERMS + L.V1_CULTURAL_SUPREMACY_TERMS
         + L.V1_PROPERTY_ECONOMIC_TERMS + L.V1_HISTORICAL_BIAS_TERMS
         + L.V1_ANALYTICAL_BIAS_TERMS + L.V1_WAR_TERMS + L.V1_ECONOMIC_TERMS
-        + L.V1_STEREOTYPE_TERMS
+        + L.V1_STEREOTYPE_TERMS + BASE_WORDS
     )
 
 
@@ -46,9 +50,20 @@ def tag_name(i: int) -> str:
     return f"__v1_tag{i}"
 
 
-def add_token_windows(df: DataFrame, lowered: str = LOWER) -> DataFrame:
+def add_token_windows(df: DataFrame, lowered: str = LOWER, text: str | None = None,
+                      gate: Column | None = None) -> DataFrame:
     """Tokens of the normalised lower-cased text and, per pair, the window
-    around the first place of its base word (empty when absent)."""
+    around the first place of its base word (empty when absent).
+
+    Without the ``lowered`` column, tokens are made from ``text``; with a
+    ``gate`` (some base word occurs as a substring), only gated rows are
+    tokenised, the others cannot hold a base word as a token.
+    """
+    if lowered not in df.columns:
+        low = F.lower(normalise_text(F.coalesce(F.col(text), F.lit(""))))
+        if gate is not None:
+            low = F.when(gate, low).otherwise(F.lit(""))
+        df = df.select("*", low.alias(lowered))  # bound once: tokens() reads it twice
     df = df.select("*", tokens(F.col(lowered)).alias(WORDS))
     pos = [F.expr(f"CAST(array_position(`{WORDS}`, {sql_string(base)}) AS INT)").alias(pos_name(i))
            for i, (base, _) in enumerate(L.V1_CONTEXTUAL_PAIRS)]

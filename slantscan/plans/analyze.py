@@ -41,8 +41,16 @@ def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = N
 
 
 def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
+    """With the automaton engine the UDF reads the raw text and tokens are
+    made only for rows containing a context base word; JVM engines tokenise
+    the normalised text they already hold."""
     idx = TermIndex(rules_v1.terms(), engine=engine)
-    out = rules_v1.add_token_windows(with_term_flags(df, text, idx, raw=raw))
+    from_udf = idx.engine == "automaton"
+    out = with_term_flags(df, text, idx, raw=raw, text_columns=not from_udf)
+    if from_udf:
+        h = idx.hits(raw_flags=True) if raw else idx.hits()
+        return rules_v1.add_token_windows(out, text=text, gate=h.any(rules_v1.BASE_WORDS)), h
+    out = rules_v1.add_token_windows(out)
     return out, (idx.hits("__lraw", "__rawsame") if raw else idx.hits())
 
 
