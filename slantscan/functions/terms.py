@@ -4,9 +4,11 @@ The detector matches every term as a *substring* of the lower-cased text and
 counts distinct terms present, not occurrences. The same term occurs in many
 lists (``welfare`` is coded language, an economic term and a pair member), so
 a ``TermIndex`` gives every distinct term one boolean column, computed once
-per row from text that is lower-cased once. Features are then plain boolean
-and integer arithmetic over those columns: one projection, no Python, no
-higher-order lambda that would re-evaluate ``lower(text)`` per term.
+per row. Features are then plain boolean and integer arithmetic over those
+columns, JVM-side, with no higher-order lambda that would re-evaluate
+``lower(text)`` per term. How the flags are found is the engine's business:
+one Aho-Corasick pass per text (``automaton``, default), one regex pass
+(``regex``) or one ``contains`` per term (``contains``).
 """
 
 from __future__ import annotations
