@@ -9,8 +9,6 @@ no class gathered in one task).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +126,3 @@ def best_candidate(metrics: DataFrame) -> DataFrame:
             .filter(F.col("b").isNotNull())
             .select(*[F.col("b")[c].alias(c) for c in cols]))
 
-
-def split_counts(n_class: int, test_fraction: float = 0.2) -> int:
-    return math.ceil(n_class * test_fraction)
