@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import MAX_TERMS, TermIndex, drop_work_columns, sql_string, with_term_flags
+from ..functions.terms import (MAX_TERMS, TermIndex, drop_work_columns, session_engine, sql_string,
+                               with_term_flags)
 
 
 def collect_lexicon(lexicon: DataFrame) -> list[tuple[str, str]]:
@@ -27,7 +28,7 @@ def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text
                     key: str = "id", engine: str | None = None) -> DataFrame:
     """One row (key, lexicon, term) per lexicon term contained in a text."""
     entries = collect_lexicon(lexicon)
-    idx = TermIndex([t for _, t in entries], engine=engine)
+    idx = TermIndex([t for _, t in entries], engine=session_engine(df, engine))
     d = with_term_flags(df.select(key, text), text, idx, text_columns=False)
     items = ", ".join(
         f"CASE WHEN `{idx.names[t]}` THEN named_struct('lexicon', {sql_string(n)}, 'term', {sql_string(t)}) END"
@@ -41,7 +42,7 @@ def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
                 key: str = "id", engine: str | None = None) -> DataFrame:
     """G2 per lexicon name: one count column per lexicon (``n_<name>``)."""
     entries = collect_lexicon(lexicon)
-    idx = TermIndex([t for _, t in entries], engine=engine)
+    idx = TermIndex([t for _, t in entries], engine=session_engine(df, engine))
     d = with_term_flags(df.select(key, text), text, idx, text_columns=False)
     h = idx.hits()
     names = list(dict.fromkeys(n for n, _ in entries))

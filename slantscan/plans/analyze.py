@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import report, rules_v1, rules_v2
-from ..functions.terms import Hits, TermIndex, drop_work_columns, with_term_flags
+from ..functions.terms import Hits, TermIndex, drop_work_columns, session_engine, with_term_flags
 
 MODEL_SCORE = "model_score"
 
@@ -32,7 +32,7 @@ def _materialise(df: DataFrame, cols: dict[str, Column], prefix: str) -> tuple[D
 
 def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
     """V2 reads no token features, so the text columns are not needed."""
-    idx = TermIndex(rules_v2.terms(), engine=engine)
+    idx = TermIndex(rules_v2.terms(), engine=session_engine(df, engine))
     out = with_term_flags(df, text, idx, raw=raw, text_columns=False)
     from_udf = idx.engine == "automaton"
     if not raw:
@@ -44,7 +44,7 @@ def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = N
     """With the automaton engine the UDF reads the raw text and tokens are
     made only for rows containing a context base word; JVM engines tokenise
     the normalised text they already hold."""
-    idx = TermIndex(rules_v1.terms(), engine=engine)
+    idx = TermIndex(rules_v1.terms(), engine=session_engine(df, engine))
     from_udf = idx.engine == "automaton"
     out = with_term_flags(df, text, idx, raw=raw, text_columns=not from_udf)
     if from_udf:

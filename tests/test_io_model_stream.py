@@ -74,3 +74,34 @@ def test_stream_equals_batch(spark):
     batch = R.flat_analysis(analyze(prep(docs)))
     assert stream.count() == batch.count() == docs.count()
     assert stream.exceptAll(batch).count() == 0
+
+
+def test_session_engine_setting(spark):
+    from slantscan.plans.analyze import score_v2
+    from slantscan.sources.tables import planted
+    p = planted(spark, SF_SMALL)
+    base = score_v2(p).select("id", "bias_score")
+    spark.conf.set("spark.slantscan.termEngine", "regex")
+    try:
+        plan = score_v2(p)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" in plan and "ArrowEvalPython" not in plan
+        assert score_v2(p).select("id", "bias_score").exceptAll(base).count() == 0
+    finally:
+        spark.conf.unset("spark.slantscan.termEngine")
+
+
+def test_stream_in_micro_batches(spark):
+    src = tempfile.mkdtemp(prefix="slantscan-src-")
+    docs = T.read_table(spark, SF_SMALL, "documents")
+    for k in range(3):  # three files arrive
+        docs.filter(F.col("doc_id") % 3 == k).coalesce(1).write.mode("append").parquet(src)
+    sink = tempfile.mkdtemp(prefix="slantscan-sink-")
+
+    def prep(s):
+        return s.select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    q = start_parquet_stream(spark, src, docs.schema, sink, prepare=prep, max_files_per_trigger=1)
+    q.awaitTermination(300)
+    assert len(q.recentProgress) >= 3
+    stream = spark.read.parquet(sink).select("id", "confidence", "explanation")
+    batch = analyze(prep(docs)).select("id", "confidence", "explanation")
+    assert stream.count() == docs.count() and stream.exceptAll(batch).count() == 0
