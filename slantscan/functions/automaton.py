@@ -115,11 +115,8 @@ def text_flags_udf(terms: Sequence[str], names: Sequence[str], raw_terms: Sequen
                         same[row] = False
                         for _, j in raw_automaton.iter(text.lower()):
                             rhit[row, j] = True
-            out = pandas.DataFrame(hit, columns=list(names))
             if raw_automaton is not None:
-                out[same_name] = same
-                for j, rn in enumerate(raw_names):
-                    out[rn] = rhit[:, j]
-            yield out[columns]
+                hit = numpy.hstack([hit, same[:, None], rhit])
+            yield pandas.DataFrame(hit, columns=columns)
 
     return match
