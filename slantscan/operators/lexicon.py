@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..functions.terms import (MAX_TERMS, TermIndex, drop_work_columns, session_engine, sql_string,
                                with_term_flags)
 
@@ -29,7 +30,7 @@ def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text
     """One row (key, lexicon, term) per lexicon term contained in a text."""
     entries = collect_lexicon(lexicon)
     idx = TermIndex([t for _, t in entries], engine=session_engine(df, engine))
-    d = with_term_flags(df.select(key, text), text, idx, text_columns=False)
+    d = with_term_flags(spread(df.select(key, text)), text, idx, text_columns=False)
     items = ", ".join(
         f"CASE WHEN `{idx.names[t]}` THEN named_struct('lexicon', {sql_string(n)}, 'term', {sql_string(t)}) END"
         for n, t in entries)
@@ -43,7 +44,7 @@ def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
     """G2 per lexicon name: one count column per lexicon (``n_<name>``)."""
     entries = collect_lexicon(lexicon)
     idx = TermIndex([t for _, t in entries], engine=session_engine(df, engine))
-    d = with_term_flags(df.select(key, text), text, idx, text_columns=False)
+    d = with_term_flags(spread(df.select(key, text)), text, idx, text_columns=False)
     h = idx.hits()
     names = list(dict.fromkeys(n for n, _ in entries))
     cols = [h.count([t for n2, t in entries if n2 == n]).alias(f"n_{n}") for n in names]

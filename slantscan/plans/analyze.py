@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import report, rules_v1, rules_v2
 from ..functions.terms import Hits, TermIndex, drop_work_columns, session_engine, with_term_flags
+from ..session import spread
 
 MODEL_SCORE = "model_score"
 
@@ -33,7 +34,7 @@ def _materialise(df: DataFrame, cols: dict[str, Column], prefix: str) -> tuple[D
 def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
     """V2 reads no token features, so the text columns are not needed."""
     idx = TermIndex(rules_v2.terms(), engine=session_engine(df, engine))
-    out = with_term_flags(df, text, idx, raw=raw, text_columns=False)
+    out = with_term_flags(spread(df), text, idx, raw=raw, text_columns=False)
     from_udf = idx.engine == "automaton"
     if not raw:
         return out, idx.hits()
@@ -46,7 +47,7 @@ def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = N
     the normalised text they already hold."""
     idx = TermIndex(rules_v1.terms(), engine=session_engine(df, engine))
     from_udf = idx.engine == "automaton"
-    out = with_term_flags(df, text, idx, raw=raw, text_columns=not from_udf)
+    out = with_term_flags(spread(df), text, idx, raw=raw, text_columns=not from_udf)
     if from_udf:
         h = idx.hits(raw_flags=True) if raw else idx.hits()
         return rules_v1.add_token_windows(out, text=text, gate=h.any(rules_v1.BASE_WORDS)), h

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -45,3 +45,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001  (Spark Connect: no SparkContext; checkpoint() reads the conf)
         pass
     return d
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-bound stage at least one partition per core.
+
+    Scoring costs far more per byte than a shuffle of its input, but a scan
+    yields one task per Parquet row group: a small table written as a single
+    row group is scored by one task. When the scan plans fewer partitions
+    than the session's default parallelism, rows are spread round-robin
+    (deterministic on retry: Spark sorts before a round-robin repartition).
+    Large inputs have many more splits than cores and pass through untouched.
+    """
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (Spark Connect: let the cluster decide)
+        return df
+    return df.repartition(cores) if n < cores else df
