@@ -52,14 +52,15 @@ def spread(df: DataFrame) -> DataFrame:
 
     Scoring costs far more per byte than a shuffle of its input, but a scan
     yields one task per Parquet row group: a small table written as a single
-    row group is scored by one task. When the scan plans fewer partitions
-    than the session's default parallelism, rows are spread round-robin
+    row group is scored by one task. When the scan plans at most half as
+    many partitions as the session has cores, rows are spread round-robin
     (deterministic on retry: Spark sorts before a round-robin repartition).
-    Large inputs have many more splits than cores and pass through untouched.
+    Inputs with more splits than that pass through untouched: a full shuffle
+    of the text would buy less than 2x parallelism.
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001  (Spark Connect: let the cluster decide)
         return df
-    return df.repartition(cores) if n < cores else df
+    return df.repartition(cores) if 2 * n <= cores else df
