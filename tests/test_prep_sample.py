@@ -165,3 +165,13 @@ def test_prepare_job_v1_v2(spark):
         assert len(t) == 2 * n and sorted(r.shuffle_rank for r in t) == list(range(1, 2 * n + 1))
         w = ps.class_weights.first()
         assert w.total == dist.total
+
+
+def test_spread_only_under_partitioned_inputs(spark):
+    from slantscan.session import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    many = spark.range(100).repartition(cores * 2)
+    assert spread(one).rdd.getNumPartitions() == cores
+    assert spread(many).rdd.getNumPartitions() == cores * 2
+    assert sorted(r.id for r in spread(one).collect()) == list(range(100))
