@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import lexicons as L
 from ..functions import report, rules_v1, rules_v2
 from ..functions.terms import Hits, TermIndex, drop_work_columns, session_engine, with_term_flags
 from ..session import spread
