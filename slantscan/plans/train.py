@@ -44,3 +44,44 @@ def prepare(spark: SparkSession, merged: DataFrame, version: str = "v2", cap: in
     cap = cap if cap is not None else (S.V1_CAP if version == "v1" else S.V2_CAP)
     sample = S.shuffle(S.balanced_sample(labelled, cap=cap, seed=seed), seed)
     return PreparedSet(sample, AG.class_weights(labelled), AG.label_distribution(labelled), split)
+
+
+def train_model(spark: SparkSession, dataset_path: str, model_path: str, fmt: str = "parquet",
+                grid=None, seed: int = S.SEED) -> DataFrame:
+    """§3.3: training set file -> stratified 80/20 split -> candidates fitted
+    on the cluster -> the best by validation F1 saved to ``model_path``.
+    Returns the candidate metrics with a ``selected`` flag."""
+    from pyspark.sql import functions as F
+
+    from ..operators import model as M
+    from ..sources.csv import read_training_set
+
+    data = P.drop_empty(read_training_set(spark, dataset_path, fmt))
+    if "id" not in data.columns:  # a row key for the seeded split
+        data = data.withColumn("id", F.xxhash64("comment_text", "label"))
+    data = S.stratified_split(data, 0.2, seed=seed).checkpoint(eager=True)
+    train, val = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "val")
+    cand, models = M.select_model(train, val, grid or M.DEFAULT_GRID)
+    best = M.best(cand).collect()
+    if best:
+        M.save_model(models[best[0]["ordinal"] - 1], model_path)
+    chosen = {r["ordinal"] for r in best}
+    return cand.withColumn("selected", F.col("ordinal").isin(list(chosen)) if chosen else F.lit(False))
+
+
+def train_bias_model(spark: SparkSession, sources, dataset_path: str, model_path: str,
+                     version: str = "v2", fmt: str = "parquet") -> DataFrame | None:
+    """§3.2 + §3.3: load the sources (the first required), prepare the
+    balanced training set, write it, train. Returns the candidate metrics, or
+    None when the required source cannot be read."""
+    from ..sources.csv import load_sources, write_training_set
+
+    merged = load_sources(spark, sources)
+    if merged is None:
+        return None
+    if "id" not in merged.columns:
+        from pyspark.sql import functions as F
+        merged = merged.withColumn("id", F.monotonically_increasing_id())
+    prepared = prepare(spark, merged, version=version)
+    write_training_set(prepared.training.select("comment_text", "label"), dataset_path, fmt)
+    return train_model(spark, dataset_path, model_path, fmt)

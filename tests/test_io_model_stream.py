@@ -105,3 +105,21 @@ def test_stream_in_micro_batches(spark):
     stream = spark.read.parquet(sink).select("id", "confidence", "explanation")
     batch = analyze(prep(docs)).select("id", "confidence", "explanation")
     assert stream.count() == docs.count() and stream.exceptAll(batch).count() == 0
+
+
+def test_train_bias_model_end_to_end(spark):
+    from slantscan.plans.train import train_bias_model
+    d = tempfile.mkdtemp(prefix="slantscan-e2e-")
+    comments = T.comments(spark, SF_SMALL).toPandas()
+    comments.drop(columns=["source_rank"]).to_csv(os.path.join(d, "train.csv"), index=False)
+    T.annotations(spark, SF_SMALL).toPandas().to_csv(os.path.join(d, "ann.csv"), index=False)
+    cand = train_bias_model(spark, [(os.path.join(d, "train.csv"), "comments"),
+                                    (os.path.join(d, "absent.csv"), "comments"),
+                                    (os.path.join(d, "ann.csv"), "annotations")],
+                            os.path.join(d, "bias_dataset"), os.path.join(d, "model"), fmt="csv")
+    rows = cand.collect()
+    assert len(rows) == 3 and sum(r.selected for r in rows) <= 1
+    written = C.read_training_set(spark, os.path.join(d, "bias_dataset"), "csv")
+    dist = written.groupBy("label").count().collect()
+    assert len(dist) == 2 and dist[0]["count"] == dist[1]["count"]
+    assert train_bias_model(spark, [(os.path.join(d, "absent.csv"), "comments")], d + "/x", d + "/y") is None
