@@ -80,17 +80,29 @@ def text_flags_udf(terms: Sequence[str], names: Sequence[str], raw_terms: Sequen
 
     @F.pandas_udf(schema)
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
         import numpy
         import pandas
+        try:
+            import ahocorasick
+        except ImportError:
+            ahocorasick = None
 
         def build(words):
+            if ahocorasick is None:  # worker without the library: same result, slower
+                return _Scan(words)
             a = ahocorasick.Automaton()
             for i, t in enumerate(words):
                 a.add_word(t, i)
             a.make_automaton()
             return a
 
+        class _Scan:
+            def __init__(self, words):
+                self.words = list(enumerate(words))
+
+            def iter(self, text):
+                return ((0, i) for i, w in self.words if w in text)
+
         automaton = build(terms)
         raw_automaton = build(raw_terms) if raw_terms else None
         # position of each raw term among ``terms`` (raw terms are a subset)

@@ -100,3 +100,22 @@ def test_adding_neutral_word_changes_no_count(spark):
     d, h = v2_flags(df, "comment_text")
     c = d.select("id", *[v.alias(k) for k, v in rules_v2.lexicon_counts(h).items()]).orderBy("id").collect()
     assert [tuple(r)[1:] for r in c[:2]] == [tuple(r)[1:] for r in c[2:]]
+
+
+def test_matcher_fallback_without_library(monkeypatch):
+    import sys
+
+    import pandas as pd
+
+    from slantscan.functions.automaton import text_flags_udf
+    terms = ["race", "racial", "they all", "our jobs"]
+    names = [f"t{i}" for i in range(len(terms))]
+    udf = text_flags_udf(terms, names, ["they all", "our jobs"], ["r0", "r1"], "same")
+    texts = pd.Series(["Racial  tension, they\nall", "our jobs", None, "embrace they all"])
+    with_lib = next(udf.func(iter([texts])))
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)  # import now raises ImportError
+    without = next(udf.func(iter([texts])))
+    assert with_lib.equals(without)
+    # 'racial' does not contain 'race'; 'they all' is only there after normalisation
+    assert not without.loc[0, "t0"] and without.loc[0, "t1"] and without.loc[0, "t2"] and not without.loc[0, "r0"]
+    assert not without.loc[0, "same"] and without.loc[3, "r0"]
