@@ -35,14 +35,24 @@ def flags_udf(terms: Sequence[str], names: Sequence[str]):
 
     @F.pandas_udf(schema)
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
         import numpy
         import pandas
+        try:
+            import ahocorasick
+        except ImportError:
+            ahocorasick = None
 
-        automaton = ahocorasick.Automaton()
-        for i, t in enumerate(terms):
-            automaton.add_word(t, i)
-        automaton.make_automaton()
+        class _Scan:  # worker without the library: same result, slower
+            def iter(self, text):
+                return ((0, i) for i, w in enumerate(terms) if w in text)
+
+        if ahocorasick is None:
+            automaton = _Scan()
+        else:
+            automaton = ahocorasick.Automaton()
+            for i, t in enumerate(terms):
+                automaton.add_word(t, i)
+            automaton.make_automaton()
         width = len(terms)
         for texts in batches:
             hit = numpy.zeros((len(texts), width), dtype=bool)
