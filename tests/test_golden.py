@@ -145,3 +145,11 @@ def test_two_decimals_match_python_formatting(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     for r in df.select("x", two_decimals(F.col("x")).alias("s")).collect():
         assert r.s == f"{r.x:.2f}"
+
+
+def test_threshold_edges_are_strict(spark):
+    from slantscan.functions.report import confidence_band, decide
+    df = spark.createDataFrame([(0.33,), (0.3300001,), (0.6,), (0.6000001,), (0.8,), (0.8000001,)], "x double")
+    got = [(r.b, r.band) for r in df.select(decide(F.col("x")).alias("b"), confidence_band(F.col("x")).alias("band")).collect()]
+    assert got == [(False, "somewhat confident"), (True, "somewhat confident"), (True, "somewhat confident"),
+                   (True, "moderately confident"), (True, "moderately confident"), (True, "highly confident")]
