@@ -60,7 +60,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (Spark Connect: let the cluster decide)
+        # Planning only: an input that already ends in a shuffle (or holds a
+        # broadcast) is left alone, so that counting its partitions can never
+        # make adaptive execution run those stages ahead of the query.
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Exchange" in plan or "QueryStage" in plan:
+            return df
+        n = df.rdd.getNumPartitions()  # a scan's file splits; nothing runs
+    except Exception:  # noqa: BLE001  (Spark Connect, streaming: let the cluster decide)
         return df
     return df.repartition(cores) if 2 * n <= cores else df

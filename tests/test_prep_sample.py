@@ -175,3 +175,9 @@ def test_spread_only_under_partitioned_inputs(spark):
     assert spread(one).rdd.getNumPartitions() == cores
     assert spread(many).rdd.getNumPartitions() == cores * 2
     assert sorted(r.id for r in spread(one).collect()) == list(range(100))
+
+
+def test_spread_leaves_shuffled_inputs_alone(spark):
+    from slantscan.session import spread
+    agg = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
+    assert spread(agg) is agg
