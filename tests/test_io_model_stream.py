@@ -61,17 +61,19 @@ def test_external_scorer(spark):
     assert got == {1: pytest.approx(0.03), 2: pytest.approx(1.0)}
 
 
-def test_stream_equals_batch(spark):
+@pytest.mark.parametrize("version", ["v2", "v1"])
+def test_stream_equals_batch(spark, version):
     docs = T.read_table(spark, SF_SMALL, "documents")
     sink = tempfile.mkdtemp(prefix="slantscan-sink-")
 
     def prep(s):
         return s.select(F.col("doc_id").alias("id"), T.planted_text(F.col("doc_id"), F.col("text")).alias("comment_text"),
                         T.model_score(F.col("doc_id")).alias("model_score"))
-    q = start_parquet_stream(spark, SF_SMALL, docs.schema, sink, prepare=prep, glob="documents.parquet")
+    q = start_parquet_stream(spark, SF_SMALL, docs.schema, sink, prepare=prep, glob="documents.parquet",
+                             version=version)
     q.awaitTermination(300)
     stream = R.flat_analysis(spark.read.parquet(sink))
-    batch = R.flat_analysis(analyze(prep(docs)))
+    batch = R.flat_analysis(analyze(prep(docs), version=version))
     assert stream.count() == batch.count() == docs.count()
     assert stream.exceptAll(batch).count() == 0
 
