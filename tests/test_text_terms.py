@@ -119,3 +119,23 @@ def test_matcher_fallback_without_library(monkeypatch):
     # 'racial' does not contain 'race'; 'they all' is only there after normalisation
     assert not without.loc[0, "t0"] and without.loc[0, "t1"] and without.loc[0, "t2"] and not without.loc[0, "r0"]
     assert not without.loc[0, "same"] and without.loc[3, "r0"]
+
+
+def test_lexicon_table_and_term_counts(spark):
+    from slantscan.operators.lexicon import lexicon_matches, term_counts
+    from slantscan.sources.lexicon_table import lexicon_df
+    lex = lexicon_df(spark, ("v1",))
+    assert {r.name for r in lex.select("name").distinct().collect()} == {
+        "explicit", "coded", "stereotype", "pseudo_scientific", "property_economic",
+        "cultural_supremacy", "historical", "analytical"}
+    texts = ["Studies show group differences in property values.", "Nothing here.", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, comment_text string")
+    counts = {r.id: r for r in term_counts(df, lex).collect()}
+    rows = lex.collect()
+    for i, t in enumerate(texts):
+        low = " ".join((t or "").split()).lower()
+        for name in ("explicit", "coded", "pseudo_scientific", "property_economic"):
+            want = sum(r.term in low for r in rows if r.name == name)
+            assert counts[i][f"n_{name}"] == want, (t, name)
+    m = lexicon_matches(df, lex).collect()
+    assert all(r.id == 0 for r in m) and ("pseudo_scientific", "studies show") in {(r.lexicon, r.term) for r in m}
