@@ -238,13 +238,16 @@ def v2_middle(conf: str = "score") -> str:
     )
 
 
-def v2_analysis_ctes() -> str:
-    """planted -> norm -> feat (+ structures, raw relations) -> chain -> ``v2``."""
+def v2_analysis_ctes(src_cte: str | None = None) -> str:
+    """src -> norm -> feat (+ structures, raw relations) -> chain -> ``v2``.
+
+    ``src_cte`` defines ``src(id, comment_text, model_score)``; default: the
+    planted corpus."""
     extra = [f"{e} AS st_{k}" for k, e in structure_exprs().items()]
     extra += [f"{e} AS rel_{k}" for k, e in relation_exprs("lraw").items()]
     feat = v2_feat_cte()
     feat = feat.replace("\n FROM norm)", ",\n  " + ",\n  ".join(extra) + "\n FROM norm)")
-    return f"""{planted_cte()},
+    return f"""{src_cte or planted_cte()},
 {norm_cte()},
 {feat},
 {v2_chain_ctes()},
@@ -308,8 +311,8 @@ def v1_context_exprs(col: str = "lt") -> tuple[str, str, str]:
     return seq(pair_parts), s, tags
 
 
-def v1_score_ctes() -> str:
-    """planted -> norm -> windows -> v1 features -> ``v1`` with columns score, tags, rawtags."""
+def v1_score_ctes(src_cte: str | None = None) -> str:
+    """src -> norm -> windows -> v1 features -> ``v1`` with columns score, tags, rawtags."""
     _, ctx, tags = v1_context_exprs("lt")
     _, _, rawtags = v1_context_exprs("lraw")
     feat = f"""v1f AS (SELECT id, model_score, lt, lraw,
@@ -328,7 +331,7 @@ def v1_score_ctes() -> str:
 v1b AS (SELECT *, {D(0.35)} * model_score + {D(0.65)} * least(((explicit + coded) + stereo2) + ctx2, {D(1.0)}) AS s0 FROM v1a),
 v1c AS (SELECT *, CASE WHEN len(tags) >= 2 THEN least(s0 * ({D(1.0)} + {D(0.15)} * len(tags)), {D(1.0)}) ELSE s0 END AS s1 FROM v1b),
 v1 AS (SELECT *, CASE WHEN list_contains(tags, {q(L.V1_TAG_ANALYTICAL)}) AND len(tags) > 1 THEN least(s1 * {D(1.2)}, {D(1.0)}) ELSE s1 END AS score FROM v1c)"""
-    return f"""{planted_cte()},
+    return f"""{src_cte or planted_cte()},
 {norm_cte()},
 {v1_window_ctes()},
 {feat},
