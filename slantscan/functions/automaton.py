@@ -114,7 +114,7 @@ def text_flags_udf(terms: Sequence[str], names: Sequence[str], raw_terms: Sequen
                 return ((0, i) for i, w in self.words if w in text)
 
         automaton = build(terms)
-        raw_automaton = build(raw_terms) if raw_terms else None
+        with_raw = bool(raw_terms)
         # position of each raw term among ``terms`` (raw terms are a subset)
         where = numpy.array([terms.index(t) for t in raw_terms], dtype=int)
         width, rwidth = len(terms), len(raw_terms)
@@ -130,14 +130,19 @@ def text_flags_udf(terms: Sequence[str], names: Sequence[str], raw_terms: Sequen
                 low = norm.lower()
                 for _, i in automaton.iter(low):
                     hit[row, i] = True
-                if raw_automaton is not None:
+                if with_raw:
                     if text == norm:
                         rhit[row] = hit[row, where]
                     else:
+                        # a multi-word term in the raw text is also in the
+                        # normalised one: only those found there need a look
                         same[row] = False
-                        for _, j in raw_automaton.iter(text.lower()):
-                            rhit[row, j] = True
-            if raw_automaton is not None:
+                        found = numpy.nonzero(hit[row, where])[0]
+                        if len(found):
+                            raw_low = text.lower()
+                            for j in found:
+                                rhit[row, j] = raw_terms[j] in raw_low
+            if with_raw:
                 hit = numpy.hstack([hit, same[:, None], rhit])
             yield pandas.DataFrame(hit, columns=columns)
 
