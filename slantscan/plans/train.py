@@ -49,8 +49,9 @@ def prepare(spark: SparkSession, merged: DataFrame, version: str = "v2", cap: in
 def train_model(spark: SparkSession, dataset_path: str, model_path: str, fmt: str = "parquet",
                 grid=None, seed: int = S.SEED) -> DataFrame:
     """§3.3: training set file -> stratified 80/20 split -> candidates fitted
-    on the cluster -> the best by validation F1 saved to ``model_path``.
-    Returns the candidate metrics with a ``selected`` flag."""
+    on the cluster -> the best by validation F1 saved to ``model_path``
+    (nothing is saved when every validation F1 is 0, as a best F1 must be
+    strictly above 0). Returns the candidate metrics with a ``selected`` flag."""
     from pyspark.sql import functions as F
 
     from ..operators import model as M
