@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slantscan.llm import minhash
+from slantscan.llm import minhash, mixing, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,43 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_minhash": op9_minhash}
-SQL: dict[str, str] = {}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.takes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_mixing": op4_mixing, "op9_minhash": op9_minhash}
+SQL = {
+    "op4_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS i
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE i % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS weight FROM s),
+-- targets: raise the unit of weight until no source that isn't full gets more than twice its size
+fill AS (
+  SELECT 0 AS round, (SELECT 1.5 * sum(source_size)::DOUBLE / sum(weight) FROM w) AS unit
+  UNION ALL
+  SELECT round + 1, next FROM (
+    SELECT f.round, f.unit, (SELECT (1.5 * sum(source_size)::DOUBLE - sum(2 * source_size) FILTER (2 * source_size < f.unit * weight))
+      / sum(weight) FILTER (2 * source_size >= f.unit * weight) FROM w) AS next FROM fill f)
+  WHERE next > unit),
+t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * (SELECT max(unit) FROM fill)) AS target FROM w),
+b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+g AS (
+  SELECT source, h, sum(size) AS s, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d WHERE size > 0 GROUP BY source, h)
+SELECT d.doc_id, d.size, b.source_size, b.target,
+  d.size * (b.whole + coalesce(g.upto - g.s / 2 <= b.target - b.whole * b.source_size, false)::BIGINT) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source AND g.h = d.h AND d.size > 0
+""".replace("\\\\", "\\"),
+}
