@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slantscan.llm import chat, minhash, mixing, packing, warc
+from slantscan.llm import ann, chat, html_extract, minhash, mixing, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("formatted", "ids", "loss")
 
 
-QUERIES = {"op8_warc": op8_warc, "op10_chat": op10_chat, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op9_minhash": op9_minhash}
+QUERIES = {"op1_html": op1_html, "op3_ann": op3_ann, "op8_warc": op8_warc, "op10_chat": op10_chat, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op9_minhash": op9_minhash}
 SQL = {
     "op8_warc": """
 WITH p AS (
