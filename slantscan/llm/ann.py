@@ -25,7 +25,7 @@ from slantscan.llm.vectors import matrix, valid
 
 TREES = 8
 DEPTH = 5  #: splits from root to leaf
-SEARCH = 1.25  #: rows in the leaves a query takes, each tree's counted, as a part of all rows
+SEARCH = 1.5  #: rows in the leaves a query takes, each tree's counted, as a part of all rows
 SAMPLE = 20_000  #: rows that trees are fitted on at most
 BLOCK = 4096  #: rows of a leaf in one block
 QUERY_BLOCK = 4096  #: queries of a leaf in one block

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slantscan.llm import ann, chat, html_extract, minhash, mixing, packing, warc
+from slantscan.llm import ann, chat, embed_dedup, html_extract, minhash, mixing, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(table(spark, sf_dir, "documents"))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("formatted", "ids", "loss")
 
 
-QUERIES = {"op1_html": op1_html, "op3_ann": op3_ann, "op8_warc": op8_warc, "op10_chat": op10_chat, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op9_minhash": op9_minhash}
+QUERIES = {"op1_html": op1_html, "op3_ann": op3_ann, "op6_embed_dedup": op6_embed_dedup, "op8_warc": op8_warc, "op10_chat": op10_chat, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op9_minhash": op9_minhash}
 SQL = {
     "op8_warc": """
 WITH p AS (
