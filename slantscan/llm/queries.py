@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slantscan.llm import ann, chat, embed_dedup, html_extract, minhash, mixing, packing, warc
+from slantscan.llm import ann, chat, embed_dedup, html_extract, langid, minhash, mixing, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("known", "kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,7 +57,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("formatted", "ids", "loss")
 
 
-QUERIES = {"op1_html": op1_html, "op3_ann": op3_ann, "op6_embed_dedup": op6_embed_dedup, "op8_warc": op8_warc, "op10_chat": op10_chat, "op2_packing": op2_packing, "op4_mixing": op4_mixing, "op9_minhash": op9_minhash}
+QUERIES = {
+    "op1_html": op1_html,
+    "op2_packing": op2_packing,
+    "op3_ann": op3_ann,
+    "op4_mixing": op4_mixing,
+    "op5_quality": op5_quality,
+    "op6_embed_dedup": op6_embed_dedup,
+    "op7_language": op7_language,
+    "op8_warc": op8_warc,
+    "op9_minhash": op9_minhash,
+    "op10_chat": op10_chat,
+}
 SQL = {
     "op8_warc": """
 WITH p AS (
