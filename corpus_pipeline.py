@@ -26,13 +26,16 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest id.
     Rows that repeat the id and text of the one that stays go; rows with a null
     id take no part and stay."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = Scratch(spark).save(gone, "gone")
+    scratch = Scratch(spark)
+    found = scratch.save(minhash.near_duplicates(docs), "found")
+    gone = scratch.save(found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     stay = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    repeated = Scratch(spark).save(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many_id")), "repeated")
-    once = stay.join(repeated, F.col("doc_id") == F.col("many_id"), "left_anti")
-    again = stay.join(repeated, F.col("doc_id") == F.col("many_id"), "left_semi").dropDuplicates(["doc_id"])
+    many = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    many = scratch.save(many.select(F.col("doc_id").alias("many_id")), "many")
+    if many.limit(1).count() == 0:  # ids are unique, as they should be
+        return stay
+    once = stay.join(many, F.col("doc_id") == F.col("many_id"), "left_anti")
+    again = stay.join(many, F.col("doc_id") == F.col("many_id"), "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again)
 
 

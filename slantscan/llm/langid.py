@@ -24,6 +24,8 @@ from slantscan.llm.common import Scratch
 
 SAMPLE = 20_000  #: rows, on average, that the trigram models are trained on at most
 LANGUAGES = 64  #: languages, the most frequent of the sample
+LEAST_ROWS = 5  #: sampled rows that a language needs for a model of its own
+ROW_WEIGHT = 2000  #: trigrams that a row of the sample weighs at most; all of its text is counted
 BUCKETS = 1 << 14  #: hashed trigrams
 TEMPER = 3.0  #: trigrams overlap: so many count as one observation
 SHRINK = 20.0  #: documents that a prior weighs
@@ -57,8 +59,8 @@ def _counts(batches):
     total: dict[str, np.ndarray] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            t += np.bincount(trigrams(text), minlength=BUCKETS)
+            t, g = total.setdefault(lang, np.zeros(BUCKETS)), trigrams(text)
+            t += np.bincount(g, minlength=BUCKETS) * min(1.0, ROW_WEIGHT / max(1, len(g)))
             if len(total) >= 4 * LANGUAGES:
                 yield from _flush(total, pa)
                 total = {}
@@ -94,9 +96,9 @@ def train(docs: DataFrame, text_col: str, declared_col: str, id_col: str, sample
     n = d.count()
     if n > sample:
         d = d.where(F.pmod("h", F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    top = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    top = d.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     names = sorted(r["lang"] for r in top.collect())
-    c = d.where(F.col("lang").isin(names) if names else F.lit(False)).select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n long")
+    c = d.where(F.col("lang").isin(names) if names else F.lit(False)).select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n double")
     counts = np.zeros((len(names), BUCKETS))
     for r in c.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # LANGUAGES * BUCKETS rows at most
         counts[names.index(r["lang"]), r["bucket"]] = r["n"]
@@ -188,8 +190,8 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="la
     (``page_evidence`` gets them from pages). Null texts and texts without
     letters have no language: known false, language null. Null declarations say
     nothing; null hosts share one prior. Rows with a null id, and repeated rows,
-    are rows like others. Without any declared row there are no models and
-    nothing is known. An empty table gives no rows. Extra columns are not looked at.
+    are rows like others. A language declared by fewer than LEAST_ROWS rows of the
+    sample has no model; without any model nothing is known. An empty table gives no rows. Extra columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
     d = docs.select(*(_name(docs, c).alias(a) for c, a in ((text_col, "text"), (declared_col, "declared"), (host_col, "host"), (suffix_col, "suffix"))), F.col(id_col).alias("doc_id"))
