@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slantscan.llm.common import text_batches
+
 TOKENIZER = "byte_bpe_50k.json"
 START, END = "<|im_start|>", "<|im_end|>\n"
 LOSS_ROLE = "assistant"
@@ -160,6 +162,7 @@ def format_chats(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     conversation of that id. Repeated rows are turns of their own. An empty
     table gives no rows. Other columns are not looked at.
     """
+    text_batches(turns.sparkSession)
     t = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),

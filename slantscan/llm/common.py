@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers in batches of at most ``rows`` rows.
+
+    Spark's usual 10,000 rows are tens of MB of text on either side of the pipe,
+    for each task. The setting is read when a plan is made, so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Written intermediate tables of one operator call in the shared folder.
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slantscan.llm.common import text_batches
+
 THRESHOLD = 0.25  #: part of the page's highest fused path value that a content path reaches
 SMOOTH = (0.25, 0.5, 0.25)  #: weights of a block's neighbours along the page
 CONTAINER = 0.6  #: part of the content paths' text that the smallest container holds
@@ -278,7 +280,7 @@ def _widen(best: _Element, found: list, content: list) -> _Element:
 
 def _extract(batches):
     for b in batches:
-        text = [main_text(t) for t in b.column(2).to_pylist()]
+        text = [main_text(t.as_py()) for t in b.column(2)]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -293,5 +295,6 @@ def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html")
     browsers do as far as text and nesting go. The whole page is read. One pass,
     no shuffle; an empty table gives no rows. Other columns are not looked at.
     """
+    text_batches(pages.sparkSession)
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return p.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -16,11 +16,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slantscan.llm.common import Scratch
+from slantscan.llm.common import Scratch, text_batches
 
 SAMPLE = 20_000  #: rows, on average, that the trigram models are trained on at most
 LANGUAGES = 64  #: languages, the most frequent of the sample
@@ -54,20 +54,18 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def _counts(batches):
-    import pyarrow as pa
-
     total: dict[str, np.ndarray] = {}
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t, g = total.setdefault(lang, np.zeros(BUCKETS)), trigrams(text)
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            t, g = total.setdefault(lang, np.zeros(BUCKETS)), trigrams(text.as_py())
             t += np.bincount(g, minlength=BUCKETS) * min(1.0, ROW_WEIGHT / max(1, len(g)))
             if len(total) >= 4 * LANGUAGES:
-                yield from _flush(total, pa)
+                yield from _flush(total)
                 total = {}
-    yield from _flush(total, pa)
+    yield from _flush(total)
 
 
-def _flush(total, pa):
+def _flush(total):
     for lang, t in total.items():
         k = np.flatnonzero(t)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(t[k])], names=["lang", "bucket", "n"])
@@ -108,9 +106,9 @@ def train(docs: DataFrame, text_col: str, declared_col: str, id_col: str, sample
 def scores(model: Model):
     """A column function: the text's scores."""
 
-    @F.pandas_udf("array<double>")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t).tolist() for t in text])
+    @F.arrow_udf("array<double>")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in text], pa.list_(pa.float64()))
 
     return score
 
@@ -121,6 +119,8 @@ class Evidence:
     def __init__(self, docs: DataFrame, model: Model, scratch: Scratch, text: Column, declared: Column, host: Column, suffix: Column):
         self.names = model.names
         size = len(self.names)
+        if not size:  # nothing to know
+            return
         s = docs.select(scores(model)(text).alias("s"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
         s = s.withColumn("p", self._posterior("s", F.array(*[F.lit(0.0)] * size))).where(F.col("s")[size] > 0)
         sums = [F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(size)]
@@ -128,12 +128,12 @@ class Evidence:
         again = [F.sum(f"p{k}").alias(f"p{k}") for k in range(size)]
         whole = per.agg(*again).first()
         counts = np.array([whole[k] or 0.0 for k in range(size)])
-        share = (counts + 1) / (counts.sum() + size) if size else counts
+        share = (counts + 1) / (counts.sum() + size)
         # how often a declaration goes with a text's language: declared by one of ``names`` only
         worth = np.full((size, size), 1.0)
-        for r in per.where(F.col("declared").isin(self.names) if size else F.lit(False)).groupBy("declared").agg(*again).collect():
+        for r in per.where(F.col("declared").isin(self.names)).groupBy("declared").agg(*again).collect():
             worth[self.names.index(r["declared"])] += [r[f"p{k}"] or 0.0 for k in range(size)]
-        self.worth = np.log(worth / worth.sum(axis=0, keepdims=True)) if size else worth
+        self.worth = np.log(worth / worth.sum(axis=0, keepdims=True))
         glob = F.array(*[F.lit(float(x)) for x in share])
         by_suffix = per.groupBy("suffix").agg(*again).select(F.col("suffix").alias("suffix1"), self._shrunk(size, glob).alias("prior1"))
         by_host = per.groupBy("host", "suffix").agg(*again).withColumnRenamed("host", "host1")
@@ -150,8 +150,6 @@ class Evidence:
     def _posterior(self, s: str, more: Column) -> Column:
         """Softmax of the tempered text scores and other log evidence."""
         size = len(self.names)
-        if not size:
-            return F.array().cast("array<double>")
         logs = F.zip_with(F.slice(F.col(s), 1, size), more, lambda a, b: a / TEMPER + b)
         top = F.array_max(logs)
         e = F.transform(logs, lambda x: F.exp(x - top))
@@ -194,6 +192,7 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="la
     sample has no model; without any model nothing is known. An empty table gives no rows. Extra columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     d = docs.select(*(_name(docs, c).alias(a) for c, a in ((text_col, "text"), (declared_col, "declared"), (host_col, "host"), (suffix_col, "suffix"))), F.col(id_col).alias("doc_id"))
     model = train(d, "text", "declared", "doc_id")
     known = Evidence(d, model, scratch, *(F.col(c) for c in ("text", "declared", "host", "suffix")))
@@ -205,6 +204,7 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="la
 def keep_known(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="lang", host_col="source", suffix_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is known, with all their columns, as they were."""
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     d = docs.select(
         *(_name(docs, c).alias(a) for c, a in ((text_col, "text"), (declared_col, "declared"), (host_col, "host"), (suffix_col, "suffix"))),
         F.col(f"`{id_col}`").alias("doc_id"),

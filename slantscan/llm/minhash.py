@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slantscan.llm.common import Scratch, binary_matrix, components, local_roots, row_groups
+from slantscan.llm.common import Scratch, binary_matrix, components, local_roots, row_groups, text_batches
 from slantscan.llm.shingles import shingle_set, stream
 
 COORDS = 64
@@ -164,6 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part: component_id null, kept true. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = rows.mapInArrow(_sketch, "doc_id long, n_shingles long, fingerprint binary, sig array<int>")
     sketch = scratch.save(sketch, "sketch")

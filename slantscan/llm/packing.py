@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slantscan.llm.common import Scratch
+from slantscan.llm.common import Scratch, text_batches
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END_OF_TEXT = "<|endoftext|>"
-CACHE_WORDS = 400_000  #: words whose ids a worker remembers at most
+CACHE_WORDS = 150_000  #: words whose ids a worker remembers at most
 RANK_GROUP = 20_000  #: pieces of one length numbered in one group on average
 
 
@@ -200,6 +200,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     table gives no rows. Other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = scratch.save(pieces, "pieces")

@@ -13,11 +13,11 @@ all documents.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slantscan.llm.common import Scratch
+from slantscan.llm.common import Scratch, text_batches
 
 SAMPLE = 20_000  #: labelled rows, on average, that the classifier is fitted on at most
 RIDGE = 1e-2
@@ -102,18 +102,18 @@ class Classifier:
     def column(self, text: Column) -> Column:
         mean, scale, w, base = self.mean, self.scale, self.w, self.base
 
-        @F.pandas_udf("double")
-        def evidence(t: pd.Series) -> pd.Series:
-            x = np.array([features(v) for v in t]).reshape(-1, len(FEATURES))
-            return pd.Series(((x - mean) / scale) @ w[:-1] + w[-1] - base)
+        @F.arrow_udf("double")
+        def evidence(t: pa.Array) -> pa.Array:
+            x = np.array([features(v.as_py()) for v in t]).reshape(-1, len(FEATURES))
+            return pa.array(((x - mean) / scale) @ w[:-1] + w[-1] - base)
 
         return evidence(text)
 
 
 def _features(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
-    def form(t: pd.Series) -> pd.Series:
-        return pd.Series([features(v) for v in t])
+    @F.arrow_udf("array<double>")
+    def form(t: pa.Array) -> pa.Array:
+        return pa.array([features(v.as_py()) for v in t], pa.list_(pa.float64()))
 
     return form(text)
 
@@ -159,6 +159,7 @@ def site_priors(scored: DataFrame, share: float, scratch: Scratch) -> DataFrame:
 
 def _prepared(docs, labels, id_col, text_col, host_col, path_col, label_col, keep_row: bool):
     scratch = Scratch(docs.sparkSession)
+    text_batches(docs.sparkSession)
     model = Classifier(docs, labels, id_col, text_col, label_col)
     cols = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")]
     cols += [(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(a) for c, a in ((host_col, "host"), (path_col, "path"))]
