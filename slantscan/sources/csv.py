@@ -1,7 +1,11 @@
 """CSV and Parquet sources and sinks (A1-A5).
 
-Schemas are explicit (no inference pass over the data). CSV reading allows
-quoted multi-line text with doubled quotes, as the published datasets use.
+CSV columns are found by header name, in any order; the known ones get their
+types by a checked cast, columns that the file lacks are not invented (so
+``require_columns`` can name them), others are ignored. Quoted texts may span
+lines and hold doubled quotes, as the published data sets do; a file read that
+way is one task, so land large files once as Parquet (or pass
+``multi_line=False`` where texts hold no line breaks: the file is then split).
 """
 
 from __future__ import annotations
@@ -9,10 +13,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.prep import union_sources
+from ..operators.prep import SCORE_COLUMNS, require_columns, union_sources
 
 D = T.DoubleType()
 
@@ -33,7 +38,7 @@ COMMENT_SCHEMA = T.StructType([
 
 ANNOTATION_SCHEMA = T.StructType([
     T.StructField("comment_id", T.LongType()),
-    *[T.StructField(c, D) for c in ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")],
+    *[T.StructField(c, D) for c in SCORE_COLUMNS],
 ])
 
 TRAINING_SCHEMA = T.StructType([
@@ -41,23 +46,63 @@ TRAINING_SCHEMA = T.StructType([
     T.StructField("label", T.IntegerType()),
 ])
 
-
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (spark.read.schema(schema)
-            .option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE")
-            .csv(path))
-
-
-def read_comments(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA) -> DataFrame:
-    """A1. Columns are matched by header name; extra columns in the file are ignored."""
-    return _csv(spark, path, schema).select(*[f.name for f in schema.fields])
+_CORRUPT = "__line"
+
+
+def _raw(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns as text, under their header names; a row with too few or too many cells has ``__line``."""
+    reader = (spark.read.option("header", True).option("multiLine", multi_line)
+              .option("quote", '"').option("escape", '"').option("encoding", "UTF-8"))
+    names = reader.csv(path).columns  # reads the header
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
+    return (reader.schema(schema).option("enforceSchema", False)  # every file has this header
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str], multi_line: bool,
+          bad: str) -> DataFrame:
+    raw = _raw(spark, path, multi_line)
+    raw = raw.select(*[F.col(f"`{c}`").alias(c.strip().lstrip("﻿")) for c in raw.columns])
+    require_columns(raw, required)
+    known = [f for f in schema.fields if f.name in raw.columns]
+    wrong = F.col(_CORRUPT).isNotNull()
+    for f in known:
+        if f.dataType != T.StringType():
+            cell = F.trim(f.name)
+            wrong = wrong | ((cell != "") & _cast(f).isNull())
+    wrong = F.coalesce(wrong, F.lit(False))
+    cells = [_cast(f).alias(f.name) for f in known]
+    if bad == "only":
+        return raw.filter(wrong).select(*raw.columns)
+    if bad == "reject":
+        return raw.filter(~wrong).select(*cells)
+    if bad != "raise":
+        raise ValueError("bad must be 'raise', 'reject' or 'only'")
+    row = F.to_json(F.struct(*[F.col(f.name) for f in known], F.col(_CORRUPT)))
+    stop = F.raise_error(F.concat(F.lit(f"{path}: a row doesn't fit its columns: "), F.substring(row, 1, 500)))
+    first = F.when(wrong, stop.cast(known[0].dataType)).otherwise(_cast(known[0])).alias(known[0].name)
+    return raw.select(first, *cells[1:])
+
+
+def _cast(f: T.StructField) -> Column:
+    return F.col(f.name) if f.dataType == T.StringType() else F.trim(f.name).try_cast(f.dataType)
+
+
+def read_comments(spark: SparkSession, path: str, schema: T.StructType = COMMENT_SCHEMA,
+                  required: Sequence[str] = ("comment_text",), multi_line: bool = True, bad: str = "raise") -> DataFrame:
+    """A1: the known columns that the file has, by header name.
+
+    A row with too few or too many cells, or a cell that isn't a number where
+    one belongs, stops the job (``bad='raise'``), is left out (``'reject'``) or
+    is all that is returned, as text (``'only'``, to count or look at them).
+    An empty cell is null.
+    """
+    return _read(spark, path, schema, required, multi_line, bad)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """A2: one row per annotator."""
-    return _csv(spark, path, ANNOTATION_SCHEMA)
+def read_annotations(spark: SparkSession, path: str, multi_line: bool = True, bad: str = "raise") -> DataFrame:
+    """A2: one row per annotator; ``comment_id`` is required."""
+    return _read(spark, path, ANNOTATION_SCHEMA, ["comment_id"], multi_line, bad)
 
 
 def load_sources(spark: SparkSession, sources: Sequence[tuple[str, str]],
@@ -65,9 +110,9 @@ def load_sources(spark: SparkSession, sources: Sequence[tuple[str, str]],
     """A3: read ``(path, kind)`` sources in order and stack them (F1).
 
     The first source is required: if it cannot be read, None is returned.
-    Later sources are optional: a missing one is reported and skipped.
-    ``kind`` is 'comments' or 'annotations' (the latter are averaged per
-    comment first, D1).
+    Later sources are optional: one that is missing or lacks its required
+    columns is reported and skipped. ``kind`` is 'comments' or 'annotations'
+    (the latter are averaged per comment first, D1).
     """
     from ..operators.prep import annotator_means
 
@@ -77,14 +122,15 @@ def load_sources(spark: SparkSession, sources: Sequence[tuple[str, str]],
         try:
             df = readers[kind](spark, path)
             df.schema  # noqa: B018  (resolves the path now, not at the first action)
-        except AnalysisException as e:
+        except (AnalysisException, ValueError) as e:
+            why = e.getCondition() if isinstance(e, AnalysisException) else e
             if rank == 0:
-                print(f"Error loading required source {path}: {e.getCondition()}")
+                print(f"Error loading required source {path}: {why}")
                 return None
-            print(f"Skipping optional source {path}: {e.getCondition()}")
+            print(f"Skipping optional source {path}: {why}")
             continue
         if kind == "annotations":
-            df = annotator_means(df)
+            df = annotator_means(df, scores=[c for c in SCORE_COLUMNS if c in df.columns])
         frames.append(df)
     return union_sources(frames)
 
@@ -98,8 +144,8 @@ def write_training_set(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.parquet(path)
 
 
-def read_training_set(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_training_set(spark: SparkSession, path: str, fmt: str = "parquet", bad: str = "raise") -> DataFrame:
     """A5. An empty text comes back as null from CSV; clean it (B2) afterwards."""
     if fmt == "csv":
-        return _csv(spark, path, TRAINING_SCHEMA)
+        return _read(spark, path, TRAINING_SCHEMA, ["comment_text", "label"], True, bad)
     return spark.read.parquet(path)
