@@ -2,20 +2,17 @@
 
 Every scoring and report column is a stateless projection, so the streaming
 plan is the batch plan over ``readStream``: no state store, no watermark.
-The sink is Parquet with a checkpoint in the cluster's shared checkpoint
-folder, so a restarted query resumes exactly where it stopped.
+The sink is Parquet; the checkpoint belongs to the sink and lies in it unless
+the caller names another, so a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.analyze import analyze
-from ..session import ensure_checkpoint_dir
 
 
 def score_stream(stream: DataFrame, text: str = "comment_text", model_score: str | None = "model_score",
@@ -30,7 +27,11 @@ def start_parquet_stream(spark: SparkSession, source: str, schema: T.StructType,
                          max_files_per_trigger: int | None = None,
                          glob: str | None = None) -> StreamingQuery:
     """Read Parquet files as they arrive in folder ``source`` (optionally only
-    names matching ``glob``), analyse, append to ``sink``."""
+    names matching ``glob``), analyse, append to ``sink``.
+
+    ``checkpoint`` (default: ``_checkpoint`` in the sink, which readers of the
+    sink pass over) must stay the same for a sink: it says which files have
+    been scored, and the sink's own log relies on it."""
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -40,7 +41,7 @@ def start_parquet_stream(spark: SparkSession, source: str, schema: T.StructType,
     if prepare is not None:
         stream = prepare(stream)
     out = score_stream(stream, text=text, version=version)
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    ckpt = checkpoint or f"{sink.rstrip('/')}/_checkpoint"
     writer = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.outputMode("append").start()
