@@ -2,9 +2,10 @@
 
 Random draws are replaced by a seeded hash order: ``md5('<seed>:<id>')`` then
 ``id``. It is stable across runs and partitionings, and equal in Spark and
-DuckDB. Exact-n samples use ``orderBy(...).limit(n)``, which Spark plans as a
-per-task top-n plus one merge of at most ``n`` rows per task (no full sort,
-no class gathered in one task).
+DuckDB. "The first n rows of a class" is a cut-off in that order, found without
+sorting or gathering the class: rows are counted by hash prefix, the prefix in
+which the n-th row lies is refined, and only its few rows are ranked. Taking
+the sample is then a filter; texts are never shuffled. Any size works alike.
 """
 
 from __future__ import annotations
@@ -18,27 +19,58 @@ from .prep import eligible
 SEED = 42
 V1_CAP = 1000
 V2_CAP = 2000
-# The split and the shuffle rank rows of one class with a window; they are
-# meant for the capped training set (at most 2 x cap rows). Larger inputs use
-# the hash-bucket split, which needs no window.
-WINDOW_ROW_LIMIT = 1_000_000
-# Top-n keeps up to n rows per task and merges them in one task: fine for the
-# published caps (1000, 2000, 5 examples), refused beyond this.
-TOPN_LIMIT = 1_000_000
+PREFIX = 3          # hex digits of the hash in one step
+FEW = 4096          # rows of a border prefix that are ranked one by one
+DIGITS = 32         # of an MD5
 
 
 def sample_key(seed: int, key: str = "id") -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def _ordered(df: DataFrame, seed: int, key: str) -> DataFrame:
-    return df.orderBy(sample_key(seed, key), F.col(key))
-
-
-def _top(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    if n > TOPN_LIMIT:
-        raise ValueError(f"sample of {n} rows per group exceeds {TOPN_LIMIT}; use stratified_split(exact=False)")
-    return _ordered(df, seed, key).limit(n)
+def _first(df: DataFrame, take: DataFrame, seed: int, key: str, group: str | None) -> Column:
+    """Whether a row is among the first ``take`` (__g, __n) rows of its group:
+    a condition on the columns of ``df``. One small literal per group reaches
+    the plan (groups are classes). Rows that share a key are in or out together."""
+    g = F.col(group) if group else F.lit(0)
+    h, k = sample_key(seed, key), F.col(key)
+    rows = df.select(g.cast("string").alias("__g"), h.alias("__h"), k.alias("__k"))
+    border = take.filter("__n > 0").select(F.col("__g").cast("string").alias("__g"), "__n", F.lit("").alias("__p"), F.lit(0).cast("long").alias("__before"))
+    inside, width = rows, 0
+    while True:
+        width += PREFIX
+        c = inside.groupBy("__g", F.substring("__h", 1, width).alias("__p2")).agg(F.count(F.lit(1)).alias("__c"))
+        upto = F.sum("__c").over(Window.partitionBy("__g").orderBy("__p2"))  # 16 ** PREFIX rows a group at most
+        c = c.join(F.broadcast(border), "__g").withColumn("__upto", F.col("__before") + upto)
+        c = c.filter(F.col("__upto") >= F.col("__n")).groupBy("__g", "__n").agg(F.min(F.struct("__p2", "__upto", "__c")).alias("m"))
+        found = c.selectExpr("__g", "__n", "m.__p2 AS __p", "m.__upto - m.__c AS __before", "m.__c AS __c").collect()  # a row per group
+        spark = df.sparkSession
+        border = spark.createDataFrame([tuple(r)[:4] for r in found], "__g string, __n long, __p string, __before long")
+        inside = rows.join(F.broadcast(border.select("__g", "__p")), "__g").filter(F.substring("__h", 1, width) == F.col("__p")).select("__g", "__h", "__k")
+        if width >= DIGITS or max([r["__c"] for r in found], default=0) <= FEW:
+            break
+    rank = F.row_number().over(Window.partitionBy("__g").orderBy("__h", "__k"))
+    last = inside.withColumn("__r", rank).join(F.broadcast(border), "__g").filter(F.col("__before") + F.col("__r") == F.col("__n"))
+    cuts = {r["__g"]: (r["__h"], r["__k"]) for r in last.select("__g", "__h", "__k").collect()}  # a row per group
+    whole = {r["__g"] for r in take.filter("__n > 0").select(F.col("__g").cast("string")).collect()} - set(cuts)
+    out = F.lit(False)
+    for name, (h1, k1) in sorted(cuts.items()):
+        upto = (h < h1) | ((h == h1) & (k <= F.lit(k1)))
+        out = out | ((g.cast("string") == name) & upto)
+    for name in sorted(whole):  # a group with fewer rows than asked for
+        out = out | (g.cast("string") == name)
+    return F.coalesce(out, F.lit(False))
+
+
+def _counts(df: DataFrame, group: str | None) -> DataFrame:
+    return df.groupBy((F.col(group) if group else F.lit(0)).cast("string").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _top(df: DataFrame, n: int, seed: int, key: str, group: str | None = None) -> DataFrame:
+    """The first ``min(n, rows)`` rows of each group. Keys are row keys; rows that share one
+    go together, so a sample may then be larger by its repeats."""
+    take = _counts(df, group).select("__g", F.least("__n", F.lit(n)).alias("__n"))
+    return df.filter(_first(df, take, seed, key, group))
 
 
 def balanced_sample(df: DataFrame, label: str = "label", cap: int = V2_CAP, seed: int = SEED,
@@ -54,67 +86,57 @@ def balanced_sample(df: DataFrame, label: str = "label", cap: int = V2_CAP, seed
         if fallback == "all":
             return df
         raise ValueError("No examples found for one or both classes")
-    neg = _top(df.filter(F.col(label) == 0), n, seed, key)
-    pos = _top(df.filter(F.col(label) == 1), n, seed, key)
-    return neg.unionByName(pos)
+    return _top(df.filter(F.col(label).isin(0, 1)), n, seed, key, label)
 
 
 def class_examples(df: DataFrame, n: int = 5, label: str = "label", text: str = "comment_text",
                    seed: int = SEED, key: str = "id", min_len: int = 50) -> DataFrame:
     """``n`` rows per class among texts longer than ``min_len``."""
-    out = None
-    for k in (1, 0):
-        part = _top(eligible(df, k, label, text, min_len), n, seed, key)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _check_bounded(df: DataFrame, by: str | None, what: str) -> None:
-    """Refuse window ranking over a group larger than ``WINDOW_ROW_LIMIT``."""
-    if by is None:
-        n = df.limit(WINDOW_ROW_LIMIT + 1).count()
-    else:
-        row = df.groupBy(by).count().agg(F.max("count").alias("m")).first()
-        n = row["m"] or 0
-    if n > WINDOW_ROW_LIMIT:
-        raise ValueError(f"{what} ranks one group of {n} rows in one task; "
-                         f"use it on the capped sample or pass exact=False")
+    both = eligible(df, 1, label, text, min_len).unionByName(eligible(df, 0, label, text, min_len))
+    return _top(both, n, seed, key, label)
 
 
 def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = "label",
                      seed: int = SEED, key: str = "id", exact: bool = True) -> DataFrame:
     """Adds ``split`` = 'val' for ceil(fraction x class size) rows per class, else 'train'.
 
-    ``exact=True`` ranks rows inside each class (for the capped training
-    set); ``exact=False`` puts a row in 'val' when its hash falls in the
-    first ``fraction`` of the hash range: no window, any size, class shares
-    kept in expectation only.
+    ``exact=True`` finds each class's cut-off in the hash order (a few passes
+    over key and label); ``exact=False`` puts a row in 'val' when its hash falls
+    in the first ``fraction`` of the hash range: no pass, class shares kept in
+    expectation only.
     """
-    h = sample_key(seed, key)
     if not exact:
-        u = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
+        u = F.conv(F.substring(sample_key(seed, key), 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
         return df.withColumn("split", F.when(u < test_fraction, "val").otherwise("train"))
-    _check_bounded(df, label, "stratified_split")
-    w = Window.partitionBy(label).orderBy(h, F.col(key))
-    n_class = F.count(F.lit(1)).over(Window.partitionBy(label))
-    rank = F.row_number().over(w)
-    return df.withColumn(
-        "split", F.when(rank <= F.ceil(n_class * F.lit(test_fraction)), "val").otherwise("train"))
+    take = _counts(df, label).select("__g", F.ceil(F.col("__n") * F.lit(test_fraction)).alias("__n"))
+    return df.withColumn("split", F.when(_first(df, take, seed, key, label), "val").otherwise("train"))
 
 
 def shuffle(df: DataFrame, seed: int = SEED, key: str = "id", with_rank: bool = True) -> DataFrame:
-    """E5: seeded order. ``with_rank`` adds the 1-based rank (``shuffle_rank``),
-    which needs one ordered pass and so is only for the capped sample; without
-    it the result is a distributed range-partitioned sort."""
+    """E5: seeded order. ``with_rank`` adds the 1-based rank (``shuffle_rank``):
+    rows are ranked within their hash prefix, and the counts of the prefixes
+    before it (two levels, at most 256 rows each) are added. Without it the
+    result is a distributed range-partitioned sort."""
+    h = sample_key(seed, key)
     if not with_rank:
-        return _ordered(df, seed, key)
-    _check_bounded(df, None, "shuffle")
-    w = Window.orderBy(sample_key(seed, key), F.col(key))
-    return df.withColumn("shuffle_rank", F.row_number().over(w))
+        return df.orderBy(h, F.col(key))
+    keyed = df.withColumn("__p", F.substring(h, 1, 5))
+    counts = keyed.groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).withColumn("__hi", F.substring("__p", 1, 2))
+    before, total = {}, 0
+    for r in sorted(counts.groupBy("__hi").agg(F.sum("__c").alias("c")).collect(), key=lambda r: r["__hi"]):  # 256 rows
+        before[r["__hi"]], total = total, total + r["c"]
+    offset = F.lit(0)
+    if before:
+        offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("__hi"))
+    below = Window.partitionBy("__hi").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    counts = counts.select("__p", (offset + F.coalesce(F.sum("__c").over(below), F.lit(0))).alias("__before"))
+    w = Window.partitionBy("__p").orderBy(h, F.col(key))
+    ranked = keyed.withColumn("__r", F.row_number().over(w)).join(counts, "__p")
+    return ranked.select(*[F.col(c) for c in df.columns], (F.col("__before") + F.col("__r")).cast("int").alias("shuffle_rank"))
 
 
 def debug_sample(df: DataFrame, n: int = 1000, seed: int = SEED, key: str = "id") -> DataFrame:
-    """``min(n, rows)`` seeded rows (top-n, no full sort)."""
+    """``min(n, rows)`` seeded rows."""
     return _top(df, n, seed, key)
 
 
