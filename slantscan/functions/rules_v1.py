@@ -102,6 +102,16 @@ def token_context() -> tuple[Column, list[Column]]:
     return seq_sum(parts), tags
 
 
+def group_list(h: Hits, raw: bool = False) -> Column:
+    """At least three distinct group terms."""
+    return h.count(L.EXPLICIT_RACIAL_TERMS, raw) >= 3
+
+
+def war_context(h: Hits, raw: bool = False) -> Column:
+    """A term of war beside a group term."""
+    return h.any(L.V1_WAR_TERMS, raw) & (h.count(L.EXPLICIT_RACIAL_TERMS, raw) > 0)
+
+
 def context_score(h: Hits, raw: bool = False) -> tuple[Column, Column]:
     """G18 (with G15-G17): (score capped at 1, ordered tags).
 
@@ -125,16 +135,15 @@ def context_score(h: Hits, raw: bool = False) -> tuple[Column, Column]:
     s = s * _when(kinds > 1, F.lit(1.0) + F.lit(0.1) * kinds, 1.0)  # G15
     hist = h.count(L.V1_HISTORICAL_BIAS_TERMS, raw)
     anal = h.count(L.V1_ANALYTICAL_BIAS_TERMS, raw)
-    groups = h.count(L.EXPLICIT_RACIAL_TERMS, raw)
-    war = h.any(L.V1_WAR_TERMS, raw) & (groups > 0)
+    groups, war = group_list(h, raw), war_context(h, raw)
     s = s + _when(hist > 0, F.lit(0.2) * hist)
     s = s + _when(anal > 0, F.lit(0.15) * anal)
-    s = s + _when(groups >= 3, 0.25)  # G16
+    s = s + _when(groups, 0.25)  # G16
     s = s + _when(war, 0.2)  # G17
     tags = F.array_compact(F.array(*first_tags, *[
         F.when(hist > 0, F.lit(L.V1_TAG_HISTORICAL)),
         F.when(anal > 0, F.lit(L.V1_TAG_ANALYTICAL)),
-        F.when(groups >= 3, F.lit(L.V1_TAG_GROUPS)),
+        F.when(groups, F.lit(L.V1_TAG_GROUPS)),
         F.when(war, F.lit(L.V1_TAG_WAR)),
     ]))
     return F.least(s, F.lit(1.0)), tags

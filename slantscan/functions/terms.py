@@ -272,8 +272,8 @@ def with_term_flags(df: DataFrame, text: str, index: TermIndex, raw: bool = Fals
 
     JVM engines: two projections, the first binds the lower-cased text, the
     second reads it once per term. Catalyst keeps them apart (the text is
-    referenced many times and is not cheap), and whole-stage codegen fuses
-    them, so the text is lower-cased once per row. With the ``automaton``
+    referenced many times and is not cheap), so the text is lower-cased once
+    per row; with hundreds of flags the second falls out of whole-stage codegen. With the ``automaton``
     engine and no need for the text columns, the UDF reads the raw text and
     normalises it itself (Python's split/join is several times cheaper than
     a Unicode whitespace regex on the JVM).
@@ -294,5 +294,6 @@ def with_term_flags(df: DataFrame, text: str, index: TermIndex, raw: bool = Fals
     return index.add_flags(base, LOWER)
 
 
-def drop_work_columns(df: DataFrame, prefix: str = "__") -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+def drop_work_columns(df: DataFrame, own: list[str], prefix: str = "__") -> DataFrame:
+    """Drop what the plan added; ``own`` are the caller's columns, whatever their names."""
+    return df.drop(*[c for c in df.columns if c.startswith(prefix) and c not in own])

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from .aggregate import binary_metrics
 
 
-def evaluate(analysed: DataFrame, labels: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
-    """Predicted vs true label side by side, then precision / recall / F1.
+def evaluate_rows(analysed: DataFrame, labels: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """Every labelled row with its true and predicted label side by side,
+    whether they agree, and the analysis (confidence, explanation and the
+    columns ``analysed`` holds besides). One join on ``key``."""
+    true = labels.select(key, F.col(label).cast("int").alias("label"))
+    pred = F.col("is_biased").cast("int")
+    return analysed.join(true, key).withColumn("pred", pred).withColumn("correct", F.col("pred") == F.col("label"))
 
-    ``labels`` is joined on ``key`` (a shuffle join of two large tables; the
-    analysed side keeps its partitioning when it is already keyed by ``key``).
-    """
-    pairs = analysed.select(key, F.col("is_biased").cast("int").alias("pred")).join(
-        labels.select(key, F.col(label).cast("int").alias("label")), key)
-    return binary_metrics(pairs)
+
+def evaluate(analysed: DataFrame, labels: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """Precision / recall / F1 of the predicted against the true label."""
+    return binary_metrics(evaluate_rows(analysed.select(key, "is_biased"), labels, key, label))
 
 
 def pair_margin(results: DataFrame, pair: str = "pair", biased_flag: str = "is_biased_member",

@@ -13,39 +13,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ..functions.terms import (MAX_TERMS, TermIndex, drop_work_columns, session_engine, sql_string,
+from ..functions.terms import (MAX_TERMS, TermIndex, session_engine, sql_string,
                                with_term_flags)
 
 
-def collect_lexicon(lexicon: DataFrame) -> list[tuple[str, str]]:
-    """(name, term) rows in (name, ordinal) order; refuses unbounded lexicons."""
-    small = lexicon.select("name", "ordinal", "term").limit(MAX_TERMS + 1).collect()
+def collect_lexicon(lexicon: DataFrame) -> list[tuple[str | None, str, str]]:
+    """(version, name, term) rows in (version, name, ordinal) order; refuses unbounded lexicons.
+    A table without ``version`` is one version, null."""
+    version = F.col("version") if "version" in lexicon.columns else F.lit(None).cast("string").alias("version")
+    small = lexicon.select(version, "name", "ordinal", "term").limit(MAX_TERMS + 1).collect()
     if len(small) > MAX_TERMS:
         raise ValueError(f"lexicon has more than {MAX_TERMS} rows")
-    return [(r["name"], r["term"]) for r in sorted(small, key=lambda r: (r["name"], r["ordinal"]))]
+    rows = sorted(small, key=lambda r: (r["version"] or "", r["name"], r["ordinal"]))
+    return [(r["version"], r["name"], r["term"]) for r in rows]
 
 
 def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
                     key: str = "id", engine: str | None = None) -> DataFrame:
-    """One row (key, lexicon, term) per lexicon term contained in a text."""
+    """One row (key, version, lexicon, term) per lexicon term contained in a text."""
     entries = collect_lexicon(lexicon)
-    idx = TermIndex([t for _, t in entries], engine=session_engine(df, engine))
+    idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
     d = with_term_flags(spread(df.select(key, text)), text, idx, text_columns=False)
     items = ", ".join(
-        f"CASE WHEN `{idx.names[t]}` THEN named_struct('lexicon', {sql_string(n)}, 'term', {sql_string(t)}) END"
-        for n, t in entries)
+        f"CASE WHEN `{idx.names[t]}` THEN named_struct('version', {sql_string(v) if v is not None else 'cast(null AS string)'}, "
+        f"'lexicon', {sql_string(n)}, 'term', {sql_string(t)}) END"
+        for v, n, t in entries)
     found = F.expr(f"array_compact(array({items}))")
     out = d.select(F.col(key), F.explode(found).alias("__m"))
-    return drop_work_columns(out.select(key, "__m.lexicon", "__m.term"))
+    return out.select(key, "__m.version", "__m.lexicon", "__m.term")
 
 
 def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
                 key: str = "id", engine: str | None = None) -> DataFrame:
-    """G2 per lexicon name: one count column per lexicon (``n_<name>``)."""
+    """G2 per lexicon: one count column each, ``n_<name>``, or ``n_<version>_<name>``
+    where the table holds several versions."""
     entries = collect_lexicon(lexicon)
-    idx = TermIndex([t for _, t in entries], engine=session_engine(df, engine))
+    idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
     d = with_term_flags(spread(df.select(key, text)), text, idx, text_columns=False)
     h = idx.hits()
-    names = list(dict.fromkeys(n for n, _ in entries))
-    cols = [h.count([t for n2, t in entries if n2 == n]).alias(f"n_{n}") for n in names]
+    lists: dict[tuple, list[str]] = {}
+    for v, n, t in entries:
+        lists.setdefault((v, n), []).append(t)
+    several = len({v for v, _ in lists}) > 1
+    cols = [h.count(list(dict.fromkeys(ts))).alias(f"n_{v}_{n}" if several else f"n_{n}") for (v, n), ts in lists.items()]
     return d.select(key, *cols)

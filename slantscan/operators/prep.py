@@ -24,6 +24,8 @@ V2_LABEL_THRESHOLD = 0.2
 REQUIRED_COLUMNS = ["identity_attack"] + RACE_COLUMNS
 SCORE_COLUMNS = ["toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate"]
 
+KEY_COLUMNS = ["id", "comment_id", "source_rank"]
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -39,8 +41,8 @@ def eligible(df: DataFrame, label_value: int, label: str = "label", text: str =
 
 
 def fill_missing(df: DataFrame, value: float = 0.0) -> DataFrame:
-    """Every missing number becomes ``value``. Text stays null (dropped later by B3)."""
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
+    """Every missing number becomes ``value``, but keys stay null. Text stays null (dropped later by B3)."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC) and f.name not in KEY_COLUMNS]
     return df.na.fill(value, subset=cols) if cols else df
 
 
@@ -81,6 +83,14 @@ def target_split(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def predict(df: DataFrame, value: str = "logit", threshold: float = 0.5, is_logit: bool = True) -> DataFrame:
+    """Adds ``prob`` (the sigmoid of a logit, or the given probability) and
+    ``pred``, 1 if it is above ``threshold`` (a missing value predicts 0)."""
+    v = F.col(value).cast("double")
+    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-v)) if is_logit else v
+    return df.withColumn("prob", prob).withColumn("pred", F.coalesce(F.col("prob") > threshold, F.lit(False)).cast("int"))
+
+
 def union_sources(dfs: Sequence[DataFrame], rank_col: str = "source_rank") -> DataFrame:
     """stack by column name, missing columns null, tagged with the source's rank."""
     out = None
@@ -96,16 +106,24 @@ def dedup_keep_first(df: DataFrame, key: str = "comment_text",
                      order: Sequence[str] = ("source_rank", "id")) -> DataFrame:
     """One row per distinct key, the first in source order; null keys form one group.
 
-    ``min_by`` aggregates partially before the shuffle, so a key repeated a
-    billion times costs one row per map task. Rows are grouped by the
-    SHA-256 of the key (32 bytes) rather than the text itself.
+    No text is sorted or moved to find the first: the order columns and a
+    128-bit fingerprint of the key alone are aggregated (partially before the
+    shuffle, so a key repeated a billion times costs one row per map task), and
+    only fingerprints that occur more than once come back as a join side: rows
+    that are not the first of such a one are dropped. Where duplicates are few,
+    that side is broadcast by its measured size and the text never shuffles.
+    Rows that are equal in key and order columns are one row.
     """
     cols = df.columns
-    picked = (
-        df.groupBy(F.sha2(F.col(key), 256).alias("__k"))
-        .agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order])).alias("__r"))
-    )
-    return picked.select(*[F.col("__r")[c].alias(c) for c in cols])
+    k = F.struct(F.col(key).isNull().alias("n"), F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
+    narrow = df.select(k.alias("__k"), *order)
+    first = F.struct(*[F.struct(F.col(c).isNotNull().alias("is"), F.col(c).alias("v")) for c in order])
+    many = (narrow.groupBy("__k").agg(F.min(first).alias("__first"), F.count(F.lit(1)).alias("__n"))
+            .filter(F.col("__n") > 1).select(F.col("__k").alias("__dup"), "__first"))
+    out = df.select("*", k.alias("__k"), first.alias("__o")).join(many, F.col("__k") == F.col("__dup"), "left")
+    once = out.filter(F.col("__dup").isNull()).select(*cols)
+    again = out.filter(F.col("__dup").isNotNull() & (F.col("__o") == F.col("__first")))
+    return once.unionByName(again.dropDuplicates(["__k"]).select(*cols))
 
 
 def annotator_means(df: DataFrame, key: str = "comment_id",
@@ -116,8 +134,9 @@ def annotator_means(df: DataFrame, key: str = "comment_id",
 
 def attach_scores(df: DataFrame, scores: DataFrame, key: str = "id",
                   score: str = "model_score") -> DataFrame:
-    """The classifier's score per comment, 0 when absent."""
-    s = scores.select(F.col(key), F.col(score).alias("__s"))
+    """The classifier's score per comment, 0 when absent. Of several scores
+    for one key the highest counts, so no comment is multiplied."""
+    s = scores.groupBy(key).agg(F.max(score).alias("__s"))
     return df.join(s, key, "left").withColumn(score, F.coalesce(F.col("__s"), F.lit(0.0))).drop("__s")
 
 

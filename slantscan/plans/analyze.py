@@ -65,7 +65,7 @@ def score_v2(df: DataFrame, text: str = "comment_text", model_score: str | None
     d = d.select("*", rules_v2.base_score(f).alias("__base"))
     d = d.select("*", rules_v2.final_score(f, F.col("__base"), m).alias("bias_score"))
     d = d.select("*", report.decide(F.col("bias_score")).alias("is_biased"))
-    return d if keep_work else drop_work_columns(d)
+    return d if keep_work else drop_work_columns(d, keep)
 
 
 def score_v1(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
@@ -79,7 +79,7 @@ def score_v1(df: DataFrame, text: str = "comment_text", model_score: str | None
     d = d.select("*", rules_v1.final_score(f, m).alias("bias_score"))
     d = d.select("*", report.decide(F.col("bias_score")).alias("is_biased"),
                  F.col("__f_tags").alias("context_tags"))
-    return d if keep_work else drop_work_columns(d)
+    return d if keep_work else drop_work_columns(d, keep)
 
 
 def analyze(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
@@ -126,7 +126,7 @@ def analyze(df: DataFrame, text: str = "comment_text", model_score: str | None =
         report.suggest(biased, scores).alias("alternative"),
         F.col("__tags").alias("pattern_tags"),
     )
-    out = drop_work_columns(out)
+    out = drop_work_columns(out, keep)
     if as_struct:
         fields = ["is_biased", "confidence", "category_scores", "explanation", "alternative"]
         out = out.select(*[c for c in out.columns if c not in fields + ["pattern_tags"]],

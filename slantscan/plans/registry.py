@@ -16,6 +16,7 @@ from .. import lexicons as L
 from ..functions import report, rules_v1, rules_v2
 from ..functions.text import clean_text, normalise_text, truncated_tokens
 from ..operators import aggregate as AG
+from ..operators import evaluate as EV
 from ..operators import lexicon as LX
 from ..operators import prep as P
 from ..operators import sample as S
@@ -57,8 +58,12 @@ def _training(spark, sf, version="v2"):
     return P.prepare_training_set(T.comments(spark, sf), version)
 
 
+CAP = 20      # below the classes' sizes at every scale, so that the cap binds
+DEBUG = 137
+
+
 def _balanced(spark, sf):
-    return S.balanced_sample(_training(spark, sf), cap=S.V2_CAP, seed=S.SEED)
+    return S.balanced_sample(_training(spark, sf), cap=CAP, seed=S.SEED)
 
 
 def _with_nulls(spark, sf):
@@ -125,7 +130,7 @@ def _key_sql(seed: int = S.SEED) -> str:
 
 def _balanced_sql() -> str:
     return f"""{_training_sql()},
-counts AS (SELECT least(count_if(label = 0), count_if(label = 1), {S.V2_CAP}) AS n FROM training),
+counts AS (SELECT least(count_if(label = 0), count_if(label = 1), {CAP}) AS n FROM training),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key_sql()}, id) AS rn FROM training),
 balanced AS (SELECT id, comment_text, label FROM ranked, counts WHERE rn <= n)"""
 
@@ -235,21 +240,32 @@ def q_target_split(spark, sf):
                                f"CAST(1.0::DOUBLE / (1.0::DOUBLE + exp(-logit)) > 0.5 AS INTEGER) AS pred FROM lg")
 def q_predict(spark, sf):
     lg = T.labelled_logits(spark, sf)
-    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))
-    return lg.select("id", r9(prob).alias("prob"), (prob > 0.5).cast("int").alias("pred"))
+    p = P.predict(lg)
+    return p.select("id", r9("prob").alias("prob"), "pred")
 
 
 # ---- C: joins ----------------------------------------------------------------
 
 def _lexicon_values_sql() -> str:
-    rows = ", ".join(f"({q(v)}, {q(n)}, {i}, {q(t)})" for v, n, _, i, t, _ in lexicon_table.rows(("v2",)))
+    rows = ", ".join(f"({q(v)}, {q(n)}, {i}, {q(t)})" for v, n, _, i, t, _ in lexicon_table.rows())
     return f"lex(version, name, ordinal, term) AS (VALUES {rows})"
 
 
 @register("lexicon_matches", f"WITH {SQL_SRC}, {O.norm_cte()}, {_lexicon_values_sql()} "
-                             "SELECT id, name AS lexicon, term FROM norm JOIN lex ON contains(lt, term)")
+                             "SELECT id, version, name AS lexicon, term FROM norm JOIN lex ON contains(lt, term)")
 def q_lexicon_matches(spark, sf):
-    return LX.lexicon_matches(_planted(spark, sf), lexicon_table.lexicon_df(spark, ("v2",)))
+    return LX.lexicon_matches(_planted(spark, sf), lexicon_table.lexicon_df(spark))
+
+
+LEXICONS = list(dict.fromkeys((v, n) for v, n, *_ in lexicon_table.rows()))
+
+
+@register("term_counts", f"WITH {SQL_SRC}, {O.norm_cte()}, {_lexicon_values_sql()} SELECT id, "
+                         + ", ".join(f"count(DISTINCT term) FILTER (version = {q(v)} AND name = {q(n)}) AS n_{v}_{n}" for v, n in LEXICONS)
+                         + " FROM norm LEFT JOIN lex ON contains(lt, term) GROUP BY id")
+def q_term_counts(spark, sf):
+    d = LX.term_counts(_planted(spark, sf), lexicon_table.lexicon_df(spark))
+    return d.select("id", *[F.col(f"n_{v}_{n}").cast("long").alias(f"n_{v}_{n}") for v, n in LEXICONS])
 
 
 @register("attach_scores", f"WITH {_comments_sql()}, sc AS (SELECT doc_id AS id, {O.model_sql()} AS model_score FROM labels) "
@@ -324,8 +340,7 @@ def _rounded_metrics(m: DataFrame) -> DataFrame:
                             + _metrics_sql("p"))
 def q_binary_metrics(spark, sf):
     lg = T.labelled_logits(spark, sf)
-    p = lg.select(((F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit")))) > 0.5).cast("int").alias("pred"), "label")
-    return _rounded_metrics(AG.binary_metrics(p))
+    return _rounded_metrics(AG.binary_metrics(P.predict(lg)))
 
 
 @register("focal_loss", f"WITH {_logits_sql()}, b AS (SELECT greatest(logit, 0.0::DOUBLE) - logit * label + ln(1.0::DOUBLE + exp(-abs(logit))) AS bce FROM lg) "
@@ -369,9 +384,27 @@ def q_shuffle(spark, sf):
     return S.shuffle(_balanced(spark, sf)).select("id", "shuffle_rank")
 
 
-@register("debug_sample", f"WITH {_comments_sql()} SELECT id FROM comments ORDER BY {_key_sql()}, id LIMIT 1000")
+@register("stratified_split_all", f"WITH {_training_sql()}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key_sql()}, id) AS rn, "
+                                  "count(*) OVER (PARTITION BY label) AS n FROM training) "
+                                  "SELECT id, label, CASE WHEN rn <= ceil(n * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r")
+def q_split_all(spark, sf):
+    return S.stratified_split(_training(spark, sf)).select("id", "label", "split")
+
+
+@register("shuffle_rank_all", f"WITH {_training_sql()} SELECT id, CAST(row_number() OVER (ORDER BY {_key_sql()}, id) AS INTEGER) AS shuffle_rank FROM training")
+def q_shuffle_all(spark, sf):
+    return S.shuffle(_training(spark, sf)).select("id", "shuffle_rank")
+
+
+@register("sample_or_all", f"WITH {_training_sql()} SELECT id, label FROM training WHERE label = 0")
+def q_sample_or_all(spark, sf):
+    """With an empty class there is no balanced sample; every row stays."""
+    return S.balanced_sample(_training(spark, sf).filter("label = 0"), cap=CAP).select("id", "label")
+
+
+@register("debug_sample", f"WITH {_comments_sql()} SELECT id FROM comments ORDER BY {_key_sql()}, id LIMIT {DEBUG}")
 def q_debug_sample(spark, sf):
-    return S.debug_sample(_comments(spark, sf), n=1000).select("id")
+    return S.debug_sample(_comments(spark, sf), n=DEBUG).select("id")
 
 
 THRESHOLDS = [-2.0, -1.0, 0.0, 1.0, 2.0]
@@ -585,13 +618,13 @@ def q_token_context(spark, sf):
 @register("group_list", _feat_sql(f"{O.count(L.EXPLICIT_RACIAL_TERMS)} >= 3 AS group_list"))
 def q_group_list(spark, sf):
     d, h = _v1(spark, sf)
-    return d.select("id", (h.count(L.EXPLICIT_RACIAL_TERMS) >= 3).alias("group_list"))
+    return d.select("id", rules_v1.group_list(h).alias("group_list"))
 
 
 @register("war_context", _feat_sql(f"({O.any_(L.V1_WAR_TERMS)} AND {O.count(L.EXPLICIT_RACIAL_TERMS)} > 0) AS war_context"))
 def q_war_context(spark, sf):
     d, h = _v1(spark, sf)
-    return d.select("id", (h.any(L.V1_WAR_TERMS) & (h.count(L.EXPLICIT_RACIAL_TERMS) > 0)).alias("war_context"))
+    return d.select("id", rules_v1.war_context(h).alias("war_context"))
 
 
 @register("context_score_v1", _v1_sql(f"{sql_r9('ctx')} AS context_score, array_to_string(tags, '|') AS context_tags"))
@@ -685,12 +718,20 @@ def q_analyze(spark, sf):
     return flat_analysis(_analysis(spark, sf))
 
 
+@register("evaluate_rows", f"WITH {O.v2_analysis_ctes()} SELECT v2t.id, CAST(l.toxic AS INTEGER) AS label, CAST(score > {D(L.BIAS_THRESHOLD)} AS INTEGER) AS pred, "
+                           f"CAST(score > {D(L.BIAS_THRESHOLD)} AS INTEGER) = CAST(l.toxic AS INTEGER) AS correct, {sql_r9('score')} AS confidence, "
+                           f"{O.explanation_sql('score', 'tags', O.v2_middle())} AS explanation FROM v2t JOIN labels l ON v2t.id = l.doc_id")
+def q_evaluate_rows(spark, sf):
+    lab = T.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    r = EV.evaluate_rows(_analysis(spark, sf), lab)
+    return r.select("id", "label", "pred", "correct", r9("confidence").alias("confidence"), "explanation")
+
+
 @register("evaluate", f"WITH {O.v2_analysis_ctes()}, p AS (SELECT CAST(score > {D(L.BIAS_THRESHOLD)} AS INTEGER) AS pred, "
                       "CAST(l.toxic AS INTEGER) AS label FROM v2 JOIN labels l ON v2.id = l.doc_id), " + _metrics_sql("p"))
 def q_evaluate(spark, sf):
-    a = _analysis(spark, sf).select("id", F.col("is_biased").cast("int").alias("pred"))
-    lab = T.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label"))
-    return _rounded_metrics(AG.binary_metrics(a.join(lab, "id")))
+    lab = T.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    return _rounded_metrics(EV.evaluate(_analysis(spark, sf), lab))
 
 
 @register("domain_report", f"WITH {O.v2_analysis_ctes()} SELECT d.source AS domain, count(*) AS n, count_if(score > {D(L.BIAS_THRESHOLD)}) AS flagged, "
@@ -710,9 +751,8 @@ def planted_text_col(docs: DataFrame) -> Column:
 @register("pair_margin", f"WITH {O.v2_analysis_ctes()} SELECT id // 2 AS pair, "
                          f"{sql_r9('sum(CASE WHEN id % 2 = 1 THEN score ELSE -score END)')} AS margin, count(*) AS members FROM v2 GROUP BY id // 2")
 def q_pair_margin(spark, sf):
-    from ..operators.evaluate import pair_margin
     a = _analysis(spark, sf).select("id", "confidence")
-    pm = pair_margin(a.select((F.col("id") / 2).cast("long").alias("pair"),
+    pm = EV.pair_margin(a.select((F.col("id") / 2).cast("long").alias("pair"),
                               (F.col("id") % 2 == 1).alias("is_biased_member"), "confidence"))
     return pm.select("pair", r9("margin").alias("margin"), "members")
 
@@ -759,7 +799,7 @@ def q_model_scores(spark, sf):
     return M.model_scores(_planted(spark, sf).select("id", "comment_text"), m).select("id", "model_score")
 
 
-@register("score_stream")
+@register("score_stream", ANALYZE_SQL)
 def q_score_stream(spark, sf):
     """The documents table read as a file stream, analysed, appended to Parquet."""
     import uuid
@@ -777,6 +817,67 @@ def q_score_stream(spark, sf):
     return flat_analysis(spark.read.parquet(sink))
 
 
+# ---- A: sources and sinks, through CSV files in the shared folder ---------------
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_csv(df: DataFrame, name: str) -> str:
+    """Write ``df`` as CSV with its columns in another order and one more."""
+    cols = sorted(df.columns, key=lambda c: (len(c), c), reverse=True)
+    path = _folder(df.sparkSession, name)
+    df.select(F.lit('say "no",').alias("extra"), *cols).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return path
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r9(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+COMMENT_COLS = ["id", "comment_text", *NUMERIC]
+SQL_QUOTED = _comments_sql().replace("text AS comment_text", "'a \"' || text || '\",' || chr(10) || 'b' AS comment_text")
+
+
+def _quoted(spark, sf) -> DataFrame:
+    """Comments whose texts hold quotes, commas and line breaks."""
+    c = _comments(spark, sf).select(*COMMENT_COLS)
+    return c.withColumn("comment_text", F.concat(F.lit('a "'), "comment_text", F.lit('",\nb')))
+
+
+@register("read_comments", f"WITH {SQL_QUOTED} SELECT id, comment_text, {', '.join(sql_r9(c) + ' AS ' + c for c in NUMERIC)} FROM comments")
+def q_read_comments(spark, sf):
+    from ..sources import csv as C
+    return _rounded(C.read_comments(spark, _as_csv(_quoted(spark, sf), "comments")).select(*COMMENT_COLS))
+
+
+@register("read_annotations", f"WITH {_annotations_sql()} SELECT comment_id, {', '.join(sql_r9(c) + ' AS ' + c for c in P.SCORE_COLUMNS)} FROM ann")
+def q_read_annotations(spark, sf):
+    from ..sources import csv as C
+    return _rounded(C.read_annotations(spark, _as_csv(T.annotations(spark, sf), "annotations")).select("comment_id", *P.SCORE_COLUMNS))
+
+
+@register("load_sources", f"WITH {SQL_QUOTED}, {_annotations_sql()} SELECT 0 AS source_rank, id, comment_text, {sql_r9('target')} AS target, -1::BIGINT AS comment_id, NULL::DOUBLE AS toxic FROM comments "
+                          f"UNION ALL SELECT 1, -1, NULL, NULL, comment_id, {sql_r9('avg(toxic)')} FROM ann GROUP BY comment_id")
+def q_load_sources(spark, sf):
+    """The second source is missing and skipped."""
+    from ..sources import csv as C
+    a, b = _as_csv(_quoted(spark, sf), "comments"), _as_csv(T.annotations(spark, sf), "annotations")
+    df = C.load_sources(spark, [(a, "comments"), (a + "-missing", "comments"), (b, "annotations")])
+    return _rounded(df.select("source_rank", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("id", "comment_id")], "comment_text", "target", "toxic"))
+
+
+@register("training_set_round_trip", f"WITH {_training_sql()} SELECT comment_text, label FROM training")
+def q_training_set_round_trip(spark, sf):
+    from ..sources import csv as C
+    path = _folder(spark, "training")
+    C.write_training_set(_training(spark, sf).select("label", "comment_text"), path, "csv")
+    return C.read_training_set(spark, path, "csv")
+
+
 # ---- §3.2: the whole preparation job ------------------------------------------------
 
 @register("prepare_training_set", f"""WITH {_comments_sql()},

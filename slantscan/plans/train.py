@@ -1,7 +1,7 @@
 """The training-set preparation job as one Spark plan.
 
-sources -> annotator means -> union -> dedup -> fill -> require -> label ->
-projection -> (materialised) -> counts, guard -> balanced sample -> shuffle
+sources -> annotator means -> union -> dedup -> (materialised) -> fill ->
+require -> label -> projection -> counts, guard -> balanced sample -> shuffle
 -> sink. The prepared table is checkpointed into the cluster's shared
 checkpoint folder before the counts and the sample read it again: the
 lineage is cut, executors lost later do not recompute the preparation, and
@@ -35,11 +35,11 @@ def prepare(spark: SparkSession, merged: DataFrame, version: str = "v2", cap: in
     ensure_checkpoint_dir(spark)
     dedup = (version == "v2") if dedup is None else dedup
     df = P.dedup_keep_first(merged) if dedup else merged
+    df = df.checkpoint(eager=True)  # reliable checkpoint in spark.checkpoint.dir: sources are read once
     if debug_rows:
         df = S.debug_sample(df, debug_rows, seed)
     split = P.target_split(df)
     labelled = P.training_projection(P.derive_label(P.require_columns(P.fill_missing(df)), version))
-    labelled = labelled.checkpoint(eager=True)  # reliable checkpoint in spark.checkpoint.dir
     AG.empty_class_guard(labelled)
     cap = cap if cap is not None else (S.V1_CAP if version == "v1" else S.V2_CAP)
     sample = S.shuffle(S.balanced_sample(labelled, cap=cap, seed=seed), seed)
@@ -82,7 +82,7 @@ def train_bias_model(spark: SparkSession, sources, dataset_path: str, model_path
         return None
     if "id" not in merged.columns:
         from pyspark.sql import functions as F
-        merged = merged.withColumn("id", F.monotonically_increasing_id())
+        merged = merged.withColumn("id", F.xxhash64("source_rank", "comment_text"))  # whatever the file splits
     prepared = prepare(spark, merged, version=version)
     write_training_set(prepared.training.select("comment_text", "label"), dataset_path, fmt)
     return train_model(spark, dataset_path, model_path, fmt)

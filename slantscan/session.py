@@ -7,11 +7,13 @@ session the caller built; ``local_session`` is for tests and the bench only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SPREAD_KEY = "spark.slantscan.spread"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "slantscan") -> SparkSession:
@@ -35,9 +37,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only if unset (tests)."""
+    """The cluster's shared ``spark.checkpoint.dir``. Where it is unset, a
+    one-machine session (tests, bench) gets a scratch folder; any other is
+    refused, because executors would not see a machine-local one."""
     d = spark.conf.get(CHECKPOINT_KEY, None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="slantscan-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, d)
     try:
@@ -48,25 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-bound stage at least one partition per core.
+    """Deal the rows of a CPU-bound stage out over ``spark.slantscan.spread`` partitions.
 
-    Scoring costs far more per byte than a shuffle of its input, but a scan
-    yields one task per Parquet row group: a small table written as a single
-    row group is scored by one task. When the scan plans at most half as
-    many partitions as the session has cores, rows are spread round-robin
-    (deterministic on retry: Spark sorts before a round-robin repartition).
-    Inputs with more splits than that pass through untouched: a full shuffle
-    of the text would buy less than 2x parallelism.
+    Off unless the session names a number: a table in few large row groups is
+    scored by as many tasks, and only the caller knows whether a shuffle of the
+    text is worth it (``spark.sql.files.maxPartitionBytes`` is the usual tool).
+    Rows are dealt round-robin, which Spark makes repeatable by a sort.
+    Streams are never dealt out.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        # Planning only: an input that already ends in a shuffle (or holds a
-        # broadcast) is left alone, so that counting its partitions can never
-        # make adaptive execution run those stages ahead of the query.
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        if "Exchange" in plan or "QueryStage" in plan:
-            return df
-        n = df.rdd.getNumPartitions()  # a scan's file splits; nothing runs
-    except Exception:  # noqa: BLE001  (Spark Connect, streaming: let the cluster decide)
-        return df
-    return df.repartition(cores) if 2 * n <= cores else df
+    n = int(df.sparkSession.conf.get(SPREAD_KEY, "0"))
+    return df.repartition(n) if n > 0 and not df.isStreaming else df

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from slantscan.plans import registry
 from slantscan.sources.tables import TABLES
 
 from conftest import SF_SMALL
@@ -47,7 +48,7 @@ def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_oracle(spark, duck, name):
     sp = E.queries()[name](spark, SF_SMALL).toPandas()
     dk = duck.execute(E.oracle_sql()[name]).df()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slantscan.operators import model as M
+from slantscan.operators import prep as P
 from slantscan.plans import registry as R
 from slantscan.plans.analyze import analyze
 from slantscan.sources import csv as C
@@ -33,6 +34,48 @@ def test_csv_round_trip_and_optional_sources(spark):
     assert sorted(r.comment_text for r in back) == sorted(['he said "no",\nthen left', "back\\slash"])
 
 
+def test_csv_columns_go_by_name(spark):
+    d = tempfile.mkdtemp(prefix="slantscan-csv-")
+    path = os.path.join(d, "train.csv")
+    pd.DataFrame({"black": [0.7, None], "obscene": [0.1, 0.2], "comment_text": ["a", "b"], "id": [5, 6],
+                  "identity_attack": [0.3, 0.4]}).to_csv(path, index=False)
+    rows = {r.id: r for r in C.read_comments(spark, path).collect()}
+    assert (rows[5].black, rows[5].identity_attack, rows[5].comment_text) == (0.7, 0.3, "a") and rows[6].black is None
+    assert set(C.read_comments(spark, path).columns) == {"id", "comment_text", "black", "identity_attack"}
+    with pytest.raises(ValueError, match="latino"):
+        P.require_columns(C.read_comments(spark, path))
+    with pytest.raises(ValueError, match="comment_id"):
+        C.read_annotations(spark, path)
+    assert C.load_sources(spark, [(path, "comments"), (path, "annotations")]).count() == 2
+
+
+def test_csv_bad_rows_are_not_zeroed(spark):
+    d = tempfile.mkdtemp(prefix="slantscan-csv-")
+    path = os.path.join(d, "train.csv")
+    with open(path, "w") as f:
+        f.write("id,comment_text,black\n1,good,0.5\n2,bad number,much\n3,too few\n4,too,0.1,many\n5,empty,\n")
+    good = C.read_comments(spark, path, bad="reject").collect()
+    assert sorted((r.id, r.black) for r in good) == [(1, 0.5), (5, None)]
+    assert C.read_comments(spark, path, bad="only").count() == 3
+    with pytest.raises(Exception, match="doesn't fit its columns"):
+        C.read_comments(spark, path).collect()
+
+
+def test_stream_restart_loses_nothing(spark):
+    src, sink = tempfile.mkdtemp(prefix="slantscan-src-"), tempfile.mkdtemp(prefix="slantscan-sink-")
+    docs = T.read_table(spark, SF_SMALL, "documents")
+
+    def prep(s):
+        return s.select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    for k in range(2):  # start, stop, another file arrives, start again
+        docs.filter(F.col("doc_id") % 2 == k).coalesce(1).write.mode("append").parquet(src)
+        q = start_parquet_stream(spark, src, docs.schema, sink, prepare=prep)
+        q.awaitTermination(300)
+    stream = spark.read.parquet(sink).select("id", "confidence")
+    batch = analyze(prep(docs)).select("id", "confidence")
+    assert stream.count() == docs.count() and stream.exceptAll(batch).count() == 0
+
+
 def test_classifier_train_validate_save(spark):
     d = R._labelled_docs(spark, SF_SMALL)
     m = M.train_classifier(d.filter("split = 'train'"), max_iter=10)

@@ -29,14 +29,27 @@ def test_dedup_and_means_aggregate_before_the_shuffle(spark):
         assert re.search(r"partial_", plan), name
 
 
-def test_samples_are_top_n(spark):
-    for name in ("balanced_sample", "class_examples", "debug_sample"):
+def test_samples_filter_without_sorting_or_gathering(spark):
+    for name in ("balanced_sample", "class_examples", "debug_sample", "stratified_split", "stratified_split_all"):
         plan = plan_of(E.queries()[name](spark, SF_SMALL))
-        assert "TakeOrderedAndProject" in plan, name
+        assert not re.search(r"TakeOrdered|Sort \[|Window|Exchange", plan), name
+    for name in ("shuffle_rank", "shuffle_rank_all"):
+        plan = plan_of(E.queries()[name](spark, SF_SMALL))
+        assert "SinglePartition" not in plan, name
+
+
+def test_dedup_finds_the_first_without_texts(spark):
+    """Texts appear in no aggregate but the one that drops ties, which only the
+    first rows of repeated keys reach."""
+    plan = plan_of(E.queries()["dedup_keep_first"](spark, SF_SMALL))
+    assert "min_by" not in plan
+    carrying = [x for x in plan.split("\n") if "Aggregate" in x and "comment_text" in x]
+    assert all("first(comment_text" in x for x in carrying)
 
 
 def test_no_query_uses_a_cross_product(spark):
-    for name, fn in E.queries().items():
+    from slantscan.plans import registry
+    for name, fn in registry.Q.items():
         if name in ROWS_ONLY:
             continue
         plan = plan_of(fn(spark, SF_SMALL))

@@ -167,17 +167,60 @@ def test_prepare_job_v1_v2(spark):
         assert w.total == dist.total
 
 
-def test_spread_only_under_partitioned_inputs(spark):
-    from slantscan.session import spread
-    cores = spark.sparkContext.defaultParallelism
+def test_spread_is_off_unless_asked_for(spark):
+    from slantscan.session import SPREAD_KEY, spread
     one = spark.range(100).coalesce(1)
-    many = spark.range(100).repartition(cores * 2)
-    assert spread(one).rdd.getNumPartitions() == cores
-    assert spread(many).rdd.getNumPartitions() == cores * 2
-    assert sorted(r.id for r in spread(one).collect()) == list(range(100))
-
-
-def test_spread_leaves_shuffled_inputs_alone(spark):
-    from slantscan.session import spread
-    agg = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
-    assert spread(agg) is agg
+    assert spread(one) is one
+    spark.conf.set(SPREAD_KEY, "6")
+    try:
+        assert spread(one).rdd.getNumPartitions() == 6
+        assert sorted(r.id for r in spread(one).collect()) == list(range(100))
+    finally:
+        spark.conf.unset(SPREAD_KEY)
+
+
+def test_user_columns_survive(spark):
+    from slantscan.plans.analyze import analyze, score_v1, score_v2
+    df = spark.createDataFrame([(1, "black crime", 0.2, "mine")], "id long, comment_text string, model_score double, __mine string")
+    for out in (score_v2(df), score_v1(df), analyze(df)):
+        assert out.first()["__mine"] == "mine" and [c for c in out.columns if c.startswith("__")] == ["__mine"]
+
+
+def test_keys_are_not_filled_and_scores_do_not_multiply(spark):
+    df = spark.createDataFrame([(None, "a", None), (2, "b", 0.5)], "id long, comment_text string, black double")
+    assert sorted((r.id or 0, r.black) for r in P.fill_missing(df).collect()) == [(0, 0.0), (2, 0.5)]
+    assert P.fill_missing(df).filter("id IS NULL").count() == 1
+    sc = spark.createDataFrame([(2, 0.4), (2, 0.9)], "id long, model_score double")
+    got = P.attach_scores(df, sc).collect()
+    assert len(got) == 2 and {r.model_score for r in got} == {0.0, 0.9}
+
+
+def test_samples_refine_the_border_prefix(spark, monkeypatch):
+    """Several levels of hash prefixes give the rows of a plain sort."""
+    import hashlib
+    monkeypatch.setattr(S, "FEW", 1)
+    monkeypatch.setattr(S, "PREFIX", 1)
+    df = spark.range(500).selectExpr("id", "cast(id % 3 = 0 AS int) AS label")
+    order = sorted(range(500), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert {r.id for r in S.debug_sample(df, 137).collect()} == set(order[:137])
+    val = {r.id for r in S.stratified_split(df).filter("split = 'val'").collect()}
+    assert val == {i for k in (0, 1) for c in [[i for i in order if (i % 3 == 0) == bool(k)]] for i in c[: math.ceil(len(c) * 0.2)]}
+    assert [r.id for r in S.shuffle(df).orderBy("shuffle_rank").collect()] == order
+    assert S.debug_sample(df, 0).count() == 0 and S.debug_sample(df.limit(0), 5).count() == 0
+
+
+def test_dedup_hot_null_and_tied_rows(spark):
+    rows = [(k, 0, "same") for k in range(300, 100, -1)] + [(1, 1, None), (2, 0, None), (5, 3, "x"), (5, 3, "x"), (None, 2, "y"), (7, 2, "y")]
+    df = spark.createDataFrame(rows, "id long, source_rank int, comment_text string")
+    got = sorted((r.comment_text or "", r.source_rank, r.id or 0) for r in P.dedup_keep_first(df).collect())
+    assert got == [("", 0, 2), ("same", 0, 101), ("x", 3, 5), ("y", 2, 0)]
+
+
+def test_lexicon_versions_stay_apart(spark):
+    from slantscan.operators.lexicon import lexicon_matches, term_counts
+    from slantscan.sources.lexicon_table import lexicon_df
+    df = spark.createDataFrame([(1, "the black urban lazy")], "id long, comment_text string")
+    m = lexicon_matches(df, lexicon_df(spark)).filter("lexicon = 'explicit' AND term = 'black'").collect()
+    assert sorted(r.version for r in m) == ["v1", "v2"]
+    assert term_counts(df, lexicon_df(spark)).first().n_v2_explicit == 1
+    assert term_counts(df, lexicon_df(spark, ("v2",))).first().n_explicit == 1
