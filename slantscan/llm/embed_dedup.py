@@ -28,11 +28,12 @@ from slantscan.llm.common import Scratch, components, local_roots, row_groups
 from slantscan.llm.vectors import matrix, valid
 
 COSINE = 0.95
-BLOCK_DIMS = 8
+BLOCK_DIMS = 4
 SAMPLE = 20_000  #: rows that cells are fitted on at most
-CELL = 4096  #: rows that live in a cell, on average over the cells
+CELL = 8192  #: rows that live in a cell, on average over the cells
 DEEPEST = 12  #: splits from the whole space to a cell at most
-HOME_BLOCK, VISIT_BLOCK = 2048, 8192
+HOME_BLOCK, VISIT_BLOCK = 16384, 32768
+TILE = 128  #: rows that are compared at once; their surroundings bound what with
 GRID = 1 << 20  #: rotated coordinates are rounded to 1 / GRID
 
 
@@ -239,63 +240,86 @@ def _join(classes: DataFrame, dims: int, n: int, cosine: float, sample: int, scr
     return scratch.save(dealt.mapInArrow(compare, "class long, n long, root long"), f"found{dims}")
 
 
+def _tiles(x: np.ndarray, at: np.ndarray):
+    """Rows that lie close together: halved along the widest dimension down to TILE rows."""
+    if len(at) <= TILE:
+        yield at
+        return
+    d = int(np.argmax(np.ptp(x[at], axis=0)))
+    at = at[np.argsort(x[at, d], kind="stable")]
+    yield from _tiles(x, at[: len(at) // 2])
+    yield from _tiles(x, at[len(at) // 2 :])
+
+
 def _compare(space: Subspaces, block: int, ids, weight, unit, x, lives, others):
-    """Rows of ``others`` that each of ``lives`` links with, first met in this block."""
+    """Rows of ``others`` that each of ``lives`` links with, first met in this block.
+
+    A tile of neighbours is held only against rows that the budget reaches from
+    their common surroundings; single precision rules out what is far from the
+    cosine, and what is left is decided exactly: budgets, then the cosine."""
     s, e = space.blocks[block]
-    step = max(1, (1 << 20) // len(others))
-    y, yu, yid, yw = x[others], unit[others], ids[others], weight[others]
-
-    def within(a, k):
-        p, q = space.blocks[k]
-        d = (a[:, p:q] ** 2).sum(axis=1)[:, None] + (y[:, p:q] ** 2).sum(axis=1)[None, :] - 2 * (a[:, p:q] @ y[:, p:q].T)
-        return d <= space.budget[k]  # whole numbers below 2 ** 53: exact, whatever the order
-
-    for c in range(0, len(lives), step):
-        at = lives[c : c + step]
-        a, au, aid = x[at], unit[at], ids[at]
-        ok = within(a, block)
-        ok &= aid[:, None] != yid[None, :]
-        i, j = np.nonzero(ok)
-        if not len(i):
+    y, y32 = x[others], unit[others].astype(np.float32)
+    for at in _tiles(x[:, s:e], lives):
+        low, high = x[at, s:e].min(axis=0), x[at, s:e].max(axis=0)
+        gap = np.maximum(np.maximum(low - y[:, s:e], y[:, s:e] - high), 0)
+        near = np.flatnonzero((gap * gap).sum(axis=1) <= space.budget[block])
+        if not len(near):
             continue
-        if len(i) * 20 > ok.size:  # dense: whole matrices
-            cos = au @ yu.T
-            near = np.abs(cos - space.cosine) < 1e-9
-            ok &= cos >= space.cosine
-            for p, q in zip(*np.nonzero(near & within(a, block) & (aid[:, None] != yid[None, :])), strict=True):
-                ok[p, q] = _cosine(au[p], yu[q], aid[p], yid[q]) >= space.cosine
-            for k in range(block):
-                if ok.any():
-                    ok &= ~within(a, k)
-            i, j = np.nonzero(ok)
+        rough = unit[at].astype(np.float32) @ y32[near].T >= space.cosine - 1e-4
+        rough &= ids[at][:, None] != ids[others[near]][None, :]
+        found = np.count_nonzero(rough)
+        if not found:
+            continue
+        if found * 4 > rough.size:
+            i, j = _dense(space, block, ids, unit, x, at, others[near], rough)
         else:
-            for z in range(0, len(i), 1 << 15):
-                p, q = i[z : z + (1 << 15)], j[z : z + (1 << 15)]
-                cos = np.einsum("ij,ij->i", au[p], yu[q])
-                good = cos >= space.cosine
-                for m in np.flatnonzero(np.abs(cos - space.cosine) < 1e-9):
-                    good[m] = _cosine(au[p[m]], yu[q[m]], aid[p[m]], yid[q[m]]) >= space.cosine
-                p, q = p[good], q[good]
-                first = np.ones(len(p), bool)
-                d = (a[p] - y[q]) ** 2
-                for k in range(block):
-                    b0, b1 = space.blocks[k]
-                    first &= d[:, b0:b1].sum(axis=1) > space.budget[k]
-                i[z : z + (1 << 15)] = -1
-                i[z : z + len(p)][first] = p[first]
-                j[z : z + len(p)][first] = q[first]
-            j, i = j[i >= 0], i[i >= 0]
+            i, j = _sparse(space, block, ids, unit, x, at, others[near], *np.nonzero(rough))
         if not len(i):
             continue
-        n = np.bincount(i, yw[j], minlength=len(at)).astype(np.int64)
-        node, inv = np.unique(np.concatenate([aid[i], yid[j]]), return_inverse=True)
+        b = others[near]
+        n = np.bincount(i, weight[b[j]], minlength=len(at)).astype(np.int64)
+        node, inv = np.unique(np.concatenate([ids[at[i]], ids[b[j]]]), return_inverse=True)
         root = node[local_roots(len(node), inv[: len(i)], inv[len(i) :])]
         own = np.zeros(len(node), np.int64)
         has = np.flatnonzero(n)
-        own[np.searchsorted(node, aid[has])] = n[has]
+        own[np.searchsorted(node, ids[at[has]])] = n[has]
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own), pa.array(root)], names=["class", "n", "root"])
 
 
+def _dense(space, block, ids, unit, x, a, b, ok):
+    """Most pairs are close: whole matrices. Squared distances of whole numbers
+    below 2 ** 53 are exact, whatever the order of the sums."""
+    for k in range(block + 1):
+        s, e = space.blocks[k]
+        p, q = x[a, s:e], x[b, s:e]
+        within = (p**2).sum(axis=1)[:, None] + (q**2).sum(axis=1)[None, :] - 2 * (p @ q.T) <= space.budget[k]
+        ok &= within if k == block else ~within
+        if not ok.any():
+            break
+    cos = unit[a] @ unit[b].T
+    for i, j in zip(*np.nonzero(ok & (np.abs(cos - space.cosine) < 1e-9)), strict=True):
+        ok[i, j] = _cosine(unit[a[i]], unit[b[j]], ids[a[i]], ids[b[j]]) >= space.cosine
+    ok &= (cos >= space.cosine) | (np.abs(cos - space.cosine) < 1e-9)
+    return np.nonzero(ok)
+
+
+def _sparse(space, block, ids, unit, x, a, b, i, j):
+    out_i, out_j = [], []
+    starts, end = [s for s, _ in space.blocks[: block + 1]], space.blocks[block][1]
+    for z in range(0, len(i), 1 << 15):
+        p, q = i[z : z + (1 << 15)], j[z : z + (1 << 15)]
+        within = np.add.reduceat((x[a[p], :end] - x[b[q], :end]) ** 2, starts, axis=1) <= np.array(space.budget[: block + 1])
+        first = within[:, block] & ~within[:, :block].any(axis=1)
+        p, q = p[first], q[first]
+        cos = np.einsum("ij,ij->i", unit[a[p]], unit[b[q]])
+        good = cos >= space.cosine
+        for m in np.flatnonzero(np.abs(cos - space.cosine) < 1e-9):
+            good[m] = _cosine(unit[a[p[m]]], unit[b[q[m]]], ids[a[p[m]]], ids[b[q[m]]]) >= space.cosine
+        out_i.append(p[good])
+        out_j.append(q[good])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
 def _cosine(a, b, i, j) -> float:
     """A pair's cosine, the same from either side."""
     a, b = (a, b) if i < j else (b, a)
