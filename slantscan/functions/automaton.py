@@ -1,149 +1,94 @@
-"""Multi-pattern substring matching for large lexicons (Arrow-batched).
+"""Multi-pattern substring matching for large lexicons (Arrow batches).
 
 Spark has no multi-pattern search: ``contains`` scans the text once per term
 (about 15 ns per byte and term on Spark 4.1) and one alternation regex is
 interpreted per position. An Aho-Corasick automaton finds every term in one
-pass. This helper runs it inside an iterator pandas UDF: the automaton is
+pass. This helper runs it inside an iterator Arrow UDF: the automaton is
 built once per task, text arrives in Arrow batches, and the result is one
-boolean per term (a struct) that all features read JVM-side.
+bitmap per row that all features read JVM-side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:  # optional dependency; TermIndex falls back to the regex engine without it
-    import ahocorasick  # noqa: F401
-    AVAILABLE = True
-except ImportError:  # pragma: no cover
-    AVAILABLE = False
+BITMAP = T.ArrayType(T.LongType(), False)
 
 
-def flags_udf(terms: Sequence[str], names: Sequence[str]):
-    """pandas UDF: lower-cased text -> struct<name: boolean> (term present).
+def text_bits_udf(terms: Sequence[str], bits: int, out: str, raw_out: str | None = None,
+                  low_out: str | None = None, keep: Sequence[str] = ()):
+    """Arrow UDF: raw text -> struct of
 
-    The function is self-contained (imports inside, no module globals), so it
-    is shipped by value and workers need only numpy, pandas and pyahocorasick.
-    """
-    terms, names = tuple(terms), tuple(names)
-    schema = T.StructType([T.StructField(n, T.BooleanType(), False) for n in names])
-
-    @F.pandas_udf(schema)
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import numpy
-        import pandas
-        try:
-            import ahocorasick
-        except ImportError:
-            ahocorasick = None
-
-        class _Scan:  # worker without the library: same result, slower
-            def iter(self, text):
-                return ((0, i) for i, w in enumerate(terms) if w in text)
-
-        if ahocorasick is None:
-            automaton = _Scan()
-        else:
-            automaton = ahocorasick.Automaton()
-            for i, t in enumerate(terms):
-                automaton.add_word(t, i)
-            automaton.make_automaton()
-        width = len(terms)
-        for texts in batches:
-            hit = numpy.zeros((len(texts), width), dtype=bool)
-            for row, text in enumerate(texts):
-                if text:
-                    for _, i in automaton.iter(text):
-                        hit[row, i] = True
-            yield pandas.DataFrame(hit, columns=list(names))
-
-    return match
-
-
-def flags_struct(lowered: Column, terms: Sequence[str], names: Sequence[str]) -> Column:
-    return flags_udf(terms, names)(lowered)
-
-
-def text_flags_udf(terms: Sequence[str], names: Sequence[str], raw_terms: Sequence[str] = (),
-                   raw_names: Sequence[str] = (), same_name: str = "__rawsame"):
-    """pandas UDF: raw text -> struct of term flags on the normalised
-    lower-cased text, plus (when ``raw_terms`` is given) whether the text was
-    already normalised and flags of ``raw_terms`` on the raw lower-cased text.
+    * ``out``: bitmap of the terms in the normalised lower-cased text; term
+      ``i`` is bit ``i % bits`` of element ``i // bits``;
+    * ``raw_out`` (if named): the same for the raw lower-cased text;
+    * ``low_out`` (if named): the normalised lower-cased text where it holds
+      a term of ``keep``, else the empty string.
 
     Normalisation is Python's own ``' '.join(text.split())`` followed by
     ``lower()`` (the published semantics); the JVM engines emulate it with
-    ``functions.text.WS_CLASS``. Missing text is the empty string.
+    ``functions.text.WS_CLASS``. Missing text is the empty string. The function
+    is self-contained (imports inside, no module globals), so it is shipped by
+    value; workers need numpy, pyarrow and pyahocorasick and fail without them.
     """
-    terms, names = tuple(terms), tuple(names)
-    raw_terms, raw_names = tuple(raw_terms), tuple(raw_names)
-    fields = [T.StructField(n, T.BooleanType(), False) for n in names]
-    if raw_terms:
-        fields += [T.StructField(same_name, T.BooleanType(), False)]
-        fields += [T.StructField(n, T.BooleanType(), False) for n in raw_names]
-    schema = T.StructType(fields)
-    columns = list(names) + ([same_name] + list(raw_names) if raw_terms else [])
-
-    @F.pandas_udf(schema)
-    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    terms = tuple(terms)
+    width = -(-len(terms) // bits)
+    kept = frozenset(i for i, t in enumerate(terms) if t in set(keep))
+    many = frozenset(i for i, t in enumerate(terms) if " " in t)  # may be split over lines in the raw text
+    fields = [T.StructField(out, BITMAP, False)]
+    if raw_out:
+        fields.append(T.StructField(raw_out, BITMAP, False))
+    if low_out:
+        fields.append(T.StructField(low_out, T.StringType(), False))
+    names = [f.name for f in fields]
+
+    @F.arrow_udf(T.StructType(fields))
+    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import ahocorasick
         import numpy
-        import pandas
-        try:
-            import ahocorasick
-        except ImportError:
-            ahocorasick = None
-
-        def build(words):
-            if ahocorasick is None:  # worker without the library: same result, slower
-                return _Scan(words)
-            a = ahocorasick.Automaton()
-            for i, t in enumerate(words):
-                a.add_word(t, i)
-            a.make_automaton()
-            return a
-
-        class _Scan:
-            def __init__(self, words):
-                self.words = list(enumerate(words))
-
-            def iter(self, text):
-                return ((0, i) for i, w in self.words if w in text)
+        import pyarrow
+
+        automaton = ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            automaton.add_word(t, i)
+        automaton.make_automaton()
+        mask = 2 ** (numpy.arange(len(terms), dtype="int64") % bits)
+
+        def bitmaps(sets):
+            n = len(sets)
+            ids = numpy.fromiter((i for s in sets for i in s), "int64")
+            rows = numpy.repeat(numpy.arange(n), [len(s) for s in sets])
+            words = numpy.zeros(n * width, dtype="int64")
+            numpy.bitwise_or.at(words, rows * width + ids // bits, mask[ids])
+            ends = numpy.arange(0, n * width + 1, width, dtype="int32")
+            return pyarrow.ListArray.from_arrays(pyarrow.array(ends), pyarrow.array(words))
 
-        automaton = build(terms)
-        with_raw = bool(raw_terms)
-        # position of each raw term among ``terms`` (raw terms are a subset)
-        where = numpy.array([terms.index(t) for t in raw_terms], dtype=int)
-        width, rwidth = len(terms), len(raw_terms)
         for texts in batches:
-            n = len(texts)
-            hit = numpy.zeros((n, width), dtype=bool)
-            same = numpy.ones(n, dtype=bool)
-            rhit = numpy.zeros((n, rwidth), dtype=bool)
-            for row, text in enumerate(texts):
-                if not isinstance(text, str) or not text:
-                    continue
+            sets, raw_sets, lows = [], [], []
+            for value in texts:
+                text = value.as_py() or ""
                 norm = " ".join(text.split())
                 low = norm.lower()
-                for _, i in automaton.iter(low):
-                    hit[row, i] = True
-                if with_raw:
-                    if text == norm:
-                        rhit[row] = hit[row, where]
-                    else:
+                found = {i for _, i in automaton.iter(low)}
+                sets.append(found)
+                if raw_out:
+                    if text != norm and not found.isdisjoint(many):
                         # a multi-word term in the raw text is also in the
                         # normalised one: only those found there need a look
-                        same[row] = False
-                        found = numpy.nonzero(hit[row, where])[0]
-                        if len(found):
-                            raw_low = text.lower()
-                            for j in found:
-                                rhit[row, j] = raw_terms[j] in raw_low
-            if with_raw:
-                hit = numpy.hstack([hit, same[:, None], rhit])
-            yield pandas.DataFrame(hit, columns=columns)
+                        raw_low = text.lower()
+                        found = {i for i in found if i not in many or terms[i] in raw_low}
+                    raw_sets.append(found)
+                if low_out:
+                    lows.append("" if sets[-1].isdisjoint(kept) else low)
+            columns = [bitmaps(sets)]
+            if raw_out:
+                columns.append(bitmaps(raw_sets))
+            if low_out:
+                columns.append(pyarrow.array(lows, pyarrow.string()))
+            yield pyarrow.StructArray.from_arrays(columns, names=names)
 
     return match

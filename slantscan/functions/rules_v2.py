@@ -1,6 +1,6 @@
 """V2 lexicon features (G5-G13, G19, G20) and rule chain (H2, H3).
 
-Every feature is a column expression over the term flags of one
+Every feature is a column expression over the term bitmap of one
 ``TermIndex`` (see ``terms.py``). Running sums that the rule set compares
 with strict thresholds are built in the same order as the rule set adds
 them, so that float results agree to the last bit; adding ``0.0`` or
@@ -121,7 +121,7 @@ def relation_scores(h: Hits, raw: bool = False) -> dict[str, Column]:
     out = {}
     for group, kinds in L.V2_CONTEXTUAL_RELATIONSHIPS.items():
         for kind, pairs in kinds.items():
-            s = seq_sum([_when(h._hit(a, raw) & h._hit(b, raw), 0.3) for a, b in pairs])
+            s = seq_sum([_when(h.hit(a, raw) & h.hit(b, raw), 0.3) for a, b in pairs])
             out[RELATION_OUTPUTS[(group, kind)]] = F.least(s, F.lit(1.0))
     return out
 

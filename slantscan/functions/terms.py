@@ -3,28 +3,32 @@
 The detector matches every term as a *substring* of the lower-cased text and
 counts distinct terms present, not occurrences. The same term occurs in many
 lists (``welfare`` is coded language, an economic term and a pair member), so
-a ``TermIndex`` gives every distinct term one boolean column, computed once
-per row. Features are then plain boolean and integer arithmetic over those
-columns, JVM-side, with no higher-order lambda that would re-evaluate
-``lower(text)`` per term. How the flags are found is the engine's business:
-one Aho-Corasick pass per text (``automaton``, default), one regex pass
+a ``TermIndex`` numbers the distinct terms and gives every row one bitmap of
+those present (63 terms a long). A list of terms is then a few masks: G3 is
+``bits[k] & mask != 0``, G2 the sum of ``bit_count(bits[k] & mask)``. These
+are JVM-side expressions of a size that hardly grows with the lexicon. How the
+bits are found is the engine's business: one Aho-Corasick pass per text
+(``automaton``, default), one regex pass
 (``regex``) or one ``contains`` per term (``contains``).
 """
 
 from __future__ import annotations
 
+import importlib.util
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import text_bits_udf
 from .text import normalise_text
 
-MAX_TERMS = 100_000  # literals are compiled into the plan; keep them bounded
-# Engine used when none is named. "automaton" (one Aho-Corasick pass per text
-# in an Arrow-batched UDF) measured 1.6-2.0 s for the V2 score at sf0.1 on
-# local[8], "regex" (pure JVM) 6.0 s and "contains" 5.8 s; results are
-# identical. Without pyahocorasick, "automaton" falls back to "regex".
+MAX_TERMS = 100_000  # a lexicon is read on the driver and held by every task; keep it bounded
+BITS = 63  # terms per long; the sign bit is left alone
+# Engine used when none is named; it needs pyahocorasick on driver and workers
+# and fails without it. "regex" and "contains" are pure JVM, slower, and give
+# identical results.
 DEFAULT_ENGINE = "automaton"
 # A session can choose the engine without code changes, e.g. the pure-JVM one:
 #   spark.conf.set("spark.slantscan.termEngine", "regex")
@@ -41,23 +45,6 @@ def session_engine(df: DataFrame, engine: str | None) -> str | None:
         return None
 
 
-def balanced(op, cols: Sequence[Column], empty: Column) -> Column:
-    """Combine columns with an associative ``op`` as a tree of log depth.
-
-    A left-deep chain of hundreds of ``+`` or ``|`` nodes overflows the JVM
-    stack during analysis; a balanced tree does not.
-    """
-    cols = list(cols)
-    if not cols:
-        return empty
-    while len(cols) > 1:
-        nxt = [op(cols[i], cols[i + 1]) for i in range(0, len(cols) - 1, 2)]
-        if len(cols) % 2:
-            nxt.append(cols[-1])
-        cols = nxt
-    return cols[0]
-
-
 def _regex_char(ch: str) -> str:
     return ch if (ch.isascii() and ch.isalnum()) or ch == " " else "\\" + ch
 
@@ -89,48 +76,49 @@ def trie_pattern(terms: Iterable[str]) -> str:
 
 
 class TermIndex:
-    """Distinct terms in first-seen order, each with a flag column name.
-
-    ``engine="regex"`` (default) finds all terms in one pass per row: a
-    zero-width look-ahead of ``trie_pattern`` at every position, read with
-    the built-in ``regexp_extract_all``, yields the longest term starting at
-    each position; a term is present iff it is a prefix of one of those.
-    That covers nested and overlapping terms (``demographic`` inside
-    ``demographics``, ``race`` inside ``embrace``) exactly like substring
-    search. ``engine="contains"`` runs one ``contains`` per term; same
-    result, about three times slower on 500 terms, simpler plan.
+    """Distinct terms in first-seen order; term ``i`` is bit ``i % 63`` of element
+    ``i // 63`` of the bitmap column.
+
+    ``engine="automaton"`` (default) finds all terms in one pass per text.
+    ``engine="regex"`` does so on the JVM: a zero-width look-ahead of
+    ``trie_pattern`` at every position, read with the built-in
+    ``regexp_extract_all``, yields the longest term starting at each position;
+    a term is present iff it is a prefix of one of those. That covers nested
+    and overlapping terms (``demographic`` inside ``demographics``, ``race``
+    inside ``embrace``) exactly like substring search. ``engine="contains"``
+    runs one ``contains`` per term.
     """
 
     ENGINES = ("regex", "contains", "automaton")
 
     def __init__(self, terms: Iterable[str], prefix: str = "__t", engine: str | None = None):
-        engine = engine or DEFAULT_ENGINE
-        if engine not in self.ENGINES:
+        self.engine = engine or DEFAULT_ENGINE
+        if self.engine not in self.ENGINES:
             raise ValueError(f"engine must be one of {self.ENGINES}")
-        if engine == "automaton":
-            from . import automaton
-            engine = engine if automaton.AVAILABLE else "regex"
-        self.engine = engine
+        if self.engine == "automaton" and importlib.util.find_spec("ahocorasick") is None:
+            raise ImportError(f"engine 'automaton' needs pyahocorasick; install it or set {ENGINE_CONF} to 'regex'")
         self.terms: list[str] = list(dict.fromkeys(terms))
         if len(self.terms) > MAX_TERMS:
             raise ValueError(f"{len(self.terms)} terms exceed the limit of {MAX_TERMS}")
         if any(t == "" for t in self.terms):
             raise ValueError("empty term")
-        self.prefix = prefix
-        self.names = {t: f"{prefix}{i}" for i, t in enumerate(self.terms)}
-        # multi-word terms can differ between raw and normalised text
-        self.raw_terms = [t for t in self.terms if " " in t]
-        self.raw_names = {t: f"{prefix}r{i}" for i, t in enumerate(self.raw_terms)}
+        self.place = {t: i for i, t in enumerate(self.terms)}
+        self.bits = f"{prefix}bits"
+        self.raw_bits = f"{prefix}rawbits"
 
     def __len__(self) -> int:
         return len(self.terms)
 
     def __contains__(self, term: str) -> bool:
-        return term in self.names
+        return term in self.place
 
-    def flag_columns(self, lowered: Column) -> list[Column]:
-        """``contains`` engine: one flag per term."""
-        return [lowered.contains(F.lit(t)).alias(self.names[t]) for t in self.terms]
+    def masks(self, terms: Iterable[str]) -> dict[int, int]:
+        """Element of the bitmap -> mask of the given terms in it."""
+        out: dict[int, int] = {}
+        for t in terms:
+            k, bit = divmod(self.place[t], BITS)
+            out[k] = out.get(k, 0) | 1 << bit
+        return out
 
     def pattern(self) -> str:
         return "(?=(" + trie_pattern(self.terms) + "))"
@@ -139,43 +127,42 @@ class TermIndex:
         """Indexed terms that start with ``term`` (itself first)."""
         return [term] + [c for c in self.terms if c != term and c.startswith(term)]
 
-    def add_flags(self, df: DataFrame, lowered: str) -> DataFrame:
-        """Add one boolean column per term for the text in column ``lowered``."""
-        if self.engine == "contains" or not self.terms:
-            return df.select("*", *self.flag_columns(F.col(lowered)))
-        caps = f"{self.prefix}caps"
-        if self.engine == "automaton":
-            from .automaton import flags_struct
-            names = [self.names[t] for t in self.terms]
-            found = df.select("*", flags_struct(F.col(lowered), self.terms, names).alias(caps))
-            return found.select("*", f"{caps}.*").drop(caps)
-        found = df.select(
-            "*",
-            F.array_distinct(F.regexp_extract_all(F.col(lowered), F.lit(self.pattern()), 1)).alias(caps),
-        )
-        flags = [
-            balanced(lambda a, b: a | b,
-                     [F.array_contains(F.col(caps), F.lit(c)) for c in self.extensions(t)],
-                     F.lit(False)).alias(self.names[t])
-            for t in self.terms
-        ]
-        return found.select("*", *flags).drop(caps)
-
-    def hits(self, raw_lower: str | None = None, raw_same: str | None = None,
-             raw_flags: bool = False) -> "Hits":
-        return Hits(self, raw_lower, raw_same, self.raw_names if raw_flags else None)
-
-    def add_text_flags(self, df: DataFrame, text: str, raw: bool = False) -> DataFrame:
-        """``automaton`` engine straight from the raw text column: the UDF
-        normalises and lower-cases each text itself (and, with ``raw``, also
-        reports ``__rawsame`` and raw-text flags of the multi-word terms)."""
-        from .automaton import text_flags_udf
-        names = [self.names[t] for t in self.terms]
-        raw_terms = self.raw_terms if raw else []
-        udf = text_flags_udf(self.terms, names, raw_terms, [self.raw_names[t] for t in raw_terms], RAW_SAME)
-        caps = f"{self.prefix}caps"
-        found = df.select("*", udf(F.col(text)).alias(caps))
-        return found.select("*", f"{caps}.*").drop(caps)
+    def bitmap_sql(self, present: dict[str, str]) -> str:
+        """Bitmap of the terms for which ``present`` holds a true condition."""
+        words = [[] for _ in range(-(-len(self.terms) // BITS))]
+        for t, condition in present.items():
+            k, bit = divmod(self.place[t], BITS)
+            words[k].append(f"CASE WHEN {condition} THEN {1 << bit}L ELSE 0L END")
+        return "array(" + ", ".join(balanced_sql("|", w, "0L") for w in words) + ")"
+
+    def add_bits(self, df: DataFrame, lowered: str, raw_lower: str | None = None) -> DataFrame:
+        """JVM engines: the bitmap of the lower-cased text in column ``lowered``, and
+        that of the raw text in ``raw_lower`` if named.
+
+        A term without a space is in the raw text iff it is in the normalised
+        text; a multi-word term in the raw text is also in the normalised one.
+        """
+        if self.engine == "contains":
+            present = {t: f"contains(`{lowered}`, {sql_string(t)})" for t in self.terms}
+            df = df.select("*", F.expr(self.bitmap_sql(present)).alias(self.bits))
+        else:
+            caps = f"{self.bits}caps"
+            longest = F.regexp_extract_all(F.col(lowered), F.lit(self.pattern()), 1)
+            df = df.select("*", F.array_distinct(longest).alias(caps))
+            present = {t: balanced_sql("OR", [f"array_contains(`{caps}`, {sql_string(c)})" for c in self.extensions(t)], "false")
+                       for t in self.terms}
+            df = df.select("*", F.expr(self.bitmap_sql(present)).alias(self.bits)).drop(caps)
+        if raw_lower is None:
+            return df
+        hits = self.hits()
+        present = {t: hits.any_sql([t]) + (f" AND contains(`{raw_lower}`, {sql_string(t)})" if " " in t else "")
+                   for t in self.terms}
+        return df.select("*", F.when(F.col(raw_lower) == F.col(lowered), F.col(self.bits))
+                         .otherwise(F.expr(self.bitmap_sql(present))).alias(self.raw_bits))
+
+    def hits(self, raw: bool = False) -> "Hits":
+        """``raw``: the raw text's bitmap was made too."""
+        return Hits(self, raw)
 
 
 def sql_string(s: str) -> str:
@@ -184,7 +171,8 @@ def sql_string(s: str) -> str:
 
 
 def balanced_sql(op: str, parts: Sequence[str], empty: str) -> str:
-    """``parts`` joined by ``op`` as a parenthesised tree of log depth."""
+    """``parts`` joined by ``op`` as a parenthesised tree of log depth (a left-deep
+    chain of hundreds of nodes overflows the JVM stack during analysis)."""
     parts = list(parts)
     if not parts:
         return empty
@@ -197,51 +185,35 @@ def balanced_sql(op: str, parts: Sequence[str], empty: str) -> str:
 
 
 class Hits:
-    """Column expressions over the flag columns of a ``TermIndex``.
-
-    With ``raw_lower``/``raw_same`` given, ``raw=True`` answers for the raw
-    (not whitespace-normalised) lower-cased text. A term without a space is
-    in the raw text iff it is in the normalised text; a multi-word term in
-    the raw text is also in the normalised one, so only those need a second
-    look, and only for rows whose raw text differs from the normalised text.
+    """Column expressions over the bitmap of a ``TermIndex``.
 
-    Sums and disjunctions over many terms are generated as one SQL
-    expression each (one call into the JVM instead of one per term).
+    With ``raw=True`` an expression answers for the raw (not
+    whitespace-normalised) lower-cased text, where its bitmap was made.
+    Each is one SQL expression (one call into the JVM).
     """
 
-    def __init__(self, index: TermIndex, raw_lower: str | None, raw_same: str | None,
-                 raw_cols: dict[str, str] | None = None):
+    def __init__(self, index: TermIndex, raw: bool = False):
         self.index = index
-        self.raw_lower = raw_lower
-        self.raw_same = raw_same
-        self.raw_cols = raw_cols
-        self._cols: dict[str, Column] = {}
-
-    def _sql(self, term: str, raw: bool) -> str:
-        name = f"`{self.index.names[term]}`"
-        if raw and self.raw_cols is not None and " " in term:
-            return f"`{self.raw_cols[term]}`"
-        if not raw or self.raw_lower is None or " " not in term:
-            return name
-        return f"({name} AND (`{self.raw_same}` OR contains(`{self.raw_lower}`, {sql_string(term)})))"
-
-    def hit(self, term: str) -> Column:
-        c = self._cols.get(term)
-        if c is None:
-            c = self._cols[term] = F.col(self.index.names[term])
-        return c
-
-    def raw_hit(self, term: str) -> Column:
-        return F.expr(self._sql(term, True))
-
-    def _hit(self, term: str, raw: bool) -> Column:
-        return self.raw_hit(term) if raw else self.hit(term)
+        self.raw_bits = index.raw_bits if raw else index.bits
+
+    def _masked(self, terms: Iterable[str], raw: bool) -> list[str]:
+        name = self.raw_bits if raw else self.index.bits
+        return [f"(`{name}`[{k}] & {m}L)" for k, m in self.index.masks(terms).items()]
 
     def count_sql(self, terms: Sequence[str], raw: bool = False) -> str:
-        return balanced_sql("+", [f"CAST({self._sql(t, raw)} AS INT)" for t in terms], "0")
+        parts, left = [], Counter(terms)
+        while left:  # a term listed twice counts twice
+            parts += [f"bit_count({w})" for w in self._masked(left, raw)]
+            left = Counter({t: n - 1 for t, n in left.items() if n > 1})
+        return balanced_sql("+", parts, "0")
 
     def any_sql(self, terms: Sequence[str], raw: bool = False) -> str:
-        return balanced_sql("OR", [self._sql(t, raw) for t in terms], "false")
+        if not terms:
+            return "false"
+        return f"({balanced_sql('|', self._masked(terms, raw), '0L')} != 0L)"
+
+    def hit(self, term: str, raw: bool = False) -> Column:
+        return F.expr(self.any_sql([term], raw))
 
     def count(self, terms: Sequence[str], raw: bool = False) -> Column:
         """Number of listed terms present (a term listed twice counts twice)."""
@@ -255,43 +227,45 @@ class Hits:
         """Present terms in list order."""
         if not terms:
             return F.array().cast("array<string>")
-        items = ", ".join(f"CASE WHEN {self._sql(t, raw)} THEN {sql_string(t)} END" for t in terms)
+        items = ", ".join(f"CASE WHEN {self.any_sql([t], raw)} THEN {sql_string(t)} END" for t in terms)
         return F.expr(f"array_compact(array({items}))")
 
+    def places(self) -> Column:
+        """Numbers of all present terms (``index.terms[number]``), ascending."""
+        return F.expr(f"""flatten(transform(`{self.index.bits}`, (w, k) -> CASE WHEN w = 0L THEN CAST(array() AS ARRAY<INT>)
+            ELSE transform(filter(sequence(0, {BITS - 1}), b -> (shiftright(w, b) & 1L) = 1L), b -> k * {BITS} + b) END))""")
+
 
-NORM = "__norm"
 LOWER = "__lt"
 RAW_LOWER = "__lraw"
-RAW_SAME = "__rawsame"
 
 
 def with_term_flags(df: DataFrame, text: str, index: TermIndex, raw: bool = False,
-                    text_columns: bool = True) -> DataFrame:
-    """Add one flag per indexed term (and, with ``text_columns``, the
-    normalised lower-cased text ``__lt`` that token features read).
-
-    JVM engines: two projections, the first binds the lower-cased text, the
-    second reads it once per term. Catalyst keeps them apart (the text is
-    referenced many times and is not cheap), so the text is lower-cased once
-    per row; with hundreds of flags the second falls out of whole-stage codegen. With the ``automaton``
-    engine and no need for the text columns, the UDF reads the raw text and
-    normalises it itself (Python's split/join is several times cheaper than
-    a Unicode whitespace regex on the JVM).
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """Add the bitmap of the indexed terms, with ``raw`` also that of the raw text.
+
+    With ``keep`` (indexed terms), ``__lt`` holds the normalised lower-cased
+    text wherever it contains one of them; elsewhere it may be empty.
+
+    The ``automaton`` engine reads the raw text and normalises it itself
+    (Python's split/join is several times cheaper than a Unicode whitespace
+    regex on the JVM). JVM engines bind the lower-cased text in one projection
+    and read it once per term in the next; Catalyst keeps them apart (the text
+    is referenced many times and is not cheap).
     """
-    if index.engine == "automaton" and not text_columns and index.terms:
-        return index.add_text_flags(df, text, raw)
-    base = df.select(
-        "*",
-        normalise_text(F.coalesce(F.col(text), F.lit(""))).alias(NORM),
-    ).select("*", F.lower(F.col(NORM)).alias(LOWER))
-    if raw:
-        raw_text = F.coalesce(F.col(text), F.lit(""))
-        base = base.select(
-            "*",
-            (raw_text == F.col(NORM)).alias(RAW_SAME),
-            F.lower(raw_text).alias(RAW_LOWER),
-        )
-    return index.add_flags(base, LOWER)
+    if not index.terms:
+        empty = F.array().cast("array<bigint>")
+        df = df.select("*", empty.alias(index.bits), F.lit("").alias(LOWER))
+        return df.select("*", empty.alias(index.raw_bits)) if raw else df
+    if index.engine == "automaton":
+        udf = text_bits_udf(index.terms, BITS, index.bits, index.raw_bits if raw else None,
+                            LOWER if keep else None, keep)
+        found = f"{index.bits}found"
+        return df.select("*", udf(F.col(text)).alias(found)).select("*", f"{found}.*").drop(found)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = df.select("*", F.lower(normalise_text(whole)).alias(LOWER),
+                   *([F.lower(whole).alias(RAW_LOWER)] if raw else []))
+    return index.add_bits(df, LOWER, RAW_LOWER if raw else None)
 
 
 def drop_work_columns(df: DataFrame, own: list[str], prefix: str = "__") -> DataFrame:

@@ -1,20 +1,20 @@
 """Lexicon operators over a text column (C1, G2-G4 as table operators).
 
 The lexicon arrives as a table but is small and bounded (it is checked
-against ``MAX_TERMS``), so it is read once on the driver and compiled into the
-plan as literals: the theta join "text contains term" becomes one projection
-per row plus an ``explode`` of the matches. No cross join, no shuffle, and
-the text side is never broadcast or moved.
+against ``MAX_TERMS``), so it is read once on the driver and given to the
+matcher: the theta join "text contains term" becomes one projection per row,
+an ``explode`` of the numbers of the matched terms and an equi-join with the
+lexicon's rows. No cross join, and the text side is never broadcast or moved.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from ..functions.terms import (MAX_TERMS, TermIndex, session_engine, sql_string,
-                               with_term_flags)
+from ..functions.terms import MAX_TERMS, TermIndex, session_engine, with_term_flags
 
 
 def collect_lexicon(lexicon: DataFrame) -> list[tuple[str | None, str, str]]:
@@ -33,14 +33,14 @@ def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text
     """One row (key, version, lexicon, term) per lexicon term contained in a text."""
     entries = collect_lexicon(lexicon)
     idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
-    d = with_term_flags(spread(df.select(key, text)), text, idx, text_columns=False)
-    items = ", ".join(
-        f"CASE WHEN `{idx.names[t]}` THEN named_struct('version', {sql_string(v) if v is not None else 'cast(null AS string)'}, "
-        f"'lexicon', {sql_string(n)}, 'term', {sql_string(t)}) END"
-        for v, n, t in entries)
-    found = F.expr(f"array_compact(array({items}))")
-    out = d.select(F.col(key), F.explode(found).alias("__m"))
-    return out.select(key, "__m.version", "__m.lexicon", "__m.term")
+    d = with_term_flags(spread(df.select(key, text)), text, idx)
+    found = d.select(key, F.explode(idx.hits().places()).alias("__place"))
+    # from Arrow, so that Spark knows the table's size and broadcasts it if that is small
+    versions, names, terms = zip(*entries) if entries else ((), (), ())
+    table = df.sparkSession.createDataFrame(pa.table({
+        "__at": pa.array([idx.place[t] for t in terms], pa.int32()), "version": pa.array(versions, pa.string()),
+        "lexicon": pa.array(names, pa.string()), "term": pa.array(terms, pa.string())}))
+    return found.join(table, F.col("__place") == F.col("__at")).select(key, "version", "lexicon", "term")
 
 
 def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
@@ -49,7 +49,7 @@ def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
     where the table holds several versions."""
     entries = collect_lexicon(lexicon)
     idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
-    d = with_term_flags(spread(df.select(key, text)), text, idx, text_columns=False)
+    d = with_term_flags(spread(df.select(key, text)), text, idx)
     h = idx.hits()
     lists: dict[tuple, list[str]] = {}
     for v, n, t in entries:

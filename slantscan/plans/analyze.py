@@ -31,27 +31,17 @@ def _materialise(df: DataFrame, cols: dict[str, Column], prefix: str) -> tuple[D
 
 
 def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
-    """V2 reads no token features, so the text columns are not needed."""
+    """The bitmap of the V2 terms; V2 reads no token features."""
     idx = TermIndex(rules_v2.terms(), engine=session_engine(df, engine))
-    out = with_term_flags(spread(df), text, idx, raw=raw, text_columns=False)
-    from_udf = idx.engine == "automaton"
-    if not raw:
-        return out, idx.hits()
-    return out, (idx.hits(raw_flags=True) if from_udf else idx.hits("__lraw", "__rawsame"))
+    return with_term_flags(spread(df), text, idx, raw=raw), idx.hits(raw)
 
 
 def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None) -> tuple[DataFrame, Hits]:
-    """With the automaton engine the UDF reads the raw text and tokens are
-    made only for rows containing a context base word; JVM engines tokenise
-    the normalised text they already hold."""
+    """The bitmap of the V1 terms and the token windows. A base word can only be
+    a token of a text that contains it: only such texts are tokenised."""
     idx = TermIndex(rules_v1.terms(), engine=session_engine(df, engine))
-    from_udf = idx.engine == "automaton"
-    out = with_term_flags(spread(df), text, idx, raw=raw, text_columns=not from_udf)
-    if from_udf:
-        h = idx.hits(raw_flags=True) if raw else idx.hits()
-        return rules_v1.add_token_windows(out, text=text, gate=h.any(rules_v1.BASE_WORDS)), h
-    out = rules_v1.add_token_windows(out)
-    return out, (idx.hits("__lraw", "__rawsame") if raw else idx.hits())
+    out = with_term_flags(spread(df), text, idx, raw=raw, keep=rules_v1.BASE_WORDS)
+    return rules_v1.add_token_windows(out), idx.hits(raw)
 
 
 def score_v2(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,

@@ -19,10 +19,18 @@ def plan_of(df) -> str:
 def test_scoring_is_one_scan_and_one_matcher(spark, name):
     plan = plan_of(E.queries()[name](spark, SF_SMALL))
     assert len(re.findall(r"ArrowEvalPython", plan)) == 1
-    assert not re.search(r"Join|CartesianProduct|Window|Sort \[", plan)
+    assert not re.search(r"CartesianProduct|NestedLoop|SortMergeJoin|Window|Sort \[|hashpartitioning", plan)
+    assert len(re.findall(r"Join", plan)) == (name == "lexicon_matches")  # with the lexicon, broadcast by its size
     assert len(re.findall(r"FileScan parquet", plan)) == 1
 
 
+@pytest.mark.parametrize("name", ["score_v2", "score_v1", "analyze", "term_count"])
+def test_features_read_bitmaps(spark, name):
+    """The matcher returns one or two arrays, not a column per term."""
+    plan = plan_of(E.queries()[name](spark, SF_SMALL))
+    assert "bits" in plan and not re.search(r"__t\d", plan)
+
+
 def test_dedup_and_means_aggregate_before_the_shuffle(spark):
     for name in ("dedup_keep_first", "annotator_means", "domain_report"):
         plan = plan_of(E.queries()[name](spark, SF_SMALL))

@@ -37,16 +37,47 @@ TEXTS = ["embrace the demographics", "they always said they all won't work", "ta
          "i heard it", "abc", "self-sufficient racist traced", "c++ and x.y and xzy", "", "nothing"]
 
 
-@pytest.mark.parametrize("engine,text_columns", [("regex", True), ("contains", True), ("automaton", True),
-                                                 ("automaton", False)])
-def test_engines_equal_substring_semantics(spark, engine, text_columns):
+def present(df, idx, raw=False):
+    """Per row the set of indexed terms that each single-term expression finds."""
+    h = idx.hits(raw)
+    rows = with_term_flags(df, "t", idx, raw=raw).select(
+        "id", *[h.hit(t, raw).alias(f"h{i}") for i, t in enumerate(idx.terms)]).collect()
+    return {r.id: {t for i, t in enumerate(idx.terms) if r[f"h{i}"]} for r in rows}
+
+
+@pytest.mark.parametrize("engine", TermIndex.ENGINES)
+def test_engines_equal_substring_semantics(spark, engine):
     idx = TermIndex(TERMS, engine=engine)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id int, t string")
-    out = with_term_flags(df, "t", idx, text_columns=text_columns).collect()
-    for r in out:
-        low = " ".join(TEXTS[r.id].split()).lower()
-        for term in TERMS:
-            assert r[idx.names[term]] == (term in low), (engine, TEXTS[r.id], term)
+    found = present(df, idx)
+    for i, text in enumerate(TEXTS):
+        low = " ".join(text.split()).lower()
+        assert found[i] == {t for t in TERMS if t in low}, (engine, text)
+
+
+@pytest.mark.parametrize("engine", TermIndex.ENGINES)
+def test_bitmaps_over_several_longs(spark, engine):
+    """More terms than a long has bits; counts, repeats in a list, numbers of the
+    matched terms, raw texts, nulls and the kept text."""
+    terms = [f"w{i:03d}" for i in range(150)] + ["w001 w002"]
+    idx = TermIndex(terms, engine=engine)
+    texts = ["w000 w062 W063 w064 w125 w126 w149", "w001\n w002", "w001 w002", None, "", " ".join(terms)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    h = idx.hits(raw=True)
+    rows = with_term_flags(df, "t", idx, raw=True, keep=["w063"]).select(
+        "id", h.count(terms).alias("n"), h.count(["w062", "w063", "w062"]).alias("twice"), h.count([]).alias("none"),
+        h.any(terms).alias("any"), h.any([]).alias("never"), h.places().alias("places"),
+        h.hit("w001 w002").alias("split"), h.hit("w001 w002", raw=True).alias("raw_split"),
+        h.count(["w001", "w002"], raw=True).alias("raw_n"), h.matched(["w149", "w000"]).alias("matched"), "__lt")
+    for r in rows.collect():
+        low = " ".join((texts[r.id] or "").split()).lower()
+        want = [i for i, t in enumerate(terms) if t in low]
+        assert r.n == len(want) and r.places == want and r.any == bool(want), texts[r.id]
+        assert r.twice == 2 * ("w062" in low) + ("w063" in low) and r.none == 0 and not r.never
+        assert r.split == ("w001 w002" in low) and r.raw_split == ("w001 w002" in (texts[r.id] or ""))
+        assert r.raw_n == ("w001" in low) + ("w002" in low)
+        assert r.matched == [t for t in ("w149", "w000") if t in low]
+        assert r["__lt"] == low if "w063" in low else r["__lt"] in ("", low)
 
 
 def test_trie_pattern_longest_first():
@@ -66,12 +97,10 @@ def test_engines_property(spark, terms, texts):
     if not terms:
         return
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    results = {}
-    for engine, cols in (("regex", True), ("contains", True), ("automaton", True), ("automaton-text", False)):
-        idx = TermIndex(terms, engine=engine.split("-")[0])
-        rows = with_term_flags(df, "t", idx, text_columns=cols).collect()
-        results[engine] = sorted(tuple(r[idx.names[t]] for t in terms) for r in rows)
-    assert results["regex"] == results["contains"] == results["automaton"] == results["automaton-text"]
+    results = [present(df, TermIndex(terms, engine=e)) for e in TermIndex.ENGINES]
+    assert results[0] == results[1] == results[2]
+    raws = [present(df, TermIndex(terms, engine=e), raw=True) for e in TermIndex.ENGINES]
+    assert raws[0] == raws[1] == raws[2] == {i: {t for t in terms if t in x.lower()} for i, x in enumerate(texts)}
 
 
 def test_analyze_same_for_every_engine(spark):
@@ -102,23 +131,13 @@ def test_adding_neutral_word_changes_no_count(spark):
     assert [tuple(r)[1:] for r in c[:2]] == [tuple(r)[1:] for r in c[2:]]
 
 
-def test_matcher_fallback_without_library(monkeypatch):
-    import sys
-
-    import pandas as pd
-
-    from slantscan.functions.automaton import text_flags_udf
-    terms = ["race", "racial", "they all", "our jobs"]
-    names = [f"t{i}" for i in range(len(terms))]
-    udf = text_flags_udf(terms, names, ["they all", "our jobs"], ["r0", "r1"], "same")
-    texts = pd.Series(["Racial  tension, they\nall", "our jobs", None, "embrace they all"])
-    with_lib = next(udf.func(iter([texts])))
-    monkeypatch.setitem(sys.modules, "ahocorasick", None)  # import now raises ImportError
-    without = next(udf.func(iter([texts])))
-    assert with_lib.equals(without)
-    # 'racial' does not contain 'race'; 'they all' is only there after normalisation
-    assert not without.loc[0, "t0"] and without.loc[0, "t1"] and without.loc[0, "t2"] and not without.loc[0, "r0"]
-    assert not without.loc[0, "same"] and without.loc[3, "r0"]
+def test_matcher_without_its_library_fails(monkeypatch):
+    """No silent change of engine: the caller names another one."""
+    import importlib.util
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name: None)
+    with pytest.raises(ImportError, match="pyahocorasick"):
+        TermIndex(["race"])
+    assert TermIndex(["race"], engine="regex").engine == "regex"
 
 
 def test_lexicon_table_and_term_counts(spark):
