@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from ..session import ensure_checkpoint_dir
 from .aggregate import EPS, focal_term
 from .sample import best_candidate
 
@@ -42,17 +43,24 @@ def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight")
     return df.withColumn(out, F.when(F.col(label) == 1, F.lit(w_pos)).otherwise(F.lit(w_neg)))
 
 
-def pipeline(text: str = "comment_text", label: str = "label", weight: str | None = "weight",
-             reg_param: float = 0.01, max_iter: int = 50) -> Pipeline:
+def feature_stages() -> list:
+    """Tokens, hashed term frequencies and IDF: what no candidate's parameters change."""
     tok = RegexTokenizer(inputCol="__clean", outputCol="__tokens", pattern=r"\W+", minTokenLength=1)
     tf = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=NUM_FEATURES)
-    idf = IDF(inputCol="__tf", outputCol="__features", minDocFreq=1)
+    return [tok, tf, IDF(inputCol="__tf", outputCol="__features", minDocFreq=1)]
+
+
+def regression(label: str = "label", weight: str | None = "weight", reg_param: float = 0.01,
+               max_iter: int = 50) -> LogisticRegression:
     lr = LogisticRegression(featuresCol="__features", labelCol=label, regParam=reg_param,
                             maxIter=max_iter, probabilityCol="__prob", rawPredictionCol="__raw",
                             predictionCol="__pred")
-    if weight:
-        lr.setWeightCol(weight)
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return lr.setWeightCol(weight) if weight else lr
+
+
+def pipeline(text: str = "comment_text", label: str = "label", weight: str | None = "weight",
+             reg_param: float = 0.01, max_iter: int = 50) -> Pipeline:
+    return Pipeline(stages=[*feature_stages(), regression(label, weight, reg_param, max_iter)])
 
 
 def _prepare(df: DataFrame, text: str) -> DataFrame:
@@ -95,7 +103,10 @@ def external_scores(df: DataFrame, make_scorer: Callable[[], object], text: str
 def validate(model: PipelineModel, val: DataFrame, text: str = "comment_text",
              label: str = "label", gamma: float = 2.0) -> DataFrame:
     """TP/FP/FN, precision, recall, F1 and focal loss in one aggregate."""
-    s = model_scores(val, model, text, keep_logit=True)
+    return _metrics(model_scores(val, model, text, keep_logit=True), label, gamma)
+
+
+def _metrics(s: DataFrame, label: str, gamma: float = 2.0) -> DataFrame:
     y = F.col(label).cast("double")
     pred = (F.col("model_score") > 0.5).cast("int")
     c = s.agg(
@@ -118,17 +129,32 @@ DEFAULT_GRID = [{"reg_param": 0.1, "max_iter": 30}, {"reg_param": 0.01, "max_ite
 def select_model(train: DataFrame, val: DataFrame, grid: Sequence[dict] = DEFAULT_GRID,
                  text: str = "comment_text", label: str = "label") -> tuple[DataFrame, list[PipelineModel]]:
     """I4: fit each candidate on the cluster, score it on the validation part,
-    pick the best by validation F1 (E8). The loop is over a handful of
-    parameter sets on the driver; each fit and each metric is a Spark job."""
+    pick the best by validation F1 (E8).
+
+    Texts are read once: the features are fitted and class weights counted once,
+    and both parts' features are checkpointed. The loop is over a handful of
+    parameter sets on the driver; in it only the regression runs, each fit and
+    each metric a Spark job over the features."""
     spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    y = F.col(label).cast("double").alias(label)
+    weighted = with_class_weights(train.withColumn(label, y), label, "weight")
+    shaped = Pipeline(stages=feature_stages()).fit(_prepare(weighted, text))
+    tr = shaped.transform(_prepare(weighted, text)).select("__features", label, "weight").checkpoint()
+    va = shaped.transform(_prepare(val, text)).select("__features", y).checkpoint()
+
+    def metrics(m, part: DataFrame):
+        prob, raw = (vector_to_array(c)[1] for c in ("__prob", "__raw"))
+        return _metrics(m.transform(part).select(label, prob.alias("model_score"), raw.alias("logit")), label).first()
+
     rows, models = [], []
     for i, params in enumerate(grid, start=1):
-        m = train_classifier(train, text, label, **params)
-        tr = validate(m, train, text, label).first()
-        va = validate(m, val, text, label).first()
-        rows.append((i, ",".join(f"{k}={v}" for k, v in params.items()), float(tr["f1"]),
-                     float(va["f1"]), float(va["val_loss"])))
-        models.append(m)
+        own = dict(params)
+        m = regression(label, "weight" if own.pop("weighted", True) else None, **own).fit(tr)
+        t, v = metrics(m, tr), metrics(m, va)
+        rows.append((i, ",".join(f"{k}={x}" for k, x in params.items()), float(t["f1"]),
+                     float(v["f1"]), float(v["val_loss"])))
+        models.append(PipelineModel([*shaped.stages, m]))
     cand = spark.createDataFrame(rows, "ordinal int, params string, train_f1 double, val_f1 double, val_loss double")
     return cand, models
 

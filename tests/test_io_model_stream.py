@@ -87,6 +87,21 @@ def test_classifier_train_validate_save(spark):
     assert all(0.0 <= r.model_score <= 1.0 for r in again)
 
 
+def test_candidates_share_features(spark):
+    """A candidate is the model that a fit of its own would give."""
+    d = R._labelled_docs(spark, SF_SMALL)
+    train, val = d.filter("split = 'train'"), d.filter("split = 'val'")
+    grid = [{"reg_param": 0.1, "max_iter": 5}, {"reg_param": 0.01, "max_iter": 5, "weighted": False}]
+    cand, models = M.select_model(train, val, grid)
+    got = cand.orderBy("ordinal").collect()
+    assert [r.ordinal for r in got] == [1, 2] and got[1].params == "reg_param=0.01,max_iter=5,weighted=False"
+    for r, m, params in zip(got, models, grid, strict=True):
+        own = M.validate(M.train_classifier(train, **params), val).first()
+        kept = M.validate(m, val).first()
+        for one in (own, kept):
+            assert abs(one.f1 - r.val_f1) < 1e-9 and abs(one.val_loss - r.val_loss) < 1e-6
+
+
 class LengthScorer:
     """A stand-in external model (shipped by value: workers cannot import test modules)."""
 
