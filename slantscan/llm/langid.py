@@ -116,12 +116,12 @@ def scores(model: Model):
 class Evidence:
     """What is known beside the texts: address priors and the declarations' worth."""
 
-    def __init__(self, docs: DataFrame, model: Model, scratch: Scratch, text: Column, declared: Column, host: Column, suffix: Column):
+    def __init__(self, docs: DataFrame, model: Model, scratch: Scratch, s: Column, declared: Column, host: Column, suffix: Column):
         self.names = model.names
         size = len(self.names)
         if not size:  # nothing to know
             return
-        s = docs.select(scores(model)(text).alias("s"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
+        s = docs.select(s.alias("s"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
         s = s.withColumn("p", self._posterior("s", F.array(*[F.lit(0.0)] * size))).where(F.col("s")[size] > 0)
         sums = [F.sum(F.col("p")[k]).alias(f"p{k}") for k in range(size)]
         per = scratch.save(s.groupBy("declared", "host", "suffix").agg(*sums, F.count("*").alias("n")), "per_address")
@@ -195,8 +195,9 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="la
     text_batches(docs.sparkSession)
     d = docs.select(*(_name(docs, c).alias(a) for c, a in ((text_col, "text"), (declared_col, "declared"), (host_col, "host"), (suffix_col, "suffix"))), F.col(id_col).alias("doc_id"))
     model = train(d, "text", "declared", "doc_id")
-    known = Evidence(d, model, scratch, *(F.col(c) for c in ("text", "declared", "host", "suffix")))
-    d = d.withColumn("s", scores(model)("text")).drop("text")
+    # without the text a row is small: score it once, for the addresses and for itself
+    d = scratch.save(d.withColumn("s", scores(model)("text")).drop("text"), "scored")
+    known = Evidence(d, model, scratch, *(F.col(c) for c in ("s", "declared", "host", "suffix")))
     out = known.decide(d, "s", F.col("declared"), F.col("host"), F.col("suffix"))
     return out.select("doc_id", "language", "confidence", "known")
 
@@ -211,8 +212,8 @@ def keep_known(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
     model = train(d, "text", "declared", "doc_id")
-    known = Evidence(d, model, scratch, *(F.col(c) for c in ("text", "declared", "host", "suffix")))
     d = d.withColumn("s", scores(model)("text")).drop("text")
+    known = Evidence(d, model, scratch, *(F.col(c) for c in ("s", "declared", "host", "suffix")))
     return known.decide(d, "s", F.col("declared"), F.col("host"), F.col("suffix")).where("known").select("row.*")
 
 
