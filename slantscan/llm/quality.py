@@ -166,6 +166,8 @@ def _prepared(docs, labels, id_col, text_col, host_col, path_col, label_col, kee
     if keep_row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     d = docs.select(*cols).withColumn("evidence", model.column(F.col("text"))).drop("text")
+    if not keep_row:  # without the text a row is small: score it once, for the sites and for itself
+        d = scratch.save(d, "scored")
     log_share = float(np.log(model.share / (1 - model.share)))
     scored = d.select("host", "path", _sigmoid(F.col("evidence") + log_share).alias("p"))
     priors = site_priors(scored, model.share, scratch)
