@@ -4,9 +4,10 @@ A page becomes a row of text blocks, each with its root-to-leaf tag path. Per
 path, text length and punctuation are summed over the page; the ratios of text
 and of punctuation to blocks are smoothed along the page, fused (their product,
 less what is link text) and thresholded. The paths above the threshold hold the
-article's running text; the smallest container around them, up to the article
-element if there is one, is what is kept - with its headings and short blocks,
-without the subtrees that tags, roles or class names mark as something else.
+article's running text. The article element that holds most of it is kept, or
+without one the smallest container around all of it, body included - with its
+headings and short blocks, without the subtrees that tags, roles or class names
+mark as something else.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from slantscan.llm.common import text_batches
 
 THRESHOLD = 0.25  #: part of the page's highest fused path value that a content path reaches
 SMOOTH = (0.25, 0.5, 0.25)  #: weights of a block's neighbours along the page
-CONTAINER = 0.6  #: part of the content paths' text that the smallest container holds
+CONTAINER = 0.6  #: part of the content paths' text that an article element holds
 
 # Element names of HTML and usual class names
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -230,54 +231,91 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
+    content = content_blocks(found)
+    article = _article(found, content)
+    if article is not None:
+        return " ".join(b[0] for b in found if any(x is article for x in _line(b[1])))
+    best = _widen(_common(found, content), found)
+    return " ".join(b[0] for b in _inside(best, found, content))
+
+
+def content_blocks(found: list) -> list[bool]:
+    """Whether each block's path is above the threshold."""
     value = path_values(found)
     least = THRESHOLD * max(value.values())
     content = [value[b[1].path] >= least and value[b[1].path] > 0 for b in found]
-    if not any(content):
-        content = [True] * len(found)
-    # text of content paths below each container
+    return content if any(content) else [True] * len(found)
+
+
+def _article(found: list, content: list) -> _Element | None:
+    """The article (or main) element that holds most of the content paths' text, if there is one."""
     held: dict[int, int] = {}
+    total, best = 0, None
     for (text, e, _), ok in zip(found, content, strict=True):
         if ok:
+            total += len(text)
             for x in _line(e):
-                held[id(x)] = held.get(id(x), 0) + len(text)
-    total = sum(len(b[0]) for b, ok in zip(found, content, strict=True) if ok)
-    best, depth = None, -1
-    for (_, e, _), ok in zip(found, content, strict=True):
-        if ok:
-            line = list(_line(e))
-            for k, x in enumerate(line):
-                if x.tag in CONTAINERS and held[id(x)] >= CONTAINER * total and len(line) - k > depth:
-                    best, depth = x, len(line) - k
-                    break
-    if best is None:  # no container: the content paths themselves, and headings
-        kept = [b for b, ok in zip(found, content, strict=True) if ok or b[1].tag in HEADINGS]
-        return " ".join(b[0] for b in kept)
-    best = _widen(best, found, content)
-    inside = [b for b in found if any(x is best for x in _line(b[1]))]
-    if best.tag in ("html", "body"):  # no article element: loose blocks outside the content paths aren't text
-        top = {id(x) for b, ok in zip(found, content, strict=True) if ok for x in _line(b[1]) if x.tag not in ("html", "body")}
-        inside = [b for b in inside if value[b[1].path] >= least or b[1].tag in HEADINGS or any(id(x) in top for x in _line(b[1]))]
-    return " ".join(b[0] for b in inside)
-
-
-def _widen(best: _Element, found: list, content: list) -> _Element:
-    """From the smallest container up to the article around it; without one, over
-    parents that add only headings or more of the content paths' text."""
-    article = next((x for x in _line(best) if x.tag in ("article", "main")), None)
-    if article is not None:
-        if article.tag == "article" or best is article:
-            return article
-        inner = [x for x in _line(best) if x.tag == "article"]
-        return inner[-1] if inner else article
+                if x.tag in ("article", "main"):
+                    held[id(x)] = held.get(id(x), 0) + len(text)
+    for _, e, _ in found:
+        article = next((x for x in _line(e) if held.get(id(x), 0) >= CONTAINER * total), None)
+        if article is not None and (best is None or any(x is best for x in _line(article))):
+            best = article  # the innermost
+    if best is None or best.tag == "article":
+        return best
+    above = [x for x in _line(best) if x.tag == "article"]
+    return above[-1] if above else best
+
+
+def _common(found: list, content: list) -> _Element:
+    """The smallest container around all blocks of the content paths; at last the page."""
+    lines = [[*_line(b[1])][::-1] for b, ok in zip(found, content, strict=True) if ok]
+    first = lines[0]
+    depth = min(len(x) for x in lines)
+    for line in lines:
+        while depth and line[depth - 1] is not first[depth - 1]:
+            depth -= 1
+    while depth and first[depth - 1].tag not in CONTAINERS:
+        depth -= 1
+    if depth:
+        return first[depth - 1]
+    top = found[0][1]
+    while top.up is not None:
+        top = top.up
+    return top
+
+
+def _widen(best: _Element, found: list) -> _Element:
+    """Over parents below body that add only headings."""
     while best.up is not None and best.up.tag in CONTAINERS and best.up.tag not in ("html", "body"):
-        more = [(b, ok) for b, ok in zip(found, content, strict=True) if any(x is best.up for x in _line(b[1])) and not any(x is best for x in _line(b[1]))]
-        if not all(ok or b[1].tag in HEADINGS for b, ok in more):
+        more = [b for b in found if any(x is best.up for x in _line(b[1])) and not any(x is best for x in _line(b[1]))]
+        if not all(b[1].tag in HEADINGS for b in more):
             break
         best = best.up
     return best
 
 
+def _inside(best: _Element, found: list, content: list) -> list:
+    """The container's blocks: those of the content paths, headings, what stands in
+    a container that holds text of content paths itself, and of the rest what isn't
+    links; in body only if it stands directly there or between content blocks."""
+    page = best.tag in ("", "html", "body")
+    at = [k for k, ok in enumerate(content) if ok]
+    near = lambda e: next((x for x in _line(e) if x.tag in CONTAINERS), None)
+    holds = {id(x) for k in at if (x := near(found[k][1])) is not None and x.tag not in ("html", "body")}
+    kept = []
+    for k, (b, ok) in enumerate(zip(found, content, strict=True)):
+        text, e, linked = b
+        line = list(_line(e))
+        if best.tag and not any(x is best for x in line):
+            continue
+        if ok or e.tag in HEADINGS or any(id(x) in holds for x in line):
+            kept.append(b)
+        elif 2 * linked < len(text) and (not page or at[0] < k < at[-1] or near(e) in (best, None)):
+            kept.append(b)
+    return kept
+
+
 def _extract(batches):
     for b in batches:
         text = [main_text(t.as_py()) for t in b.column(2)]

@@ -58,6 +58,25 @@ def test_page_cases(page, text):
     assert html_extract.main_text(page) == text
 
 
+SAYS = "This part says one thing, then another, and it goes on at some length about both. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div>{7}</div><div>{3}</div></body>",
+        "<body><section>{13}</section><section>{4}</section><section>{3}</section></body>",
+        "<body><div id=content><div>{7}</div><ul><li>short list</ul><div>{3}</div></div></body>",
+        "<body><div id=top><a>Home</a> <a>About</a></div><div><div>{7}</div><div class=caption><i>A caption</i></div><div>{3}</div></div></body>",
+        "<body><table><tr><td><p>{7}</p></td></tr></table><p>{3}</p></body>",
+    ],
+)
+def test_split_article(page):
+    page = re.sub(r"\{(\d+)\}", lambda m: "<p>" + "</p><p>".join([SAYS.strip()] * int(m[1])) + "</p>", page)
+    want = " ".join(re.sub(r"<[^>]+>", " ", page.replace("<a>Home</a> <a>About</a>", "")).split())
+    assert html_extract.main_text(page) == want
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_extract.extract(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
