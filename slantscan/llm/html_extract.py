@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from slantscan.llm.common import text_batches
 
-THRESHOLD = 0.25  #: part of the page's highest fused path value that a content path reaches
+THRESHOLD = 0.25  #: part of the text's median fused path value that a content path reaches
+PARAGRAPH = 300.0  #: path value that always suffices: that of 100 characters with two marks of punctuation
 SMOOTH = (0.25, 0.5, 0.25)  #: weights of a block's neighbours along the page
 CONTAINER = 0.6  #: part of the content paths' text that an article element holds
 
@@ -32,6 +33,7 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 RAW = set("script style noscript template iframe title textarea svg math canvas object audio video noframes xmp".split())
 SKIP = set("head nav footer aside form button select option optgroup datalist fieldset legend label dialog menu map input".split()) | RAW
 CONTAINERS = set("html body div section article main td center blockquote".split())
+PARTS = set("blockquote td".split())  #: containers that are never all of an article
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul td th tr tbody thead tfoot caption".split())
 CLOSES = {
@@ -240,10 +242,15 @@ def main_text(page: str | None) -> str:
 
 
 def content_blocks(found: list) -> list[bool]:
-    """Whether each block's path is above the threshold."""
+    """Whether each block's path is above the threshold: a part of the path value that
+    half of the page's text reaches, so that a few long blocks don't raise it, and
+    never above that of plain paragraphs."""
     value = path_values(found)
-    least = THRESHOLD * max(value.values())
-    content = [value[b[1].path] >= least and value[b[1].path] > 0 for b in found]
+    values = np.array([value[b[1].path] for b in found])
+    order = np.argsort(values)
+    upto = np.cumsum(np.array([len(b[0]) for b in found], float)[order])
+    middle = values[order[np.searchsorted(upto, upto[-1] / 2)]]
+    content = [v >= min(THRESHOLD * middle, PARAGRAPH) and v > 0 for v in values.tolist()]
     return content if any(content) else [True] * len(found)
 
 
@@ -275,7 +282,7 @@ def _common(found: list, content: list) -> _Element:
     for line in lines:
         while depth and line[depth - 1] is not first[depth - 1]:
             depth -= 1
-    while depth and first[depth - 1].tag not in CONTAINERS:
+    while depth and first[depth - 1].tag not in CONTAINERS - PARTS:
         depth -= 1
     if depth:
         return first[depth - 1]
@@ -287,7 +294,7 @@ def _common(found: list, content: list) -> _Element:
 
 def _widen(best: _Element, found: list) -> _Element:
     """Over parents below body that add only headings."""
-    while best.up is not None and best.up.tag in CONTAINERS and best.up.tag not in ("html", "body"):
+    while best.up is not None and best.up.tag in CONTAINERS - PARTS and best.up.tag not in ("html", "body"):
         more = [b for b in found if any(x is best.up for x in _line(b[1])) and not any(x is best for x in _line(b[1]))]
         if not all(b[1].tag in HEADINGS for b in more):
             break

@@ -77,6 +77,15 @@ def test_split_article(page):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_long_quotation(times):
+    para, long = SAYS.strip() * 3, " ".join([SAYS.strip()] * 15 * times)
+    page = f"<body><div>{f'<p>{para}</p>' * 20}<blockquote><p>{long}</p></blockquote></div></body>"
+    assert html_extract.main_text(page) == f"{para} " * 20 + long
+    cells = f"<body><table><tr><td><a>Home</a><td><p>{para}</p><p>{long}</p></table>{f'<p>{para}</p>' * 5}</body>"
+    assert html_extract.main_text(cells) == f"{para} {long}" + f" {para}" * 5
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_extract.extract(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
