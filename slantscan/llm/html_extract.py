@@ -7,7 +7,7 @@ less what is link text) and thresholded. The paths above the threshold hold the
 article's running text. The article element that holds most of it is kept, or
 without one the smallest container around all of it, body included - with its
 headings and short blocks, without the subtrees that tags, roles or class names
-mark as something else.
+mark as something else (names and forms only if their text agrees).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ CONTAINER = 0.6  #: part of the content paths' text that an article element hold
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = set("script style noscript template iframe title textarea svg math canvas object audio video noframes xmp".split())
-SKIP = set("head nav footer aside form button select option optgroup datalist fieldset legend label dialog menu map input".split()) | RAW
+SKIP = set("head nav footer aside button select option optgroup datalist fieldset legend label dialog menu map input".split()) | RAW
 CONTAINERS = set("html body div section article main td center blockquote".split())
 PARTS = set("blockquote td".split())  #: containers that are never all of an article
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -56,8 +56,14 @@ OTHER = set(
     "share sharing social follow related recommended recommendations teaser outbrain taboola widget widgets pagination pager copyright skip "
     "hidden invisible".split()
 )
-HEADER = set("header heading pageheader siteheader".split()) - {"heading"}
+TALK = set("comment comments commentlist commentform disqus reply replies respond discussion".split())
+#: words beside those of OTHER in a name that is wholly about something else
+BESIDE = set("box boxes bar list area wrap wrapper container holder inner outer block module panel pane region left right top bottom main primary secondary site global page post posts article articles item items button buttons btn link links icon icons text title group section row col column field fields zone slot unit small large mobile desktop sticky fixed".split())
+HEADER = set("header pageheader siteheader".split())
+OWN = set("post entry article story title chapter recipe content section document page review lesson".split())  #: words beside header: the article's own
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+NAMED = set("section article main p li dt dd pre figure figcaption blockquote".split()) | HEADINGS | INLINE  #: their ids name the text, not its kind
+WEAK, STRONG, TALKS = 1, 2, 3  #: some of a name's words are in OTHER; all are, or a form; all are, of readers' talk
 MODIFIERS = set("with has no without not".split())
 
 _TOKEN = re.compile(
@@ -66,41 +72,53 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|\d+")
+PLAIN = 80  #: characters that make a block running text without punctuation
+LEAST_KEPT = 200  #: characters of running text for which a marked subtree stays beside other text
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？।؟]")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 class _Element:
-    __slots__ = ("tag", "path", "up", "skip", "head", "link", "article")
+    __slots__ = ("tag", "path", "up", "skip", "head", "link", "article", "mark", "marks")
 
-    def __init__(self, tag, path, up, skip, head, link, article):
-        self.tag, self.path, self.up, self.skip, self.head, self.link, self.article = tag, path, up, skip, head, link, article
+    def __init__(self, tag, path, up, skip, head, link, article, mark, marks):
+        self.tag, self.path, self.up, self.skip, self.head, self.link, self.article, self.mark, self.marks = tag, path, up, skip, head, link, article, mark, marks
 
 
-def _marked(attrs: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as something other than the article, or as a header."""
-    other = header = False
+def _marked(tag: str, attrs: str) -> tuple[bool, int, bool, bool]:
+    """What attributes say of an element: it is hidden or of another role; its names
+    mark it (0, WEAK, STRONG, TALKS); it is a header; the article's own header."""
+    other = header = own = False
+    mark, names = 0, []
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
         if name in ("class", "id"):
-            for one in value.split():
-                words = [w.lower() for w in _NAME.findall(one)]
-                if words and words[0] in MODIFIERS:
-                    continue
-                other |= not OTHER.isdisjoint(words)
-                header |= not HEADER.isdisjoint(words)
+            names += [(name, one) for one in value.split()]
         elif name == "role":
             other |= value.strip().lower() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             other = True
         elif name == "style":
             other |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-    return other, header
+    if tag in HEADINGS or tag == "main":
+        return other, 0, False, False
+    named = tag in NAMED or ("class", "section") in names
+    for name, one in names:
+        words = {w.lower(): None for w in _NAME.findall(one)}
+        if not words or next(iter(words)) in MODIFIERS or name == "id" and named:
+            continue
+        said = OTHER & words.keys()
+        if said:
+            whole = all(w in OTHER or w in BESIDE or w.isdigit() for w in words)
+            mark = max(mark, (TALKS if said <= TALK else STRONG) if whole else WEAK)
+        if not HEADER.isdisjoint(words):
+            header, own = True, own or not OWN.isdisjoint(words)
+    return other, mark, header, own
 
 
 def blocks(page: str):
     """The page's text blocks in order: (text, element it starts in, characters in links)."""
-    root = _Element("", "", None, False, False, False, False)
+    root = _Element("", "", None, False, False, False, False, 0, False)
     top, out, parts, owner, linked, at = root, [], [], None, 0, 0
 
     def close():
@@ -167,19 +185,24 @@ def blocks(page: str):
         if tag in CLOSES:
             _close_open(top, *CLOSES[tag], pop_to)
         article = top.article or tag in ("article", "main")
-        skip, head = top.skip or tag in SKIP, top.head
+        skip, head, mark = top.skip or tag in SKIP, top.head, STRONG if tag == "form" else 0
+        header = own = False
         if not skip and attrs.strip() and tag not in ("html", "body"):
-            other, header = _marked(attrs)
-            skip, head = other, head or header
-        head = head or tag == "header"
-        if head and not article:
-            skip = True
+            skip, named, header, own = _marked(tag, attrs)
+            if tag == "article":  # one in another may be a reader's
+                named, header = named if named > WEAK and any(x.tag == "article" for x in _line(top)) else 0, False
+            if tag in INLINE:  # part of a block
+                skip, named = skip or named > WEAK or named == WEAK and tag == "a", 0
+            mark = max(mark, named)
+        if (header or tag == "header") and not head:
+            head = True
+            skip = skip or not (article or own or top.tag == "section" and not header)
         path = top.path if tag in INLINE else f"{top.path}/{tag}"
-        top = _Element(tag, path, top, skip, head, top.link or tag == "a", article)
+        top = _Element(tag, path, top, skip, head, top.link or tag == "a", article, mark, top.marks or mark > 0)
         if tag in INLINE and skip and not top.up.skip:
             parts.append(" ")
     close()
-    # of a header inside the article only headings belong to the text
+    # of the article's header only headings belong to the text
     return [b for b in out if not b[1].head or any(e.tag in HEADINGS for e in _line(b[1]))]
 
 
@@ -230,7 +253,7 @@ def path_values(found: list) -> dict[str, float]:
 
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, joined by one space."""
-    found = blocks(page) if page else []
+    found = _unmarked(blocks(page)) if page else []
     if not found:
         return ""
     content = content_blocks(found)
@@ -254,6 +277,55 @@ def content_blocks(found: list) -> list[bool]:
     return content if any(content) else [True] * len(found)
 
 
+def _unmarked(found: list) -> list:
+    """The blocks without the subtrees that their names, or a form, mark as something else.
+
+    A subtree whose names say it in part only goes if it is links or has no running
+    text. One whose names say it wholly stays if it holds most of the page's running
+    text, unless an article element stands outside of it or it is readers' talk beside
+    other text. If next to nothing were left, running text stays wherever it is.
+    """
+    if not any(b[1].marks for b in found):
+        return found
+    below: dict[int, list] = {}  # characters, in links, running text, in articles, outside headings
+    runs, article, every = [], False, 0
+    for (text, e, linked), ok in zip(found, content_blocks(found), strict=True):
+        n, inside, told = len(text), False, False
+        run = n if ok and 2 * linked < n and (n >= PLAIN or _PUNCT.search(text)) else 0
+        plain = 0 if e.tag in HEADINGS else n
+        for x in _line(e):
+            inside = inside or x.tag in ("article", "main")
+            if x.mark:
+                told = told or x.mark > WEAK
+                s = below.setdefault(id(x), [0, 0, 0, 0, 0])
+                for k, more in enumerate((n, min(linked, n), run, run * inside, plain)):
+                    s[k] += more
+        article = article or inside and run > 0 and not told
+        every += plain
+        runs.append(run)
+    total = sum(runs)
+
+    def idle(x):
+        s = below[id(x)]
+        return 2 * s[1] >= s[0] or not s[2]
+
+    def gone(x):
+        s = below[id(x)]
+        if x.mark == WEAK:
+            return 2 * s[1] >= s[0] or not s[2] and total > 0
+        alone = every <= s[4]
+        most = 2 * s[2] > total and (alone or s[2] >= LEAST_KEPT and x.mark != TALKS)
+        return idle(x) or not most or article and not s[3]
+
+    def rest(out):
+        return [b for b in found if not any(x.mark and out(x) for x in _line(b[1]))]
+
+    kept = rest(gone)
+    if 10 * sum(len(b[0]) for b in kept if b[1].tag not in HEADINGS and 2 * b[2] < len(b[0])) < total:
+        kept = rest(idle)
+    return kept
+
+
 def _article(found: list, content: list) -> _Element | None:
     """The article (or main) element that holds most of the content paths' text, if there is one."""
     held: dict[int, int] = {}
@@ -320,6 +392,10 @@ def _inside(best: _Element, found: list, content: list) -> list:
             kept.append(b)
         elif 2 * linked < len(text) and (not page or at[0] < k < at[-1] or near(e) in (best, None)):
             kept.append(b)
+    first = next(k for k, b in enumerate(found) if b is kept[0])
+    while first and found[first - 1][1].tag in HEADINGS:  # the title may stand before the container
+        first -= 1
+        kept.insert(0, found[first])
     return kept
 
 

@@ -86,6 +86,30 @@ def test_long_quotation(times):
     assert html_extract.main_text(cells) == f"{para} {long}" + f" {para}" * 5
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="content-sidebar-wrap">{5}</div></body>',
+        '<body><article class="post category-social">{5}</article></body>',
+        "<body><div>{5}<section id=discussion><h2>Discussion</h2>{1}</section><section id=related-work>{1}</section><section id=search-algorithms>{1}</section><h2 id=hidden-costs>Hidden costs</h2>{1}</div></body>",
+        '<body><article><h1>T</h1>{3}<div class="section" id="discussion">{1}</div><h2 id="related">More</h2>{1}</article></body>',
+        "<body><form id=aspnetForm><h1>Title</h1>{5}</form></body>",
+        '<body><form><div class="elementor-widget elementor-widget-text">{2}</div><div class="elementor-widget">{2}</div></form></body>',
+        '<body><div class="post-header"><h1>Title</h1></div><div class="post">{4}</div></body>',
+        '<body><div class="widget">{2}</div><div class="widget">{2}</div><div class="widget">{2}</div></body>',
+        '<body><div id=wrap class=sidebar><h1 class="page-header">Title</h1>{4}</div></body>',
+    ],
+)
+def test_names_that_say_something_else(page):
+    whole = re.sub(r"\{(\d+)\}", lambda m: "<p>" + "</p><p>".join([SAYS.strip()] * int(m[1])) + "</p>", page)
+    want = " ".join(re.sub(r"<[^>]+>", " ", whole).split())
+    assert html_extract.main_text(whole) == want
+    # what isn't the article goes as before
+    other = '<div class="sidebar"><p>Buy now, pay later!</p></div><div id=comments><p>I disagree, with all of it.</p></div><div class="my-social-x"><a>Tell, your friends.</a></div><form>Name <input></form>'
+    if "class=sidebar" not in page and '"widget"' not in page:
+        assert html_extract.main_text(whole.replace("</body>", other + "</body>")) == want
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_extract.extract(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
