@@ -7,8 +7,9 @@ address suffix, shrink a host's shares toward its suffix's and those toward the
 global ones. A document is rejected if it has no letters, if chance explains
 them better than any language does, or if none reaches half of the posterior.
 
-The trigram models are trained on a bounded sample of the rows that declare a
-language; every other count covers all rows.
+Every language that enough rows of the whole table declare has a trigram model,
+trained on a bounded sample of its rows; every other count covers all rows.
+Declarations are read as their primary subtag in lower case.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from slantscan.llm.common import Scratch, text_batches
 
-SAMPLE = 20_000  #: rows, on average, that the trigram models are trained on at most
-LANGUAGES = 64  #: languages, the most frequent of the sample
-LEAST_ROWS = 5  #: sampled rows that a language needs for a model of its own
+SAMPLE = 20_000  #: rows, on average, that the trigram models are trained on; each language an equal part at most
+LANGUAGE_ROWS = 200  #: rows, on average, that a language may have of them however many languages there are
+LEAST_ROWS = 5  #: rows of the whole table that a language needs for a model of its own
+HELD = 256  #: languages whose counts a task holds before it passes them on
 ROW_WEIGHT = 2000  #: trigrams that a row of the sample weighs at most; all of its text is counted
 BUCKETS = 1 << 14  #: hashed trigrams
 TEMPER = 3.0  #: trigrams overlap: so many count as one observation
@@ -54,12 +56,12 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def _counts(batches):
-    total: dict[str, np.ndarray] = {}
+    total: dict[int, np.ndarray] = {}
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             t, g = total.setdefault(lang, np.zeros(BUCKETS)), trigrams(text.as_py())
             t += np.bincount(g, minlength=BUCKETS) * min(1.0, ROW_WEIGHT / max(1, len(g)))
-            if len(total) >= 4 * LANGUAGES:
+            if len(total) >= HELD:
                 yield from _flush(total)
                 total = {}
     yield from _flush(total)
@@ -68,7 +70,7 @@ def _counts(batches):
 def _flush(total):
     for lang, t in total.items():
         k = np.flatnonzero(t)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(t[k])], names=["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), lang, np.int32)), pa.array(k), pa.array(t[k])], names=["lang", "bucket", "n"])
 
 
 class Model:
@@ -88,18 +90,27 @@ class Model:
         return np.append(s, len(t))
 
 
+def code(declared: Column) -> Column:
+    """The primary subtag in lower case (en of EN, en-US, en_GB.UTF-8); null without one."""
+    c = F.lower(F.regexp_extract(declared, r"^\s*([^\s_.,;:@-]+)", 1))
+    return F.when(c != "", c)
+
+
 def train(docs: DataFrame, text_col: str, declared_col: str, id_col: str, sample: int = SAMPLE) -> Model:
-    """Models of the declared languages, on all rows or a sample by hashed id."""
-    d = docs.select(F.col(declared_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
-    n = d.count()
-    if n > sample:
-        d = d.where(F.pmod("h", F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    top = d.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    names = sorted(r["lang"] for r in top.collect())
-    c = d.where(F.col("lang").isin(names) if names else F.lit(False)).select("lang", "text").mapInArrow(_counts, "lang string, bucket long, n double")
+    """Models of the declared languages, each on all of its rows or a sample by hashed id."""
+    d = docs.select(code(F.col(declared_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = {r["lang"]: r["count"] for r in d.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).collect()}
+    names = sorted(rows)
+    if not names:
+        return Model(names, np.zeros((0, BUCKETS)))
+    most = max(LANGUAGE_ROWS, sample // len(names))
+    below = F.array(*[F.lit(min(1 << 40, (most << 40) // rows[x])) for x in names])
+    d = d.select((F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1).cast("int").alias("lang"), "text", "h").where("lang >= 0")
+    d = d.where(F.pmod("h", F.lit(1 << 40)) < below[F.col("lang")])
+    c = d.select("lang", "text").mapInArrow(_counts, "lang int, bucket long, n double")
+    c = c.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows a language at most
     counts = np.zeros((len(names), BUCKETS))
-    for r in c.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # LANGUAGES * BUCKETS rows at most
-        counts[names.index(r["lang"]), r["bucket"]] = r["n"]
+    counts[c.column("lang").to_numpy(), c.column("bucket").to_numpy()] = c.column("n").to_numpy()
     return Model(names, counts)
 
 
@@ -113,6 +124,15 @@ def scores(model: Model):
     return score
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of ``value``, which is made once however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+
+
 class Evidence:
     """What is known beside the texts: address priors and the declarations' worth."""
 
@@ -144,17 +164,14 @@ class Evidence:
 
     @staticmethod
     def _shrunk(size: int, above: Column) -> Column:
-        total = sum((F.col(f"p{k}") for k in range(size)), F.lit(0.0))
-        return F.array(*[(F.col(f"p{k}") + F.lit(SHRINK) * above[k]) / (total + SHRINK) for k in range(size)])
+        counts = F.array(*[F.col(f"p{k}") for k in range(size)])
+        return _let(counts, lambda c: _let(_total(c) + SHRINK, lambda n: F.zip_with(c, above, lambda a, b: (a + SHRINK * b) / n)))
 
     def _posterior(self, s: str, more: Column) -> Column:
         """Softmax of the tempered text scores and other log evidence."""
-        size = len(self.names)
-        logs = F.zip_with(F.slice(F.col(s), 1, size), more, lambda a, b: a / TEMPER + b)
-        top = F.array_max(logs)
-        e = F.transform(logs, lambda x: F.exp(x - top))
-        total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(e, lambda x: x / total)
+        logs = F.zip_with(F.slice(F.col(s), 1, len(self.names)), more, lambda a, b: a / TEMPER + b)
+        e = _let(logs, lambda x: _let(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top))))
+        return _let(e, lambda x: _let(_total(x), lambda n: F.transform(x, lambda y: y / n)))
 
     def decide(self, df: DataFrame, s: str, declared: Column, host: Column, suffix: Column) -> DataFrame:
         """Adds language, confidence and known to ``df``, whose column ``s`` holds scores."""
@@ -162,9 +179,9 @@ class Evidence:
         if not size:
             return df.select("*", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("known"))
         j = df.join(self.by_host, host.eqNullSafe(F.col("host1")) & suffix.eqNullSafe(F.col("suffix2")), "left").drop("host1", "suffix2")
-        worth = F.array(*[F.lit(0.0)] * size)
-        for k, name in enumerate(self.names):
-            worth = F.when(declared == name, F.array(*[F.lit(float(x)) for x in self.worth[k]])).otherwise(worth)
+        rows = [[0.0] * size, *self.worth.tolist()]  # first that of no declaration, or of a language without a model
+        worth = F.expr("array(" + ",".join("array(" + ",".join(f"{x!r}D" for x in r) + ")" for r in rows) + ")")
+        worth = F.get(worth, F.coalesce(F.array_position(F.array(*map(F.lit, self.names)), declared), F.lit(0)).cast("int"))
         log_prior = F.transform(F.coalesce("prior", self.share), lambda x: F.log(x))
         p = self._posterior(s, F.zip_with(log_prior, worth, lambda a, b: a + b))
         j = j.withColumn("__p", p).withColumn("confidence", F.array_max("__p"))
@@ -188,8 +205,9 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="la
     (``page_evidence`` gets them from pages). Null texts and texts without
     letters have no language: known false, language null. Null declarations say
     nothing; null hosts share one prior. Rows with a null id, and repeated rows,
-    are rows like others. A language declared by fewer than LEAST_ROWS rows of the
-    sample has no model; without any model nothing is known. An empty table gives no rows. Extra columns are not looked at.
+    are rows like others. A language is the primary subtag of declarations in lower
+    case. One that fewer than LEAST_ROWS rows declare has no model; without any
+    model nothing is known. An empty table gives no rows. Extra columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
     text_batches(docs.sparkSession)
@@ -197,8 +215,8 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="la
     model = train(d, "text", "declared", "doc_id")
     # without the text a row is small: score it once, for the addresses and for itself
     d = scratch.save(d.withColumn("s", scores(model)("text")).drop("text"), "scored")
-    known = Evidence(d, model, scratch, *(F.col(c) for c in ("s", "declared", "host", "suffix")))
-    out = known.decide(d, "s", F.col("declared"), F.col("host"), F.col("suffix"))
+    known = Evidence(d, model, scratch, F.col("s"), code(F.col("declared")), F.col("host"), F.col("suffix"))
+    out = known.decide(d, "s", code(F.col("declared")), F.col("host"), F.col("suffix"))
     return out.select("doc_id", "language", "confidence", "known")
 
 
@@ -213,8 +231,8 @@ def keep_known(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="
     )
     model = train(d, "text", "declared", "doc_id")
     d = d.withColumn("s", scores(model)("text")).drop("text")
-    known = Evidence(d, model, scratch, *(F.col(c) for c in ("s", "declared", "host", "suffix")))
-    return known.decide(d, "s", F.col("declared"), F.col("host"), F.col("suffix")).where("known").select("row.*")
+    known = Evidence(d, model, scratch, F.col("s"), code(F.col("declared")), F.col("host"), F.col("suffix"))
+    return known.decide(d, "s", code(F.col("declared")), F.col("host"), F.col("suffix")).where("known").select("row.*")
 
 
 def page_evidence(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:

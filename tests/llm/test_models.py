@@ -115,6 +115,25 @@ def test_language_cases(spark):
     assert len(none) == len(rows) and not any(r.known for r in none)
 
 
+def test_every_declared_language_has_a_model(spark):
+    rng = np.random.default_rng(2)
+    words = {f"l{chr(97 + k // 26)}{chr(97 + k % 26)}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for k in range(70)}
+    say = lambda lang: " ".join(rng.choice(words[lang], 20))
+    rows = [(say(lang), lang) for lang in words for _ in range(5 if lang == "lcr" else 12)] + [(say("laa"), "laa")] * 3000
+    df = spark.createDataFrame([(k, t, lang, "h") for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    assert langid.train(df, "text", "lang", "doc_id", sample=300).names == sorted(words)
+    got = langid.identify(df).collect()
+    assert np.mean([r.known and r.language == rows[r.doc_id][1] for r in got if r.doc_id < 850]) > 0.97
+    assert all(r.language == "lcr" for r in got if rows[r.doc_id][1] == "lcr")
+
+
+def test_codes_of_one_language(spark):
+    codes = ["en", "EN", "en-US", " en_GB.UTF-8", "En-au"]
+    rows = [(k, "the cat and the dog that was there" if k % 2 else "der Hund und die Katze, die nicht da sind", codes[k % 5] if k % 2 else ["de", "de-AT"][k % 4 // 2], "h") for k in range(100)]
+    got = langid.identify(spark.createDataFrame(rows + [(200, "the cat", None, "h"), (201, "the dog", " ", "h")], "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.known and r.language == ("en" if r.doc_id % 2 or r.doc_id >= 200 else "de") for r in got)
+
+
 def test_language_of_pages(spark):
     pages = langid.page_evidence(queries.table(spark, SF, "pages"))
     got = langid.identify(pages.select("page_id", "html", "declared", "host", "suffix"), "page_id", "html", "declared", "host", "suffix")
