@@ -97,8 +97,8 @@ def code(declared: Column) -> Column:
 
 
 def train(docs: DataFrame, text_col: str, declared_col: str, id_col: str, sample: int = SAMPLE) -> Model:
-    """Models of the declared languages, each on all of its rows or a sample by hashed id."""
-    d = docs.select(code(F.col(declared_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    """Models of the declared languages, each on all of its rows or a sample by hashed id and text."""
+    d = docs.select(code(F.col(declared_col).cast("string")).alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, text_col).alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
     rows = {r["lang"]: r["count"] for r in d.groupBy("lang").count().where(F.col("count") >= LEAST_ROWS).collect()}
     names = sorted(rows)
     if not names:

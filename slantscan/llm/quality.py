@@ -89,7 +89,8 @@ class Classifier:
         if n > sample:
             lab = lab.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
         rows = docs.select(F.col(id_col).alias("id"), _features(F.col(text_col)).alias("f")).where(F.col("id").isNotNull())
-        got = rows.join(lab, F.col("id") == F.col("label_id")).select("f", "y").collect()  # ``sample`` rows
+        once = rows.join(lab, F.col("id") == F.col("label_id")).groupBy("id", "y").agg(F.min("f").alias("f"))  # a repeated id counts once
+        got = once.select("f", "y").collect()  # ``sample`` rows
         y = np.array([r["y"] for r in got])
         self.mean, self.scale, self.w, self.base = np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1), 0.0
         self.share = 0.5
@@ -184,8 +185,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text
     null, empty or without words have the form of no words and are scored by it
     and their site. Null hosts and paths are groups of their own. Without labels,
     or with one kind only, evidence is 0 and the site's prior decides. Repeated
-    rows and null ids are rows like others (a repeated label counts once). An
-    empty table gives no rows. Extra columns are not looked at.
+    rows and null ids are rows like others (a repeated label counts once, and the
+    classifier is fitted on one row of each labelled id). An empty table gives no rows. Extra columns are not looked at.
     """
     return _prepared(docs, labels, id_col, text_col, host_col, path_col, label_col, False).select("doc_id", "evidence", "site_prior", "score", "kept")
 

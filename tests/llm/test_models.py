@@ -164,6 +164,26 @@ def test_quality_cases(spark):
     assert len(quality.classify(df, labels.limit(0)).collect()) == len(rows)
 
 
+def test_quality_fit_takes_an_id_once(spark, monkeypatch):
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append((len(x), y.sum())) or fit(x, y))
+    rows = [(k, f"good plain words, {k} in a sentence." if k % 2 else "### $$$ ### !!!") for k in range(40)] + [(1, f"one more text {k}") for k in range(500)]
+    docs = spark.createDataFrame([(*r, "h", "p") for r in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    assert len(quality.classify(docs, labels).collect()) == len(rows)
+    assert seen == [(40, 20)]
+
+
+def test_language_sample_of_one_id(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "Model", lambda names, counts: taken.append((names, counts.sum())))
+    text = lambda k: f"{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]}"
+    df = spark.createDataFrame([(None, text(k), "en") for k in range(4000)], "doc_id long, text string, lang string")
+    langid.train(df, "text", "lang", "doc_id", sample=1000)
+    assert taken[0][0] == ["en"] and 4 * 800 < taken[0][1] < 4 * 1200  # four trigrams a text
+
+
 def test_site_prior_shrinks(spark):
     from slantscan.llm.common import Scratch
 
