@@ -372,6 +372,14 @@ def q_class_examples(spark, sf):
     return S.class_examples(b, n=5).select("id", "label")
 
 
+@register("class_examples_all", f"WITH {_training_sql()}, c AS (SELECT id, label, coalesce({O.normalise('comment_text')}, '') AS t FROM training), "
+                                f"r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key_sql()}, id) AS rn FROM c WHERE length(t) > 50) "
+                                "SELECT id, label FROM r WHERE rn <= 5")
+def q_class_examples_all(spark, sf):
+    t = _training(spark, sf).withColumn("comment_text", clean_text("comment_text"))
+    return S.class_examples(t, n=5).select("id", "label")
+
+
 @register("stratified_split", f"WITH {_balanced_sql()}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key_sql()}, id) AS rn, "
                               "count(*) OVER (PARTITION BY label) AS n FROM balanced) "
                               "SELECT id, label, CASE WHEN rn <= ceil(n * 0.2::DOUBLE) THEN 'val' ELSE 'train' END AS split FROM r")

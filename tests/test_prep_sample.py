@@ -224,3 +224,16 @@ def test_lexicon_versions_stay_apart(spark):
     assert sorted(r.version for r in m) == ["v1", "v2"]
     assert term_counts(df, lexicon_df(spark)).first().n_v2_explicit == 1
     assert term_counts(df, lexicon_df(spark, ("v2",))).first().n_explicit == 1
+
+
+def test_class_examples_of_the_whole_training_table(spark):
+    from conftest import SF_SMALL
+    from slantscan.plans import registry
+    t = registry._training(spark, SF_SMALL)
+    got = {r.id for r in registry.Q["class_examples_all"](spark, SF_SMALL).collect()}
+    key = F.md5(F.concat_ws(":", F.lit(str(S.SEED)), F.col("id").cast("string")))
+    want = set()
+    for label in (0, 1):
+        long = t.where((F.col("label") == label) & (F.length(registry.clean_text("comment_text")) > 50))
+        want |= {r.id for r in long.orderBy(key, "id").limit(5).collect()}
+    assert got == want and len(got) == 10
