@@ -44,6 +44,18 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """``text_batches`` for the plans that are run inside; the session's own setting comes back after them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    text_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 class Scratch:
     """Written intermediate tables of one operator call in the shared folder.
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slantscan.llm import ann, chat, embed_dedup, html_extract, langid, minhash, mixing, packing, quality, warc
+from slantscan.llm import ann, chat, embed_dedup, html_extract, langid, minhash, mixing, packing, quality, rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures, every rule's vote, the posterior (rounded for comparison) and the verdict."""
+    return rules.judge(table(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 6))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"  #: what conversation -1 says, twice
 
 
@@ -57,6 +63,44 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("formatted", "ids", "loss")
 
 
+def rules_sql() -> str:
+    """The figures by regular expressions and windows, then the estimation round by round."""
+    word, k = r"[^\x20\x09-\x0D]+", len(rules.RULES)
+    found = {c: rf"coalesce(len(regexp_extract_all(text, '{e}')), 0)" for c, e in {
+        "n_symbols": "[#*$%&|<>]", "n_odd_words": r"[!#$%&*+/<=>@\[\\\]^_`{|}~][^\x20\x09-\x0D]*",
+        "n_marks": r"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]", "n_upper": "[A-Z]", "n_shouts": "!", "n_digits": "[0-9]"}.items()}
+    votes = ", ".join(f"CAST({rules.vote_sql(r)} AS TINYINT) AS vote_{r}" for r in rules.RULES)
+    names = ", ".join(f"vote_{r}" for r in rules.RULES)
+    odds = "ln(s.share / (1 - s.share)) + list_sum(list_transform(list_zip(votes, s.accuracy), lambda z: z[1] * ln(z[2] / (1 - z[2]))))"
+    prior, accuracy, share = f"{rules.PRIOR!r}::DOUBLE", f"{rules.ACCURACY!r}::DOUBLE", f"{rules.SHARE!r}::DOUBLE"
+    return f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT i, regexp_extract_all(text, '{word}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines FROM t),
+g AS (SELECT i, unnest(generate_series(1, len(words) - 2)) AS o, words FROM w WHERE len(words) > 2),
+h AS (SELECT i, o, count(*) OVER (PARTITION BY i, words[o], words[o + 1], words[o + 2]) AS n FROM g),
+r AS (SELECT i, count(DISTINCT p) AS n_repeat_words FROM (SELECT i, unnest([o, o + 1, o + 2]) AS p FROM h WHERE n > 1) GROUP BY i),
+f AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  {", ".join(f"{e}::BIGINT AS {c}" for c, e in found.items())}
+  FROM t JOIN w USING (i) LEFT JOIN r USING (i)),
+v AS (SELECT *, {votes} FROM f),
+p AS (SELECT [{names}]::DOUBLE[] AS votes, count(*)::DOUBLE AS n FROM v GROUP BY {names}),
+s AS (
+  SELECT 0 AS round, list_transform(range({k}), lambda x: {accuracy}) AS accuracy, {share} AS share
+  UNION ALL
+  SELECT round + 1, (SELECT list(a ORDER BY j) FROM (SELECT j,
+      (sum(n * CASE WHEN votes[j] = 1 THEN good WHEN votes[j] = -1 THEN 1 - good ELSE 0 END) + {prior} * {accuracy}) / (sum(n * abs(votes[j])) + {prior}) AS a
+      FROM (SELECT votes, n, 1 / (1 + exp(-({odds}))) AS good FROM p) q, generate_series(1, {k}) AS x(j) GROUP BY j)),
+    (SELECT (sum(n / (1 + exp(-({odds})))) + {prior} * {share}) / (sum(n) + {prior}) FROM p)
+  FROM s WHERE round < {rules.ROUNDS}),
+e AS (SELECT votes, 1 / (1 + exp(-({odds}))) AS posterior FROM p, (SELECT * FROM s WHERE round = {rules.ROUNDS}) s)
+SELECT doc_id, {", ".join(rules.FIGURES)}, {names}, round(posterior, 6) AS posterior,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND posterior >= {rules.KEEP} AS kept
+FROM v JOIN e ON e.votes = [{names}]::DOUBLE[]
+"""
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_packing": op2_packing,
@@ -68,8 +112,10 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
+    "op11_rules": op11_rules,
 }
 SQL = {
+    "op11_rules": rules_sql(),
     "op8_warc": """
 WITH p AS (
   SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
