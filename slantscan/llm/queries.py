@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slantscan.llm import ann, chat, embed_dedup, html_extract, langid, minhash, mixing, packing, quality, rules, warc
+from slantscan.llm import ann, chat, embed_dedup, html_extract, langid, lexical, minhash, mixing, packing, quality, rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 6))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"  #: what conversation -1 says, twice
 
 
@@ -113,8 +117,24 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
     "op11_rules": op11_rules,
+    "op12_lexical": op12_lexical,
 }
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
+    "op12_lexical": f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all({LOWER.format("text")}, '{TERM}') AS terms FROM documents),
+q AS (SELECT row_number() OVER () AS j, item_id, unnest(regexp_extract_all({LOWER.format("text")}, '{TERM}')) AS term FROM benchmark),
+qt AS (SELECT j, item_id, term, count(*) AS times FROM q GROUP BY ALL),
+c AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+tf AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), c),
+m AS (SELECT i, doc_id, 25 + (75 * len(terms) * n_docs) // n_terms AS m FROM d, c WHERE len(terms) > 0),
+s AS (SELECT j, item_id, i, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN m USING (i) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id, i)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""",
     "op11_rules": rules_sql(),
     "op8_warc": """
 WITH p AS (
