@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from slantscan.llm.common import Scratch, small_batches
 
-WIDTH = 4096  #: coordinates of a sketch
+WIDTH = 1 << 14  #: coordinates of a sketch
 BEST = 10
 BLOCK = 1 << 17  #: terms of the queries that are searched for in one pass (one query at least)
-HALF = 512  #: documents that are sketched at once, at most
+PART = 512  #: documents that are sketched at once, at most
 
 #: what a term may consist of stays, A-Z in lower case, anything else is a blank
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -115,8 +115,8 @@ def _sketch(counts: list[dict[bytes, int]], base: np.ndarray) -> np.ndarray:
     doc = np.repeat(np.arange(len(counts)), sizes)
     at = np.fromiter((zlib.crc32(t) for c in counts for t in c), np.int64, len(doc)) % WIDTH
     tf = np.fromiter((n for c in counts for n in c.values()), np.int64, len(doc))
-    sketch = np.zeros((WIDTH, len(counts)), np.int64)
-    np.maximum.at(sketch.reshape(-1), at * len(counts) + doc, (1_000_000_000 * tf) // (1000 * tf + base[doc]))
+    sketch = np.zeros((WIDTH, len(counts)), np.int32)  # an impact is below a million
+    np.maximum.at(sketch.reshape(-1), at * len(counts) + doc, ((1_000_000_000 * tf) // (1000 * tf + base[doc])).astype(np.int32))
     return sketch
 
 
@@ -125,8 +125,8 @@ def _search(queries, weights, docs: int, length: int, best: int):
         block = _Queries(queries, weights, best)
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for i in range(0, len(ids), HALF):
-                found = [(d, ts) for d, t in zip(ids[i : i + HALF], texts[i : i + HALF]) if (ts := terms(t))]
+            for i in range(0, len(ids), PART):
+                found = [(d, ts) for d, t in zip(ids[i : i + PART], texts[i : i + PART]) if (ts := terms(t))]
                 if found:
                     base = np.array([8 * (25 + 75 * len(ts) * docs // length) for _, ts in found], np.int64)
                     block.search([d for d, _ in found], [Counter(ts) for _, ts in found], base)

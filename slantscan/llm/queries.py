@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slantscan.llm import ann, chat, embed_dedup, html_extract, langid, lexical, minhash, mixing, packing, quality, rules, warc
+from slantscan.llm import ann, chat, embed_dedup, html_extract, langid, lexical, minhash, mixing, packing, quality, rules, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation as a long; beyond 2 ** 63 it is null here (the operator's own is a decimal)."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"  #: what conversation -1 says, twice
 
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_rules": op11_rules,
     "op12_lexical": op12_lexical,
+    "op13_whitening": op13_whitening,
 }
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
