@@ -124,7 +124,7 @@ def fit(distinct: DataFrame, weigh: str = "one") -> tuple[int, list[int], np.nda
     sums = [s[i] for i in range(len(s))]
     d = len(sums)
     parts = distinct.mapInArrow(_products(weigh, np.array(sums) / n), "dim int, c array<double>")
-    rows = parts.repartition(min(d, 64), "dim").mapInArrow(_add_rows, "dim int, c array<double>").collect()  # one row a dimension
+    rows = parts.repartition("dim").mapInArrow(_add_rows, "dim int, c array<double>").collect()  # one row a dimension
     v = np.zeros((d, d))
     for r in rows:
         v[r["dim"]] = r["c"]
@@ -154,7 +154,7 @@ def whiten(df: DataFrame, id_col="vec_id", vec_col="embedding", components: int
     rows = scaled(df, id_col, vec_col, scale)
     length = rows.agg(F.max(F.size("x"))).first()[0]
     rows = rows.where(F.size("x") == F.lit(length)).withColumn("key", _key())
-    grouped = rows.groupBy("key").agg(F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))  # equal keys have equal x
+    grouped = rows.groupBy("key", "x").agg(F.count(F.lit(1)).alias("n"))
     distinct = scratch.save(grouped, "distinct")
     n, sums, e, u = fit(distinct, weigh)
     trace = float(e.sum()) if len(e) else 0.0
