@@ -862,6 +862,25 @@ def q_read_comments(spark, sf):
     return _rounded(C.read_comments(spark, _as_csv(_quoted(spark, sf), "comments")).select(*COMMENT_COLS))
 
 
+def _spoilt(spark, sf) -> DataFrame:
+    """Quoted comments as text; every 29th target is no number, nor is every 31st id."""
+    c = _quoted(spark, sf).select("id", "comment_text", "target")
+    return c.select(F.when(F.col("id") % 31 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id").cast("string")).alias("id"), "comment_text",
+                    F.when(F.col("id") % 29 == 0, F.lit("much")).otherwise(F.col("target").cast("string")).alias("target"))
+
+
+@register("read_comments_reject", f"WITH {SQL_QUOTED} SELECT id, comment_text, {sql_r9('target')} AS target FROM comments WHERE id % 29 <> 0 AND id % 31 <> 0")
+def q_read_comments_reject(spark, sf):
+    from ..sources import csv as C
+    return _rounded(C.read_comments(spark, _as_csv(_spoilt(spark, sf), "comments"), bad="reject").select("id", "comment_text", "target"))
+
+
+@register("read_comments_bad", f"WITH {SQL_QUOTED} SELECT CASE WHEN id % 31 = 0 THEN 'x' || id ELSE id::VARCHAR END AS id, comment_text FROM comments WHERE id % 29 = 0 OR id % 31 = 0")
+def q_read_comments_bad(spark, sf):
+    from ..sources import csv as C
+    return C.read_comments(spark, _as_csv(_spoilt(spark, sf), "comments"), bad="only").select("id", "comment_text")
+
+
 @register("read_annotations", f"WITH {_annotations_sql()} SELECT comment_id, {', '.join(sql_r9(c) + ' AS ' + c for c in P.SCORE_COLUMNS)} FROM ann")
 def q_read_annotations(spark, sf):
     from ..sources import csv as C

@@ -3,9 +3,10 @@
 CSV columns are found by header name, in any order; the known ones get their
 types by a checked cast, columns that the file lacks are not invented (so
 ``require_columns`` can name them), others are ignored. Quoted texts may span
-lines and hold doubled quotes, as the published data sets do; a file read that
-way is one task, so land large files once as Parquet (or pass
-``multi_line=False`` where texts hold no line breaks: the file is then split).
+lines and hold doubled quotes, as the published data sets do; files are read in
+byte ranges all the same, cut at the real ends of records (``records.py``), which
+takes one or two passes over them before the reading. With ``multi_line=False``,
+for files whose texts hold no line breaks, there are no such passes.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.prep import SCORE_COLUMNS, require_columns, union_sources
+from .records import records
 
 D = T.DoubleType()
 
@@ -47,22 +49,35 @@ TRAINING_SCHEMA = T.StructType([
 ])
 
 _CORRUPT = "__line"
+_BOM = "\ufeff"
 
 
 def _raw(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     """All columns as text, under their header names; a row with too few or too many cells has ``__line``."""
-    reader = (spark.read.option("header", True).option("multiLine", multi_line)
-              .option("quote", '"').option("escape", '"').option("encoding", "UTF-8"))
+    how = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    reader = spark.read.options(**how, header=True, multiLine=multi_line, encoding="UTF-8")
     names = reader.csv(path).columns  # reads the header
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
-    return (reader.schema(schema).option("enforceSchema", False)  # every file has this header
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).csv(path))
+    if not multi_line:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _CORRUPT]])
+        # every file has this header; without pruning, so that a row is checked whichever columns are asked for
+        return reader.schema(schema).option("enforceSchema", False).option("columnPruning", False).csv(path)
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, _CORRUPT])
+    rows = records(spark, path).select("first", F.inline(F.array(F.from_csv("value", schema, how))))
+    other = F.col(_CORRUPT).isNotNull()
+    for i, n in enumerate(names):  # a repeated name has its number behind it, an empty one is made up
+        cell = F.ltrim(F.col(f"`{n}`"), F.lit(_BOM))
+        other = other | ~F.coalesce(cell.isin(n.lstrip(_BOM), n.lstrip(_BOM).removesuffix(str(i))), F.lit(True))
+    stop = F.raise_error(F.lit(f"{path}: the files' headers differ")).cast("boolean")
+    body = F.when(F.col("first"), F.when(other, stop).otherwise(False)).otherwise(True)
+    return rows.filter(body).select(*[f"`{n}`" for n in [*names, _CORRUPT]])
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, required: Sequence[str], multi_line: bool,
           bad: str) -> DataFrame:
+    if bad not in ("raise", "reject", "only"):
+        raise ValueError("bad must be 'raise', 'reject' or 'only'")
     raw = _raw(spark, path, multi_line)
-    raw = raw.select(*[F.col(f"`{c}`").alias(c.strip().lstrip("﻿")) for c in raw.columns])
+    raw = raw.select(*[F.col(f"`{c}`").alias(c.strip().lstrip(_BOM)) for c in raw.columns])
     require_columns(raw, required)
     known = [f for f in schema.fields if f.name in raw.columns]
     wrong = F.col(_CORRUPT).isNotNull()
@@ -76,12 +91,10 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, required: Sequen
         return raw.filter(wrong).select(*raw.columns)
     if bad == "reject":
         return raw.filter(~wrong).select(*cells)
-    if bad != "raise":
-        raise ValueError("bad must be 'raise', 'reject' or 'only'")
+    # a predicate on the row: whatever is asked of the table, a count too, no projection can prune it
     row = F.to_json(F.struct(*[F.col(f.name) for f in known], F.col(_CORRUPT)))
     stop = F.raise_error(F.concat(F.lit(f"{path}: a row doesn't fit its columns: "), F.substring(row, 1, 500)))
-    first = F.when(wrong, stop.cast(known[0].dataType)).otherwise(_cast(known[0])).alias(known[0].name)
-    return raw.select(first, *cells[1:])
+    return raw.filter(F.when(wrong, stop.cast("boolean")).otherwise(True)).select(*cells)
 
 
 def _cast(f: T.StructField) -> Column:
