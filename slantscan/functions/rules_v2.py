@@ -11,12 +11,15 @@ would copy the whole expression tree at every step.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from .rule_model import V2, RuleSet
 from .terms import Hits
 
 
@@ -31,79 +34,49 @@ def _when(cond: Column, value: float | Column, other: float = 0.0) -> Column:
     return F.when(cond, value).otherwise(F.lit(other))
 
 
-def _flatten_pairs(pairs) -> list[str]:
-    out: list[str] = []
-    for p, secs in pairs:
-        out.append(p)
-        out.extend(secs)
-    return out
-
-
-def _categories(groups: dict) -> list[str]:
-    return [t for terms in groups.values() for t in terms]
-
-
-def terms() -> list[str]:
+def terms(lex: RuleSet = V2) -> list[str]:
     """Every term the V2 score, features and explanation read."""
-    out: list[str] = []
-    out += L.EXPLICIT_RACIAL_TERMS + L.V2_CODED_RACIAL_TERMS + L.V2_RACIAL_STEREOTYPES
-    out += L.V2_HISTORICAL_TERMS + L.V2_EDUCATIONAL_TERMS + L.V2_CRITICAL_TERMS
-    out += L.V2_CULTURAL_DECLINE_TERMS + L.V2_US_VS_THEM_TERMS
-    out += L.V2_SYSTEMIC_TERMS + L.V2_SOLUTION_TERMS + L.V2_FACTUAL_MARKERS
-    out += _flatten_pairs(L.V2_ECONOMIC_CONTRAST_PAIRS)
-    out += _flatten_pairs(L.V2_POSITIVE_RESEARCH_PATTERNS)
-    out += _flatten_pairs(L.V2_LEGITIMATE_SYSTEMIC_PATTERNS)
-    out += L.V2_FACTUAL_DISCUSSION_MARKERS
-    for quality in L.V2_EVIDENCE_MARKERS.values():
-        out += _categories(quality)
-    for intent in L.V2_INTENT_MARKERS.values():
-        out += _categories(intent)
-    for frame in L.V2_FRAMING_MARKERS.values():
-        out += _categories(frame)
-    out += L.V2_POSITIVE_RESEARCH_TERMS + L.V2_NEGATIVE_RESEARCH_TERMS
-    out += L.V2_STRONG_INDICATORS + L.V2_REFUSAL_TERMS
-    out += ["demographic changes", "minority communities"]
-    out += L.V2_ECONOMIC_BIAS_TERMS
-    for comps in L.V2_STATEMENT_STRUCTURES.values():
-        out += _categories(comps)
-    for group in L.V2_CONTEXTUAL_RELATIONSHIPS.values():
-        for pairs in group.values():
-            for a, b in pairs:
-                out += [a, b]
-    return out
+    return lex.all_terms()
 
 
 # ---- G6: share of categories with at least one term ----------------------
 
 def category_coverage(h: Hits, categories: dict[str, list[str]], raw: bool = False) -> Column:
+    if not categories:
+        return F.lit(0.0)
     hit = h.count([], raw)
     for cat_terms in categories.values():
         hit = hit + h.any(cat_terms, raw).cast("int")
     return hit / F.lit(len(categories))
 
 
-def intent_scores(h: Hits) -> dict[str, Column]:
-    return {
-        name: category_coverage(h, cats)
-        for name, cats in zip(L.V2_INTENT_NAMES, L.V2_INTENT_MARKERS.values())
-    }
+def intent_scores(h: Hits, lex: RuleSet = V2) -> dict[str, Column]:
+    names = dict(zip(L.V2_INTENT_MARKERS, L.V2_INTENT_NAMES))
+    return {names.get(group, group): category_coverage(h, cats) for group, cats in lex.categories["intent"].items()}
 
 
-def framing_scores(h: Hits) -> dict[str, Column]:
-    return {name: category_coverage(h, cats) for name, cats in L.V2_FRAMING_MARKERS.items()}
+def framing_scores(h: Hits, lex: RuleSet = V2) -> dict[str, Column]:
+    return {name: category_coverage(h, cats) for name, cats in lex.categories["framing"].items()}
 
 
-def evidence_scores(h: Hits) -> dict[str, Column]:
-    return {name: category_coverage(h, cats) for name, cats in L.V2_EVIDENCE_MARKERS.items()}
+def evidence_scores(h: Hits, lex: RuleSet = V2) -> dict[str, Column]:
+    return {name: category_coverage(h, cats) for name, cats in lex.categories["evidence"].items()}
 
 
-def structure_scores(h: Hits) -> dict[str, Column]:
+STRUCTURES = tuple(L.V2_STATEMENT_STRUCTURES)
+
+
+def structure_scores(h: Hits, lex: RuleSet = V2) -> dict[str, Column]:
     """A term inside some 3-word window of the normalised text.
 
-    Every structure term has at most two words, so it lies in a 3-word
-    window iff it is a substring of the normalised lower-cased text.
+    A term of at most three words lies in a 3-word window iff it is a substring
+    of the normalised lower-cased text; one of more words lies in none.
     """
-    return {name: category_coverage(h, comps) for name, comps in L.V2_STATEMENT_STRUCTURES.items()}
+    out = {}
+    for name in STRUCTURES:
+        comps = lex.categories["structure"].get(name, {})
+        out[name] = category_coverage(h, {c: [t for t in ts if t.count(" ") <= 2] for c, ts in comps.items()})
+    return out
 
 
 # ---- G8: relationship pairs ------------------------------------------------
@@ -116,42 +89,41 @@ RELATION_OUTPUTS = {
 }
 
 
-def relation_scores(h: Hits, raw: bool = False) -> dict[str, Column]:
-    """+0.3 per pair with both members present, capped at 1.0."""
+def relation_scores(h: Hits, raw: bool = False, lex: RuleSet = V2) -> dict[str, Column]:
+    """The pair's weight (0.3) per pair with both members present, capped at 1.0."""
     out = {}
-    for group, kinds in L.V2_CONTEXTUAL_RELATIONSHIPS.items():
-        for kind, pairs in kinds.items():
-            s = seq_sum([_when(h.hit(a, raw) & h.hit(b, raw), 0.3) for a, b in pairs])
-            out[RELATION_OUTPUTS[(group, kind)]] = F.least(s, F.lit(1.0))
+    for key, name in RELATION_OUTPUTS.items():
+        s = seq_sum([_when(h.hit(a, raw) & h.hit(b, raw), w) for a, b, w in lex.relations[key]])
+        out[name] = F.least(s, F.lit(1.0))
     return out
 
 
 # ---- G9-G13 ----------------------------------------------------------------
 
-def primary_any_secondary(h: Hits, pairs, weight: float) -> Column:
+def primary_any_secondary(h: Hits, pairs) -> Column:
     """+weight per primary present together with any of its secondaries."""
-    return seq_sum([_when(h.hit(p) & h.any(secs), weight) for p, secs in pairs])
+    return seq_sum([_when(h.hit(p) & h.any(secs), w) for p, secs, w in pairs])
 
 
-def economic_contrast(h: Hits) -> Column:
-    return primary_any_secondary(h, L.V2_ECONOMIC_CONTRAST_PAIRS, L.V2_ECONOMIC_CONTRAST_WEIGHT)
+def economic_contrast(h: Hits, lex: RuleSet = V2) -> Column:
+    return primary_any_secondary(h, lex.pairs["economic_contrast"])
 
 
-def positive_research(h: Hits) -> Column:
-    return primary_any_secondary(h, L.V2_POSITIVE_RESEARCH_PATTERNS, L.V2_POSITIVE_RESEARCH_WEIGHT)
+def positive_research(h: Hits, lex: RuleSet = V2) -> Column:
+    return primary_any_secondary(h, lex.pairs["positive_research"])
 
 
-def factual_marker(h: Hits) -> Column:
-    return h.any(L.V2_FACTUAL_DISCUSSION_MARKERS)
+def factual_marker(h: Hits, lex: RuleSet = V2) -> Column:
+    return h.any(lex.terms["factual_marker"])
 
 
-def legitimate_systemic(h: Hits) -> Column:
+def legitimate_systemic(h: Hits, lex: RuleSet = V2) -> Column:
     """+0.6 per pattern hit, and +0.2 more if any factual marker is present."""
-    fm = factual_marker(h)
+    fm = factual_marker(h, lex)
     parts: list[Column] = []
-    for p, secs in L.V2_LEGITIMATE_SYSTEMIC_PATTERNS:
+    for p, secs, w in lex.pairs["legitimate_systemic"]:
         c = h.hit(p) & h.any(secs)
-        parts.append(_when(c, L.V2_LEGITIMATE_SYSTEMIC_WEIGHT))
+        parts.append(_when(c, w))
         parts.append(_when(c & fm, L.V2_LEGITIMATE_FACTUAL_BONUS))
     return seq_sum(parts)
 
@@ -164,59 +136,58 @@ def all_groups(h: Hits, *groups: Sequence[str]) -> Column:
     return _when(cond, 0.8)
 
 
-def historical_education(h: Hits) -> Column:
-    return all_groups(h, L.V2_HISTORICAL_TERMS, L.V2_EDUCATIONAL_TERMS, L.V2_CRITICAL_TERMS)
+def historical_education(h: Hits, lex: RuleSet = V2) -> Column:
+    return all_groups(h, lex.terms["historical"], lex.terms["educational"], lex.terms["critical"])
 
 
-def systemic_discussion(h: Hits) -> Column:
-    return all_groups(h, L.V2_SYSTEMIC_TERMS, L.V2_SOLUTION_TERMS, L.V2_FACTUAL_MARKERS)
+def systemic_discussion(h: Hits, lex: RuleSet = V2) -> Column:
+    return all_groups(h, lex.terms["systemic"], lex.terms["solution"], lex.terms["factual"])
 
 
-def cultural_bias(h: Hits) -> Column:
+def cultural_bias(h: Hits, lex: RuleSet = V2) -> Column:
     """0.7 with both kinds of terms, 0.5 with one kind, else 0."""
-    dec = h.count(L.V2_CULTURAL_DECLINE_TERMS) > 0
-    usv = h.count(L.V2_US_VS_THEM_TERMS) > 0
+    dec = h.count(lex.terms["cultural_decline"]) > 0
+    usv = h.count(lex.terms["us_vs_them"]) > 0
     return F.when(dec & usv, F.lit(0.7)).when(dec | usv, F.lit(0.5)).otherwise(F.lit(0.0))
 
 
-def evidence_quality(h: Hits) -> Column:
+def evidence_quality(h: Hits, lex: RuleSet = V2) -> Column:
     """+0.2 per high-quality category hit, -0.2 per low-quality one, in that order.
 
     Kept as the same float running sum: 3 - 3 categories leave 5.6e-17,
     which counts as positive evidence.
     """
     out: Column = F.lit(0.0)
-    for cat_terms in L.V2_EVIDENCE_MARKERS["high_quality"].values():
+    for cat_terms in lex.categories["evidence"].get("high_quality", {}).values():
         out = out + _when(h.any(cat_terms), 0.2)
-    for cat_terms in L.V2_EVIDENCE_MARKERS["low_quality"].values():
+    for cat_terms in lex.categories["evidence"].get("low_quality", {}).values():
         out = out - _when(h.any(cat_terms), 0.2)
     return out
 
 
-def strong_indicator(h: Hits) -> Column:
+def strong_indicator(h: Hits, lex: RuleSet = V2) -> Column:
     """G19."""
-    return h.any(L.V2_STRONG_INDICATORS)
+    return h.any(lex.terms["strong"])
 
 
-def research_direction(h: Hits) -> Column:
+def research_direction(h: Hits, lex: RuleSet = V2) -> Column:
     """Positive research terms and no negative ones."""
-    return h.any(L.V2_POSITIVE_RESEARCH_TERMS) & ~h.any(L.V2_NEGATIVE_RESEARCH_TERMS)
+    return h.any(lex.terms["positive_finding"]) & ~h.any(lex.terms["negative_finding"])
 
 
-def lexicon_counts(h: Hits) -> dict[str, Column]:
-    return {
-        "explicit_n": h.count(L.EXPLICIT_RACIAL_TERMS),
-        "coded_n": h.count(L.V2_CODED_RACIAL_TERMS),
-        "stereotype_n": h.count(L.V2_RACIAL_STEREOTYPES),
-    }
+def lexicon_counts(h: Hits, lex: RuleSet = V2) -> dict[str, Column]:
+    return {f"{name}_n": h.count(lex.terms[name]) for name in ("explicit", "coded", "stereotype")}
+
+
+def weighted(h: Hits, lex: RuleSet, name: str, raw: bool = False) -> Column:
+    """Weight times number of the list's terms present; several weights in order of their first term."""
+    parts = [h.count(ts, raw) * F.lit(w) for w, ts in lex.by_weight(name)]
+    return functools.reduce(operator.add, parts) if parts else F.lit(0.0)
 
 
-def lexicon_score(h: Hits) -> Column:
+def lexicon_score(h: Hits, lex: RuleSet = V2) -> Column:
     """0.4 per explicit, coded and stereotype term."""
-    c = lexicon_counts(h)
-    w = L.V2_WEIGHTS
-    return (c["explicit_n"] * F.lit(w["explicit"]) + c["coded_n"] * F.lit(w["coded"])) \
-        + c["stereotype_n"] * F.lit(w["stereotype"])
+    return (weighted(h, lex, "explicit") + weighted(h, lex, "coded")) + weighted(h, lex, "stereotype")
 
 
 # ---- H2: the rule chain ------------------------------------------------------
@@ -227,25 +198,25 @@ FEATURES = [
 ]
 
 
-def features(h: Hits) -> dict[str, Column]:
+def features(h: Hits, lex: RuleSet = V2) -> dict[str, Column]:
     """Every input of the chain, one column each (evaluated once per row)."""
     return {
-        "lex": lexicon_score(h),
-        "hist": historical_education(h),
-        "cult": cultural_bias(h),
-        "sys": systemic_discussion(h),
-        "econ": economic_contrast(h),
-        "posres": positive_research(h),
-        "legit": legitimate_systemic(h),
-        "eq": evidence_quality(h),
-        "fact": category_coverage(h, L.V2_INTENT_MARKERS["factual_discussion"]),
-        "fm": factual_marker(h),
-        "no_blame": ~h.any(L.V2_BLAME_TERMS),
-        "no_refusal": ~h.any(L.V2_REFUSAL_TERMS),
-        "research_dir": research_direction(h),
-        "strong": strong_indicator(h),
-        "demo_changes": h.hit("demographic changes"),
-        "minority_comm": h.hit("minority communities"),
+        "lex": lexicon_score(h, lex),
+        "hist": historical_education(h, lex),
+        "cult": cultural_bias(h, lex),
+        "sys": systemic_discussion(h, lex),
+        "econ": economic_contrast(h, lex),
+        "posres": positive_research(h, lex),
+        "legit": legitimate_systemic(h, lex),
+        "eq": evidence_quality(h, lex),
+        "fact": category_coverage(h, lex.categories["intent"].get("factual_discussion", {})),
+        "fm": factual_marker(h, lex),
+        "no_blame": ~h.any(lex.terms["blame"]),
+        "no_refusal": ~h.any(lex.terms["refusal"]),
+        "research_dir": research_direction(h, lex),
+        "strong": strong_indicator(h, lex),
+        "demo_changes": h.any(lex.terms["demographic_change"]),
+        "minority_comm": h.any(lex.terms["minority_community"]),
     }
 
 
@@ -277,13 +248,13 @@ def final_score(f: dict[str, Column], base: Column, model_score: Column) -> Colu
 
 # ---- explanation inputs (H6/H7) ----------------------------------------------
 
-def pattern_tags(h: Hits, structures: dict[str, Column], relations: dict[str, Column]) -> Column:
+def pattern_tags(h: Hits, structures: dict[str, Column], relations: dict[str, Column], lex: RuleSet = V2) -> Column:
     """H6 (V2): ordered pattern names; lexicon checks read the raw text."""
     items = [
-        (h.any(L.EXPLICIT_RACIAL_TERMS, raw=True), "explicit racial terms"),
-        (h.any(L.V2_CODED_RACIAL_TERMS, raw=True), "coded racial language"),
-        (h.any(L.V2_RACIAL_STEREOTYPES, raw=True), "racial stereotyping"),
-        (h.any(L.V2_ECONOMIC_BIAS_TERMS, raw=True), "economic bias language"),
+        (h.any(lex.terms["explicit"], raw=True), "explicit racial terms"),
+        (h.any(lex.terms["coded"], raw=True), "coded racial language"),
+        (h.any(lex.terms["stereotype"], raw=True), "racial stereotyping"),
+        (h.any(lex.terms["economic"], raw=True), "economic bias language"),
         (structures["factual_research"] > 0.5, "research-based language"),
         (structures["systemic_analysis"] > 0.5, "systemic analysis"),
         (structures["biased_generalization"] > 0.5, "biased generalizations"),

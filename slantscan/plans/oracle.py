@@ -95,7 +95,7 @@ def coverage(groups: dict, col: str = "lt") -> str:
     return f"(({body}) / {D(n)})"
 
 
-def v2_feature_exprs() -> dict[str, str]:
+def v2_feature_exprs(L=L) -> dict[str, str]:
     econ = seq([when(f"{hit(p)} AND {any_(s)}", D(0.7)) for p, s in L.V2_ECONOMIC_CONTRAST_PAIRS])
     posres = seq([when(f"{hit(p)} AND {any_(s)}", D(0.8)) for p, s in L.V2_POSITIVE_RESEARCH_PATTERNS])
     fm = any_(L.V2_FACTUAL_DISCUSSION_MARKERS)
@@ -155,15 +155,16 @@ f8 AS (SELECT * REPLACE (CASE WHEN minority_comm AND legit > 0.6 AND fm THEN f *
 v2 AS (SELECT *, least(greatest(f, {D(0.0)}), {D(1.0)}) AS score FROM f8)"""
 
 
-def v2_feat_cte(src: str = "norm", keep: str = "id, model_score, lt, lraw") -> str:
-    cols = ",\n  ".join(f"{e} AS {k}" for k, e in v2_feature_exprs().items())
+def v2_feat_cte(src: str = "norm", keep: str = "id, model_score, lt, lraw", L=L) -> str:
+    cols = ",\n  ".join(f"{e} AS {k}" for k, e in v2_feature_exprs(L).items())
     return f"feat AS (SELECT {keep},\n  {cols}\n FROM {src})"
 
 
-def score_v2_sql() -> str:
+def score_v2_sql(L=L) -> str:
+    """``L``: the lists, those of ``lexicons`` or others under the same names."""
     return f"""WITH {planted_cte()},
 {norm_cte()},
-{v2_feat_cte()},
+{v2_feat_cte(L=L)},
 {v2_chain_ctes()}
 SELECT id, round(score, 9) AS bias_score, score > {D(L.BIAS_THRESHOLD)} AS is_biased FROM v2"""
 
@@ -259,7 +260,7 @@ SUGGESTION_RACE = L.SUGGESTIONS["race"]
 
 # ---- V1 features ------------------------------------------------------------------
 
-def v1_window_ctes(src: str = "norm") -> str:
+def v1_window_ctes(src: str = "norm", L=L) -> str:
     cols = []
     for i, (base, ctx) in enumerate(L.V1_CONTEXTUAL_PAIRS):
         cols.append(f"coalesce(list_position(words, {q(base)}), 0) AS p{i}")
@@ -272,7 +273,7 @@ def v1_window_ctes(src: str = "norm") -> str:
     return pos + ",\n" + win
 
 
-def v1_context_exprs(col: str = "lt") -> tuple[str, str, str]:
+def v1_context_exprs(col: str = "lt", L=L) -> tuple[str, str, str]:
     """(pair score, score before cap, ordered tags) over windows w0..w14 and text ``col``."""
     pair_parts, pair_tags = [], []
     for i, (base, ctx) in enumerate(L.V1_CONTEXTUAL_PAIRS):
@@ -311,10 +312,10 @@ def v1_context_exprs(col: str = "lt") -> tuple[str, str, str]:
     return seq(pair_parts), s, tags
 
 
-def v1_score_ctes(src_cte: str | None = None) -> str:
+def v1_score_ctes(src_cte: str | None = None, L=L) -> str:
     """src -> norm -> windows -> v1 features -> ``v1`` with columns score, tags, rawtags."""
-    _, ctx, tags = v1_context_exprs("lt")
-    _, _, rawtags = v1_context_exprs("lraw")
+    _, ctx, tags = v1_context_exprs("lt", L)
+    _, _, rawtags = v1_context_exprs("lraw", L)
     feat = f"""v1f AS (SELECT id, model_score, lt, lraw,
   {count(L.EXPLICIT_RACIAL_TERMS)} * {D(0.35)} AS explicit,
   {count(L.V1_CODED_RACIAL_TERMS)} * {D(0.30)} AS coded,
@@ -333,7 +334,7 @@ v1c AS (SELECT *, CASE WHEN len(tags) >= 2 THEN least(s0 * ({D(1.0)} + {D(0.15)}
 v1 AS (SELECT *, CASE WHEN list_contains(tags, {q(L.V1_TAG_ANALYTICAL)}) AND len(tags) > 1 THEN least(s1 * {D(1.2)}, {D(1.0)}) ELSE s1 END AS score FROM v1c)"""
     return f"""{src_cte or planted_cte()},
 {norm_cte()},
-{v1_window_ctes()},
+{v1_window_ctes(L=L)},
 {feat},
 {chain}"""
 

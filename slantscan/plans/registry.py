@@ -7,6 +7,7 @@ decimals and arrays joined with '|' on both sides so results hash alike.
 
 from __future__ import annotations
 
+import types
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -247,7 +248,7 @@ def q_predict(spark, sf):
 # ---- C: joins ----------------------------------------------------------------
 
 def _lexicon_values_sql() -> str:
-    rows = ", ".join(f"({q(v)}, {q(n)}, {i}, {q(t)})" for v, n, _, i, t, _ in lexicon_table.rows())
+    rows = ", ".join(f"({q(v)}, {q(n)}, {i}, {q(t)})" for v, n, _, _, i, t, _ in lexicon_table.rows(kinds=["term"]))
     return f"lex(version, name, ordinal, term) AS (VALUES {rows})"
 
 
@@ -257,7 +258,7 @@ def q_lexicon_matches(spark, sf):
     return LX.lexicon_matches(_planted(spark, sf), lexicon_table.lexicon_df(spark))
 
 
-LEXICONS = list(dict.fromkeys((v, n) for v, n, *_ in lexicon_table.rows()))
+LEXICONS = list(dict.fromkeys((v, n) for v, n, *_ in lexicon_table.rows(kinds=["term"])))
 
 
 @register("term_counts", f"WITH {SQL_SRC}, {O.norm_cte()}, {_lexicon_values_sql()} SELECT id, "
@@ -656,6 +657,49 @@ def _score_out(df: DataFrame) -> DataFrame:
     return df.select("id", r9("bias_score").alias("bias_score"), "is_biased")
 
 
+# A user's own lists: rows added to and taken from the published table, and the same for the statement
+OWN_ROWS = [
+    ("v2", "coded", "term", None, 1000, "parking", None),
+    ("v2", "strong", "term", None, 1000, "bus runs", None),
+    ("v2", "economic_contrast", "pair", "library", 1000, "weekdays", None),
+    ("v2", "blame", "list", None, 1000, "rents", None),
+    ("v2", "evidence.high_quality", "category", "verification", 1000, "census", None),
+    ("v1", "coded", "term", None, 1000, "parking", None),
+    ("v1", "war", "list", None, 1000, "bus", None),
+    ("v1", "context", "pair", "library", 1000, "opens", None),
+]
+
+
+def own_lexicon(spark: SparkSession) -> DataFrame:
+    """The published table without the coded term 'urban', with OWN_ROWS."""
+    table = lexicon_table.rule_df(spark).where("NOT (name = 'coded' AND term = 'urban')")
+    return table.unionByName(spark.createDataFrame(OWN_ROWS, lexicon_table.SCHEMA))
+
+
+def _own_lists():
+    own = types.SimpleNamespace(**vars(L))
+    for name in ("V1_CODED_RACIAL_TERMS", "V2_CODED_RACIAL_TERMS"):
+        setattr(own, name, [t for t in getattr(L, name) if t != "urban"] + ["parking"])
+    own.V2_STRONG_INDICATORS = L.V2_STRONG_INDICATORS + ["bus runs"]
+    own.V2_ECONOMIC_CONTRAST_PAIRS = L.V2_ECONOMIC_CONTRAST_PAIRS + [("library", ["weekdays"])]
+    own.V2_BLAME_TERMS = L.V2_BLAME_TERMS + ["rents"]
+    high = L.V2_EVIDENCE_MARKERS["high_quality"]
+    own.V2_EVIDENCE_MARKERS = {**L.V2_EVIDENCE_MARKERS, "high_quality": {**high, "verification": high["verification"] + ["census"]}}
+    own.V1_WAR_TERMS = L.V1_WAR_TERMS + ["bus"]
+    own.V1_CONTEXTUAL_PAIRS = L.V1_CONTEXTUAL_PAIRS + [("library", ["opens"])]
+    return own
+
+
+@register("score_v2_lexicon", O.score_v2_sql(_own_lists()))
+def q_score_v2_lexicon(spark, sf):
+    return _score_out(A.score_v2(_planted(spark, sf), lexicon=own_lexicon(spark)))
+
+
+@register("score_v1_lexicon", f"WITH {O.v1_score_ctes(L=_own_lists())} SELECT id, {sql_r9('score')} AS bias_score, score > {D(L.BIAS_THRESHOLD)} AS is_biased FROM v1")
+def q_score_v1_lexicon(spark, sf):
+    return _score_out(A.score_v1(_planted(spark, sf), lexicon=own_lexicon(spark)))
+
+
 @register("score_v2", f"WITH {O.v2_analysis_ctes()} SELECT id, {sql_r9('score')} AS bias_score, score > {D(L.BIAS_THRESHOLD)} AS is_biased FROM v2")
 def q_score_v2(spark, sf):
     return _score_out(A.score_v2(_planted(spark, sf)))

@@ -1,8 +1,8 @@
-"""Lexicons as a table: (version, name, category, ordinal, term, weight).
+"""Lexicons as a table: (version, name, kind, category, ordinal, term, weight).
 
-Users can pass their own table of this shape to the lexicon operators. Flat
-term lists become one row per term; pair lists one row per (primary,
-secondary) with the primary in ``category``.
+``functions.rule_model`` says how rows of each kind are read. Users can pass
+their own table of this shape to the scorers (``lexicon=``) and to the lexicon
+operators; the latter look at version, name, ordinal and term only.
 """
 
 from __future__ import annotations
@@ -10,47 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .. import lexicons as L
+from ..functions.rule_model import KINDS, default_rows
 
 SCHEMA = T.StructType([
     T.StructField("version", T.StringType(), False),
     T.StructField("name", T.StringType(), False),
+    T.StructField("kind", T.StringType(), False),
     T.StructField("category", T.StringType(), True),
     T.StructField("ordinal", T.IntegerType(), False),
     T.StructField("term", T.StringType(), False),
     T.StructField("weight", T.DoubleType(), True),
 ])
 
-FLAT = {
-    "v2": [
-        ("explicit", L.EXPLICIT_RACIAL_TERMS, L.V2_WEIGHTS["explicit"]),
-        ("coded", L.V2_CODED_RACIAL_TERMS, L.V2_WEIGHTS["coded"]),
-        ("stereotype", L.V2_RACIAL_STEREOTYPES, L.V2_WEIGHTS["stereotype"]),
-        ("economic", L.V2_ECONOMIC_BIAS_TERMS, None),
-        ("strong", L.V2_STRONG_INDICATORS, None),
-        ("factual_marker", L.V2_FACTUAL_DISCUSSION_MARKERS, None),
-    ],
-    "v1": [
-        ("explicit", L.EXPLICIT_RACIAL_TERMS, L.V1_WEIGHTS["explicit"]),
-        ("coded", L.V1_CODED_RACIAL_TERMS, L.V1_WEIGHTS["coded"]),
-        ("stereotype", L.V1_RACIAL_STEREOTYPES, L.V1_WEIGHTS["stereotype"]),
-        ("pseudo_scientific", L.V1_PSEUDO_SCIENTIFIC_TERMS, 0.2),
-        ("property_economic", L.V1_PROPERTY_ECONOMIC_TERMS, 0.15),
-        ("cultural_supremacy", L.V1_CULTURAL_SUPREMACY_TERMS, 0.2),
-        ("historical", L.V1_HISTORICAL_BIAS_TERMS, 0.2),
-        ("analytical", L.V1_ANALYTICAL_BIAS_TERMS, 0.15),
-    ],
-}
-
-
-def rows(versions=("v2", "v1")) -> list[tuple]:
-    out = []
-    for v in versions:
-        for name, terms, weight in FLAT[v]:
-            for i, t in enumerate(terms):
-                out.append((v, name, None, i, t, weight))
-    return out
-
-
-def lexicon_df(spark: SparkSession, versions=("v2", "v1")) -> DataFrame:
+
+def rows(versions=("v2", "v1"), kinds=KINDS) -> list[tuple]:
+    """The published lists of the given kinds."""
+    return default_rows(versions, kinds)
+
+
+def rule_df(spark: SparkSession, versions=("v2", "v1")) -> DataFrame:
+    """All that the rule sets read: take it, change rows, and score with it."""
     return spark.createDataFrame(rows(versions), SCHEMA)
+
+
+def lexicon_df(spark: SparkSession, versions=("v2", "v1"), kinds=("term",)) -> DataFrame:
+    """The lists of which a text's matches are reported."""
+    return spark.createDataFrame(rows(versions, kinds), SCHEMA)
