@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from .automaton import text_bits_udf
 from .text import normalise_text
 
-MAX_TERMS = 100_000  # a lexicon is read on the driver and held by every task; keep it bounded
 BITS = 63  # terms per long; the sign bit is left alone
 # Engine used when none is named; it needs pyahocorasick on driver and workers
 # and fails without it. "regex" and "contains" are pure JVM, slower, and give
@@ -76,7 +75,8 @@ def trie_pattern(terms: Iterable[str]) -> str:
 
 
 class TermIndex:
-    """Distinct terms in first-seen order; term ``i`` is bit ``i % 63`` of element
+    """Distinct terms in first-seen order, held by the driver and every task (a lexicon that is
+    too large for that is joined, see ``operators.lexicon``); term ``i`` is bit ``i % 63`` of element
     ``i // 63`` of the bitmap column.
 
     ``engine="automaton"`` (default) finds all terms in one pass per text.
@@ -98,8 +98,6 @@ class TermIndex:
         if self.engine == "automaton" and importlib.util.find_spec("ahocorasick") is None:
             raise ImportError(f"engine 'automaton' needs pyahocorasick; install it or set {ENGINE_CONF} to 'regex'")
         self.terms: list[str] = list(dict.fromkeys(terms))
-        if len(self.terms) > MAX_TERMS:
-            raise ValueError(f"{len(self.terms)} terms exceed the limit of {MAX_TERMS}")
         if any(t == "" for t in self.terms):
             raise ValueError("empty term")
         self.place = {t: i for i, t in enumerate(self.terms)}

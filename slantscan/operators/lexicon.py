@@ -1,37 +1,51 @@
 """Lexicon operators over a text column (C1, G2-G4 as table operators).
 
-The lexicon arrives as a table but is small and bounded (it is checked
-against ``MAX_TERMS``), so it is read once on the driver and given to the
-matcher: the theta join "text contains term" becomes one projection per row,
-an ``explode`` of the numbers of the matched terms and an equi-join with the
-lexicon's rows. No cross join, and the text side is never broadcast or moved.
+The theta join "text contains term" is done in one of two ways, with equal
+results. A lexicon of up to ``HELD`` rows is read on the driver and given to the
+matcher that every task holds: one projection per row, an ``explode`` of the
+numbers of the matched terms and an equi-join with the lexicon's rows. A larger
+one stays a table: each term is posted under that of its q-grams that the fewest
+terms hold, texts give their distinct q-grams, an equi-join finds the candidates
+and ``contains`` confirms them. Neither is a cross join.
 """
 
 from __future__ import annotations
 
+import functools
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
-from ..functions.terms import MAX_TERMS, TermIndex, session_engine, with_term_flags
+from ..functions.terms import TermIndex, session_engine, with_term_flags
+from ..functions.text import normalise_text
+from ..session import spread, written
+
+HELD = 100_000  # rows of a lexicon that the tasks hold; a larger one is joined by q-grams
+GRAMS = (1, 2, 3, 5, 8)  # characters of a gram: the most that the term has
 
 
-def collect_lexicon(lexicon: DataFrame) -> list[tuple[str | None, str, str]]:
-    """(version, name, term) rows in (version, name, ordinal) order; refuses unbounded lexicons.
+def collect_lexicon(lexicon: DataFrame) -> list[tuple[str | None, str, str]] | None:
+    """(version, name, term) rows in (version, name, ordinal) order, or None if there are more than HELD.
     A table without ``version`` is one version, null."""
+    small = _entries(lexicon, "ordinal").limit(HELD + 1).collect()
+    if len(small) > HELD:
+        return None
+    rows = sorted(small, key=lambda r: (r["version"] or "", r["lexicon"], r["ordinal"]))
+    return [(r["version"], r["lexicon"], r["term"]) for r in rows]
+
+
+def _entries(lexicon: DataFrame, *more: str) -> DataFrame:
     version = F.col("version") if "version" in lexicon.columns else F.lit(None).cast("string").alias("version")
-    small = lexicon.select(version, "name", "ordinal", "term").limit(MAX_TERMS + 1).collect()
-    if len(small) > MAX_TERMS:
-        raise ValueError(f"lexicon has more than {MAX_TERMS} rows")
-    rows = sorted(small, key=lambda r: (r["version"] or "", r["name"], r["ordinal"]))
-    return [(r["version"], r["name"], r["term"]) for r in rows]
+    return lexicon.select(version, F.col("name").alias("lexicon"), "term", *more).where("term IS NOT NULL")
 
 
 def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
                     key: str = "id", engine: str | None = None) -> DataFrame:
     """One row (key, version, lexicon, term) per lexicon term contained in a text."""
     entries = collect_lexicon(lexicon)
+    if entries is None:
+        return gram_matches(df, lexicon, text, key)
     idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
     d = with_term_flags(spread(df.select(key, text)), text, idx)
     found = d.select(key, F.explode(idx.hits().places()).alias("__place"))
@@ -48,12 +62,75 @@ def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
     """G2 per lexicon: one count column each, ``n_<name>``, or ``n_<version>_<name>``
     where the table holds several versions."""
     entries = collect_lexicon(lexicon)
+    if entries is None:
+        return gram_counts(df, lexicon, text, key)
     idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
     d = with_term_flags(spread(df.select(key, text)), text, idx)
     h = idx.hits()
     lists: dict[tuple, list[str]] = {}
     for v, n, t in entries:
         lists.setdefault((v, n), []).append(t)
-    several = len({v for v, _ in lists}) > 1
-    cols = [h.count(list(dict.fromkeys(ts))).alias(f"n_{v}_{n}" if several else f"n_{n}") for (v, n), ts in lists.items()]
+    cols = [h.count(list(dict.fromkeys(ts))).alias(c) for c, ts in zip(_names(lists), lists.values())]
     return d.select(key, *cols)
+
+
+def _names(lists) -> list[str]:
+    several = len({v for v, _ in lists}) > 1
+    return [f"n_{v}_{n}" if several else f"n_{n}" for v, n in lists]
+
+
+# ---- lexicons of any size -------------------------------------------------------
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * n + "))"), 1))
+
+
+def _texts(df: DataFrame, text: str, *more: str) -> DataFrame:
+    """``__lt``: the normalised lower-cased text, ``__fp``: 128 bits that stand for it in shuffles."""
+    d = df.select(*more, F.lower(normalise_text(F.coalesce(F.col(text), F.lit("")))).alias("__lt"))
+    return d.withColumn("__fp", F.struct(F.xxhash64("__lt").alias("a"), F.xxhash64(F.lit("second"), "__lt").alias("b")))
+
+
+def gram_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidates (__fp, __term): each term is posted under that of its grams which the fewest
+    terms hold, and a text is a candidate for the terms under its grams.
+
+    The posting table, one row a term, is written, so that its true size decides
+    whether it is broadcast; the texts' grams are shuffled only where it is not.
+    Equal texts are one candidate.
+    """
+    empty = F.when(F.length("__term") == 0, F.raise_error(F.lit("empty term")).cast("boolean")).otherwise(True)
+    terms = terms.select(F.col("term").alias("__term")).where(empty).distinct()
+    length = F.greatest(*[F.when(F.length("__term") >= n, F.lit(n)) for n in GRAMS])
+    of_term = functools.reduce(lambda e, n: e.when(length == n, _grams(F.col("__term"), n)), GRAMS, F)
+    grams = terms.select("__term", F.explode(of_term).alias("__gram"))
+    frequent = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = grams.join(frequent, "__gram").groupBy("__term").agg(F.min(F.struct("__n", "__gram")).alias("m"))
+    posted = written(rarest.select("__term", F.col("m.__gram").alias("__gram"), length.alias("__length")), "grams")
+    lengths = [r[0] for r in posted.select("__length").distinct().collect()]  # of GRAMS
+    of_text = F.flatten(F.array(*[_grams(F.col("__lt"), n) for n in lengths])) if lengths else F.array().cast("array<string>")
+    held = texts.select("__fp", F.explode(of_text).alias("__gram"))
+    return held.join(posted.select("__term", "__gram"), "__gram").select("__fp", "__term").distinct()
+
+
+def gram_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text", key: str = "id") -> DataFrame:
+    """C1 by an inverted q-gram join, for a lexicon of any size: no row of it passes the driver."""
+    entries = _entries(lexicon)
+    texts = _texts(df, text, key)
+    found = texts.join(gram_hits(texts, entries), "__fp").where(F.contains("__lt", "__term"))
+    return found.join(entries, F.col("__term") == F.col("term")).select(key, "version", "lexicon", "term")
+
+
+def gram_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text", key: str = "id") -> DataFrame:
+    """``term_counts`` for a lexicon of any size; its names, which become columns, are collected."""
+    entries = _entries(lexicon).distinct()
+    texts = _texts(df, text, key)
+    sure = texts.join(gram_hits(texts, entries), "__fp").where(F.contains("__lt", "__term")).select("__fp", "__term").distinct()
+    lists = [(r["version"], r["lexicon"]) for r in entries.select("version", "lexicon").distinct().orderBy("version", "lexicon").collect()]
+    cols = _names(lists)
+    mine = [F.col("version").eqNullSafe(F.lit(v)) & (F.col("lexicon") == n) for v, n in lists]
+    n = sure.join(entries, F.col("__term") == F.col("term")).groupBy("__fp").agg(*[F.count_if(m).alias(c) for m, c in zip(mine, cols)]) if lists else sure
+    out = texts.join(n, "__fp", "left")
+    return out.select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in cols])

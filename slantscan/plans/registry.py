@@ -258,6 +258,23 @@ def q_lexicon_matches(spark, sf):
     return LX.lexicon_matches(_planted(spark, sf), lexicon_table.lexicon_df(spark))
 
 
+def word_lexicon(spark: SparkSession, sf: str) -> DataFrame:
+    """A lexicon that grows with the data: every word of the benchmark's items, each item a lexicon."""
+    items = T.read_table(spark, sf, "benchmark")
+    words = items.select(F.concat(F.lit("item"), F.col("item_id")).alias("name"), F.explode(F.split(F.lower("text"), "[^a-z\u00e0-\u00ff]+")).alias("term"))
+    return words.where("term <> ''").distinct().withColumn("ordinal", F.lit(0))
+
+
+@register("lexicon_matches_grams", f"WITH {SQL_SRC}, {O.norm_cte()}, words AS (SELECT DISTINCT 'item' || item_id AS lexicon, "
+                                   "unnest(string_split_regex(lower(text), '[^a-z\u00e0-\u00ff]+')) AS term FROM benchmark), "
+                                   "terms AS (SELECT DISTINCT term FROM words WHERE term <> ''), hits AS (SELECT id, term FROM norm JOIN terms ON contains(lt, term)) "
+                                   "SELECT lexicon, term, count(*) AS n FROM hits JOIN words USING (term) GROUP BY lexicon, term")
+def q_lexicon_matches_grams(spark, sf):
+    """C1 by the inverted q-gram join, whatever the lexicon's size; texts per lexicon and term."""
+    hits = LX.gram_matches(_planted(spark, sf), word_lexicon(spark, sf))
+    return hits.groupBy("lexicon", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 LEXICONS = list(dict.fromkeys((v, n) for v, n, *_ in lexicon_table.rows(kinds=["term"])))
 
 

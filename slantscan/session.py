@@ -6,9 +6,12 @@ session the caller built; ``local_session`` is for tests and the bench only.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +58,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: its lineage is cut and
+    its size is known to the optimizer. The table goes when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # a session that has ended, or no JVM (Spark Connect): files stay
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a CPU-bound stage out over ``spark.slantscan.spread`` partitions.
 

@@ -19,13 +19,12 @@ Records end with LF or CR LF outside cells.
 from __future__ import annotations
 
 import re
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 CLOSING = re.compile(rb'[^"]*+(?:""[^"]*+)*+"')  # from inside a cell to behind the quote that closes it
 BATCH_BYTES, BATCH_ROWS = 1 << 22, 4096
@@ -165,9 +164,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
             inside.setdefault(r["file"], {})[r["start"]] = r["owner"]
     whole = lines.mapInArrow(_cut(inside, False), PIECE).select("value", "first")
     if crossed:
-        table = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
-        lines.mapInArrow(_cut(inside, True), PIECE).write.parquet(table)
-        p = spark.read.schema(PIECE).parquet(table).groupBy("file", "owner")
+        p = written(lines.mapInArrow(_cut(inside, True), PIECE), "csv").groupBy("file", "owner")
         p = p.agg(F.sort_array(F.collect_list(F.struct("start", F.col("value").cast("string").alias("value")))).alias("p"), F.max("first").alias("first"))
         p = p.select(F.array_join(F.col("p.value"), "\n").alias("v"), "first")
         joined = F.expr("CASE WHEN endswith(v, '\\r') THEN left(v, length(v) - 1) ELSE v END")
