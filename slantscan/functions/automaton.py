@@ -20,7 +20,7 @@ BITMAP = T.ArrayType(T.LongType(), False)
 
 
 def text_bits_udf(terms: Sequence[str], bits: int, out: str, raw_out: str | None = None,
-                  low_out: str | None = None, keep: Sequence[str] = ()):
+                  low_out: str | None = None, keep: Sequence[str] = (), word_boundary: bool = False):
     """Arrow UDF: raw text -> struct of
 
     * ``out``: bitmap of the terms in the normalised lower-cased text; term
@@ -29,6 +29,9 @@ def text_bits_udf(terms: Sequence[str], bits: int, out: str, raw_out: str | None
     * ``low_out`` (if named): the normalised lower-cased text where it holds
       a term of ``keep``, else the empty string.
 
+    With ``word_boundary`` a term counts where neither the character before it nor
+    that behind it is a letter or a digit.
+
     Normalisation is Python's own ``' '.join(text.split())`` followed by
     ``lower()`` (the published semantics); the JVM engines emulate it with
     ``functions.text.WS_CLASS``. Missing text is the empty string. The function
@@ -67,20 +70,36 @@ def text_bits_udf(terms: Sequence[str], bits: int, out: str, raw_out: str | None
             ends = numpy.arange(0, n * width + 1, width, dtype="int32")
             return pyarrow.ListArray.from_arrays(pyarrow.array(ends), pyarrow.array(words))
 
+        sizes = [len(t) for t in terms]
+
+        def free(low, start, stop):
+            return not (start and low[start - 1].isalnum()) and not low[stop : stop + 1].isalnum()
+
+        def hits(low):
+            if not word_boundary:
+                return {i for _, i in automaton.iter(low)}
+            return {i for at, i in automaton.iter(low) if free(low, at + 1 - sizes[i], at + 1)}
+
+        def holds(low, term):
+            at = low.find(term)
+            while word_boundary and at >= 0 and not free(low, at, at + len(term)):
+                at = low.find(term, at + 1)
+            return at >= 0
+
         for texts in batches:
             sets, raw_sets, lows = [], [], []
             for value in texts:
                 text = value.as_py() or ""
                 norm = " ".join(text.split())
                 low = norm.lower()
-                found = {i for _, i in automaton.iter(low)}
+                found = hits(low)
                 sets.append(found)
                 if raw_out:
                     if text != norm and not found.isdisjoint(many):
                         # a multi-word term in the raw text is also in the
                         # normalised one: only those found there need a look
                         raw_low = text.lower()
-                        found = {i for i in found if i not in many or terms[i] in raw_low}
+                        found = {i for i in found if i not in many or holds(raw_low, terms[i])}
                     raw_sets.append(found)
                 if low_out:
                     lows.append("" if sets[-1].isdisjoint(kept) else low)

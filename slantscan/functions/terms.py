@@ -44,6 +44,9 @@ def session_engine(df: DataFrame, engine: str | None) -> str | None:
         return None
 
 
+BEFORE, BEHIND = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"  # word boundaries
+
+
 def _regex_char(ch: str) -> str:
     return ch if (ch.isascii() and ch.isalnum()) or ch == " " else "\\" + ch
 
@@ -87,11 +90,17 @@ class TermIndex:
     and overlapping terms (``demographic`` inside ``demographics``, ``race``
     inside ``embrace``) exactly like substring search. ``engine="contains"``
     runs one ``contains`` per term.
+
+    With ``word_boundary=True`` (off by default: the published detector finds
+    ``race`` in ``embrace``) a term counts only where neither the character
+    before it nor that behind it is a letter or a digit. The JVM engines look
+    for that only in texts that contain the term.
     """
 
     ENGINES = ("regex", "contains", "automaton")
 
-    def __init__(self, terms: Iterable[str], prefix: str = "__t", engine: str | None = None):
+    def __init__(self, terms: Iterable[str], prefix: str = "__t", engine: str | None = None, word_boundary: bool = False):
+        self.word_boundary = word_boundary
         self.engine = engine or DEFAULT_ENGINE
         if self.engine not in self.ENGINES:
             raise ValueError(f"engine must be one of {self.ENGINES}")
@@ -141,23 +150,30 @@ class TermIndex:
         text; a multi-word term in the raw text is also in the normalised one.
         """
         if self.engine == "contains":
-            present = {t: f"contains(`{lowered}`, {sql_string(t)})" for t in self.terms}
+            present = {t: f"contains(`{lowered}`, {sql_string(t)})" + self.edges_sql(t, lowered) for t in self.terms}
             df = df.select("*", F.expr(self.bitmap_sql(present)).alias(self.bits))
         else:
             caps = f"{self.bits}caps"
             longest = F.regexp_extract_all(F.col(lowered), F.lit(self.pattern()), 1)
             df = df.select("*", F.array_distinct(longest).alias(caps))
             present = {t: balanced_sql("OR", [f"array_contains(`{caps}`, {sql_string(c)})" for c in self.extensions(t)], "false")
-                       for t in self.terms}
+                       + self.edges_sql(t, lowered) for t in self.terms}
             df = df.select("*", F.expr(self.bitmap_sql(present)).alias(self.bits)).drop(caps)
         if raw_lower is None:
             return df
         hits = self.hits()
-        present = {t: hits.any_sql([t]) + (f" AND contains(`{raw_lower}`, {sql_string(t)})" if " " in t else "")
+        present = {t: hits.any_sql([t]) + (f" AND contains(`{raw_lower}`, {sql_string(t)})" + self.edges_sql(t, raw_lower) if " " in t else "")
                    for t in self.terms}
         return df.select("*", F.when(F.col(raw_lower) == F.col(lowered), F.col(self.bits))
                          .otherwise(F.expr(self.bitmap_sql(present))).alias(self.raw_bits))
 
+    def edges_sql(self, term: str, lowered: str) -> str:
+        """The further condition that the term stands between word boundaries."""
+        if not self.word_boundary:
+            return ""
+        quoted = "".join(_regex_char(ch) for ch in term)
+        return f" AND rlike(`{lowered}`, {sql_string(BEFORE + quoted + BEHIND)})"
+
     def hits(self, raw: bool = False) -> "Hits":
         """``raw``: the raw text's bitmap was made too."""
         return Hits(self, raw)
@@ -257,7 +273,7 @@ def with_term_flags(df: DataFrame, text: str, index: TermIndex, raw: bool = Fals
         return df.select("*", empty.alias(index.raw_bits)) if raw else df
     if index.engine == "automaton":
         udf = text_bits_udf(index.terms, BITS, index.bits, index.raw_bits if raw else None,
-                            LOWER if keep else None, keep)
+                            LOWER if keep else None, keep, index.word_boundary)
         found = f"{index.bits}found"
         return df.select("*", udf(F.col(text)).alias(found)).select("*", f"{found}.*").drop(found)
     whole = F.coalesce(F.col(text), F.lit(""))

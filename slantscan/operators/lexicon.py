@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.terms import TermIndex, session_engine, with_term_flags
+from ..functions.terms import BEFORE, BEHIND, TermIndex, session_engine, with_term_flags
 from ..functions.text import normalise_text
 from ..session import spread, written
 
@@ -41,12 +41,13 @@ def _entries(lexicon: DataFrame, *more: str) -> DataFrame:
 
 
 def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
-                    key: str = "id", engine: str | None = None) -> DataFrame:
-    """One row (key, version, lexicon, term) per lexicon term contained in a text."""
+                    key: str = "id", engine: str | None = None, word_boundary: bool = False) -> DataFrame:
+    """One row (key, version, lexicon, term) per lexicon term contained in a text, with
+    ``word_boundary`` only where no letter or digit stands next to it."""
     entries = collect_lexicon(lexicon)
     if entries is None:
-        return gram_matches(df, lexicon, text, key)
-    idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
+        return gram_matches(df, lexicon, text, key, word_boundary)
+    idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine), word_boundary=word_boundary)
     d = with_term_flags(spread(df.select(key, text)), text, idx)
     found = d.select(key, F.explode(idx.hits().places()).alias("__place"))
     # from Arrow, so that Spark knows the table's size and broadcasts it if that is small
@@ -58,13 +59,13 @@ def lexicon_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text
 
 
 def term_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text",
-                key: str = "id", engine: str | None = None) -> DataFrame:
+                key: str = "id", engine: str | None = None, word_boundary: bool = False) -> DataFrame:
     """G2 per lexicon: one count column each, ``n_<name>``, or ``n_<version>_<name>``
     where the table holds several versions."""
     entries = collect_lexicon(lexicon)
     if entries is None:
-        return gram_counts(df, lexicon, text, key)
-    idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine))
+        return gram_counts(df, lexicon, text, key, word_boundary)
+    idx = TermIndex([t for *_, t in entries], engine=session_engine(df, engine), word_boundary=word_boundary)
     d = with_term_flags(spread(df.select(key, text)), text, idx)
     h = idx.hits()
     lists: dict[tuple, list[str]] = {}
@@ -115,19 +116,27 @@ def gram_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return held.join(posted.select("__term", "__gram"), "__gram").select("__fp", "__term").distinct()
 
 
-def gram_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text", key: str = "id") -> DataFrame:
+def _holds(word_boundary: bool) -> Column:
+    """Whether ``__lt`` holds ``__term``."""
+    if not word_boundary:
+        return F.contains("__lt", "__term")
+    quoted = F.concat(F.lit("\\Q"), F.replace("__term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.contains("__lt", "__term") & F.rlike("__lt", F.concat(F.lit(BEFORE), quoted, F.lit(BEHIND)))
+
+
+def gram_matches(df: DataFrame, lexicon: DataFrame, text: str = "comment_text", key: str = "id", word_boundary: bool = False) -> DataFrame:
     """C1 by an inverted q-gram join, for a lexicon of any size: no row of it passes the driver."""
     entries = _entries(lexicon)
     texts = _texts(df, text, key)
-    found = texts.join(gram_hits(texts, entries), "__fp").where(F.contains("__lt", "__term"))
+    found = texts.join(gram_hits(texts, entries), "__fp").where(_holds(word_boundary))
     return found.join(entries, F.col("__term") == F.col("term")).select(key, "version", "lexicon", "term")
 
 
-def gram_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text", key: str = "id") -> DataFrame:
+def gram_counts(df: DataFrame, lexicon: DataFrame, text: str = "comment_text", key: str = "id", word_boundary: bool = False) -> DataFrame:
     """``term_counts`` for a lexicon of any size; its names, which become columns, are collected."""
     entries = _entries(lexicon).distinct()
     texts = _texts(df, text, key)
-    sure = texts.join(gram_hits(texts, entries), "__fp").where(F.contains("__lt", "__term")).select("__fp", "__term").distinct()
+    sure = texts.join(gram_hits(texts, entries), "__fp").where(_holds(word_boundary)).select("__fp", "__term").distinct()
     lists = [(r["version"], r["lexicon"]) for r in entries.select("version", "lexicon").distinct().orderBy("version", "lexicon").collect()]
     cols = _names(lists)
     mine = [F.col("version").eqNullSafe(F.lit(v)) & (F.col("lexicon") == n) for v, n in lists]

@@ -37,29 +37,33 @@ def _refuse_clashes(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"the table already has columns {clash}; rename or drop them")
 
 
-def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None, lex: RuleSet = V2) -> tuple[DataFrame, Hits]:
+def v2_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None, lex: RuleSet = V2,
+             word_boundary: bool = False) -> tuple[DataFrame, Hits]:
     """The bitmap of the V2 terms; V2 reads no token features."""
-    idx = TermIndex(rules_v2.terms(lex), engine=session_engine(df, engine))
+    idx = TermIndex(rules_v2.terms(lex), engine=session_engine(df, engine), word_boundary=word_boundary)
     return with_term_flags(spread(df), text, idx, raw=raw), idx.hits(raw)
 
 
-def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None, lex: RuleSet = V1) -> tuple[DataFrame, Hits]:
+def v1_flags(df: DataFrame, text: str, raw: bool = False, engine: str | None = None, lex: RuleSet = V1,
+             word_boundary: bool = False) -> tuple[DataFrame, Hits]:
     """The bitmap of the V1 terms and the token windows. A base word can only be
     a token of a text that contains it: only such texts are tokenised."""
-    idx = TermIndex(rules_v1.terms(lex), engine=session_engine(df, engine))
+    idx = TermIndex(rules_v1.terms(lex), engine=session_engine(df, engine), word_boundary=word_boundary)
     out = with_term_flags(spread(df), text, idx, raw=raw, keep=rules_v1.base_words(lex))
     return rules_v1.add_token_windows(out, lex=lex), idx.hits(raw)
 
 
 def score_v2(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
-             engine: str | None = None, keep_work: bool = False, lexicon: DataFrame | RuleSet | None = None) -> DataFrame:
+             engine: str | None = None, keep_work: bool = False, lexicon: DataFrame | RuleSet | None = None,
+             word_boundary: bool = False) -> DataFrame:
     """H2: adds ``bias_score`` and ``is_biased``. ``lexicon``: rows of ``functions.rule_model``
-    (default: the published lists); they are read on the driver and held by every task."""
+    (default: the published lists); they are read on the driver and held by every task.
+    ``word_boundary``: terms count only where no letter or digit stands next to them."""
     m = _model(df, model_score)
     keep = df.columns
     _refuse_clashes(df, ["bias_score", "is_biased"])
     lex = rule_set(lexicon, "v2")
-    d, h = v2_flags(df, text, engine=engine, lex=lex)
+    d, h = v2_flags(df, text, engine=engine, lex=lex, word_boundary=word_boundary)
     d, f = _materialise(d, rules_v2.features(h, lex), "__f_")
     d = d.select(*keep, *f.values())
     d = d.select("*", rules_v2.base_score(f).alias("__base"))
@@ -69,13 +73,15 @@ def score_v2(df: DataFrame, text: str = "comment_text", model_score: str | None
 
 
 def score_v1(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
-             engine: str | None = None, keep_work: bool = False, lexicon: DataFrame | RuleSet | None = None) -> DataFrame:
-    """H1: adds ``bias_score`` and ``is_biased`` (and ``context_tags``). ``lexicon`` as in ``score_v2``."""
+             engine: str | None = None, keep_work: bool = False, lexicon: DataFrame | RuleSet | None = None,
+             word_boundary: bool = False) -> DataFrame:
+    """H1: adds ``bias_score`` and ``is_biased`` (and ``context_tags``). ``lexicon`` and
+    ``word_boundary`` as in ``score_v2``."""
     m = _model(df, model_score)
     keep = df.columns
     _refuse_clashes(df, ["bias_score", "is_biased", "context_tags"])
     lex = rule_set(lexicon, "v1")
-    d, h = v1_flags(df, text, engine=engine, lex=lex)
+    d, h = v1_flags(df, text, engine=engine, lex=lex, word_boundary=word_boundary)
     d, f = _materialise(d, rules_v1.features(h, lex), "__f_")
     d = d.select(*keep, *f.values())
     d = d.select("*", rules_v1.final_score(f, m).alias("bias_score"))
@@ -86,10 +92,10 @@ def score_v1(df: DataFrame, text: str = "comment_text", model_score: str | None
 
 def analyze(df: DataFrame, text: str = "comment_text", model_score: str | None = MODEL_SCORE,
             version: str = "v2", engine: str | None = None, as_struct: bool = False,
-            lexicon: DataFrame | RuleSet | None = None) -> DataFrame:
+            lexicon: DataFrame | RuleSet | None = None, word_boundary: bool = False) -> DataFrame:
     """H9: decision, confidence, category scores, explanation, suggestion.
 
-    ``lexicon`` as in ``score_v2``. A table that has one of the added columns already
+    ``lexicon`` and ``word_boundary`` as in ``score_v2``. A table that has one of the added columns already
     is refused. The explanation reads the raw text like the published detector (a term
     broken over a line is scored but not explained); pass normalised text
     to avoid that.
@@ -102,7 +108,7 @@ def analyze(df: DataFrame, text: str = "comment_text", model_score: str | None =
     keep = df.columns
     lex = rule_set(lexicon, version)
     if version == "v2":
-        d, h = v2_flags(df, text, raw=True, engine=engine, lex=lex)
+        d, h = v2_flags(df, text, raw=True, engine=engine, lex=lex, word_boundary=word_boundary)
         d, f = _materialise(d, rules_v2.features(h, lex), "__f_")
         d, st = _materialise(d, rules_v2.structure_scores(h, lex), "__st_")
         d, rel = _materialise(d, rules_v2.relation_scores(h, raw=True, lex=lex), "__rel_")
@@ -113,7 +119,7 @@ def analyze(df: DataFrame, text: str = "comment_text", model_score: str | None =
         conf = F.col("__score")
         middle = rules_v2.structure_sentences(st, rel, conf)
     else:
-        d, h = v1_flags(df, text, raw=True, engine=engine, lex=lex)
+        d, h = v1_flags(df, text, raw=True, engine=engine, lex=lex, word_boundary=word_boundary)
         d, f = _materialise(d, rules_v1.features(h, lex), "__f_")
         _, raw_tags = rules_v1.context_score(h, raw=True, lex=lex)
         d = d.select("*", raw_tags.alias("__rawtags"))

@@ -258,6 +258,17 @@ def q_lexicon_matches(spark, sf):
     return LX.lexicon_matches(_planted(spark, sf), lexicon_table.lexicon_df(spark))
 
 
+_EDGED = "regexp_matches(lt, '(^|[^\\p{L}\\p{N}])' || regexp_escape(term) || '($|[^\\p{L}\\p{N}])')"
+
+
+@register("lexicon_matches_words", f"WITH {SQL_SRC}, {O.norm_cte()}, {_lexicon_values_sql()} "
+                                   ", h AS MATERIALIZED (SELECT id, lt, version, name, term FROM norm JOIN lex ON contains(lt, term)) "
+                                   f"SELECT id, version, name AS lexicon, term FROM h WHERE {_EDGED}")
+def q_lexicon_matches_words(spark, sf):
+    """C1 between word boundaries: 'race' is not in 'embrace'."""
+    return LX.lexicon_matches(_planted(spark, sf), lexicon_table.lexicon_df(spark), word_boundary=True)
+
+
 def word_lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """A lexicon that grows with the data: every word of the benchmark's items, each item a lexicon."""
     items = T.read_table(spark, sf, "benchmark")

@@ -71,3 +71,50 @@ def test_empty_lexicon_and_empty_term(spark):
     assert LX.gram_matches(df, spark.createDataFrame([("v", "n", 0, None)], LEX)).count() == 0
     with pytest.raises(Exception, match="empty term"):
         LX.gram_matches(df, spark.createDataFrame([("v", "n", 0, "")], LEX)).count()
+
+
+# ---- word boundaries ---------------------------------------------------------------
+
+WORDS = ["race", "embrace", "a b", "they don't", "(x", "c++", "é", "r", "race a", "\\E", "10"]
+
+
+def between_words(low, term):
+    at = low.find(term)
+    while at >= 0:
+        if not (at and low[at - 1].isalnum()) and not low[at + len(term) : at + len(term) + 1].isalnum():
+            return True
+        at = low.find(term, at + 1)
+    return False
+
+
+def edge_texts(seed=6):
+    rng = random.Random(seed)
+    parts = ["race", "embrace", " ", "  ", "\n", "a", "b", "'", "they don't", "(x", "c++", "é", "1", "10", "-", "r", "\\E", "Race A"]
+    return ["embrace", "a race.", "traced", "the race", None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(200)]
+
+
+@pytest.mark.parametrize("engine", ["automaton", "regex", "contains"])
+def test_word_boundaries_in_every_engine(spark, engine):
+    from slantscan.functions.terms import TermIndex, with_term_flags
+    texts = edge_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, comment_text string")
+    idx = TermIndex(WORDS, engine=engine, word_boundary=True)
+    d = with_term_flags(df, "comment_text", idx, raw=True)
+    got = {r.id: r for r in d.select("id", idx.hits().matched(WORDS).alias("m"), idx.hits(True).matched(WORDS, raw=True).alias("raw")).collect()}
+    for i, t in enumerate(texts):
+        low = " ".join((t or "").split()).lower()
+        assert got[i].m == [w for w in WORDS if between_words(low, w)], t
+        assert got[i].raw == [w for w in WORDS if between_words((t or "").lower(), w)], t
+
+
+def test_word_boundaries_in_the_gram_join_and_the_score(spark):
+    from slantscan.plans.analyze import analyze, score_v1, score_v2
+    df = spark.createDataFrame(list(enumerate(edge_texts())), "id long, comment_text string")
+    lex = spark.createDataFrame([("v", "n", i, w) for i, w in enumerate(WORDS)], LEX)
+    a = Counter(tuple(r) for r in LX.lexicon_matches(df, lex, word_boundary=True).collect())
+    assert a == Counter(tuple(r) for r in LX.gram_matches(df, lex, word_boundary=True).collect())
+    one = spark.createDataFrame([(1, "we embrace the urbane", 0.0), (2, "the urban race", 0.0)], "id long, comment_text string, model_score double")
+    for score in (score_v2, score_v1):
+        plain, strict = ({r.id: r.bias_score for r in score(one, word_boundary=w).collect()} for w in (False, True))
+        assert plain[1] == plain[2] == strict[2] > 0 and strict[1] == 0
+    assert [r.pattern_tags for r in analyze(one, word_boundary=True).orderBy("id").collect()] == [[], ["explicit racial terms", "coded racial language"]]
