@@ -13,21 +13,31 @@ from pyspark.sql import functions as F
 EPS = 1e-10
 
 
-def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
-    """D2."""
-    return df.agg(
+def distribution_metrics(label: str = "label") -> list[Column]:
+    """D2's aggregates, for ``agg`` or as metrics of an ``Observation``."""
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(label) == 1).alias("positives"),
         F.count_if(F.col(label) == 0).alias("negatives"),
-    )
+    ]
+
+
+def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
+    """D2."""
+    return df.agg(*distribution_metrics(label))
 
 
 def empty_class_guard(df: DataFrame, label: str = "label") -> tuple[int, int]:
     """(negatives, positives); raises when either class is empty."""
     row = label_distribution(df, label).first()
-    if row["positives"] == 0 or row["negatives"] == 0:
+    return require_classes(row["negatives"], row["positives"])
+
+
+def require_classes(negatives: int, positives: int) -> tuple[int, int]:
+    """D7 on counts that are known already."""
+    if positives == 0 or negatives == 0:
         raise ValueError("No examples found for one or both classes")
-    return row["negatives"], row["positives"]
+    return negatives, positives
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
@@ -37,6 +47,11 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
         F.count_if(F.col(label) == 0).alias("n_negative"),
         F.count_if(F.col(label) == 1).alias("n_positive"),
     )
+    return weights_of(counts)
+
+
+def weights_of(counts: DataFrame) -> DataFrame:
+    """D3 of a row of total, n_negative and n_positive."""
     return counts.select(
         "total", "n_negative", "n_positive",
         F.try_divide(F.col("total").cast("double"), F.col("n_negative") * 2).alias("negative_weight"),

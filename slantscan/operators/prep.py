@@ -76,11 +76,16 @@ def training_projection(df: DataFrame, keep_id: bool = True) -> DataFrame:
 
 def target_split(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts above / at-or-below the threshold; missing targets are in neither."""
-    return df.agg(
+    return df.agg(*target_metrics(threshold))
+
+
+def target_metrics(threshold: float = 0.5) -> list[Column]:
+    """B9's aggregates, for ``agg`` or as metrics of an ``Observation``."""
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("target") > threshold).alias("toxic_n"),
         F.count_if(F.col("target") <= threshold).alias("non_toxic_n"),
-    )
+    ]
 
 
 def predict(df: DataFrame, value: str = "logit", threshold: float = 0.5, is_logit: bool = True) -> DataFrame:

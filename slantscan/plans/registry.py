@@ -991,3 +991,17 @@ def q_prepare_training_set(spark, sf):
     from .train import prepare
     ps = prepare(spark, _comments(spark, sf), version="v2")
     return ps.training.select("id", "label", "shuffle_rank")
+
+
+@register("prepare_counts", f"""WITH {_comments_sql()},
+d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY comment_text ORDER BY source_rank, id) AS rn FROM comments) WHERE rn = 1),
+filled AS (SELECT id, target AS raw, {', '.join(f'coalesce({c}, {D(0)}) AS {c}' for c in NUMERIC)} FROM d),
+c AS (SELECT count(*) AS total, count_if({_label_sql('v2')} = 1) AS positives, count_if({_label_sql('v2')} = 0) AS negatives,
+  count_if(raw > 0.5) AS toxic_n, count_if(raw <= 0.5) AS non_toxic_n FROM filled)
+SELECT *, {sql_r9('total::DOUBLE / (2 * negatives)')} AS negative_weight, {sql_r9('total::DOUBLE / (2 * positives)')} AS positive_weight FROM c""")
+def q_prepare_counts(spark, sf):
+    """D2, D3 and B9 of the prepared table, as the write observed them."""
+    from .train import prepare
+    ps = prepare(spark, _comments(spark, sf), version="v2")
+    w = ps.class_weights.select("total", r9("negative_weight").alias("negative_weight"), r9("positive_weight").alias("positive_weight"))
+    return ps.distribution.join(ps.target_split, "total").join(w, "total")

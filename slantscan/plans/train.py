@@ -1,23 +1,24 @@
 """The training-set preparation job as one Spark plan.
 
-sources -> annotator means -> union -> dedup -> (materialised) -> fill ->
-require -> label -> projection -> counts, guard -> balanced sample -> shuffle
--> sink. The prepared table is checkpointed into the cluster's shared
-checkpoint folder before the counts and the sample read it again: the
-lineage is cut, executors lost later do not recompute the preparation, and
-the two passes over it read the written table.
+sources -> annotator means -> union -> dedup -> (written, counted on the way) ->
+guard -> fill -> label -> projection -> balanced sample -> shuffle -> sink. The
+prepared table is written into the cluster's shared folder before the sample
+reads it again: the lineage is cut, and executors lost later do not recompute
+the preparation. The counts of targets and labels are observed while it is
+written; no job of their own is run for them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import aggregate as AG
 from ..operators import prep as P
 from ..operators import sample as S
-from ..session import ensure_checkpoint_dir
+from ..session import written
 
 
 @dataclass
@@ -32,18 +33,40 @@ def prepare(spark: SparkSession, merged: DataFrame, version: str = "v2", cap: in
             seed: int = S.SEED, debug_rows: int | None = None, dedup: bool | None = None) -> PreparedSet:
     """``dedup`` defaults to the version's behaviour: V2 de-duplicates the
     stacked sources by text, V1 (one source) does not."""
-    ensure_checkpoint_dir(spark)
     dedup = (version == "v2") if dedup is None else dedup
     df = P.dedup_keep_first(merged) if dedup else merged
-    df = df.checkpoint(eager=True)  # reliable checkpoint in spark.checkpoint.dir: sources are read once
+    df, seen = _written_and_counted(df, version)
     if debug_rows:
-        df = S.debug_sample(df, debug_rows, seed)
-    split = P.target_split(df)
-    labelled = P.training_projection(P.derive_label(P.require_columns(P.fill_missing(df)), version))
-    AG.empty_class_guard(labelled)
+        df, seen = _written_and_counted(S.debug_sample(df, debug_rows, seed), version)
+    AG.require_classes(seen["negatives"], seen["positives"])
+    labelled = _labelled(df, version)
     cap = cap if cap is not None else (S.V1_CAP if version == "v1" else S.V2_CAP)
     sample = S.shuffle(S.balanced_sample(labelled, cap=cap, seed=seed), seed)
-    return PreparedSet(sample, AG.class_weights(labelled), AG.label_distribution(labelled), split)
+
+    def row(**names):
+        return spark.range(1).select(*[F.lit(seen[n]).cast("long").alias(c) for c, n in names.items()])
+    weights = AG.weights_of(row(total="total", n_negative="negatives", n_positive="positives"))
+    distribution = row(total="total", positives="positives", negatives="negatives")
+    return PreparedSet(sample, weights, distribution, row(total="total", toxic_n="toxic_n", non_toxic_n="non_toxic_n"))
+
+
+def _labelled(df: DataFrame, version: str) -> DataFrame:
+    return P.training_projection(P.derive_label(P.require_columns(P.fill_missing(df)), version))
+
+
+def _written_and_counted(df: DataFrame, version: str) -> tuple[DataFrame, dict]:
+    """The table, written, and D2's and B9's counts of it, observed by the write. Nothing is
+    shuffled between the counting and the writing, so a repeated task counts once."""
+    P.require_columns(df)
+    metrics, threshold = (P.V1_METRICS, P.V1_LABEL_THRESHOLD) if version == "v1" else (P.V2_METRICS, P.V2_LABEL_THRESHOLD)
+    filled = {c: f"__filled_{c}" for c in [*metrics, *P.RACE_COLUMNS]}
+    d = df.select("*", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f) for c, f in filled.items()])
+    label = P.label_expr([filled[c] for c in metrics], [filled[c] for c in P.RACE_COLUMNS], threshold)
+    targets = P.target_metrics()[1:] if "target" in df.columns else [F.lit(0).alias(n) for n in ("toxic_n", "non_toxic_n")]
+    seen = Observation()
+    d = d.select("*", label.alias("__label")).observe(seen, *AG.distribution_metrics("__label"), *targets)
+    table = written(d.select(*df.columns), "prepared")
+    return table, seen.get
 
 
 def train_model(spark: SparkSession, dataset_path: str, model_path: str, fmt: str = "parquet",
@@ -52,8 +75,6 @@ def train_model(spark: SparkSession, dataset_path: str, model_path: str, fmt: st
     on the cluster -> the best by validation F1 saved to ``model_path``
     (nothing is saved when every validation F1 is 0, as a best F1 must be
     strictly above 0). Returns the candidate metrics with a ``selected`` flag."""
-    from pyspark.sql import functions as F
-
     from ..operators import model as M
     from ..sources.csv import read_training_set
 
@@ -81,7 +102,6 @@ def train_bias_model(spark: SparkSession, sources, dataset_path: str, model_path
     if merged is None:
         return None
     if "id" not in merged.columns:
-        from pyspark.sql import functions as F
         merged = merged.withColumn("id", F.xxhash64("source_rank", "comment_text"))  # whatever the file splits
     prepared = prepare(spark, merged, version=version)
     write_training_set(prepared.training.select("comment_text", "label"), dataset_path, fmt)

@@ -237,3 +237,23 @@ def test_class_examples_of_the_whole_training_table(spark):
         long = t.where((F.col("label") == label) & (F.length(registry.clean_text("comment_text")) > 50))
         want |= {r.id for r in long.orderBy(key, "id").limit(5).collect()}
     assert got == want and len(got) == 10
+
+
+def test_prepare_counts_while_it_writes(spark):
+    from slantscan.plans.train import prepare
+    from slantscan.sources import tables as T
+    comments = T.comments(spark, "/root/testdata/sf0.001")
+    for version in ("v1", "v2"):
+        ps = prepare(spark, comments, version=version)
+        whole = P.dedup_keep_first(comments) if version == "v2" else comments
+        labelled = P.prepare_training_set(whole, version)
+        assert ps.distribution.first() == AG.label_distribution(labelled).first()
+        assert ps.target_split.first() == P.target_split(whole).first()
+        assert ps.class_weights.first() == AG.class_weights(labelled).first()
+    ps = prepare(spark, comments, debug_rows=50)
+    assert ps.distribution.first()["total"] == 50
+    none = comments.withColumn("identity_attack", F.lit(0.0)).withColumn("severe_toxicity", F.lit(0.0)).withColumn("insult", F.lit(0.0)).withColumn("threat", F.lit(0.0))
+    with pytest.raises(ValueError, match="one or both classes"):
+        prepare(spark, none)
+    with pytest.raises(ValueError, match="black"):
+        prepare(spark, comments.drop("black"))
