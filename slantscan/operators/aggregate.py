@@ -100,9 +100,9 @@ def focal_loss(df: DataFrame, logit: str = "logit", label: str = "label", gamma:
     return df.agg(F.avg(focal_term(x, y, gamma)).alias("focal_loss"), F.count(F.lit(1)).alias("n"))
 
 
-def domain_report(results: DataFrame, domain: str = "domain") -> DataFrame:
-    """Per domain: texts, flagged texts, mean confidence."""
-    return results.groupBy(domain).agg(
+def domain_report(results: DataFrame, domain: str = "domain", *more: str) -> DataFrame:
+    """Per domain (and what else is named, as the kind): texts, flagged texts, mean confidence."""
+    return results.groupBy(domain, *more).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("is_biased")).alias("flagged"),
         F.avg("confidence").alias("mean_confidence"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregate import binary_metrics
@@ -22,6 +22,21 @@ def evaluate(analysed: DataFrame, labels: DataFrame, key: str = "id", label: str
     return binary_metrics(evaluate_rows(analysed.select(key, "is_biased"), labels, key, label))
 
 
+def split_tag(df: DataFrame, tag: str = "tag", domain: str = "domain", kind: str = "kind") -> DataFrame:
+    """A ``Domain - Kind`` tag as two columns, cut at the first `` - `` (what stands behind
+    may hold more of them); without one, the whole tag is the domain and the kind is null."""
+    parts = F.split(F.col(tag), " - ", 2)
+    trimmed = [F.trim(F.get(parts, F.lit(i))) for i in (0, 1)]
+    return df.withColumn(domain, trimmed[0]).withColumn(kind, trimmed[1])
+
+
+def gold_label(number: str | Column) -> Column:
+    """The published fixture's true label by the number of an example: of the first two
+    pairs the second member is the biased one, from the third pair on the first."""
+    n = F.col(number) if isinstance(number, str) else number
+    return F.when(n < 5, n % 2 == 0).otherwise(n % 2 == 1).cast("int")
+
+
 def pair_margin(results: DataFrame, pair: str = "pair", biased_flag: str = "is_biased_member",
                 confidence: str = "confidence") -> DataFrame:
     """Per pair, confidence of the biased member minus that of the control.

@@ -837,6 +837,143 @@ def q_pair_margin(spark, sf):
     return pm.select("pair", r9("margin").alias("margin"), "members")
 
 
+# Examples as the published fixture numbers and tags them: 100 an edition, two a domain
+def _examples(spark, sf) -> DataFrame:
+    """id, edition, number (1 to 100), tag and the analysis of every planted document."""
+    i = F.col("id")
+    kind = F.concat(F.lit(" - Kind "), (i % 3).cast("string"), F.lit(" - x"))
+    tag = F.concat(F.lit("Domain "), F.floor(i % 100 / 2).cast("string"), F.when(i % 7 == 3, F.lit("")).otherwise(kind))
+    return _analysis(spark, sf).select("id", F.floor(i / 100).alias("edition"), (i % 100 + 1).alias("number"), tag.alias("tag"), "is_biased", "confidence")
+
+
+_NUMBER = "(id % 100 + 1)"
+SQL_EXAMPLES = (f"WITH {O.v2_analysis_ctes()}, e AS (SELECT id, id // 100 AS edition, 'Domain ' || (id % 100 // 2) AS domain, "
+                "CASE WHEN id % 7 <> 3 THEN 'Kind ' || (id % 3) || ' - x' END AS kind, score, "
+                f"CAST(score > {D(L.BIAS_THRESHOLD)} AS INTEGER) AS pred, "
+                f"CAST({_NUMBER} IN (2, 4) OR ({_NUMBER} % 2 = 1 AND {_NUMBER} >= 5) AS INTEGER) AS label FROM v2)")
+
+
+@register("domain_kind_report", f"{SQL_EXAMPLES} SELECT domain, kind, count(*) AS n, CAST(sum(pred) AS BIGINT) AS flagged, "
+                                f"{sql_r9('avg(score)')} AS mean_confidence FROM e GROUP BY domain, kind")
+def q_domain_kind_report(spark, sf):
+    """D8 by the two parts of the tag."""
+    rep = AG.domain_report(EV.split_tag(_examples(spark, sf)), "domain", "kind")
+    return rep.select("domain", "kind", "n", "flagged", r9("mean_confidence").alias("mean_confidence"))
+
+
+@register("evaluate_gold", f"{SQL_EXAMPLES}, " + _metrics_sql("e"))
+def q_evaluate_gold(spark, sf):
+    """H10 against the fixture's true labels."""
+    e = _examples(spark, sf)
+    return _rounded_metrics(EV.evaluate(e, e.select("id", EV.gold_label("number").alias("label"))))
+
+
+@register("domain_margin", f"{SQL_EXAMPLES} SELECT edition, domain, {sql_r9('sum(CASE WHEN label = 1 THEN score ELSE -score END)')} AS margin, "
+                           "count(*) AS members FROM e GROUP BY edition, domain")
+def q_domain_margin(spark, sf):
+    """Per domain the biased text's confidence minus the control's."""
+    e = EV.split_tag(_examples(spark, sf)).withColumn("is_biased_member", EV.gold_label("number") == 1)
+    pm = EV.pair_margin(e.withColumn("pair", F.struct("edition", "domain")))
+    return pm.select("pair.edition", "pair.domain", r9("margin").alias("margin"), "members")
+
+
+# ---- what of the classifier, the guards and the scorers doesn't hang on a fit ----
+
+class LengthScorer:
+    """Stands for an external model: a probability from the text's length."""
+
+    def score(self, texts):
+        return texts.str.len() % 101 / 100.0
+
+
+def _length_score_sql(text: str) -> str:
+    return f"((length(coalesce({O.normalise(text)}, '')) % 101) / {D(100.0)})"
+
+
+@register("external_scores", f"WITH {SQL_NULLS} SELECT id, {sql_r9(_length_score_sql('comment_text'))} AS model_score FROM nsrc")
+def q_external_scores(spark, sf):
+    from ..operators import model as M
+    return M.external_scores(_with_nulls(spark, sf), LengthScorer).select("id", r9("model_score").alias("model_score"))
+
+
+@register("score_external", f"WITH {SQL_SRC.replace(O.model_sql(), _length_score_sql(O.planted_sql()))}, {O.norm_cte()}, {O.v2_feat_cte()}, {O.v2_chain_ctes()} "
+                            f"SELECT id, {sql_r9('score')} AS bias_score, score > {D(L.BIAS_THRESHOLD)} AS is_biased FROM v2")
+def q_score_external(spark, sf):
+    """I1 into H2: the external scorer's column in the rule chain."""
+    from ..operators import model as M
+    return _score_out(A.score_v2(M.external_scores(_planted(spark, sf).select("id", "comment_text"), LengthScorer)))
+
+
+def _all_labelled(spark, sf) -> DataFrame:
+    docs = T.read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("comment_text"))
+    return docs.join(T.read_table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")), "id")
+
+
+SQL_LABELLED = "d AS (SELECT CAST(toxic AS INTEGER) AS label FROM documents JOIN labels USING (doc_id))"
+
+
+@register("empty_class_guard", f"WITH {_training_sql()} SELECT count_if(label = 0) AS negatives, count_if(label = 1) AS positives FROM training")
+def q_empty_class_guard(spark, sf):
+    """The counts that the guard lets pass."""
+    negatives, positives = AG.empty_class_guard(_training(spark, sf))
+    return spark.range(1).select(F.lit(negatives).cast("long").alias("negatives"), F.lit(positives).cast("long").alias("positives"))
+
+
+@register("require_columns", f"WITH {_comments_sql()} SELECT 'Missing required columns: [''white'', ''latino'']' AS missing, count(*) AS n FROM comments")
+def q_require_columns(spark, sf):
+    """What it says of a table without two of the columns, and the rows of one that has all."""
+    c = _comments(spark, sf)
+    missing = ""
+    try:
+        P.require_columns(c.drop("white", "latino"))
+    except ValueError as e:
+        missing = str(e)
+    return P.require_columns(c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(missing).alias("missing"), "n")
+
+
+@register("classifier_weights", f"WITH {SQL_LABELLED} SELECT label, count(*) AS n, {sql_r9('(SELECT count(*) FROM d)::DOUBLE / (2 * count(*))')} AS weight FROM d GROUP BY label")
+def q_classifier_weights(spark, sf):
+    """The weights that the fit is given."""
+    from ..operators import model as M
+    w = M.with_class_weights(_all_labelled(spark, sf))
+    return w.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), R9).alias("weight"))
+
+
+@register("validate_counts", f"WITH {SQL_LABELLED} SELECT count(*) AS n, count_if(label = 1) AS positives, count_if(label = 0) AS negatives FROM d")
+def q_validate_counts(spark, sf):
+    """What of the metrics is the same for every model: the rows and those of each class."""
+    from ..operators import model as M
+    d = _all_labelled(spark, sf)
+    v = M.validate(M.train_classifier(d, max_iter=5), d)
+    hits = F.col("tp") + F.col("fn")
+    return v.select("n", hits.cast("long").alias("positives"), (F.col("n") - hits).cast("long").alias("negatives"))
+
+
+@register("candidate_order", "SELECT 1 AS ordinal, 'reg_param=0.1,max_iter=3' AS params, count(*) AS n FROM labels JOIN documents USING (doc_id) "
+                             "UNION ALL SELECT 2, 'reg_param=0.01,max_iter=3', count(*) FROM labels JOIN documents USING (doc_id)")
+def q_candidate_order(spark, sf):
+    """I4: candidates in the order of the grid, and the labelled rows they were fitted on."""
+    from ..operators import model as M
+    d = _all_labelled(spark, sf)
+    cand, _ = M.select_model(d, d, [{"reg_param": 0.1, "max_iter": 3}, {"reg_param": 0.01, "max_iter": 3}])
+    rows = d.agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(F.array(F.lit(1), F.lit(2))).alias("ordinal"))
+    return cand.select("ordinal", "params").join(rows, "ordinal")
+
+
+@register("model_save_load", "SELECT count(*) AS n, count(*) AS same, count(*) AS within FROM documents")
+def q_model_save_load(spark, sf):
+    """Scores of a model before it is saved and after it is loaded."""
+    from ..operators import model as M
+    m = M.train_classifier(_all_labelled(spark, sf), max_iter=5)
+    path = _folder(spark, "model")
+    M.save_model(m, path)
+    docs = _planted(spark, sf).select("id", "comment_text")
+    before = M.model_scores(docs, m, out="before")
+    after = M.model_scores(docs, M.load_model(path), out="after").select("id", "after")
+    both = before.join(after, "id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") == F.col("after")).alias("same"), F.count_if(F.col("after").between(0, 1)).alias("within"))
+
+
 # ---- I, J: classifier and stream (rows-only: no SQL equivalent) -----------------
 
 def _labelled_docs(spark, sf) -> DataFrame:
