@@ -113,7 +113,7 @@ def stratified_split(df: DataFrame, test_fraction: float = 0.2, label: str = "la
 
 
 def shuffle(df: DataFrame, seed: int = SEED, key: str = "id", with_rank: bool = True) -> DataFrame:
-    """E5: seeded order. ``with_rank`` adds the 1-based rank (``shuffle_rank``):
+    """E5: seeded order. ``with_rank`` adds the 1-based rank (``shuffle_rank``, a long):
     rows are ranked within their hash prefix, and the counts of the prefixes
     before it (two levels, at most 256 rows each) are added. Without it the
     result is a distributed range-partitioned sort."""
@@ -132,7 +132,7 @@ def shuffle(df: DataFrame, seed: int = SEED, key: str = "id", with_rank: bool =
     counts = counts.select("__p", (offset + F.coalesce(F.sum("__c").over(below), F.lit(0))).alias("__before"))
     w = Window.partitionBy("__p").orderBy(h, F.col(key))
     ranked = keyed.withColumn("__r", F.row_number().over(w)).join(counts, "__p")
-    return ranked.select(*[F.col(c) for c in df.columns], (F.col("__before") + F.col("__r")).cast("int").alias("shuffle_rank"))
+    return ranked.select(*[F.col(c) for c in df.columns], (F.col("__before") + F.col("__r")).cast("long").alias("shuffle_rank"))
 
 
 def debug_sample(df: DataFrame, n: int = 1000, seed: int = SEED, key: str = "id") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import report, rules_v1, rules_v2
+from ..functions.rule_model import V1, V2
 from ..functions.text import clean_text, normalise_text, truncated_tokens
 from ..operators import aggregate as AG
 from ..operators import evaluate as EV
@@ -418,7 +419,7 @@ def q_split(spark, sf):
 
 @register("shuffle_rank", f"WITH {_balanced_sql()} SELECT id, CAST(row_number() OVER (ORDER BY {_key_sql()}, id) AS INTEGER) AS shuffle_rank FROM balanced")
 def q_shuffle(spark, sf):
-    return S.shuffle(_balanced(spark, sf)).select("id", "shuffle_rank")
+    return S.shuffle(_balanced(spark, sf)).select("id", F.col("shuffle_rank").cast("int"))
 
 
 @register("stratified_split_all", f"WITH {_training_sql()}, r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {_key_sql()}, id) AS rn, "
@@ -430,7 +431,7 @@ def q_split_all(spark, sf):
 
 @register("shuffle_rank_all", f"WITH {_training_sql()} SELECT id, CAST(row_number() OVER (ORDER BY {_key_sql()}, id) AS INTEGER) AS shuffle_rank FROM training")
 def q_shuffle_all(spark, sf):
-    return S.shuffle(_training(spark, sf)).select("id", "shuffle_rank")
+    return S.shuffle(_training(spark, sf)).select("id", F.col("shuffle_rank").cast("int"))
 
 
 @register("sample_or_all", f"WITH {_training_sql()} SELECT id, label FROM training WHERE label = 0")
@@ -598,12 +599,17 @@ def q_relations(spark, sf):
     return d.select("id", *[r9(c).alias(k) for k, c in rules_v2.relation_scores(h).items()])
 
 
-def _single_feature(name: str, spark_fn, sql_key: str, rounded: bool = True):
+def _few(spark, sf, lex, *names: str):
+    """The planted texts with the bits of a few lists only."""
+    return A.term_hits(_planted(spark, sf), "comment_text", [t for n in names for t in lex.terms[n]])
+
+
+def _single_feature(name: str, spark_fn, sql_key: str, rounded: bool = True, lists: tuple = ()):
     expr = O.v2_feature_exprs()[sql_key]
     sql = _feat_sql(f"{sql_r9(expr) if rounded else expr} AS {name}")
 
     def fn(spark, sf):
-        d, h = _v2(spark, sf)
+        d, h = _few(spark, sf, V2, *lists) if lists else _v2(spark, sf)
         c = spark_fn(h)
         return d.select("id", (r9(c) if rounded else c).alias(name))
     register(name, sql)(fn)
@@ -612,16 +618,16 @@ def _single_feature(name: str, spark_fn, sql_key: str, rounded: bool = True):
 _single_feature("economic_contrast", rules_v2.economic_contrast, "econ")
 _single_feature("positive_research", rules_v2.positive_research, "posres")
 _single_feature("legitimate_systemic", rules_v2.legitimate_systemic, "legit")
-_single_feature("historical_education", rules_v2.historical_education, "hist")
-_single_feature("systemic_discussion", rules_v2.systemic_discussion, "sys")
+_single_feature("historical_education", rules_v2.historical_education, "hist", lists=("historical", "educational", "critical"))
+_single_feature("systemic_discussion", rules_v2.systemic_discussion, "sys", lists=("systemic", "solution", "factual"))
 _single_feature("cultural_bias", rules_v2.cultural_bias, "cult")
 _single_feature("evidence_quality", rules_v2.evidence_quality, "eq")
-_single_feature("strong_indicator", rules_v2.strong_indicator, "strong", rounded=False)
+_single_feature("strong_indicator", rules_v2.strong_indicator, "strong", rounded=False, lists=("strong",))
 
 
 @register("research_direction", _feat_sql(f"({O.any_(L.V2_POSITIVE_RESEARCH_TERMS)} AND NOT {O.any_(L.V2_NEGATIVE_RESEARCH_TERMS)}) AS research_direction"))
 def q_research_direction(spark, sf):
-    d, h = _v2(spark, sf)
+    d, h = _few(spark, sf, V2, "positive_finding", "negative_finding")
     return d.select("id", rules_v2.research_direction(h).alias("research_direction"))
 
 
@@ -654,13 +660,13 @@ def q_token_context(spark, sf):
 
 @register("group_list", _feat_sql(f"{O.count(L.EXPLICIT_RACIAL_TERMS)} >= 3 AS group_list"))
 def q_group_list(spark, sf):
-    d, h = _v1(spark, sf)
+    d, h = _few(spark, sf, V1, "explicit")
     return d.select("id", rules_v1.group_list(h).alias("group_list"))
 
 
 @register("war_context", _feat_sql(f"({O.any_(L.V1_WAR_TERMS)} AND {O.count(L.EXPLICIT_RACIAL_TERMS)} > 0) AS war_context"))
 def q_war_context(spark, sf):
-    d, h = _v1(spark, sf)
+    d, h = _few(spark, sf, V1, "explicit", "war")
     return d.select("id", rules_v1.war_context(h).alias("war_context"))
 
 
@@ -1127,7 +1133,7 @@ SELECT id, label, CAST(row_number() OVER (ORDER BY {_key_sql()}, id) AS INTEGER)
 def q_prepare_training_set(spark, sf):
     from .train import prepare
     ps = prepare(spark, _comments(spark, sf), version="v2")
-    return ps.training.select("id", "label", "shuffle_rank")
+    return ps.training.select("id", "label", F.col("shuffle_rank").cast("int"))
 
 
 @register("prepare_counts", f"""WITH {_comments_sql()},
