@@ -162,9 +162,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html") -> None:
-    """Write ``pages`` as deduplicated archives under ``path``."""
+    """Write ``pages`` as deduplicated archives under ``path``. ``pages`` is read once."""
     scratch = Scratch(pages.sparkSession)
-    write(resolve(records(pages, id_col, url_col, payload_col), scratch), path)
+    # written once: the heads that are resolved and the records that go out must be the same rows
+    # with the same ids, also if ``pages`` gives its rows in another order each time it is read
+    recs = scratch.save(records(pages, id_col, url_col, payload_col), "records")
+    write(resolve(recs, scratch), path)
+    scratch.drop("records", "first")
 
 
 def rewrite(spark: SparkSession, path: str, to: str) -> None:
@@ -186,17 +190,20 @@ def rewrite(spark: SparkSession, path: str, to: str) -> None:
     write(found.unionByName(old), to)
 
 
-def digest_rows(spark: SparkSession, path: str) -> DataFrame:
+def digest_rows(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """A row per record read back: page_id, payload_bytes, payload_digest (of the
     full payload: a revisit's is that of the response it names), record_type,
-    refers_to (that response's page_id)."""
+    refers_to (that response's page_id). ``strict``: a revisit without its response fails the job."""
     scratch = Scratch(spark)
+    lost = F.raise_error(F.concat(F.lit("no record is the response of revisit "), F.col("record_id")))
     r = read(spark, path).select("record_id", "page_id", "record_type", "refers_to_id", "payload_digest", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha"))
     r = scratch.save(r, "read")
     named = r.where("refers_to_id IS NOT NULL").select(F.col("refers_to_id").alias("wanted")).distinct()
     first = r.join(named, F.col("record_id") == F.col("wanted")).select(F.col("record_id").alias("first_id"), F.col("page_id").alias("refers_to"), F.col("n").alias("first_n"), F.col("sha").alias("first_sha"))
     first = scratch.save(first, "first")
     out = r.join(first, F.col("refers_to_id") == F.col("first_id"), "left")
+    if strict:
+        out = out.where(F.when((F.col("record_type") == "revisit") & F.col("first_id").isNull(), lost.cast("boolean")).otherwise(True))
     return out.select(
         "page_id",
         F.when(F.col("record_type") == "revisit", F.col("first_n")).otherwise(F.col("n")).alias("payload_bytes"),
@@ -211,9 +218,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload; a null page_id stays null (and is the last
     choice for the response); repeated rows are records of their own; an empty
-    table writes an empty archive. Other columns are not looked at.
+    table writes an empty archive. Other columns are not looked at. The input need
+    not be repeatable: its records are written once and everything is made of them.
     """
     scratch = Scratch(pages.sparkSession)
     path = scratch.path(f"warc-{uuid.uuid4().hex}")
     archive(pages, path)
-    return digest_rows(pages.sparkSession, path)
+    return digest_rows(pages.sparkSession, path, strict=True)

@@ -229,3 +229,40 @@ def test_exact_deviation_beyond_64_bits(spark):
     got = {r.vec_id: r.deviation for r in whitening.whiten(vectors_of(spark, rows)).where(F.col("component") == 1).collect()}
     _, _, want = brute_whiten(rows)
     assert {i: int(d) for i, d in got.items()} == {i: w[0][0] for i, w in want.items()}
+
+
+# ---- archives of an input that isn't repeatable --------------------------------------
+
+
+def test_archives_of_an_input_that_reorders_itself(spark):
+    """Every read of the input gives other rows an id and a place; no payload may be lost."""
+    from pyspark.sql import types as T
+
+    from slantscan.llm import warc
+
+    @F.udf(T.DoubleType())
+    def chance():
+        import random
+
+        return random.random()
+
+    pages = spark.range(60, numPartitions=6).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"), F.concat(F.lit("p" * 150), (F.col("id") % 5).cast("string")).alias("html"))
+    shuffled = pages.orderBy(chance.asNondeterministic()())
+    assert shuffled.select("page_id").collect() != shuffled.select("page_id").collect()
+    got = warc.round_trip(shuffled).collect()
+    assert len(got) == 60 and sum(r.record_type == "response" for r in got) == 5
+    assert all(r.payload_bytes == 151 and r.payload_digest for r in got)
+    assert all(r.refers_to == r.page_id % 5 for r in got if r.record_type == "revisit")
+
+
+def test_a_revisit_without_its_response_fails(spark):
+    from slantscan.llm import warc
+    from slantscan.llm.common import Scratch
+
+    pages = spark.createDataFrame([(i, "http://x", "q" * 200) for i in range(4)], "page_id long, url string, html string")
+    scratch = Scratch(spark)
+    found = warc.resolve(scratch.save(warc.records(pages), "records"), scratch)
+    warc.write(found.where("record_type = 'revisit'"), scratch.path("archive"))
+    assert warc.digest_rows(spark, scratch.path("archive")).count() == 3
+    with pytest.raises(Exception, match="is the response of revisit"):
+        warc.digest_rows(spark, scratch.path("archive"), strict=True).collect()
