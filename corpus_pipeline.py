@@ -29,16 +29,21 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     found = scratch.save(minhash.near_duplicates(docs), "found")
     gone = scratch.save(found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    stay = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    stay = _beside(docs, gone, "gone_id", "left_anti")
     many = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     many = scratch.save(many.select(F.col("doc_id").alias("many_id")), "many")
     if many.limit(1).count() == 0:  # ids are unique, as they should be
         return stay
-    once = stay.join(many, F.col("doc_id") == F.col("many_id"), "left_anti")
-    again = stay.join(many, F.col("doc_id") == F.col("many_id"), "left_semi").dropDuplicates(["doc_id"])
+    once = _beside(stay, many, "many_id", "left_anti")
+    again = _beside(stay, many, "many_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(again)
 
 
+def _beside(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """``docs`` with or without the rows of ``ids``, whatever the columns of ``docs`` are called."""
+    return docs.alias("__docs").join(ids.alias("__ids"), F.col("__docs.doc_id") == F.col(f"__ids.{column}"), how)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mixed(docs)
