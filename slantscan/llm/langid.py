@@ -155,17 +155,19 @@ class Evidence:
             worth[self.names.index(r["declared"])] += [r[f"p{k}"] or 0.0 for k in range(size)]
         self.worth = np.log(worth / worth.sum(axis=0, keepdims=True))
         glob = F.array(*[F.lit(float(x)) for x in share])
-        by_suffix = per.groupBy("suffix").agg(*again).select(F.col("suffix").alias("suffix1"), self._shrunk(size, glob).alias("prior1"))
+        counts = F.array(*[F.col(f"p{k}") for k in range(size)])
+        by_suffix = per.groupBy("suffix").agg(*again).select(F.col("suffix").alias("suffix1"), counts.alias("of_suffix"))
         by_host = per.groupBy("host", "suffix").agg(*again).withColumnRenamed("host", "host1")
         by_host = by_host.join(scratch.save(by_suffix, "by_suffix"), F.col("suffix").eqNullSafe(F.col("suffix1")), "left")
-        by_host = by_host.select("host1", F.col("suffix").alias("suffix2"), self._shrunk(size, F.col("prior1")).alias("prior"))
+        by_host = by_host.select("host1", F.col("suffix").alias("suffix2"), counts.alias("of_host"), "of_suffix")
         self.by_host = scratch.save(by_host, "by_host")
         self.share = glob
 
     @staticmethod
-    def _shrunk(size: int, above: Column) -> Column:
-        counts = F.array(*[F.col(f"p{k}") for k in range(size)])
-        return _let(counts, lambda c: _let(_total(c) + SHRINK, lambda n: F.zip_with(c, above, lambda a, b: (a + SHRINK * b) / n)))
+    def _shrunk(counts: Column, own: Column, above: Column) -> Column:
+        """Shares of ``counts`` without a document's own part, shrunk toward ``above``."""
+        rest = F.zip_with(counts, own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        return _let(rest, lambda c: _let(_total(c) + SHRINK, lambda n: F.zip_with(c, above, lambda a, b: (a + SHRINK * b) / n)))
 
     def _posterior(self, s: str, more: Column) -> Column:
         """Softmax of the tempered text scores and other log evidence."""
@@ -182,7 +184,10 @@ class Evidence:
         rows = [[0.0] * size, *self.worth.tolist()]  # first that of no declaration, or of a language without a model
         worth = F.expr("array(" + ",".join("array(" + ",".join(f"{x!r}D" for x in r) + ")" for r in rows) + ")")
         worth = F.get(worth, F.coalesce(F.array_position(F.array(*map(F.lit, self.names)), declared), F.lit(0)).cast("int"))
-        log_prior = F.transform(F.coalesce("prior", self.share), lambda x: F.log(x))
+        # a document's text counts in its own evidence, so not in the prior of its host and suffix
+        j = j.withColumn("__own", self._posterior(s, F.array(*[F.lit(0.0)] * size)))
+        prior = self._shrunk(F.col("of_host"), F.col("__own"), self._shrunk(F.col("of_suffix"), F.col("__own"), self.share))
+        log_prior = F.transform(F.coalesce(prior, self.share), lambda x: F.log(x))
         p = self._posterior(s, F.zip_with(log_prior, worth, lambda a, b: a + b))
         j = j.withColumn("__p", p).withColumn("confidence", F.array_max("__p"))
         at = F.array_position("__p", F.col("confidence")).cast("int")
@@ -190,7 +195,7 @@ class Evidence:
         beyond_chance = (F.element_at(F.col(s), at) - F.col(s)[size] * CHANCE) / TEMPER
         known = (F.col(s)[size] > 0) & (beyond_chance > math.log(UNKNOWN)) & (F.col("confidence") >= LEAST)
         j = j.withColumn("known", F.coalesce(known, F.lit(False)))
-        return j.withColumn("language", F.when(F.col("known"), F.col("language"))).drop("__p", "prior")
+        return j.withColumn("language", F.when(F.col("known"), F.col("language"))).drop("__p", "__own", "of_host", "of_suffix")
 
 
 def _name(df: DataFrame, column: str | None) -> Column:

@@ -4,7 +4,8 @@ A document classifier (logistic regression on a text's form) gives each document
 its evidence. Its expected share of good documents is summed by path and by
 host; a host's share shrinks toward the global one and a path's toward its
 host's, the less the more documents there are and the more hosts (paths) differ.
-The path's share is the prior that a document's evidence is weighed against.
+The path's share, less the document's own part in it, is the prior that its evidence
+is weighed against.
 
 The classifier is fitted on a bounded sample of labelled rows; the counts cover
 all documents.
@@ -143,19 +144,31 @@ def _strength(groups: DataFrame) -> float:
 
 
 def site_priors(scored: DataFrame, share: float, scratch: Scratch) -> DataFrame:
-    """(host, path, p) -> a row per host and path: prior of a good document there."""
+    """(host, path, p) -> a row per host and path: prior of a good document there, and
+    the counts and strengths that it is made of, for ``without_own``."""
     paths = scratch.save(scored.groupBy("host", "path").agg(F.sum("p").alias("good"), F.count("*").alias("n")), "paths")
     total = paths.agg(F.sum("good"), F.sum("n")).first()
-    every = ((total[0] or 0.0) + 10 * share) / ((total[1] or 0) + 10)
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumn("above", F.lit(float(every)))
+    every = {"sum_good": float(total[0] or 0.0) + 10 * share, "sum_n": float(total[1] or 0) + 10}
+    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumn("above", F.lit(every["sum_good"] / every["sum_n"]))
     hosts = scratch.save(hosts, "hosts")
-    m = _strength(hosts)
-    hosts = hosts.select(F.col("host").alias("host1"), ((F.col("good") + m * F.col("above")) / (F.col("n") + m)).alias("above"))
+    host_m = _strength(hosts)
+    prior = (F.col("good") + host_m * F.col("above")) / (F.col("n") + host_m)
+    hosts = hosts.select(F.col("host").alias("host1"), prior.alias("above"), F.col("good").alias("host_good"), F.col("n").alias("host_n"))
     paths = paths.join(scratch.save(hosts, "host_shares"), F.col("host").eqNullSafe(F.col("host1")))
     paths = scratch.save(paths.drop("host1"), "path_counts")
     m = _strength(paths)
     prior = (F.col("good") + m * F.col("above")) / (F.col("n") + m)
-    return scratch.save(paths.select(F.col("host").alias("host1"), F.col("path").alias("path1"), prior.alias("prior")), "priors")
+    fixed = {**every, "host_m": host_m, "path_m": m}
+    cols = [F.col("host").alias("host1"), F.col("path").alias("path1"), prior.alias("prior"), "good", "n", "host_good", "host_n"]
+    return scratch.save(paths.select(*cols, *[F.lit(x).alias(c) for c, x in fixed.items()]), "priors")
+
+
+def without_own(p: Column) -> Column:
+    """The prior of a row of ``site_priors`` without a document's own share ``p``, which its
+    evidence counts already: a site of one document says nothing about it."""
+    every = (F.col("sum_good") - p) / (F.col("sum_n") - 1)
+    host = (F.col("host_good") - p + F.col("host_m") * every) / (F.col("host_n") - 1 + F.col("host_m"))
+    return (F.col("good") - p + F.col("path_m") * host) / (F.col("n") - 1 + F.col("path_m"))
 
 
 def _prepared(docs, labels, id_col, text_col, host_col, path_col, label_col, keep_row: bool):
@@ -170,10 +183,11 @@ def _prepared(docs, labels, id_col, text_col, host_col, path_col, label_col, kee
     if not keep_row:  # without the text a row is small: score it once, for the sites and for itself
         d = scratch.save(d, "scored")
     log_share = float(np.log(model.share / (1 - model.share)))
-    scored = d.select("host", "path", _sigmoid(F.col("evidence") + log_share).alias("p"))
+    own = _sigmoid(F.col("evidence") + log_share)
+    scored = d.select("host", "path", own.alias("p"))
     priors = site_priors(scored, model.share, scratch)
     same = F.col("host").eqNullSafe(F.col("host1")) & F.col("path").eqNullSafe(F.col("path1"))
-    j = d.join(priors, same, "left").withColumn("site_prior", F.coalesce("prior", F.lit(model.share)))
+    j = d.join(priors, same, "left").withColumn("site_prior", F.coalesce(without_own(own), F.lit(model.share)))
     edge = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("site_prior")))
     return j.withColumn("score", _sigmoid(F.col("evidence") + _logit(edge))).withColumn("kept", F.col("score") >= LEAST)
 

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 from slantscan.llm import ann, langid, mixing, quality, queries
+from slantscan.llm.common import Scratch
 
 import corpus_pipeline
 
@@ -242,3 +243,52 @@ def test_near_duplicate_stage_repeated_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.distinct(spark, docs, SF)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (False, 4), (True, 0)]
+
+
+def test_a_site_of_one_document_says_nothing_about_it(spark):
+    """Two hosts of one document each, one surely good and one surely not, have the same prior without
+    their own part; a host's other documents still count."""
+    from pyspark.sql import functions as F
+
+    rows = [("a", "x", 0.99), ("b", "x", 0.01)] + [("c", "x", 0.9)] * 50 + [("d", "x", 0.1)] * 50
+    scored = spark.createDataFrame(rows, "host string, path string, p double")
+    priors = quality.site_priors(scored, 0.5, Scratch(spark))
+    j = scored.join(priors, F.col("host") == F.col("host1")).withColumn("mine", quality.without_own(F.col("p")))
+    got = {r.host: r.mine for r in j.select("host", "mine").collect()}
+    assert abs(got["a"] - got["b"]) < 0.02 and got["c"] > 0.7 and got["d"] < 0.3
+    # against the definition: the priors of the table without the row
+    for i in (0, 1, 2, 60):
+        host, path, p = rows[i]
+        n = {h: [q for k, (g, _, q) in enumerate(rows) if g == h and k != i] for h in "abcd"}
+        r = priors.where(F.col("host1") == host).first()
+        every = (sum(map(sum, n.values())) + 10 * 0.5) / (len(rows) - 1 + 10)
+        above = (sum(n[host]) + r.host_m * every) / (len(n[host]) + r.host_m)
+        assert got[host] == pytest.approx((sum(n[host]) + r.path_m * above) / (len(n[host]) + r.path_m))
+
+
+def test_a_language_host_says_nothing_about_its_only_document(spark):
+    """A text between two languages gets the same answer whether its host is its own or none is known."""
+    rows = [(i, ("the cat and the dog of the house " if i % 2 else "le chat et le chien de la maison ") * 3, "en" if i % 2 else "fr", f"h{i % 4}") for i in range(80)]
+    rows += [(100, "the cat le chat and et the dog le chien", None, "alone"), (101, "the cat le chat and et the dog le chien", None, "alone2")]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[100].confidence == pytest.approx(got[101].confidence) and got[100].language == got[101].language
+
+
+def test_stages_with_clashing_columns_nulls_and_no_rows(spark, tmp_path):
+    """Every stage, on a table whose extra columns are called as its own ones, with nulls in every
+    column and repeated rows, and on the same table without rows."""
+    names = ["gone_id", "many_id", "row", "size", "h", "p", "prior", "s", "found", "component_id", "kept", "language", "host", "text1", "piece", "__p"]
+    text = "the cat and the dog of the house sat on the mat and looked at the other animals there for a while"
+    rows = [(i, f"{text} {i} {i * 7} {i * 13}" if i % 5 else None, "en" if i % 3 else None, f"s{i % 2}" if i % 4 else None, 90) for i in range(40)]
+    rows += [rows[6], rows[6], (None, text, "en", "s1", 90), (None, None, None, None, None), (50, "", "en", "s0", 0)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path))
+            got = out.collect()
+            assert name == "pack" or out.columns == docs.columns
+            assert table is docs or not got
+            if name == "near_duplicates" and table is docs:
+                ids = [r.doc_id for r in got if r.doc_id is not None]
+                assert len(ids) == len(set(ids))
