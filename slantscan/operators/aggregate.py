@@ -14,7 +14,7 @@ EPS = 1e-10
 
 
 def distribution_metrics(label: str = "label") -> list[Column]:
-    """D2's aggregates, for ``agg`` or as metrics of an ``Observation``."""
+    """D2's aggregates, for ``agg`` beside others."""
     return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col(label) == 1).alias("positives"),

@@ -80,7 +80,7 @@ def target_split(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def target_metrics(threshold: float = 0.5) -> list[Column]:
-    """B9's aggregates, for ``agg`` or as metrics of an ``Observation``."""
+    """B9's aggregates, for ``agg`` beside others."""
     return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("target") > threshold).alias("toxic_n"),

@@ -1143,7 +1143,7 @@ c AS (SELECT count(*) AS total, count_if({_label_sql('v2')} = 1) AS positives, c
   count_if(raw > 0.5) AS toxic_n, count_if(raw <= 0.5) AS non_toxic_n FROM filled)
 SELECT *, {sql_r9('total::DOUBLE / (2 * negatives)')} AS negative_weight, {sql_r9('total::DOUBLE / (2 * positives)')} AS positive_weight FROM c""")
 def q_prepare_counts(spark, sf):
-    """D2, D3 and B9 of the prepared table, as the write observed them."""
+    """D2, D3 and B9 of the prepared table, from its one aggregate."""
     from .train import prepare
     ps = prepare(spark, _comments(spark, sf), version="v2")
     w = ps.class_weights.select("total", r9("negative_weight").alias("negative_weight"), r9("positive_weight").alias("positive_weight"))

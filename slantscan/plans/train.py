@@ -1,18 +1,20 @@
 """The training-set preparation job as one Spark plan.
 
-sources -> annotator means -> union -> dedup -> (written, counted on the way) ->
+sources -> annotator means -> union -> dedup -> (written, counted once) ->
 guard -> fill -> label -> projection -> balanced sample -> shuffle -> sink. The
 prepared table is written into the cluster's shared folder before the sample
 reads it again: the lineage is cut, and executors lost later do not recompute
-the preparation. The counts of targets and labels are observed while it is
-written; no job of their own is run for them.
+the preparation. All counts of targets and labels are one aggregate over the written
+table's few columns. (An ``Observation`` on the write would need no such job, but in
+Spark 4.1 a session that has observed once can't fit Spark ML models any more: its
+tasks can't be serialised.)
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as AG
@@ -55,18 +57,16 @@ def _labelled(df: DataFrame, version: str) -> DataFrame:
 
 
 def _written_and_counted(df: DataFrame, version: str) -> tuple[DataFrame, dict]:
-    """The table, written, and D2's and B9's counts of it, observed by the write. Nothing is
-    shuffled between the counting and the writing, so a repeated task counts once."""
+    """The table, written, and D2's and B9's counts of it."""
     P.require_columns(df)
     metrics, threshold = (P.V1_METRICS, P.V1_LABEL_THRESHOLD) if version == "v1" else (P.V2_METRICS, P.V2_LABEL_THRESHOLD)
     filled = {c: f"__filled_{c}" for c in [*metrics, *P.RACE_COLUMNS]}
-    d = df.select("*", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f) for c, f in filled.items()])
+    table = written(df, "prepared")
+    d = table.select("*", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f) for c, f in filled.items()])
     label = P.label_expr([filled[c] for c in metrics], [filled[c] for c in P.RACE_COLUMNS], threshold)
     targets = P.target_metrics()[1:] if "target" in df.columns else [F.lit(0).alias(n) for n in ("toxic_n", "non_toxic_n")]
-    seen = Observation()
-    d = d.select("*", label.alias("__label")).observe(seen, *AG.distribution_metrics("__label"), *targets)
-    table = written(d.select(*df.columns), "prepared")
-    return table, seen.get
+    seen = d.select("*", label.alias("__label")).agg(*AG.distribution_metrics("__label"), *targets).first()
+    return table, seen.asDict()
 
 
 def train_model(spark: SparkSession, dataset_path: str, model_path: str, fmt: str = "parquet",

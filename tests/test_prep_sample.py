@@ -239,7 +239,7 @@ def test_class_examples_of_the_whole_training_table(spark):
     assert got == want and len(got) == 10
 
 
-def test_prepare_counts_while_it_writes(spark):
+def test_prepare_counts_the_written_table_once(spark):
     from slantscan.plans.train import prepare
     from slantscan.sources import tables as T
     comments = T.comments(spark, "/root/testdata/sf0.001")
