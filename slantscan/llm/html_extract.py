@@ -7,7 +7,10 @@ less what is link text) and thresholded. The paths above the threshold hold the
 article's running text. The article element that holds most of it is kept, or
 without one the smallest container around all of it, body included - with its
 headings and short blocks, without the subtrees that tags, roles or class names
-mark as something else (names and forms only if their text agrees).
+mark as something else (names and forms only if their text agrees). In either,
+blocks of links stay only where path values find content; articles in the
+article that read like replies go, and without an article element a closing
+copyright line.
 """
 
 from __future__ import annotations
@@ -59,6 +62,9 @@ OTHER = set(
 TALK = set("comment comments commentlist commentform disqus reply replies respond discussion".split())
 #: words beside those of OTHER in a name that is wholly about something else
 BESIDE = set("box boxes bar list area wrap wrapper container holder inner outer block module panel pane region left right top bottom main primary secondary site global page post posts article articles item items button buttons btn link links icon icons text title group section row col column field fields zone slot unit small large mobile desktop sticky fixed".split())
+#: ids that even a section has for its kind, not for its heading
+BOXES = set("comments commentlist disqus replies respond newsletter subscribe signup sidebar navbar breadcrumbs footer masthead banner advert adverts advertisement ads paywall gdpr recommendations taboola outbrain".split())
+THREAD = set("user users reader readers visitor visitors thread threads tree content body author entry view stream feed facebook fb wp".split())  #: words beside those of TALK
 HEADER = set("header pageheader siteheader".split())
 OWN = set("post entry article story title chapter recipe content section document page review lesson".split())  #: words beside header: the article's own
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -75,6 +81,8 @@ _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|\d+")
 PLAIN = 80  #: characters that make a block running text without punctuation
 LEAST_KEPT = 200  #: characters of running text for which a marked subtree stays beside other text
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？।؟]")
+_NOTICE = re.compile(r"\W{0,3}(?:©|\(c\)|copyright\b)\W{0,3}(?:©|\(c\)|copyright\b|by\b|\d{4}\b)", re.I)
+LINE = 200  #: characters that a copyright line has at most
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
@@ -105,11 +113,16 @@ def _marked(tag: str, attrs: str) -> tuple[bool, int, bool, bool]:
     named = tag in NAMED or ("class", "section") in names
     for name, one in names:
         words = {w.lower(): None for w in _NAME.findall(one)}
-        if not words or next(iter(words)) in MODIFIERS or name == "id" and named:
+        if not words or next(iter(words)) in MODIFIERS:
             continue
         said = OTHER & words.keys()
+        if name == "id" and named and not (said and said <= BOXES and (tag == "section" or ("class", "section") in names)):
+            continue
         if said:
-            whole = all(w in OTHER or w in BESIDE or w.isdigit() for w in words)
+            beside = BESIDE | THREAD if said <= TALK - {"discussion"} else BESIDE
+            whole = all(w in OTHER or w in beside or w.isdigit() for w in words)
+            if name == "id" and named and not whole:
+                continue
             mark = max(mark, (TALKS if said <= TALK else STRONG) if whole else WEAK)
         if not HEADER.isdisjoint(words):
             header, own = True, own or not OWN.isdisjoint(words)
@@ -259,9 +272,12 @@ def main_text(page: str | None) -> str:
     content = content_blocks(found)
     article = _article(found, content)
     if article is not None:
-        return " ".join(b[0] for b in found if any(x is article for x in _line(b[1])))
-    best = _widen(_common(found, content), found)
-    return " ".join(b[0] for b in _inside(best, found, content))
+        return " ".join(b[0] for b in _of_article(article, found, content))
+    kept = _inside(_widen(_common(found, content), found), found, content)
+    last = len(kept)
+    while last > 1 and len(kept[last - 1][0]) <= LINE and _NOTICE.match(kept[last - 1][0]):
+        last -= 1
+    return " ".join(b[0] for b in kept[:last])
 
 
 def content_blocks(found: list) -> list[bool]:
@@ -291,7 +307,7 @@ def _unmarked(found: list) -> list:
     runs, article, every = [], False, 0
     for (text, e, linked), ok in zip(found, content_blocks(found), strict=True):
         n, inside, told = len(text), False, False
-        run = n if ok and 2 * linked < n and (n >= PLAIN or _PUNCT.search(text)) else 0
+        run = n if _runs((text, e, linked), ok) else 0
         plain = 0 if e.tag in HEADINGS else n
         for x in _line(e):
             inside = inside or x.tag in ("article", "main")
@@ -346,6 +362,40 @@ def _article(found: list, content: list) -> _Element | None:
     return above[-1] if above else best
 
 
+def _of_article(article: _Element, found: list, content: list) -> list:
+    """The article's blocks: those of the content paths, headings, and of the rest what
+    isn't links or has its nearest container in common with content paths. An article in it without headings of its own is a reply: it goes if the
+    article's own running text is at least as long, or LEAST_KEPT characters."""
+    inside, replies, own = [], {}, 0
+    for b, ok in zip(found, content, strict=True):
+        line = [*_line(b[1])]
+        at = next((k for k, x in enumerate(line) if x is article), None)
+        if at is None:
+            continue
+        reply = next((x for x in line[:at][::-1] if x.tag == "article"), None) if article.tag == "article" else None
+        n = len(b[0]) if _runs(b, ok) else 0
+        if reply is None:
+            own += n
+        else:
+            r = replies.setdefault(id(reply), [0, False])
+            r[0], r[1] = r[0] + n, r[1] or b[1].tag in HEADINGS
+        inside.append((b, ok, reply))
+    gone = {x for x, (n, headed) in replies.items() if not headed and (own >= LEAST_KEPT or own >= n > 0)}
+    holds = {id(x) for b, ok, _ in inside if ok and (x := _near(b[1])) is not None}
+    kept = [b for b, ok, reply in inside if id(reply) not in gone and (ok or b[1].tag in HEADINGS or 2 * b[2] < len(b[0]) or id(_near(b[1])) in holds)]
+    return kept or [b for b, _, _ in inside]
+
+
+def _near(e: _Element) -> _Element | None:
+    return next((x for x in _line(e) if x.tag in CONTAINERS), None)
+
+
+def _runs(block: tuple, ok: bool) -> bool:
+    """Whether a block is running text."""
+    text, _, linked = block
+    return ok and 2 * linked < len(text) and (len(text) >= PLAIN or bool(_PUNCT.search(text)))
+
+
 def _common(found: list, content: list) -> _Element:
     """The smallest container around all blocks of the content paths; at last the page."""
     lines = [[*_line(b[1])][::-1] for b, ok in zip(found, content, strict=True) if ok]
@@ -380,8 +430,7 @@ def _inside(best: _Element, found: list, content: list) -> list:
     links; in body only if it stands directly there or between content blocks."""
     page = best.tag in ("", "html", "body")
     at = [k for k, ok in enumerate(content) if ok]
-    near = lambda e: next((x for x in _line(e) if x.tag in CONTAINERS), None)
-    holds = {id(x) for k in at if (x := near(found[k][1])) is not None and x.tag not in ("html", "body")}
+    holds = {id(x) for k in at if (x := _near(found[k][1])) is not None and x.tag not in ("html", "body")}
     kept = []
     for k, (b, ok) in enumerate(zip(found, content, strict=True)):
         text, e, linked = b
@@ -390,7 +439,7 @@ def _inside(best: _Element, found: list, content: list) -> list:
             continue
         if ok or e.tag in HEADINGS or any(id(x) in holds for x in line):
             kept.append(b)
-        elif 2 * linked < len(text) and (not page or at[0] < k < at[-1] or near(e) in (best, None)):
+        elif 2 * linked < len(text) and (not page or at[0] < k < at[-1] or _near(e) in (best, None)):
             kept.append(b)
     first = next(k for k, b in enumerate(found) if b is kept[0])
     while first and found[first - 1][1].tag in HEADINGS:  # the title may stand before the container

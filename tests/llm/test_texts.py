@@ -110,6 +110,59 @@ def test_names_that_say_something_else(page):
         assert html_extract.main_text(whole.replace("</body>", other + "</body>")) == want
 
 
+REPLY = "<p>I disagree with all of it, and so do my friends.</p>"
+
+
+@pytest.mark.parametrize(
+    "more",
+    [
+        f"<section id=comments><h2>Comments</h2>{REPLY * 4}</section>",
+        f'<section id="reader-comments" class="x">{REPLY * 30}</section>',
+        f'<div class="user-comments">{REPLY * 4}</div>',
+        f'<ol class="comment-thread"><li>{REPLY}<li>{REPLY}</ol>',
+        "<section id=newsletter><h2>Stay in touch</h2><p>Get our letter every week, free of charge. It has news, and more.</p></section>",
+    ],
+)
+@pytest.mark.parametrize("page", ["<body><article><h1>T</h1>{4}@</article></body>", "<body><article><h1>T</h1>{4}</article>@</body>", "<body><div><h1>T</h1>{4}</div>@</body>", "<body><div><article><h1>T</h1>{4}</article></div>@</body>"])
+def test_comments_and_boxes_go(page, more):
+    page = re.sub(r"\{(\d+)\}", lambda m: f"<p>{SAYS.strip()}</p>" * int(m[1]), page)
+    want = "T" + f" {SAYS.strip()}" * 4
+    assert html_extract.main_text(page.replace("@", more)) == want
+
+
+def test_replies_and_closing_line_go():
+    body = f"<p>{SAYS.strip()}</p>" * 4
+    want = "T" + f" {SAYS.strip()}" * 4
+    reply = f"<article><p>by a reader</p>{REPLY}</article>"
+    assert html_extract.main_text(f"<article><h1>T</h1>{body}{reply * 9}</article>") == want
+    for line in ("&copy; 2024 Some Paper. All rights reserved.", "Copyright 2019 by the authors"):
+        assert html_extract.main_text(f"<body><div><h1>T</h1>{body}<p>{line}</p></div></body>") == want
+    # a word on the matter is text, and so are parts that have headings
+    last = "All rights reserved."  # the tables have it as a paragraph of articles
+    assert html_extract.main_text(f"<body><div><h1>T</h1>{body}<p>{last}</p></div></body>") == f"{want} {last}"
+    last = "Copyright law changed in many ways, and nobody knows why."
+    assert html_extract.main_text(f"<article><h1>T</h1>{body}<p>{last}</p></article>") == f"{want} {last}"
+    part = f"<article><h2>Part</h2>{REPLY}</article>"
+    assert html_extract.main_text(f"<article><h1>T</h1>{body}{part}</article>") == f"{want} Part {re.sub('<.*?>', '', REPLY)}"
+
+
+LINKS = "<div><div><a>One more</a></div><div><a>And another</a></div></div>"
+
+
+@pytest.mark.parametrize("page", [f"<article><h1>T</h1><div>{{4}}</div>{LINKS}</article>", f"<body><h1>T</h1><div>{{4}}</div>{LINKS}</body>"])
+def test_path_values_decide(page, monkeypatch):
+    page = page.replace("{4}", f"<p>{SAYS.strip()}</p>" * 4)
+    want = "T" + f" {SAYS.strip()}" * 4
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "path_values", lambda found: {b[1].path: 1.0 for b in found})
+    assert html_extract.main_text(page) == f"{want} One more And another"
+
+
+def test_links_among_the_text_stay():
+    page = f"<article><h1>T</h1><p>{SAYS.strip()}</p><ul><li><a>One more</a><li><a>And another</a></ul><p>{SAYS.strip()}</p></article>"
+    assert html_extract.main_text(page) == f"T {SAYS.strip()} One more And another {SAYS.strip()}"
+
+
 def test_pages_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_extract.extract(df).collect()) == [(0, ""), (1, "x"), (1, "x")]
