@@ -5,11 +5,13 @@ all its documents and, for what is left, by the documents whose hash is below a
 threshold. The threshold is found without sorting documents: sizes are summed
 by source and hash bucket, the bucket in which the budget runs out is split into
 finer buckets, and so on until it holds a few documents, which alone are ranked.
+Rows of one id share a hash; where the threshold falls among them, a second hash,
+of the texts, is split the same way, and of equal rows as many are taken as fit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slantscan.llm.common import Scratch
@@ -19,6 +21,7 @@ SHARE = 1.5  #: words of the mix as a part of all words
 MOST = 2  #: times that a document is taken at most
 BITS, LEVEL = 60, 10  #: bits of the hash, and of them in one histogram
 FEW = 4096  #: documents of a boundary bucket that are ranked one by one
+RUN = 4096  #: equal rows that one row stands for when they are written out again
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,18 +55,24 @@ def takes(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
 
     ``size`` counts the words of the text (null: 0); ``taken`` is the size times
     0, 1 or more, never beyond ``most``. A source's taken words miss its target
-    by half of one document's size at most. A null source is a source of its
-    own. Rows that repeat an id are taken alike, as one document; a null id is
-    hashed by its text. Reruns agree, whatever the partitions. An empty table
-    gives none. Other columns are not looked at.
+    by half of one row's size at most, repeated ids and equal rows included. A
+    null source is a source of its own. Rows that repeat an id are taken alike
+    unless the threshold falls among them; a null id is hashed by its text.
+    Reruns agree, whatever the partitions. An empty table gives none. Other
+    columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     d = d.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    d = scratch.save(d.select("doc_id", "source", "size", hashed("doc_id", "text").alias("h")), "sizes")
-    t = thresholds(d, scratch, weights, share, most)
-    out = d.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    copies = F.col("whole") + F.coalesce(F.col("h") <= F.col("last"), F.lit(False)).cast("int")
+    d = scratch.save(d.select("doc_id", "source", "size", hashed("doc_id", "text").alias("h"), _second("doc_id", "text")), "sizes")
+    t, repeated = thresholds(d, scratch, weights, share, most)
+    out = d.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", *[c for c in t.columns if c != "source"])
+    if not repeated:
+        copies = _copies()
+    else:
+        equal = out.where(_at_edge()).groupBy("doc_id", "size", "source_size", "target", "whole", "fit").agg(F.count("*").alias("n"))
+        copies = F.col("copies")
+        out = out.where(~_at_edge()).withColumn("copies", _copies()).unionByName(_apart(equal), allowMissingColumns=True)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
 
 
@@ -73,45 +82,82 @@ def hashed(doc_id, text):
     return F.conv(F.substring(F.md5(name), 1, BITS // 4), 16, 10).cast("long")
 
 
-def thresholds(d: DataFrame, scratch: Scratch, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
-    """source, size, h -> per source: source_size, target, whole (repeats of all
-    its documents) and last (the largest hash taken once more; null: none)."""
+def _second(*columns) -> Column:
+    """The hash that orders rows of one first hash: rows that share it too count as equal."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITS).alias("h2")
+
+
+def _at_edge() -> Column:
+    """Whether a row is one of the equal rows among which the budget runs out."""
+    return F.coalesce((F.col("h") == F.col("at")) & (F.col("h2") == F.col("at2")), F.lit(False))
+
+
+def _copies() -> Column:
+    """How often a row is taken that has no equal."""
+    below = (F.col("h") < F.col("at")) | (F.col("h") == F.col("at")) & (F.col("h2") < F.col("at2"))
+    return (F.col("whole") + F.when(_at_edge(), F.col("fit")).otherwise(F.coalesce(below, F.lit(False)).cast("long"))).cast("int")
+
+
+def _apart(equal: DataFrame) -> DataFrame:
+    """``n`` rows for each row of ``equal``, with ``copies``: the first ``fit`` are taken once more."""
+    run = equal.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))))
+    run = run.repartition(F.xxhash64("run", "n"))  # a great many of one row are written by several tasks
+    one = run.withColumn("i", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1)))
+    return one.withColumn("copies", (F.col("whole") + (F.col("i") < F.col("fit")).cast("long")).cast("int")).drop("run", "i", "n")
+
+
+def thresholds(d: DataFrame, scratch: Scratch, weights=WEIGHTS, share=SHARE, most=MOST) -> tuple[DataFrame, bool]:
+    """source, size, h, h2 -> per source: source_size, target, whole (repeats of all
+    its rows), at and at2 (the hashes of the row in which the rest of the budget
+    runs out; all before it are taken once more) and fit (how many of the rows with
+    these hashes are); and whether any such rows are more than one."""
     t = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     t = t.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     t = scratch.save(t, "targets")
 
-    inside, bits = d.where("size > 0"), BITS
-    known = t.select("source", "budget", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("low"))
+    known = t.select("source", "budget", F.lit(0).cast("long").alias("used"))
+    inside, edge = _edge(d.where("size > 0"), known, "h", scratch)
+    _, edge2 = _edge(inside, edge, "h2", scratch)
+    repeated = (edge2.agg(F.max("n")).first()[0] or 0) > 1
+    # a row is taken while its middle lies within the budget
+    fit = F.least(F.col("n"), F.floor((F.col("budget") - F.col("used")) * F.col("n") / F.col("s") + 0.5)).cast("long")
+    edge2 = edge2.select("source", F.col("low").alias("at2"), fit.alias("fit"))
+    edge = edge.select("source", F.col("low").alias("at"))
+    for more in (edge, edge2):
+        t = t.alias("t").join(more.alias("k"), F.col("t.source").eqNullSafe(F.col("k.source")), "left").select("t.*", *[f"k.{c}" for c in more.columns if c != "source"])
+    return scratch.save(t.drop("budget"), "thresholds"), repeated
+
+
+def _edge(inside: DataFrame, known: DataFrame, by: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``inside`` that have the value of hash ``by`` in which their source's budget
+    runs out, and per source: budget, used (words before them), low (the value), s and n of them."""
+    bits = BITS
     while True:
         bits -= LEVEL
-        hist = inside.groupBy("source", F.shiftright("h", bits).alias("bucket")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
-        hist = _upto(hist, known, "bucket")  # at most 2 ** LEVEL rows a source
-        # the budget runs out in the first bucket that reaches it
-        edge = hist.where(F.col("upto") >= F.col("budget")).groupBy("source", "budget").agg(F.min(F.struct("bucket", "upto", "s", "n")).alias("m"))
-        known = scratch.save(edge.selectExpr("source", "budget", "m.upto - m.s AS used", "m.bucket AS low", "m.n AS n"), f"edge{bits}")
+        # at most 2 ** LEVEL rows a source
+        hist = inside.groupBy("source", F.shiftright(by, bits).alias("bucket")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+        known = scratch.save(_reached(hist, known, "bucket"), f"{by}-edge{bits}")
         few = (known.agg(F.max("n")).first()[0] or 0) <= FEW
-        lies = F.col("e.source").eqNullSafe(F.col("k.source")) & (F.shiftright("e.h", bits) == F.col("k.low"))
-        inside = inside.alias("e").join(known.alias("k"), lies).select("e.*")
-        inside = scratch.save(inside, f"inside{bits}")
+        inside = scratch.save(_lies(inside, known, F.shiftright(f"e.{by}", bits)), f"{by}-inside{bits}")
         if few or bits == 0:
             break
-    # the documents of the boundary buckets one by one: taken while their middle lies within the budget
-    last = _upto(inside.groupBy("source", "h").agg(F.sum("size").alias("s")), known, "h")
-    last = last.where(F.col("upto") - F.col("s") / 2 <= F.col("budget")).groupBy("source").agg(F.max("h").alias("last"))
-    # below the boundary bucket all are taken, even if none is taken inside it
-    known = known.select("source", (F.shiftleft("low", bits) - 1).alias("below"))
-    t = t.alias("t").join(known.alias("k"), F.col("t.source").eqNullSafe(F.col("k.source")), "left").select("t.*", "below")
-    t = t.alias("t").join(last.alias("k"), F.col("t.source").eqNullSafe(F.col("k.source")), "left").select("t.*", "last")
-    t = t.select("source", "source_size", "target", "whole", F.coalesce("last", "below").alias("last"))
-    return scratch.save(t, "thresholds")
-
-
-def _upto(sums: DataFrame, known: DataFrame, by: str) -> DataFrame:
-    """Words up to and with each row of ``sums``, in order of ``by``."""
+    single = inside.groupBy("source", by).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+    known = scratch.save(_reached(single, known, by), f"{by}-edge")
+    return _lies(inside, known, F.col(f"e.{by}")), known
+
+
+def _lies(inside: DataFrame, known: DataFrame, value: Column) -> DataFrame:
+    return inside.alias("e").join(known.alias("k"), F.col("e.source").eqNullSafe(F.col("k.source")) & (value == F.col("k.low"))).select("e.*")
+
+
+def _reached(sums: DataFrame, known: DataFrame, by: str) -> DataFrame:
+    """Per source the first row of ``sums``, in order of ``by``, with which its budget is reached."""
     j = sums.alias("e").join(known.alias("k"), F.col("e.source").eqNullSafe(F.col("k.source")))
     j = j.select("e.*", "k.budget", "k.used")
-    return j.withColumn("upto", F.col("used") + F.sum("s").over(Window.partitionBy("source").orderBy(by)))
+    j = j.withColumn("upto", F.col("used") + F.sum("s").over(Window.partitionBy("source").orderBy(by)))
+    edge = j.where(F.col("upto") >= F.col("budget")).groupBy("source", "budget").agg(F.min(F.struct(by, "upto", "s", "n")).alias("m"))
+    return edge.selectExpr("source", "budget", "m.upto - m.s AS used", f"m.{by} AS low", "m.s AS s", "m.n AS n")
 
 
 def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **how) -> DataFrame:
@@ -119,9 +165,14 @@ def mixed(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
     scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col(source_col).cast("string")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), size.alias("size"), hashed(id_col, text_col).alias("h"))
-    d = scratch.save(keyed.select("source", "size", "h"), "sizes")
-    t = thresholds(d, scratch, **how)
-    out = keyed.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).where("d.size > 0")
-    copies = F.col("whole") + F.coalesce(F.col("h") <= F.col("last"), F.lit(False)).cast("int")
-    return out.withColumn("copies", copies.cast("int")).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.alias("source"), size.alias("size"), hashed(id_col, text_col).alias("h"), _second(*plain))
+    d = scratch.save(keyed.select("source", "size", "h", "h2"), "sizes")
+    t, repeated = thresholds(d, scratch, **how)
+    out = keyed.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).where("d.size > 0").select("row", "h", "h2", "whole", "at", "at2", "fit")
+    if not repeated:
+        out = out.withColumn("copies", _copies())
+    else:
+        equal = out.where(_at_edge()).groupBy(F.to_json("row").alias("text"), "whole", "fit").agg(F.first("row").alias("row"), F.count("*").alias("n"))
+        out = out.where(~_at_edge()).withColumn("copies", _copies()).select("row", "copies").unionByName(_apart(equal).select("row", "copies"))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

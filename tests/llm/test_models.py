@@ -86,6 +86,35 @@ def test_mix_cases(spark, monkeypatch):
     assert mixing.takes(df.limit(0)).collect() == [] and mixing.mixed(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("few", [4, 4096])
+def test_mix_of_repeated_ids(spark, monkeypatch, few):
+    """The threshold among rows of one id: equal rows, and rows with other texts."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(7, "w " * 20, "a", 1)] * 400 + [(k, "w " * 4, "a", k) for k in range(100, 160)]
+    rows += [(8, "w " * (1 + k % 9), "b", k) for k in range(300)] + [(k, "w " * 11, "c", k) for k in range(1000, 1300)]
+    rows += [(None, "w w w", None, k % 2) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    for d in (df, df.repartition(5)):
+        got = mixing.takes(d).collect()
+        assert len(got) == len(rows) and sum(r["size"] for r in got) == sum(len(r[1].split()) for r in rows)
+        by = {}
+        for r in got:
+            assert r.taken in (0, r["size"], 2 * r["size"])
+            by.setdefault((r.source_size, r.target), []).append(r)
+        assert len(by) == 4
+        for (_, t), rs in by.items():
+            assert abs(sum(r.taken for r in rs) - t) <= max(r["size"] for r in rs) / 2
+        want = {}
+        for r in got:
+            want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+        words = {}
+        for r in mixing.mixed(d).collect():
+            words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+        # the operator that keeps all columns may halve rows of one id elsewhere, but takes as much of it
+        assert set(words) == {i for i, n in want.items() if n} and all(abs(words[i] - want[i]) <= 20 for i in words)
+
+
 def test_targets(spark):
     t = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(t).collect()}
