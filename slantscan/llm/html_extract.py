@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from slantscan.llm.common import text_batches
 
@@ -457,6 +458,12 @@ def _extract(batches):
         )
 
 
+@F.arrow_udf(StringType())
+def text_of(page: pa.Array) -> pa.Array:
+    """The main text of each page, as a column function."""
+    return pa.array([main_text(x.as_py()) for x in page], pa.string())
+
+
 def extract(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 

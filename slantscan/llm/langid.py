@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slantscan.llm.common import Scratch, text_batches
+from slantscan.llm.html_extract import text_of
 
 SAMPLE = 20_000  #: rows, on average, that the trigram models are trained on; each language an equal part at most
 LANGUAGE_ROWS = 200  #: rows, on average, that a language may have of them however many languages there are
@@ -240,6 +241,23 @@ def keep_known(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="
     return known.decide(d, "s", code(F.col("declared")), F.col("host"), F.col("suffix")).where("known").select("row.*")
 
 
+def identify_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
+    """One row per row of ``pages``: page_id, language, confidence, known.
+
+    The text is the page's main text; the markup declares the language, and the
+    address gives host and suffix, so that a host's prior shrinks toward that of
+    its suffix. A null page, or one without text, has no language; a null or odd
+    address has no host, and such pages share one prior. An empty table gives no
+    rows. Extra columns are not looked at.
+    """
+    scratch = Scratch(pages.sparkSession)
+    text_batches(pages.sparkSession)
+    p = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    p = page_evidence(p).select("page_id", "declared", "host", "suffix", text_of("html").alias("text"))
+    p = scratch.save(p, "texts")  # the pages are read and parsed once
+    return identify(p, "page_id", "text", "declared", "host", "suffix").withColumnRenamed("doc_id", "page_id")
+
+
 def page_evidence(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
     """Adds declared (the html element's lang), host and suffix (the host's last part) to pages."""
     host = F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))

@@ -44,6 +44,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("known", "kept")
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 with addresses: the main text, declared language, host and suffix of every page."""
+    return langid.identify_pages(table(spark, sf_dir, "pages")).withColumnRenamed("known", "kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -124,6 +129,7 @@ QUERIES = {
     "op11_rules": op11_rules,
     "op12_lexical": op12_lexical,
     "op13_whitening": op13_whitening,
+    "language_of_pages": language_of_pages,
 }
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

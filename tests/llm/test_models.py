@@ -172,6 +172,58 @@ def test_language_of_pages(spark):
     assert np.mean([r.language == truth[r.doc_id][0] for r in got.collect()]) > 0.9
 
 
+def test_language_of_pages_by_main_text(spark):
+    got = {r.page_id: r for r in queries.language_of_pages(spark, SF).collect()}
+    truth = {r.page_id: r.declared for r in langid.page_evidence(queries.table(spark, SF, "pages")).collect()}
+    assert got.keys() == truth.keys()
+    assert np.mean([got[i].language == truth[i] for i in truth]) > 0.9
+    page = "<html lang={}><nav><a>der Hund die Katze und nicht</a></nav><article><p>{}</p></article>"
+    rows = [(k, f"http://h{k % 3}.{'com' if k % 2 else 'de'}/x", page.format("en" if k % 2 else "de", "the cat and the dog that was there" if k % 2 else "der Hund und die Katze, die nicht da sind"), "t") for k in range(40)]
+    rows += [(100, None, None, "t"), (101, "odd", "", None), (None, "http://h1.com/", rows[1][2], "t"), (1, *rows[1][1:])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = langid.identify_pages(df).collect()
+    assert len(got) == len(rows) and not any(r.known for r in got if r.page_id in (100, 101))
+    assert all(r.language == ("en" if r.page_id % 2 else "de") for r in got if r.page_id is not None and r.page_id < 100)
+    assert langid.identify_pages(df.limit(0)).collect() == []
+
+
+def test_fused_evidence_by_definition(spark):
+    """Posterior and decision of every row from written scores, in plain NumPy."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    names, hosts = ["aa", "bb", "cc"], [("h1", "com"), ("h2", "com"), ("h3", "de"), ("h3", "com"), (None, None)]
+    rows = []
+    for k in range(120):
+        n, (host, suffix) = float(rng.integers(3, 9)), hosts[rng.integers(5)]
+        rows.append((k, [float(x) for x in rng.normal(-9, 1, 3) * n] + [n], ["aa", "bb", "zz", None][rng.integers(4)], host, suffix))
+    df = spark.createDataFrame(rows, "id long, s array<double>, declared string, host string, suffix string")
+    model = langid.Model(names, np.ones((3, langid.BUCKETS)))
+    c = [F.col(x) for x in ("declared", "host", "suffix")]
+    got = {r.id: r for r in langid.Evidence(df, model, Scratch(spark), F.col("s"), *c).decide(df, "s", *c).collect()}
+
+    def soft(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    own = [soft(np.array(s[:3]) / langid.TEMPER) for _, s, *_ in rows]
+    total = np.sum(own, axis=0)
+    share = (total + 1) / (total.sum() + 3)
+    worth = np.array([1 + np.sum([p for p, r in zip(own, rows, strict=True) if r[2] == x] + [np.zeros(3)], axis=0) for x in names])
+    worth = np.log(worth / worth.sum(axis=0))
+    assert len(got) == len(rows)
+    for k, s, declared, host, suffix in rows:
+        prior = share
+        for same in (lambda r: r[4] == suffix, lambda r: r[3:] == (host, suffix)):
+            rest = np.sum([p for p, r in zip(own, rows, strict=True) if r[0] != k and same(r)] + [np.zeros(3)], axis=0)
+            prior = (rest + langid.SHRINK * prior) / (rest.sum() + langid.SHRINK)
+        p = soft(np.array(s[:3]) / langid.TEMPER + np.log(prior) + (worth[names.index(declared)] if declared in names else 0))
+        at = int(p.argmax())
+        known = (s[at] - s[3] * langid.CHANCE) / langid.TEMPER > np.log(langid.UNKNOWN) and p[at] >= langid.LEAST
+        assert abs(got[k].confidence - p[at]) < 1e-9 and got[k].known == known and got[k].language == (names[at] if known else None)
+    assert len({r.language for r in got.values()}) > 2
+
+
 def test_quality_held_out(spark):
     docs, labels = (queries.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     got = quality.classify(docs, labels.where("doc_id % 2 = 0"))
