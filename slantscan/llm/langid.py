@@ -236,7 +236,8 @@ def keep_known(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
     model = train(d, "text", "declared", "doc_id")
-    d = d.withColumn("s", scores(model)("text")).drop("text")
+    # the rows are written with their scores, which cost more than the copy: each text is scored once
+    d = scratch.save(d.withColumn("s", scores(model)("text")).drop("text"), "scored")
     known = Evidence(d, model, scratch, F.col("s"), code(F.col("declared")), F.col("host"), F.col("suffix"))
     return known.decide(d, "s", code(F.col("declared")), F.col("host"), F.col("suffix")).where("known").select("row.*")
 

@@ -179,9 +179,8 @@ def _prepared(docs, labels, id_col, text_col, host_col, path_col, label_col, kee
     cols += [(F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string")).alias(a) for c, a in ((host_col, "host"), (path_col, "path"))]
     if keep_row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    d = docs.select(*cols).withColumn("evidence", model.column(F.col("text"))).drop("text")
-    if not keep_row:  # without the text a row is small: score it once, for the sites and for itself
-        d = scratch.save(d, "scored")
+    # each text is scored once, for the sites and for itself; rows that are to be kept are written with their scores
+    d = scratch.save(docs.select(*cols).withColumn("evidence", model.column(F.col("text"))).drop("text"), "scored")
     log_share = float(np.log(model.share / (1 - model.share)))
     own = _sigmoid(F.col("evidence") + log_share)
     scored = d.select("host", "path", own.alias("p"))
