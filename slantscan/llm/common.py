@@ -73,8 +73,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+        """``df`` as written; with ``texts`` packed tightly, as whole texts are most of it."""
+        w = df.write.mode("overwrite")
+        (w.option("compression", "zstd") if texts else w).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

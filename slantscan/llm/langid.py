@@ -237,7 +237,7 @@ def keep_known(docs: DataFrame, id_col="doc_id", text_col="text", declared_col="
     )
     model = train(d, "text", "declared", "doc_id")
     # the rows are written with their scores, which cost more than the copy: each text is scored once
-    d = scratch.save(d.withColumn("s", scores(model)("text")).drop("text"), "scored")
+    d = scratch.save(d.withColumn("s", scores(model)("text")).drop("text"), "scored", texts=True)
     known = Evidence(d, model, scratch, F.col("s"), code(F.col("declared")), F.col("host"), F.col("suffix"))
     return known.decide(d, "s", code(F.col("declared")), F.col("host"), F.col("suffix")).where("known").select("row.*")
 
@@ -255,7 +255,7 @@ def identify_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="
     text_batches(pages.sparkSession)
     p = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     p = page_evidence(p).select("page_id", "declared", "host", "suffix", text_of("html").alias("text"))
-    p = scratch.save(p, "texts")  # the pages are read and parsed once
+    p = scratch.save(p, "texts", texts=True)  # the pages are read and parsed once
     return identify(p, "page_id", "text", "declared", "host", "suffix").withColumnRenamed("doc_id", "page_id")
 
 

@@ -180,7 +180,7 @@ def _prepared(docs, labels, id_col, text_col, host_col, path_col, label_col, kee
     if keep_row:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # each text is scored once, for the sites and for itself; rows that are to be kept are written with their scores
-    d = scratch.save(docs.select(*cols).withColumn("evidence", model.column(F.col("text"))).drop("text"), "scored")
+    d = scratch.save(docs.select(*cols).withColumn("evidence", model.column(F.col("text"))).drop("text"), "scored", texts=keep_row)
     log_share = float(np.log(model.share / (1 - model.share)))
     own = _sigmoid(F.col("evidence") + log_share)
     scored = d.select("host", "path", own.alias("p"))
