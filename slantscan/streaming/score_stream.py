@@ -21,6 +21,15 @@ def score_stream(stream: DataFrame, text: str = "comment_text", model_score: str
     return analyze(stream, text=text, model_score=model_score, version=version)
 
 
+def stream_folder(table: DataFrame, path: str) -> tuple[str, str | None]:
+    """(folder, name filter) to stream the Parquet table that was read as ``table`` from ``path``:
+    a file stream reads folders, so a table in one file is its folder, filtered by its name."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    files = table.inputFiles()
+    one = files[0].split("/") if len(files) == 1 else []
+    return (folder or ".", name) if one[-1:] == [name] and one[-2] != name else (path, None)
+
+
 def start_parquet_stream(spark: SparkSession, source: str, schema: T.StructType, sink: str,
                          prepare=None, text: str = "comment_text", version: str = "v2",
                          checkpoint: str | None = None, available_now: bool = True,

@@ -183,3 +183,15 @@ def test_train_bias_model_end_to_end(spark):
     dist = written.groupBy("label").count().collect()
     assert len(dist) == 2 and dist[0]["count"] == dist[1]["count"]
     assert train_bias_model(spark, [(os.path.join(d, "absent.csv"), "comments")], d + "/x", d + "/y") is None
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_registered_stream_reads_a_table_in_parts(spark, parts):
+    """The documents table may be a folder of files (of any number, also without rows), not only one file."""
+    sf = tempfile.mkdtemp(prefix="slantscan-parts-")
+    docs = T.read_table(spark, SF_SMALL, "documents")
+    (docs.repartition(parts) if parts else docs.limit(0)).write.parquet(f"{sf}/documents.parquet")
+    stream, batch = R.Q["score_stream"](spark, sf), R.Q["analyze"](spark, sf)
+    assert stream.schema == batch.schema
+    assert stream.count() == batch.count() == (docs.count() if parts else 0)
+    assert stream.exceptAll(batch).count() == 0
