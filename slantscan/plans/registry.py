@@ -283,8 +283,10 @@ def word_lexicon(spark: SparkSession, sf: str) -> DataFrame:
                                    "SELECT lexicon, term, count(*) AS n FROM hits JOIN words USING (term) GROUP BY lexicon, term")
 def q_lexicon_matches_grams(spark, sf):
     """C1 by the inverted q-gram join, whatever the lexicon's size; texts per lexicon and term."""
-    hits = LX.gram_matches(_planted(spark, sf), word_lexicon(spark, sf))
-    return hits.groupBy("lexicon", "term").agg(F.count(F.lit(1)).alias("n"))
+    words = word_lexicon(spark, sf)
+    hits = LX.gram_matches(_planted(spark, sf), words.select(F.lit("words").alias("name"), "term").distinct())
+    n = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(words, "term").select(F.col("name").alias("lexicon"), "term", "n")
 
 
 LEXICONS = list(dict.fromkeys((v, n) for v, n, *_ in lexicon_table.rows(kinds=["term"])))

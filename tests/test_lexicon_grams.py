@@ -118,3 +118,36 @@ def test_word_boundaries_in_the_gram_join_and_the_score(spark):
         plain, strict = ({r.id: r.bias_score for r in score(one, word_boundary=w).collect()} for w in (False, True))
         assert plain[1] == plain[2] == strict[2] > 0 and strict[1] == 0
     assert [r.pattern_tags for r in analyze(one, word_boundary=True).orderBy("id").collect()] == [[], ["explicit racial terms", "coded racial language"]]
+
+
+# ---- only posted grams leave a text ---------------------------------------------------
+
+
+def test_texts_give_posted_grams_only(spark):
+    """What a text sends into the join does not grow with its length."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("bcdfg hklm") for _ in range(20_000)) + " zebra crossings at noon"
+    terms = ["zebra", "z", "crossings at", "qq"]
+    df, lex = spark.createDataFrame([(1, long)], "id long, comment_text string"), spark.createDataFrame([("v", "n", i, t) for i, t in enumerate(terms)], LEX)
+    posted, lengths = LX._posted(LX._entries(lex))
+    grams = LX._with_grams(LX._texts(df, "comment_text", "id"), posted, lengths).first()["__grams"]
+    assert {"zebra", "z"} <= set(grams) and len(grams) == len(set(grams)) < 50
+    assert sorted(r.term for r in LX.gram_matches(df, lex).collect()) == ["crossings at", "z", "zebra"]
+
+
+@pytest.mark.parametrize("held", [0, LX.HELD])
+def test_held_or_not_the_gram_join_is_the_same(spark, monkeypatch, held):
+    monkeypatch.setattr(LX, "HELD", held)
+    rows, lexicon = random_case(10)
+    rows += [(200, "abc" * 9 + "abcabcabd"), (201, "a\0 \0b"), (202, "\U0001f600" * 20)]
+    lexicon = [*lexicon, ("v1", "x", 900, "abcabcabcabd"), ("v1", "x", 901, "\0b"), ("v2", "y", 902, "\U0001f600" * 9), ("v2", "y", 903, "a\0")]
+    df, lex = spark.createDataFrame(rows, "id long, comment_text string"), spark.createDataFrame(lexicon, LEX)
+    assert Counter(tuple(r) for r in LX.gram_matches(df, lex).collect()) == brute(rows, lexicon)
+
+
+def test_hits_are_counted_before_they_meet_the_lexicons(spark):
+    """A word of many items is one hit a text, not one an item."""
+    from conftest import SF_SMALL
+    from slantscan.plans import registry as R
+    plan = R.Q["lexicon_matches_grams"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [term")
