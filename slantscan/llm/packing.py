@@ -28,24 +28,21 @@ from slantscan.llm.common import Scratch, text_batches
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END_OF_TEXT = "<|endoftext|>"
-CACHE_WORDS = 150_000  #: words whose ids a worker remembers at most
 RANK_GROUP = 20_000  #: pieces of one length numbered in one group on average
 
 
-class TokenBytes(dict):
-    """Ids of texts as little-endian 32-bit bytes: word after a space -> ids.
+class TokenBytes:
+    """Ids of texts as little-endian 32-bit bytes.
 
-    The vocabulary and its merge ranks come from the tokenizer file itself; a
-    space after a character that isn't white space always starts a token of
-    this byte-level vocabulary, so words between single spaces are encoded on
-    their own and remembered. Texts with runs of white space before a space are
-    encoded whole. Tests hold the ids against the ``tokenizers`` library.
+    The vocabulary and its merge ranks come from the tokenizer file itself.
+    Texts are encoded whole, into an array: to look words up in a memory of ids
+    costs more, as texts hold many different words. Tests hold the ids against
+    the ``tokenizers`` library.
     """
 
     def __init__(self, path: str):
         import json
 
-        import regex
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -56,24 +53,9 @@ class TokenBytes(dict):
         special = {t["content"]: t["id"] for t in model["added_tokens"]}
         ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.run = regex.compile(r"\s ")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = self.whole(" " + word)
-        if len(word) < 64:
-            self[word] = ids
-        return ids
 
     def encode(self, text: str) -> bytes:
-        if self.run.search(text):
-            return self.whole(text)
-        first, *words = text.split(" ")
-        return self.whole(first) + b"".join(map(self.__getitem__, words))
+        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)

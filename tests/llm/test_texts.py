@@ -200,6 +200,27 @@ def test_packing_cases(spark, tokenizer):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_encoding_costs_no_more_than_the_encoder(tokenizer):
+    """Texts of many different words: what surrounds the encoder must not cost more than it does."""
+    import random
+    import time
+    rng = random.Random(3)
+    rounds = [[" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(2, 12))) for _ in range(2000)) for _ in range(40)] for _ in range(3)]
+    enc = packing.TokenBytes(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def seconds(encode, texts):
+        began = time.process_time()
+        for t in texts:
+            encode(t)
+        return time.process_time() - began
+
+    own = min(seconds(enc.encode, texts) for texts in rounds)
+    assert own < 1.3 * min(seconds(lambda t: enc.encoding.encode(t, allowed_special="all"), texts) for texts in rounds)
+    texts = rounds[0]
+    assert enc.encode(texts[0]) == struct.pack(f"<{len(ids := tokenizer.encode(texts[0], add_special_tokens=False).ids)}I", *ids)
+    assert enc.encode("") == b""
+
+
 def test_patterns():
     count = {2000: 3, 48: 2, 30: 2, 18: 1, 10: 2, 8: 2, 1024: 2, 700: 3, 600: 1, 2048: 4}
     found = packing.patterns(dict(count))
