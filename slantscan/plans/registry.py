@@ -1030,15 +1030,15 @@ def q_score_stream(spark, sf):
     import uuid
 
     from ..session import ensure_checkpoint_dir
-    from ..streaming.score_stream import score_stream, start_parquet_stream, stream_folder
+    from ..streaming.score_stream import score_stream, start_parquet_stream, stream_path
     docs = T.read_table(spark, sf, "documents")
     sink = f"{ensure_checkpoint_dir(spark).rstrip('/')}/score-stream-{uuid.uuid4().hex}"
 
     def prep(s):
         return s.select(F.col("doc_id").alias("id"), T.planted_text(F.col("doc_id"), F.col("text")).alias("comment_text"),
                         T.model_score(F.col("doc_id")).alias("model_score"))
-    folder, glob = stream_folder(docs, f"{sf.rstrip('/')}/documents.parquet")
-    q = start_parquet_stream(spark, folder, docs.schema, sink, prepare=prep, glob=glob)
+    source = stream_path(docs, f"{sf.rstrip('/')}/documents.parquet")
+    q = start_parquet_stream(spark, source, docs.schema, sink, prepare=prep)
     q.awaitTermination()
     # without rows the sink holds no file to take the schema from
     return flat_analysis(spark.read.schema(score_stream(prep(docs)).schema).parquet(sink))

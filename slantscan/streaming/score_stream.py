@@ -21,13 +21,14 @@ def score_stream(stream: DataFrame, text: str = "comment_text", model_score: str
     return analyze(stream, text=text, model_score=model_score, version=version)
 
 
-def stream_folder(table: DataFrame, path: str) -> tuple[str, str | None]:
-    """(folder, name filter) to stream the Parquet table that was read as ``table`` from ``path``:
-    a file stream reads folders, so a table in one file is its folder, filtered by its name."""
+def stream_path(table: DataFrame, path: str) -> str:
+    """What to stream of the Parquet table that was read as ``table`` from ``path``. A file stream reads
+    folders or a pattern: a table in one file is a pattern that only this file matches, as its folder
+    may hold other tables, whose files would be listed and their partitions mixed."""
     folder, _, name = path.rstrip("/").rpartition("/")
     files = table.inputFiles()
     one = files[0].split("/") if len(files) == 1 else []
-    return (folder or ".", name) if one[-1:] == [name] and one[-2] != name else (path, None)
+    return f"{folder or '.'}/[{name[0]}]{name[1:]}" if one[-1:] == [name] and one[-2] != name else path
 
 
 def start_parquet_stream(spark: SparkSession, source: str, schema: T.StructType, sink: str,

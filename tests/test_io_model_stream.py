@@ -1,4 +1,5 @@
 import os
+import shutil
 import tempfile
 
 import pandas as pd
@@ -195,3 +196,14 @@ def test_registered_stream_reads_a_table_in_parts(spark, parts):
     assert stream.schema == batch.schema
     assert stream.count() == batch.count() == (docs.count() if parts else 0)
     assert stream.exceptAll(batch).count() == 0
+
+
+def test_registered_stream_reads_one_file_beside_partitioned_tables(spark):
+    """Of a table in one file only that file is listed: folders beside it may be partitioned in any way."""
+    sf = tempfile.mkdtemp(prefix="slantscan-beside-")
+    shutil.copy(f"{SF_SMALL}/documents.parquet", sf)
+    T.read_table(spark, SF_SMALL, "pages").withColumn("part", F.col("page_id") % 2) \
+        .write.partitionBy("part").parquet(f"{sf}/pages.parquet")
+    stream, batch = R.Q["score_stream"](spark, sf), R.Q["analyze"](spark, sf)
+    assert stream.count() == batch.count() == T.read_table(spark, SF_SMALL, "documents").count()
+    assert stream.exceptAll(batch).count() == 0
